@@ -63,14 +63,14 @@ def dedup_line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-s AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS at FROM l),
-w AS (SELECT doc_id, at, ls[at] || chr(10) || ls[at + 1] || chr(10) || ls[at + 2] AS body FROM s),
-f AS (SELECT body, min((doc_id, at)) AS first FROM w WHERE regexp_matches(body, '[^ \t\n\f\r\v]') GROUP BY body HAVING count(*) > 1),
-r AS (SELECT DISTINCT w.doc_id, w.at + k.k AS line FROM w JOIN f USING (body), (VALUES (0), (1), (2)) k(k) WHERE (w.doc_id, w.at) > f.first),
+s AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l),
+w AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS body FROM s),
+f AS (SELECT body, min((doc_id, i)) AS first FROM w WHERE regexp_matches(body, '[^ \t\n\f\r\v]') GROUP BY body HAVING count(*) > 1),
+r AS (SELECT DISTINCT w.doc_id, w.i + k.k AS line FROM w JOIN f USING (body), (VALUES (0), (1), (2)) k(k) WHERE (w.doc_id, w.i) > f.first),
 g AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
-e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS at FROM l),
-k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.at) AS text FROM e
-      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = e.doc_id AND r.line = e.at) GROUP BY e.doc_id)
+e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l),
+k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS text FROM e
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = e.doc_id AND r.line = e.i) GROUP BY e.doc_id)
 SELECT l.doc_id, CASE WHEN g.n IS NULL THEN l.text ELSE coalesce(k.text, '') END AS text,
        CAST(coalesce(len(l.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed
 FROM l LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
