@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import digest, isomedia, line_windows, mixing, packing, rans
+from siltstone.llm import digest, isomedia, kneser_ney, langid, line_windows, minhash, mixing, packing, rans, substrings
 from siltstone.session import Scratch, read_table
 
 
@@ -40,12 +40,33 @@ def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group_near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(rows, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length("kept").cast("long")
+    removed = F.coalesce(F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)"), F.lit(0))
+    return cut.select("doc_id", (size + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_tokens, op2_quartile_digest, op3_line_windows, op4_iso_media, op5_sainte_lague, op8_hierarchical_packing)
+    f.__name__: f for f in (op1_rans_tokens, op2_quartile_digest, op3_line_windows, op4_iso_media, op5_sainte_lague, op6_kneser_ney, op7_minhash, op8_hierarchical_packing, op9_byte_gru, op10_suffix_ranges)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_windows": line_windows.SQL}
