@@ -43,6 +43,8 @@ _GRAMS = WIDTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 23
 _GATHER = 32 << 20  # bytes of text within which a task merges equal runs
+#: Windows that a range compares at once, a larger class apart.
+WINDOWS = 250_000
 _32 = np.uint64(32)
 
 
@@ -257,6 +259,29 @@ def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def _compare(c: dict[str, np.ndarray], data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of windows of these runs that also start earlier; ``base`` is where a run's bytes lie in ``data``."""
+    # By document and place, so that the first of equal windows is the earliest.
+    rank = np.lexsort((c["start"], c["t"], c["doc"]))
+    c, base = {f: v[rank] for f, v in c.items()}, base[rank]
+    length = c["size"] + WIDTH - 1
+    text = data[_flat(base, length)]
+    base = np.cumsum(length) - length
+    where = _flat(base, c["size"])
+    of = np.repeat(np.arange(len(base)), c["size"])
+    start = c["start"][of] + where - base[of]
+    h = Prefix(text).hash(where, where + WIDTH)
+    by = np.argsort(h, kind="stable")
+    head = np.append(True, h[by][1:] != h[by][:-1])
+    first = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    gone = np.zeros(len(by), bool)
+    gone[by] = (c["doc"][of[by]] != c["doc"][of[first]]) | (c["t"][of[by]] != c["t"][of[first]]) | (start[by] != start[first])
+    # Neighbouring windows of a run make one span.
+    same = np.append(False, (of[1:] == of[:-1]) & gone[1:] & gone[:-1])
+    begin, end = np.flatnonzero(gone & ~same), np.flatnonzero(gone & ~np.append(same[1:], False))
+    return c["doc"][of[begin]], c["t"][of[begin]], start[begin], start[end] + WIDTH
+
+
 def _find_repeats(table: pa.Table) -> pa.Table:
     """A range's runs -> covered spans (doc, t, first byte, last byte + 1)."""
     held: dict[str, list[np.ndarray]] = {f: [] for f in _FIELDS}
@@ -276,34 +301,21 @@ def _find_repeats(table: pa.Table) -> pa.Table:
     if held["doc"]:
         c = {f: np.concatenate(v) for f, v in held.items()}
         data = np.concatenate(bodies)
+        del bodies
         length = c["size"] + WIDTH - 1
         base = np.cumsum(length) - length
         at = base + c["offset"]
         words = np.stack([_leading(data, at + 8 * k) for k in range(GRAM // 8)], axis=1)
         order, group = multikey_order(words)
-        shared = order[np.bincount(group)[group] > 1]
-        # By document and place, so that the first of equal windows is the earliest.
-        shared = shared[np.lexsort((c["start"][shared], c["t"][shared], c["doc"][shared]))]
-        size = c["size"][shared]
-        where = _flat(base[shared], size)
-        of = np.repeat(shared, size)
-        start = c["start"][of] + where - base[of]
-        h = Prefix(data).hash(where, where + WIDTH)
-        by = np.argsort(h, kind="stable")
-        ranked = h[by]
-        head = np.ones(len(by), bool)
-        head[1:] = ranked[1:] != ranked[:-1]
-        first = by[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(by) else by
-        gone = np.zeros(len(by), bool)
-        gone[by] = (c["doc"][of[by]] != c["doc"][of[first]]) | (c["t"][of[by]] != c["t"][of[first]]) | (start[by] != start[first])
-        # Neighbouring windows of a run make one span.
-        same = np.zeros(len(of), bool)
-        same[1:] = (of[1:] == of[:-1]) & gone[1:] & gone[:-1]
-        begin = np.flatnonzero(gone & ~same)
-        last = np.zeros(len(of), bool)
-        last[:-1] = same[1:]
-        end = np.flatnonzero(gone & ~last)
-        spans.append((c["doc"][of[begin]], c["t"][of[begin]], start[begin], start[end] + WIDTH))
+        del words
+        # Equal windows lie in one class, so whole classes are compared, about WINDOWS windows at a time.
+        many = np.bincount(group)[group] > 1
+        order, group = order[many], group[many]
+        load = np.cumsum(c["size"][order])
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
+        cuts = np.unique(np.append(heads[np.searchsorted(load[heads], np.arange(0, load[-1], WINDOWS), "left").clip(max=len(heads) - 1)], len(order))) if len(order) else np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            spans.append(_compare({f: v[order[a:b]] for f, v in c.items()}, data, base[order[a:b]]))
     columns = [np.concatenate([s[i] for s in spans]) if spans else np.zeros(0, np.int64) for i in range(4)]
     return pa.table(dict(zip(("_doc", "_t", "a", "b"), (pa.array(x, pa.int64()) for x in columns))))
 
