@@ -7,13 +7,21 @@ four; documents that share a band are candidates. At a Jaccard similarity of 0.8
 none of 32 bands with a chance of about 6e-11.
 
 Documents of one set form a class, and its smallest doc_id stands for it. In a bucket, edges form
-a star: from the smallest representative to each other one, linear in the bucket's size. Edges are
-confirmed on the full sets (64-bit shingle hashes), and confirmed links give components. A star
-may miss a link between two of its leaves, so buckets that still hold more than one component go
-on: in round r the next 2**(r-1) members become centres too, towards members of other components,
-until each such bucket has had every member as centre. A bucket of near copies is one component
-after the first round and makes no more edges; no candidate pair of a shared band goes untested
-unless both ends are in one component already.
+a star: from the smallest representative (the centre C) to each other one, linear in the bucket's
+size. Edges are confirmed on the full sets (64-bit shingle hashes), and confirmed links give
+components. A star may miss a link between two of its leaves A and B; these are found thus:
+
+* Let D(A) be the symmetric difference of A's set and C's. If D(A) and D(B) are disjoint, then
+  J(A, B) <= min(J(A, C), J(B, C)). So a link that the star misses joins two leaves whose
+  differences share an element, one of which is not linked to C; and they share more than 0.4594
+  of the differences of the one whose partner is not linked to C. Leaves near C (J >= 0.5) are
+  joined on the elements of their differences, rarest first and only as many as these bounds
+  leave (prefix filter): near copies that were edited independently share none of their rare ones.
+* Leaves far from C (J < 0.65) form the bucket of the next round, with a new centre. As Jaccard
+  distance is a metric, two linked leaves are both near or both far. Far ones are told by their
+  signatures where sets are large and the estimate is below 0.3, else by their sets.
+
+So no candidate pair of a shared band is lost, and no group emits all its pairs.
 
 Cases: text null, or without words: n_shingles 0, linked with nothing. One or two words: one
 shingle, the whole sequence. A null doc_id is linked with nothing and has a null component_id;
@@ -96,7 +104,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-_SKETCH = "doc_id long, n long, s long, x long, bands array<long>"
+_SKETCH = "doc_id long, n long, s long, x long, bands array<long>, sig array<short>"
+#: Bounds of near and far leaves; sets from ESTIMATE_FROM shingles on are told far by an estimate under ESTIMATE_FAR.
+NEAR, FAR, ESTIMATE_FAR, ESTIMATE_FROM = 0.5, 0.65, 0.3, 64
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +116,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in sets], np.int64)
             total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             folded = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
-            keys = band_keys(signatures([s for s in sets if len(s)]))
+            sig = signatures([s for s in sets if len(s)])
             offsets = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands], ["doc_id", "n", "s", "x", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sig).reshape(-1)))
+            marks = pa.ListArray.from_arrays(pa.array(offsets * ROWS), pa.array((mix(sig) >> np.uint64(48)).astype(np.uint16).view(np.int16).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands, marks], ["doc_id", "n", "s", "x", "bands", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +158,49 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that are linked on their full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their full sets, of what they share, and both sets."""
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     full = left.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = full.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
-    return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct()
+    return full.withColumns({"na": F.size("ha"), "nb": F.size("hb"), "both": F.size(F.array_intersect("ha", "hb"))})
+
+
+_LINKED = f"100 * both >= {PERCENT} * (na + nb - both)"
+
+
+def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a: centre, b: leaf, nb, linked, near, far, diff) of all buckets (band, doc_id, first), each pair once.
+
+    ``diff`` is there for near leaves; pairs whose signatures tell that they are far have no sets fetched.
+    """
+    pairs = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    m = lambda side: marks.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"s_{side}"))
+    told = pairs.join(m("a"), "a").join(m("b"), "b").groupBy("a", "b").agg(
+        F.max(F.expr(f"CASE WHEN least(n_a, n_b) < {ESTIMATE_FROM} THEN 1.0D ELSE size(filter(zip_with(s_a, s_b, (x, y) -> x = y), z -> z)) / {BINS}.0D END")).alias("estimate")
+    )
+    close = _compared(told.where(f"estimate >= {ESTIMATE_FAR}").select("a", "b"), sets)
+    exact = close.select("a", "b", F.col("nb"), F.expr(_LINKED).alias("linked"), F.expr(f"both >= {NEAR} * (na + nb - both)").alias("near"), F.expr(f"both < {FAR} * (na + nb - both)").alias("far"), "ha", "hb")
+    exact = exact.withColumn("diff", F.when(F.col("near"), F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha")))).drop("ha", "hb")
+    distant = told.where(f"estimate < {ESTIMATE_FAR}").select("a", "b", F.lit(0).alias("nb"), F.lit(False).alias("linked"), F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(None).cast("array<long>").alias("diff"))
+    return exact.unionByName(distant)
+
+
+def _missed_pairs(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of leaves that a star may have missed: near one centre, not both linked to it, in different components, sharing a rare element of their differences."""
+    near = edges.where("near AND size(diff) > 0")
+    open_ = near.where("NOT linked").select("a").distinct()
+    rows = near.join(open_, "a", "left_semi").join(comps.select(F.col("node").alias("b"), "comp"), "b", "left").select("a", "b", "linked", "nb", F.coalesce("comp", "b").alias("comp"), F.size("diff").alias("x"), F.explode("diff").alias("e"))
+    rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # An element that only one leaf differs in joins nothing, but takes a place in the prefix: the rarest come first.
+    shared = rows.join(rare, ["a", "e"])
+    place = F.col("x") - F.count(F.lit(1)).over(Window.partitionBy("a", "b")) + F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
+    # The least number of shared elements: with a partner that is not linked to the centre; and, for one that is not linked itself, with one that is.
+    least = F.greatest(F.lit(1), F.ceil(F.col("x") * 0.4594))
+    least = F.when(F.col("linked"), least).otherwise(F.least(least, F.greatest(F.lit(1), F.ceil(F.col("x") - F.col("nb") * 0.1766))))
+    few = shared.withColumn("place", place).where(F.col("place") <= F.col("x") - least + 1).select("a", "e", "b", "linked", "comp")
+    left = few.where("NOT linked").select("a", "e", F.col("b").alias("p"), F.col("comp").alias("cp"))
+    pairs = left.join(few.select("a", "e", F.col("b").alias("q"), F.col("comp").alias("cq"), "linked"), ["a", "e"]).where("cp <> cq AND (linked OR p < q)")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -168,39 +216,33 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     classed = sketch.join(classes, ["s", "x", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     # A bucket is a band key that two representatives share; keys are aggregated, then joined back.
     slim = known.join(classes, ["s", "x", "n"], "left").where("rep IS NULL OR rep = doc_id")
-    banded = slim.select("doc_id", "n", F.explode("bands").alias("band")).distinct()
-    shared = scratch.table("shared", banded.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("band", "first"))
-    members = scratch.table("members", banded.join(shared, "band"))
-    sizes = members.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("n_low"))
-    candidates = scratch.table("sizes", sizes)
-
-    def worth(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link at all."""
-        sized = pairs.join(candidates.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("n_low").alias("la")), "a").join(candidates.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("n_low").alias("lb")), "b")
-        return sized.where(f"100 * na >= {PERCENT} * lb AND 100 * nb >= {PERCENT} * la").select("a", "b")
-
-    sets = scratch.table("sets", rows.join(candidates.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"))
-    star = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = scratch.table("links-0", _confirmed(worth(star), sets))
-    comps = scratch.table("comps-0", components(links, scratch, "cc-0"))
-    turn, low, high = 1, 2, 2
-    while True:
-        labelled = members.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left").select("band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.count_distinct("doc_id").alias("size"), F.min("comp").alias("c"), F.max("comp").alias("d")).where(f"c < d AND size > {low}").select("band")
-        open_ = labelled.join(mixed, "band").select("band", "doc_id", "comp").distinct()
-        ranked = scratch.table(f"ranked-{turn}", open_.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))))
-        if ranked.isEmpty():
-            break
-        centres = ranked.where(f"rank BETWEEN {low} AND {high}").select("band", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.join(centres, "band").where("rank > ra AND comp <> ca").select("a", F.col("doc_id").alias("b")).distinct()
-        new = scratch.table(f"links-{turn}", _confirmed(worth(pairs), sets))
-        if not new.isEmpty():
-            known_edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new.select("a", "b"))
-            comps = scratch.table(f"comps-{turn}", components(known_edges, scratch, f"cc-{turn}"))
-        scratch.drop(f"ranked-{turn}")
-        turn, low, high = turn + 1, high + 1, high * 2
+    banded = slim.select("doc_id", F.explode("bands").alias("band")).distinct()
+
+    def centred(members: DataFrame) -> DataFrame:
+        first = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("band", "first")
+        return members.join(first, "band")
+
+    buckets = scratch.table("buckets-0", centred(banded))
+    candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
+    sets = scratch.table("sets", rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"))
+    marks = scratch.table("marks", slim.join(candidates, "doc_id", "left_semi").select("doc_id", "n", "sig"))
+    comps = spark.createDataFrame([], "node long, comp long")
+    turn = 0
+    while not buckets.isEmpty():
+        edges = scratch.table(f"edges-{turn}", _star(buckets, marks, sets))
+        tree = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        comps = scratch.table(f"stars-{turn}", components(tree.union(edges.where("linked").select("a", "b")), scratch, f"star-{turn}"))
+        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges, comps), sets).where(_LINKED).select("a", "b").distinct())
+        if not missed.isEmpty():
+            tree = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+            comps = scratch.table(f"comps-{turn}", components(tree.union(missed), scratch, f"leaf-{turn}"))
+        far = buckets.join(edges.where("far").select(F.col("a").alias("first"), F.col("b").alias("doc_id")), ["first", "doc_id"], "left_semi").select("doc_id", "band")
+        rest = scratch.table(f"buckets-{turn + 1}", centred(far))
+        scratch.drop(f"buckets-{turn}")
+        scratch.drop(f"edges-{turn}")
+        buckets, turn = rest, turn + 1
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("members", "shared", "sets", "sizes"):
+    for name in ("candidates", "sets", "marks"):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")
