@@ -266,7 +266,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str,
     small_batches(spark)
     scratch = Scratch(spark, "rans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = scratch.table("tokens", rows.mapInArrow(_tokenize(tokenizer, end_id), "counts boolean, doc_id long, n long, ids binary"))
+    kinds = "counts boolean, doc_id long, n long, ids binary"
+    # Counts and documents go to folders of their own, so that neither is read for the other.
+    rows.mapInArrow(_tokenize(tokenizer, end_id), kinds).write.partitionBy("counts").option("compression", "zstd").parquet(scratch.path("tokens"))
+    tokens = spark.read.schema(kinds).parquet(scratch.path("tokens"))
     counts = (
         tokens.where("counts").select("ids").mapInArrow(_spread_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     )  # a row for each id of the vocabulary at most

@@ -15,7 +15,7 @@ import pyarrow as pa
 from siltstone.llm.words import Prefix, raw, slices, word_ranges
 
 #: Pieces that a worker remembers (about 40 bytes each) before it starts afresh.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 2_500_000
 #: White space beyond ASCII may merge with its neighbours in the byte-level pattern.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
