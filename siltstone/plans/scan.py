@@ -52,7 +52,8 @@ def detect(files: DataFrame, changed: DataFrame | None = None, reports: dict[str
     local = files if changed is None else changed
     parts = [run(local) for run in DETECTORS.values()]
     parts += [policy.in_scope(ADAPTERS[name](df), files) for name, df in (reports or {}).items()]
-    preliminary = union_all(parts)
+    # Four later steps read these rows: they are written once, and later plans stay small.
+    preliminary = Scratch(files.sparkSession, "detect").table("preliminary", union_all(parts))
     more = [detectors.compliance(files, preliminary), detectors.pollution_chain(preliminary), dependencies.reachable_results(files, preliminary), detectors.header_gates(files)]
     return union_all([preliminary, union_all(more).withColumn("ord", F.col("ord") + len(parts) * _SPAN)])
 
