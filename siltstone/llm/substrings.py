@@ -42,9 +42,10 @@ SAMPLE = 256  # leading bytes that a bucket gives as candidates for splitters
 _GRAMS = WIDTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 23
-_GATHER = 32 << 20  # bytes of text within which a task merges equal runs
+_GATHER = 16 << 20  # bytes of text within which a task merges equal runs
+_SLICE = 1 << 20  # bytes of text that are hashed at once
 #: Windows that a range compares at once, a larger class apart.
-WINDOWS = 250_000
+WINDOWS = 100_000
 _32 = np.uint64(32)
 
 
@@ -100,7 +101,7 @@ def _count_grams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
-            for _, part in slices(batch.column(0)):
+            for _, part in slices(batch.column(0), _SLICE):
                 data, bounds = raw(part)
                 _, _, anchor, gram, _ = runs(data, bounds)
                 counter.add(gram)
@@ -201,7 +202,7 @@ def _send_runs(store: Store, buckets: int, splitters: np.ndarray):
 
         for batch in batches:
             docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for row, part in slices(batch.column(2)):
+            for row, part in slices(batch.column(2), _SLICE):
                 data, bounds = raw(part)
                 first, last, anchor, gram, prefix = runs(data, bounds)
                 order = np.argsort(gram)
@@ -334,7 +335,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         store.put(f"grams-{b}", np.zeros(0, np.uint64))
     pairs = np.array([(x, g) for r in found for x, g in zip(r["lead"], r["gram"])], np.int64).reshape(-1, 2).astype(np.uint64)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    splitters = pairs[(np.arange(1, buckets) * len(pairs)) // buckets] if len(pairs) else pairs
+    ranges = 2 * buckets
+    splitters = pairs[(np.arange(1, ranges) * len(pairs)) // ranges] if len(pairs) else pairs
     sent = texts.mapInArrow(_send_runs(store, buckets, splitters), _RUNS_DDL)
     covered = sent.groupBy("bucket").applyInArrow(_find_repeats, "_doc long, _t long, a long, b long")
     return covered.groupBy("_doc", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))

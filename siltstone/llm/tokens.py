@@ -129,7 +129,7 @@ class PieceEncoder:
     def encode(self, arr: pa.Array, end_id: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of the array: first row, all ids in a row, and the n+1 bounds of the rows' ids."""
         out = []
-        for at, part in slices(arr):
+        for at, part in slices(arr, 4 << 20):
             ids, bounds = self._slice(part, end_id)
             if self.byte_level:
                 odd = {i: t for i, t in enumerate(part.to_pylist()) if t and not t.isascii() and _WIDE_SPACE.search(t)}
