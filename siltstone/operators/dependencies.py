@@ -47,11 +47,15 @@ def package_lines(files: DataFrame) -> DataFrame:
     return hit.select("path", "ord", F.col("line_no").alias("line"), "code", _package(F.col("specifier")).alias("package")).where("package IS NOT NULL").distinct()
 
 
+def _import_of(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["l"].alias("l"), x["s"].alias("s"))
+
+
 def bindings(files: DataFrame) -> DataFrame:
     """path, package, kind (default, namespace, require or named), local and imported name of every import."""
     name, spec = r"([A-Za-z_$][\w$]*)", r"[\"']([^\"']+)[\"']"
     kinds = (("default", rf"import\s+{name}\s+from\s+{spec}"), ("namespace", rf"import\s+\*\s+as\s+{name}\s+from\s+{spec}"), ("require", rf"(?:const|let|var)\s+{name}\s*=\s*require\({spec}\)"), ("named-import", rf"import\s+\{{([^}}]+)\}}\s+from\s+{spec}"), ("named-require", rf"(?:const|let|var)\s+\{{([^}}]+)\}}\s*=\s*require\({spec}\)"))
-    found = [F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("l"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("s")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["l"].alias("l"), x["s"].alias("s"))) for k, p in kinds]
+    found = [F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("l"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("s")), _import_of(k)) for k, p in kinds]
     rows = files.where(matches(F.col("path"), _SOURCE_FILE)).select("path", F.explode(F.concat(*found)).alias("b")).select("path", "b.*")
     many = F.col("kind").startswith("named")
     parts = F.when(many, F.filter(F.transform(F.split("l", ","), trim), lambda x: x != "")).otherwise(F.array("l"))

@@ -38,6 +38,11 @@ def classify_secret(text: Column, path: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(known & ~dummy, "high").when(dummy | role.isin("test", "fixture", "docs"), "low").otherwise("medium").alias("confidence"))
 
 
+def _numbered_hit(rule: int, *fields: str):
+    """A hit's fields with the number of its rule and its place among that rule's hits."""
+    return lambda h, k: F.struct(F.lit(rule).alias("rule"), k.alias("nth"), *[h[f].alias(f) for f in fields])
+
+
 def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFrame:
     """Every match of every rule over whole contents, with the line it starts on.
 
@@ -47,7 +52,7 @@ def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFr
     ext, out = extension(F.col("path")), []
     empty = F.array().cast("array<struct<rule:int,nth:int,line:int,hit:string>>")
     for i, (_, _, _, exts, _, pattern) in enumerate(rules):
-        found = F.transform(hits(F.col("content"), f"(?im){pattern}"), lambda h, k, i=i: F.struct(F.lit(i).alias("rule"), k.alias("nth"), h["line"].alias("line"), h["hit"].alias("hit")))
+        found = F.transform(hits(F.col("content"), f"(?im){pattern}"), _numbered_hit(i, "line", "hit"))
         wanted = matches(F.col("content"), f"(?im){pattern}")
         out.append(F.when(ext.isin(*exts) & wanted if exts else wanted, found).otherwise(empty))
     rows = files.select("path", "ord", F.explode(F.concat(*out)).alias("h")).select("path", "ord", "h.*")
@@ -70,7 +75,7 @@ def config_checks(files: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<rule:int,nth:int,line:int>>")
     out = []
     for i, (_, _, _, _, pattern, where, _, _) in enumerate(CONFIG_RULES):
-        found = F.transform(hits(F.col("content"), pattern), lambda h, k, i=i: F.struct(F.lit(i).alias("rule"), k.alias("nth"), h["line"].alias("line")))
+        found = F.transform(hits(F.col("content"), pattern), _numbered_hit(i, "line"))
         out.append(F.when(matches(F.col("path"), where), found).otherwise(empty) if where else found)
     rows = files.select("path", "ord", F.explode(F.concat(*out)).alias("h")).select("path", "ord", "h.*")
     names = ("id", "title", "category", "severity", "pattern", "where", "cwe", "fix")

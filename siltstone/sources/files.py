@@ -107,18 +107,22 @@ def audit_chunks(files: DataFrame, width: int = AUDIT_LINES) -> DataFrame:
     return rows.select("path", (F.col("chunk_index") * width + 1).alias("start_line"), F.least(F.col("_n").cast("long"), (F.col("chunk_index") + 1) * width).alias("end_line"), "chunk_index", "chunk_count")
 
 
+def _route_of(methods: Column, paths: Column | None, path: Column, framework: str):
+    """The k-th hit as a route; without a captured path the file's own stands."""
+    return lambda h, k: F.struct(F.regexp_replace(F.upper(F.get(methods, k)), "MAPPING", "").alias("method"), (F.get(paths, k) if paths is not None else path).alias("route_path"), h["line"].alias("start_line"), F.lit(framework).alias("framework"))
+
+
+def _symbol_of(kind: str):
+    return lambda h: F.struct(F.lit(kind).alias("kind"), h["hit"].alias("name"), h["line"].alias("start_line"))
+
+
 def _route_rows(content: Column, path: Column) -> Column:
     out = []
     for framework, method, at, pattern in ROUTES:
         whole = hits(content, pattern, 0)
         methods = F.regexp_extract_all(content, F.lit(pattern), F.lit(method))
         paths = F.regexp_extract_all(content, F.lit(pattern), F.lit(at)) if at else None
-        one = F.transform(
-            whole,
-            lambda h, k, methods=methods, paths=paths, framework=framework: F.struct(
-                F.regexp_replace(F.upper(F.get(methods, k)), "MAPPING", "").alias("method"), (F.get(paths, k) if paths is not None else path).alias("route_path"), h["line"].alias("start_line"), F.lit(framework).alias("framework")
-            ),
-        )
+        one = F.transform(whole, _route_of(methods, paths, path, framework))
         out.append(one)
     by_path = lambda cond, route, framework: F.when(cond, F.array(F.struct(F.lit("ANY").alias("method"), route.alias("route_path"), F.lit(1).alias("start_line"), F.lit(framework).alias("framework"))))
     empty = F.array().cast(f"array<struct<{','.join(f'{n}:{t}' for n, t in (x.split(' ') for x in ROUTE.split(', ')))}>>")
@@ -157,7 +161,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """path, kind, name, start_line; one row for each kind, name and line, by line. Patterns, not a parser."""
-    every = F.flatten(F.array(*[F.transform(hits(F.col("content"), p, 1), lambda h, kind=kind: F.struct(F.lit(kind).alias("kind"), h["hit"].alias("name"), h["line"].alias("start_line"))) for kind, p in SYMBOLS]))
+    every = F.flatten(F.array(*[F.transform(hits(F.col("content"), p, 1), _symbol_of(kind)) for kind, p in SYMBOLS]))
     return files.select("path", F.explode(every).alias("s")).select("path", "s.kind", "s.name", "s.start_line").distinct()
 
 
@@ -259,12 +263,13 @@ def glob_table(spark: SparkSession, field_name: str, globs: list[str]) -> DataFr
 def path_aliases(files: DataFrame) -> DataFrame:
     """prefix, target of the path aliases in tsconfig and jsconfig files (JSON with comments)."""
     config = files.where(matches(F.col("path"), r"(^|/)(tsconfig|jsconfig)(\.[\w-]+)?\.json$"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", ""), r",(\s*[}\]])", "$1")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s,{\[])//.*$", "$1"), r",(\s*[}\]])", "$1")
     parsed = F.from_json(plain, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
     folder = F.regexp_replace("path", "[^/]*$", "")
     rows = config.select(folder.alias("_at"), F.coalesce(F.regexp_replace(parsed["baseUrl"], r"^\./?|/$", ""), F.lit("")).alias("_base"), F.explode(parsed["paths"]).alias("alias", "targets"))
+    rows = rows.select("_at", "_base", "alias", F.explode("targets").alias("to"))
     base = F.concat("_at", F.when(F.col("_base").isin("", "."), "").otherwise(F.concat("_base", F.lit("/"))))
-    return rows.select(F.regexp_replace("alias", r"\*$", "").alias("prefix"), F.concat(base, F.regexp_replace(F.regexp_replace(F.explode("targets"), r"\*$", ""), r"^\./", "")).alias("target"))
+    return rows.select(F.regexp_replace("alias", r"\*$", "").alias("prefix"), F.concat(base, F.regexp_replace(F.regexp_replace("to", r"\*$", ""), r"^\./", "")).alias("target"))
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
