@@ -139,9 +139,14 @@ def q_url_kind(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", F.try_parse_url(u, F.lit("HOST")).alias("host"), kind.alias("kind"))
 
 
-@query("""WITH p AS (SELECT ord, coalesce(path, '') AS path FROM er), x AS (SELECT ord, CASE WHEN path = '' THEN 'unknown' WHEN path LIKE 'src/u1%' THEN 'unknown' ELSE 'unknown' END AS role FROM p) SELECT ord, role FROM x""".replace("WITH p", f"WITH {EVENT_RESULTS}, p"))
+_PATHS = ("package-lock.json", "node_modules/a.js", "src/a.test.ts", ".github/workflows/ci.yml", "docs/x.ts", "examples/a.py", "web/app.ts", "src/routes/a.ts", "lib/x.rb")
+_ROLES = ("dependency", "generated", "test", "ci", "docs", "fixture", "client", "server-runtime", "unknown")
+
+
+@query(f"SELECT event_id, {list(_PATHS)}[CAST(event_id % 9 AS INT) + 1] AS path, {list(_ROLES)}[CAST(event_id % 9 AS INT) + 1] AS role FROM events")
 def q_file_role(spark, sf_dir):
-    return event_results(spark, sf_dir).select("ord", classify.file_role(F.col("path")).alias("role"))
+    path = F.get(F.array(*map(F.lit, _PATHS)), (F.col("event_id") % 9).cast("int"))
+    return read_table(spark, sf_dir, "events").select("event_id", path.alias("path"), classify.file_role(path).alias("role"))
 
 
 @query("""SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations""")
@@ -487,6 +492,128 @@ def q_bfs_depth(spark, sf_dir):
     return imports.reach_depth(e, c.where("c_custkey < 50").select(F.concat(F.lit("c"), "c_custkey").alias("path")))
 
 
+@query(f"""WITH {EVENT_RESULTS}, m AS (SELECT *, 'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt' AS p, CAST(ord % 9 AS INT) + 1 AS l FROM er WHERE ord < 2000),
+d AS (SELECT 'docs/' || doc_id || '.txt' AS p, string_split_regex(text, '\\r?\\n') AS ls FROM documents)
+SELECT m.ord, CASE WHEN regexp_matches(m.p, '^docs/1.*[.]txt$') THEN m.rule_id || ' ignored by .auditignore at ' || m.p END AS suppressed FROM m""")
+def q_suppress(spark, sf_dir):
+    rows = event_results(spark, sf_dir).where("ord < 2000").withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt"))).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
+    return policy.suppress(rows, doc_files(spark, sf_dir), ["docs/1*.txt"]).select("ord", "suppressed")
+
+
+@query(f"WITH {EVENT_RESULTS} SELECT ord, category, CASE WHEN severity IN ('critical', 'high') THEN 'likely_true_positive' ELSE 'suspected' END AS status, 'click reported ' AS lead FROM er WHERE scanner = 'click'")
+def q_findings(spark, sf_dir):
+    f = modelio.as_findings(event_results(spark, sf_dir).where("scanner = 'click'"))
+    return f.select("ord", "category", classify.finding_state(F.col("status"), F.col("confidence"), F.col("severity")).alias("status"), F.substring("reasoning", 1, 15).alias("lead"))
+
+
+@query(f"""WITH {EVENT_RESULTS}, s AS (SELECT ord, CASE severity WHEN 'critical' THEN 85 WHEN 'high' THEN 70 WHEN 'medium' THEN 45 WHEN 'low' THEN 20 ELSE 5 END + 8
+ + CASE WHEN regexp_matches(lower(category || ' ' || coalesce(path, '') || ' ' || scanner || ' ' || rule_id), '(route|controller|api|admin|auth|bin/|cli)') THEN 8 ELSE 0 END
+ + CASE WHEN regexp_matches(lower(category || ' ' || coalesce(path, '') || ' ' || scanner || ' ' || rule_id), '(secret|command|deserialization|ssrf)') THEN 8 ELSE 0 END AS x FROM er)
+SELECT ord, CAST(greatest(0, least(100, x)) AS INT) AS exploitability FROM s""")
+def q_exploitability(spark, sf_dir):
+    return modelio.as_findings(event_results(spark, sf_dir)).select("ord", classify.local_exploitability().cast("int").alias("exploitability"))
+
+
+@query(f"WITH {EVENT_RESULTS} SELECT scanner, rule_id, count(*) AS n FROM er WHERE severity IN ('low', 'info') GROUP BY 1, 2 ORDER BY n DESC, scanner, rule_id LIMIT 20")
+def q_noise_bucket(spark, sf_dir):
+    return report.noise_bucket(event_results(spark, sf_dir))
+
+
+@query(f"WITH {EVENT_RESULTS} SELECT severity, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM er GROUP BY 1")
+def q_severity_share(spark, sf_dir):
+    return report.severity_share(event_results(spark, sf_dir))
+
+
+@query(f"""WITH {EVENT_RESULTS}, f AS (SELECT * FROM er WHERE scanner = 'click'), l AS (SELECT * FROM er WHERE NOT EXISTS (SELECT 1 FROM f WHERE coalesce(f.path, '') = coalesce(er.path, '') AND f.start_line = er.start_line))
+SELECT scanner, rule_id, severity, coalesce(path, '') AS path, count(*) AS n FROM l GROUP BY 1, 2, 3, 4""")
+def q_additional_results(spark, sf_dir):
+    rows = event_results(spark, sf_dir)
+    out = report.additional_results(rows, modelio.as_findings(rows.where("scanner = 'click'")), most=1_000_000)
+    return out.select("scanner", "rule_id", "severity", F.coalesce("path", F.lit("")).alias("path"), "n")
+
+
+@query(f"""WITH {EVENT_RESULTS}, x AS (SELECT er.*, e.ts, substr(sha256('finding|' || category || '|' || severity || '|' || coalesce(path, '') || '|' || CASE WHEN start_line = 0 THEN '' ELSE CAST(greatest(1, CAST(floor(start_line / 5) AS INT) * 5) AS VARCHAR) END || '|' || trim(regexp_replace(regexp_replace(lower(title), '\\b(candidate|detected|finding|usage of)\\b', '', 'g'), '\\s+', ' ', 'g')) || '|' || rule_id), 1, 16) AS fp FROM er JOIN events e ON e.event_id = er.ord),
+c AS (SELECT * FROM x WHERE ts >= TIMESTAMP '2024-01-16'), b AS (SELECT * FROM x WHERE ts < TIMESTAMP '2024-01-16')
+SELECT count(*) FILTER (fp NOT IN (SELECT fp FROM b)) AS new_findings, (SELECT count(*) FROM b WHERE fp NOT IN (SELECT fp FROM c)) AS resolved_findings, count(*) FILTER (fp IN (SELECT fp FROM b)) AS unchanged_findings FROM c""")
+def q_baseline_diff(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), "ts")
+    f = modelio.as_findings(event_results(spark, sf_dir)).withColumn("fingerprint", text.finding_fingerprint()).join(e, "ord")
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    return history.baseline_diff(f.where(late), f.where(~late)).select("new_findings", "resolved_findings", "unchanged_findings")
+
+
+@query("""WITH u AS (SELECT event_type AS provider, CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END AS tier, CAST(props->>'k' AS BIGINT) AS k FROM events)
+SELECT provider, tier, 'm' AS model, count(*) AS requests, CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(k * 2) AS BIGINT) AS output_tokens FROM u GROUP BY 1, 2""")
+def q_usage_summary(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = e.select(F.col("event_type").alias("provider"), F.when(F.col("user_id") % 2 == 0, "low").otherwise("high").alias("tier"), F.lit("m").alias("model"), F.format_string('{"usage": {"input_tokens": %d, "outputTokens": "%d"}}', k, k * 2).alias("response"))
+    return modelio.usage_summary(modelio.usage(rows)).select("provider", "tier", "model", "requests", "input_tokens", "output_tokens")
+
+
+_SAID = ("401 Unauthorized", "credit balance is too low", "HTTP 429", "503 overloaded", "invalid json", "odd")
+
+
+@query(f"SELECT event_id, ['authentication', 'billing', 'rate_limit', 'server', 'invalid_request', 'unknown'][CAST(event_id % 6 AS INT) + 1] AS kind, event_id % 6 IN (1, 2, 3) AS retryable FROM events")
+def q_error_kinds(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").withColumn("message", F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 6).cast("int")))
+    return modelio.errors(e).select("event_id", "kind", "retryable")
+
+
+@query(f"""WITH {EVENT_RESULTS} SELECT coalesce(path, '') AS path, CAST(sum(CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 45 WHEN 'medium' THEN 25 WHEN 'low' THEN 8 ELSE 2 END) AS BIGINT) AS score FROM er WHERE path IS NOT NULL GROUP BY 1""")
+def q_high_risk_scores(spark, sf_dir):
+    none = doc_files(spark, sf_dir).where(F.lit(False))
+    entries = spark.createDataFrame([], "method string, route_path string, path string, line int, framework string, boundary string, ord long")
+    return intelligence.high_risk_files(none, event_results(spark, sf_dir), entries, most=1_000_000).select("path", "score")
+
+
+@query("""WITH p AS (SELECT 'docs/' || doc_id || '.txt' AS path FROM documents) SELECT 'docs:docs' AS id, count(*) AS file_count FROM p""")
+def q_boundaries(spark, sf_dir):
+    entries = spark.createDataFrame([], "method string, route_path string, path string, line int, framework string, boundary string, ord long")
+    return intelligence.boundaries(doc_files(spark, sf_dir), entries).select("id", "file_count")
+
+
+@query(f"""WITH {EVENT_RESULTS}, r AS (SELECT ord, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS s FROM er WHERE category <> 'dependency')
+SELECT CAST(row_number() OVER (ORDER BY s, ord) AS INT) AS place, ord FROM r ORDER BY s, ord LIMIT 50""")
+def q_proof_packs(spark, sf_dir):
+    f = modelio.as_findings(event_results(spark, sf_dir)).withColumn("title", F.col("ord").cast("string"))
+    return intelligence.proof_packs(f).select("place", F.col("title").cast("long").alias("ord"))
+
+
+@query()
+def q_compliance(spark, sf_dir):
+    return detectors.compliance(code_files(spark), event_results(spark, sf_dir)).select("rule_id", "title", "severity", "path", "start_line")
+
+
+@query()
+def q_source_patterns(spark, sf_dir):
+    return detectors.source_patterns(code_files(spark)).select("rule_id", "path", "start_line")
+
+
+@query()
+def q_static_recon(spark, sf_dir):
+    f = code_files(spark)
+    return intelligence.static_recon(f, detectors.custom_rules(f))["sinks"]
+
+
+@query()
+def q_finding_dedupe(spark, sf_dir):
+    f = modelio.as_findings(event_results(spark, sf_dir)).withColumn("fingerprint", text.finding_fingerprint())
+    return dedupe.dedupe_findings(f).select("title", "path", "start_line", F.size("evidence").alias("evidence"))
+
+
+@query()
+def q_compatible_pairs(spark, sf_dir):
+    f = modelio.as_findings(event_results(spark, sf_dir).where("ord < 3000"))
+    return dedupe.compatible_pairs(f).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+
+
+@query()
+def q_model_findings(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('noise {"findings": [{"title": "t", "severity": ["high"], "confidence": "low", "status": "suspected", "startLine": '), F.col("turn").cast("string"), F.lit("}, {}]}")).alias("response"))
+    return modelio.finding_rows(rows).select("conv_id", "turn", "place", "severity", "start_line", "valid")
+
+
 # --- code bases (our own small one; tested in tests/) -------------------------------------------
 
 
