@@ -3,8 +3,8 @@
 A document's set holds its distinct three-word shingles (A-Z lower-cased). One hash of each shingle
 gives its bin (top bits) and its rank; an empty bin copies the bin that a fixed random sequence
 names first among the filled ones (optimal densification). ``BINS`` values make ``BANDS`` bands of
-four; documents that share a band are candidates. At a Jaccard similarity of 0.85 a pair shares
-none of 32 bands with a chance of about 6e-11.
+six; documents that share a band are candidates. At a Jaccard similarity of 0.85 a pair shares
+none of 42 bands with a chance of about 2e-9.
 
 Documents of one set form a class, and its smallest doc_id stands for it. In a bucket, edges form
 a star: from the smallest representative (the centre C) to each other one, linear in the bucket's
@@ -14,14 +14,17 @@ components. A star may miss a link between two of its leaves A and B; these are
 * Let D(A) be the symmetric difference of A's set and C's. If D(A) and D(B) are disjoint, then
   J(A, B) <= min(J(A, C), J(B, C)). So a link that the star misses joins two leaves whose
   differences share an element, one of which is not linked to C; and they share more than 0.4594
-  of the differences of the one whose partner is not linked to C. Leaves near C (J >= 0.5) are
+  of the differences of the one whose partner is not linked to C. Leaves near C (J >= 0.3) are
   joined on the elements of their differences, rarest first and only as many as these bounds
   leave (prefix filter): near copies that were edited independently share none of their rare ones.
-* Leaves far from C (J < 0.65) form the bucket of the next round, with a new centre. As Jaccard
-  distance is a metric, two linked leaves are both near or both far. Far ones are told by their
-  signatures where sets are large and the estimate is below 0.3, else by their sets.
+* Leaves far from C (J < 0.45) go on without it, parted further: by each other band of theirs, so
+  that two of them meet again in every band that they share besides. Linked ones share about 16
+  more (none with a chance of 1e-10); chance meetings hardly any, so what is left dwindles in a few
+  rounds. As Jaccard distance is a metric, two linked leaves are both near or both far. Far ones
+  are told by their signatures where sets are large and the estimate is below 0.15, else by their sets.
 
-So no candidate pair of a shared band is lost, and no group emits all its pairs.
+So no group emits all its pairs, and no link between two documents that share a band is lost but by
+such a chance.
 
 Cases: text null, or without words: n_shingles 0, linked with nothing. One or two words: one
 shingle, the whole sequence. A null doc_id is linked with nothing and has a null component_id;
@@ -40,13 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm.words import Prefix, joined, lowered, mix, raw, slices, word_ranges
+from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 252, 6
 BANDS = BINS // ROWS
+#: Every MARK-th value of a signature is kept, as 16 bits, to estimate similarity.
+MARK = 2
 SHINGLE = 3
 PERCENT = 85
-_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _TRIES = np.random.default_rng(8).integers(0, BINS, (4096, BINS))
 _SALT = np.random.default_rng(9).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -79,7 +84,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BINS values each, densified; sets must not be empty."""
     sig = np.full((len(sets), BINS), _EMPTY, np.uint64)
     for row, s in zip(sig, sets):
-        bins = (s >> _SHIFT).astype(np.int64)
+        bins = ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
         first = np.append(0, np.flatnonzero(bins[1:] != bins[:-1]) + 1)
         row[bins[first]] = s[first]  # the smallest hash of each bin: the set is sorted
     filled = sig != _EMPTY
@@ -106,7 +111,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 _SKETCH = "doc_id long, n long, s long, x long, bands array<long>, sig array<short>"
 #: Bounds of near and far leaves; sets from ESTIMATE_FROM shingles on are told far by an estimate under ESTIMATE_FAR.
-NEAR, FAR, ESTIMATE_FAR, ESTIMATE_FROM = 0.5, 0.65, 0.3, 64
+NEAR, FAR, ESTIMATE_FAR, ESTIMATE_FROM = 0.3, 0.45, 0.15, 64
+#: Bits of the map that tells which documents may be candidates; its size is fixed, a full one only filters less.
+MAP_BITS = 1 << 23
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +126,49 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures([s for s in sets if len(s)])
             offsets = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sig).reshape(-1)))
-            marks = pa.ListArray.from_arrays(pa.array(offsets * ROWS), pa.array((mix(sig) >> np.uint64(48)).astype(np.uint16).view(np.int16).reshape(-1)))
+            marked = (mix(sig[:, ::MARK]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            marks = pa.ListArray.from_arrays(pa.array(offsets // BANDS * marked.shape[1]), pa.array(np.ascontiguousarray(marked).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands, marks], ["doc_id", "n", "s", "x", "bands", "sig"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(doc_ids: np.ndarray) -> np.ndarray:
+    """Bit of each document in the candidates' map."""
+    return (mix(doc_ids.astype(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, part in slices(batch.column(1)):
-            sets = shingle_sets(part)
-            offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
-            flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(1 + _place(batch.column(0).to_numpy()))], ["bit"])
+
+
+def _candidate_map(candidates: DataFrame) -> np.ndarray:
+    """MAP_BITS bits, built as bitmaps of 4 KB in Spark: a fixed number of rows reaches the driver."""
+    bits = candidates.mapInArrow(tidy(_places), "bit long")
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
+    whole = np.zeros(MAP_BITS, bool)
+    for r in parts:
+        own = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
+        # Bits count from 1, so that bucket n holds places from 32768 * (n - 1) on.
+        at = (r["bucket"] - 1) * 32768
+        whole[at : at + len(own)] |= own.astype(bool)
+    return np.packbits(whole)
+
+
+def _sets(packed: np.ndarray):
+    """Sets of the documents that the candidates' map may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            kept = batch.filter(pa.array(wanted[_place(ids)]))
+            for at, part in slices(kept.column(1)):
+                sets = shingle_sets(part)
+                offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+                flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([kept.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "hashes"])
+
+    return run
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -176,7 +215,7 @@ def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     m = lambda side: marks.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"s_{side}"))
     told = pairs.join(m("a"), "a").join(m("b"), "b").groupBy("a", "b").agg(
-        F.max(F.expr(f"CASE WHEN least(n_a, n_b) < {ESTIMATE_FROM} THEN 1.0D ELSE size(filter(zip_with(s_a, s_b, (x, y) -> x = y), z -> z)) / {BINS}.0D END")).alias("estimate")
+        F.max(F.expr(f"CASE WHEN least(n_a, n_b) < {ESTIMATE_FROM} THEN 1.0D ELSE size(filter(zip_with(s_a, s_b, (x, y) -> x = y), z -> z)) / size(s_a) END")).alias("estimate")
     )
     close = _compared(told.where(f"estimate >= {ESTIMATE_FAR}").select("a", "b"), sets)
     exact = close.select("a", "b", F.col("nb"), F.expr(_LINKED).alias("linked"), F.expr(f"both >= {NEAR} * (na + nb - both)").alias("near"), F.expr(f"both < {FAR} * (na + nb - both)").alias("far"), "ha", "hb")
@@ -185,22 +224,32 @@ def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
     return exact.unionByName(distant)
 
 
-def _missed_pairs(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of leaves that a star may have missed: near one centre, not both linked to it, in different components, sharing a rare element of their differences."""
+def _missed_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs of leaves that a star may have missed: near one centre, not both linked to it, sharing a rare element of their differences.
+
+    A leaf's home is its smallest near centre. Two leaves of one home are joined there alone; a
+    centre joins leaves of different homes besides.
+    """
     near = edges.where("near AND size(diff) > 0")
-    open_ = near.where("NOT linked").select("a").distinct()
-    rows = near.join(open_, "a", "left_semi").join(comps.select(F.col("node").alias("b"), "comp"), "b", "left").select("a", "b", "linked", "nb", F.coalesce("comp", "b").alias("comp"), F.size("diff").alias("x"), F.explode("diff").alias("e"))
+    homes = edges.where("near").groupBy("b").agg(F.min("a").alias("home"))
+    housed = near.join(homes, "b")
+    groups = housed.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("open"), F.min("home").alias("h1"), F.max("home").alias("h2")).where("open").select("a", (F.col("h1") < F.col("h2")).alias("many"))
+    rows = housed.join(groups, "a").where("many OR a = home").select("a", "b", "linked", "nb", "home", F.size("diff").alias("x"), F.explode("diff").alias("e"))
     rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # An element that only one leaf differs in joins nothing, but takes a place in the prefix: the rarest come first.
+    # An element that only one leaf differs in joins nothing, but takes a place in the order: the rarest come first.
     shared = rows.join(rare, ["a", "e"])
     place = F.col("x") - F.count(F.lit(1)).over(Window.partitionBy("a", "b")) + F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
     # The least number of shared elements: with a partner that is not linked to the centre; and, for one that is not linked itself, with one that is.
     least = F.greatest(F.lit(1), F.ceil(F.col("x") * 0.4594))
     least = F.when(F.col("linked"), least).otherwise(F.least(least, F.greatest(F.lit(1), F.ceil(F.col("x") - F.col("nb") * 0.1766))))
-    few = shared.withColumn("place", place).where(F.col("place") <= F.col("x") - least + 1).select("a", "e", "b", "linked", "comp")
-    left = few.where("NOT linked").select("a", "e", F.col("b").alias("p"), F.col("comp").alias("cp"))
-    pairs = left.join(few.select("a", "e", F.col("b").alias("q"), F.col("comp").alias("cq"), "linked"), ["a", "e"]).where("cp <> cq AND (linked OR p < q)")
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    few = shared.withColumn("place", place).where(F.col("place") <= F.col("x") - least + 1)
+    side = lambda n: few.select("a", "e", *[F.col(c).alias(f"{c}{n}") for c in ("b", "linked", "place", "x", "nb", "home")])
+    # Of two linked leaves' elements at least ``need`` are shared, so the rarest shared one has at most x - need + 1 places up to it in either.
+    need = "greatest(1, (x1 + x2 - (nb1 + nb2) * 15 / 185) / 2)"
+    fits = F.expr(f"NOT linked1 AND b1 <> b2 AND (linked2 OR b1 < b2) AND (home1 <> home2 OR a = home1) AND place1 <= x1 - {need} + 1 AND place2 <= x2 - {need} + 1")
+    one, two = side(1), side(2).withColumnsRenamed({"a": "a2", "e": "e2"})
+    pairs = one.join(two, (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & fits)
+    return pairs.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,10 +259,11 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.table("sketch", rows.mapInArrow(_sketch, _SKETCH))
+    sketch = scratch.table("sketch", rows.mapInArrow(tidy(_sketch), _SKETCH))
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table("classes", known.groupBy("s", "x", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("s", "x", "n", "rep"))
-    classed = sketch.join(classes, ["s", "x", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    classed = sketch.join(classes, ["s", "x", "n"], "left").select("doc_id", "n", rep.alias("rep"))
     # A bucket is a band key that two representatives share; keys are aggregated, then joined back.
     slim = known.join(classes, ["s", "x", "n"], "left").where("rep IS NULL OR rep = doc_id")
     banded = slim.select("doc_id", F.explode("bands").alias("band")).distinct()
@@ -222,28 +272,47 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
         first = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("band", "first")
         return members.join(first, "band")
 
-    buckets = scratch.table("buckets-0", centred(banded))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    members = scratch.table("members", banded.join(shared, "band"))
+    buckets = scratch.table("buckets-0", centred(members).withColumn("used", F.array("band")))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
-    sets = scratch.table("sets", rows.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes array<long>"))
-    marks = scratch.table("marks", slim.join(candidates, "doc_id", "left_semi").select("doc_id", "n", "sig"))
-    comps = spark.createDataFrame([], "node long, comp long")
+    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates))), "doc_id long, hashes array<long>")
+    sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
+    marks = scratch.table("marks", slim.join(candidates, "doc_id", "left_semi").select("doc_id", "n", "sig", "bands"))
+    links = spark.createDataFrame([], "a long, b long")
     turn = 0
     while not buckets.isEmpty():
         edges = scratch.table(f"edges-{turn}", _star(buckets, marks, sets))
-        tree = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        comps = scratch.table(f"stars-{turn}", components(tree.union(edges.where("linked").select("a", "b")), scratch, f"star-{turn}"))
-        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges, comps), sets).where(_LINKED).select("a", "b").distinct())
-        if not missed.isEmpty():
-            tree = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-            comps = scratch.table(f"comps-{turn}", components(tree.union(missed), scratch, f"leaf-{turn}"))
-        far = buckets.join(edges.where("far").select(F.col("a").alias("first"), F.col("b").alias("doc_id")), ["first", "doc_id"], "left_semi").select("doc_id", "band")
-        rest = scratch.table(f"buckets-{turn + 1}", centred(far))
+        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges), sets).where(_LINKED).select("a", "b").distinct())
+        stars = scratch.table(f"stars-{turn}", edges.where("linked").select("a", "b"))
+        links = links.union(stars).union(missed)
+        far = buckets.join(edges.where("far").select(F.col("a").alias("first"), F.col("b").alias("doc_id")), ["first", "doc_id"], "left_semi").select("doc_id", "band", "used")
+        shared_by = far.groupBy("band").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h")).where("l < h").select("band")
+        again = far.join(shared_by, "band").join(marks.select("doc_id", F.explode("bands").alias("other")).distinct(), "doc_id").where("NOT array_contains(used, other)")
+        parted = again.select("doc_id", F.array_sort(F.array_append("used", F.col("other"))).alias("used")).distinct().withColumn("band", F.xxhash64("used"))
+        rest = scratch.table(f"buckets-{turn + 1}", centred(parted))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
         buckets, turn = rest, turn + 1
+    comps = components(links, scratch, "components")
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("candidates", "sets", "marks"):
+    for name in ("candidates", "members", "sets", "marks"):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")
     )
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+e AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0),
+d AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM e),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT r.start, u.b FROM r JOIN u ON u.a = r.node),
+c AS (SELECT start, min(node) AS component_id FROM r GROUP BY start)
+SELECT documents.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, documents.doc_id = c.component_id AS kept
+FROM documents JOIN c ON c.start = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
