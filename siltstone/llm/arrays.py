@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
+from siltstone.llm.worker import held
+
 
 class Store:
     def __init__(self, uri: str):
@@ -62,16 +64,9 @@ class Store:
         return self._maps[name]
 
 
-_stores: dict[str, Store] = {}
-
-
 def opened(store: Store) -> Store:
-    """The worker's own handle, so that maps stay open between tasks; the last two stores are kept."""
-    if store.uri not in _stores:
-        while len(_stores) > 1:
-            _stores.pop(next(iter(_stores)))
-        _stores[store.uri] = store
-    return _stores[store.uri]
+    """The worker's own handle, so that maps stay open between tasks."""
+    return held(("store", store.uri), lambda: store)
 
 
 def squeeze(values: np.ndarray, ascending: bool = False) -> bytes:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.words import raw, slices
+from siltstone.llm.worker import tidy
 from siltstone.session import ship, small_batches
 
 BUCKETS = 256
@@ -185,4 +186,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
     flat = sent.select(F.col("s.bucket").alias("bucket"), "doc_id", "text", F.col("s.ahead").alias("ahead"), "k")
     ordered = flat.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "text")
-    return ordered.select("bucket", "doc_id", "text", "ahead").mapInArrow(_compare, _SCHEMA)
+    return ordered.select("bucket", "doc_id", "text", "ahead").mapInArrow(tidy(_compare), _SCHEMA)

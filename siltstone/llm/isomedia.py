@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.worker import tidy
 from siltstone.session import ship, small_batches
 
 SIDE, FRAME, GROUP, TIMESCALE = 8, 64, 16, 25
@@ -271,7 +272,7 @@ def store(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(_store), "doc_id long, n_bytes long, media binary")
 
 
 _SCHEMA = T.StructType(
@@ -293,4 +294,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(stored: DataFrame) -> DataFrame:
     """From the stored bytes alone: the payload's digests and each file's feature."""
     ship(stored.sparkSession)
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, _SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read), _SCHEMA)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, merged_rows, opened
 from siltstone.llm.words import Prefix, lowered, mix, raw, slices, word_ranges
+from siltstone.llm.worker import tidy, tidy_group
 from siltstone.session import Scratch, ship, small_batches
 
 END = np.uint64(0x5EED0E0D)
@@ -122,8 +123,8 @@ def _write_words(store: Store):
 
 
 def fit_vocabulary(train: DataFrame, store: Store, buckets: int) -> Vocabulary:
-    rows = train.select("text").mapInArrow(_count_words(buckets), BUCKET_DDL)
-    found = rows.groupBy("bucket").applyInArrow(_write_words(store), "bucket int, size long, total long, ends long").collect()  # a row a bucket
+    rows = train.select("text").mapInArrow(tidy(_count_words(buckets)), BUCKET_DDL)
+    found = rows.groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
     sizes = {r["bucket"]: r["size"] for r in found}
     offsets = [0, *np.cumsum([sizes.get(b, 0) for b in range(buckets)]).tolist()]
     if offsets[-1] >= START:
@@ -347,16 +348,16 @@ def fit(train: DataFrame, uri: str, buckets: int | None = None) -> Model:
     bigrams = Bigrams(vocabulary, buckets)
     if not vocabulary.size:
         return Model(bigrams, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0, np.zeros(0, np.int64), np.zeros(0))
-    rows = train.select("text").mapInArrow(_count_bigrams(bigrams), BUCKET_DDL)
-    found = rows.groupBy("bucket").applyInArrow(_write_bigrams(store), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
+    rows = train.select("text").mapInArrow(tidy(_count_bigrams(bigrams)), BUCKET_DDL)
+    found = rows.groupBy("bucket").applyInArrow(tidy_group(_write_bigrams(store)), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
     filled = {r["bucket"] for r in found}
     for b in set(range(buckets)) - filled:
         store.put(f"pairs-{b}", np.zeros(0, np.uint64))
     d2 = discounts(*(sum(r[f"n{i}"] for r in found) for i in range(1, 5)))
     each = spark.createDataFrame([(b,) for b in sorted(filled)], "bucket int").repartition(len(filled), "bucket")
-    parts = each.mapInArrow(_back_off(bigrams, d2), BUCKET_DDL)
+    parts = each.mapInArrow(tidy(_back_off(bigrams, d2)), BUCKET_DDL)
     schema = "types long, words long, n1 long, n2 long, n3 long, n4 long, hot array<long>, micro array<long>"
-    ends = parts.groupBy("bucket").applyInArrow(_write_continuations(vocabulary), schema).collect()  # a row a bucket
+    ends = parts.groupBy("bucket").applyInArrow(tidy_group(_write_continuations(vocabulary)), schema).collect()  # a row a bucket
     counts = [sum(r[f"n{i}"] for r in ends) for i in range(1, 5)]
     d1, types, words = discounts(*counts), sum(r["types"] for r in ends), sum(r["words"] for r in ends)
     back_off1 = (d1[1] * counts[0] + d1[2] * counts[1] + d1[3] * (words - counts[0] - counts[1])) / types
@@ -389,4 +390,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     model = fit(rows.where("NOT held_out AND doc_id IS NOT NULL"), Scratch(spark, "kneser-ney").path("model"))
-    return rows.mapInArrow(_score(model), _SCHEMA)
+    return rows.mapInArrow(tidy(_score(model)), _SCHEMA)

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.words import Prefix, raw, slices, word_ranges
+from siltstone.llm.worker import held, release, tidy
 from siltstone.session import ship, small_batches
 
 SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 300, 200, 500
 TRAIN_WORDS, EPOCHS, BATCH, RATE = 9000, 5, 256, 0.01
 HIDDEN, SEGMENT = 16, 32
-MEMO_SEGMENTS = 1_500_000
+MEMO_SEGMENTS = 800_000
 UNKNOWN = "und"
 _SPACE = 0x20
 _LETTER = np.zeros(256, bool)
@@ -245,16 +246,10 @@ class Reader:
         return langs, scores
 
 
-_readers: dict[int, Reader] = {}
-
-
 def reader(model: Model) -> Reader:
     """The worker's reader of this model; kept between tasks."""
     key = zlib.crc32(b"".join(model.weights[k].tobytes() for k in sorted(model.weights)) + repr(model.languages).encode())
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key]
+    return held(("langid", key), lambda: Reader(model))
 
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +284,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     for lang in sorted(counts):
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / counts[lang]))).otherwise(chance)
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
-    rows = drawn.select("lang", "text").mapInArrow(_sample_words, "lang string, word binary").toArrow()
+    rows = drawn.select("lang", "text").mapInArrow(tidy(_sample_words), "lang string, word binary").toArrow()
     words: dict[str, list[bytes]] = {}
     for lang, word in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
         words.setdefault(lang, []).append(word)
@@ -309,6 +304,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(texts: pa.Array) -> pa.Array:
         langs, scores = reader(model).predict(texts)
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
     found = docs.withColumn("_found", of(F.col(text).cast("string")))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
 WEIGHTS = (5, 2, 1)
@@ -194,6 +195,6 @@ def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, batch.column(3)], names=["doc_id", "source", "text", "rest"])
             yield out.filter(pa.array([t != "" for t in texts.to_pylist()], pa.bool_()))
 
-    drawn = kept.mapInArrow(run, schema)
+    drawn = kept.mapInArrow(tidy(run), schema)
     columns = [F.col(c) if c in ("doc_id", "source", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns]
     return drawn.select(*columns)

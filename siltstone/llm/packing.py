@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import encoder
+from siltstone.llm.worker import tidy
 from siltstone.session import ship, small_batches
 
 TIERS = (256, 512, 1024, 2048)
@@ -135,4 +136,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, end_id), SCHEMA)
+    return rows.mapInArrow(tidy(_pack(tokenizer, end_id)), SCHEMA)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm.tokens import encoder
+from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
 LANES, BLOCK, STEPS, SCALE = 32, 1 << 16, 512, 20
@@ -96,7 +97,8 @@ def _encode_alike(ids: np.ndarray, table: Table) -> list[bytes]:
     """Blocks of one length, a row each, coded side by side."""
     blocks, n = ids.shape
     steps = -(-n // LANES)
-    at = table.index[ids]
+    known = ids < len(table.index)
+    at = np.where(known, table.index[np.where(known, ids, 0)], -1)
     if (at < 0).any():
         raise ValueError("an id is missing from the frequency table")
     padded = np.full((blocks, steps * LANES), int(np.argmax(table.freqs)), np.int64)
@@ -268,16 +270,16 @@ def write_shards(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "counts boolean, doc_id long, n long, ids binary"
     # Counts and documents go to folders of their own, so that neither is read for the other.
-    rows.mapInArrow(_tokenize(tokenizer, end_id), kinds).write.partitionBy("counts").option("compression", "zstd").parquet(scratch.path("tokens"))
+    rows.mapInArrow(tidy(_tokenize(tokenizer, end_id)), kinds).write.partitionBy("counts").option("compression", "zstd").parquet(scratch.path("tokens"))
     tokens = spark.read.schema(kinds).parquet(scratch.path("tokens"))
     counts = (
-        tokens.where("counts").select("ids").mapInArrow(_spread_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        tokens.where("counts").select("ids").mapInArrow(tidy(_spread_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     )  # a row for each id of the vocabulary at most
     table = Table.fit(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)).dump() if len(counts) else Table(np.zeros(0), np.zeros(0), SCALE).dump()
     spark.createDataFrame([(bytearray(table),)], "blob binary").coalesce(1).write.parquet(f"{out}/table")
     wide = encoder(tokenizer).dtype().itemsize
     ordered = tokens.where("not counts").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_pack(table, wide, shard_ids), _SHARD_SCHEMA).write.parquet(f"{out}/shards")
+    ordered.mapInArrow(tidy(_pack(table, wide, shard_ids)), _SHARD_SCHEMA).write.parquet(f"{out}/shards")
     scratch.close()
 
 
@@ -311,5 +313,5 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("base", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
     within = Window.partitionBy("part").orderBy("seq")
     starts = sizes.withColumn("inside", F.sum("n_ids").over(within) - F.col("n_ids")).join(parts.select("part", "base"), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("shard_start"))
-    docs = shards.select("part", "seq", "shard").mapInArrow(_read(table), "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "seq", "shard").mapInArrow(tidy(_read(table)), "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -63,7 +63,7 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(arr: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(arr: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) pairs of about ``most`` bytes each; a longer text stands alone."""
     _, bounds = raw(arr)
     at = 0
