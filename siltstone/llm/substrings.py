@@ -6,17 +6,19 @@ input as it is.
 
 Suffixes are thinned before they are sorted. Each window of WIDTH bytes has one anchor: of its
 grams (``GRAM`` bytes) the one with the smallest hash, leftmost on ties. Equal windows have equal
-anchors at equal offsets, so only suffixes at anchors are kept, with the run of windows that share
-the anchor (about one for 35 bytes), and each with as many bytes as its windows need.
-
-1. Grams of anchors are counted (packed by bucket of their hash); those that occur twice are
-   written as sorted arrays into the shared folder, with a bounded sample of their leading bytes.
-2. Runs with a repeated anchor are sent to ranges between sampled splitters of (leading bytes,
-   gram). A splitter never parts equal grams, so no match lies across a boundary. Runs with equal
-   bytes are merged within a task first: all but the earliest are repeats already, so a passage
-   that a third of all documents share costs one run a task.
+anchors at equal offsets. A window reaches at least 34 bytes beyond its anchor on one side, so it
+holds the ``CORE`` of 66 bytes on that side. Suffixes at cores are kept, each with the run of
+windows that share it (about one core for 25 bytes) and as many bytes as these windows need. A
+line that a third of all documents hold, but that is shorter than a core, joins nothing.
+
+1. Cores are counted (packed by bucket of their hash); those that occur twice are written as sorted
+   arrays into the shared folder, with a bounded sample of their leading bytes.
+2. Runs with a repeated core are sent to ranges between sampled splitters of (leading bytes, core).
+   A splitter never parts equal cores, so no match lies across a boundary. Runs with equal bytes
+   are merged within a task first: all but the earliest are repeats already, so a passage that a
+   third of all documents share costs one run a task.
 3. A range sorts its suffixes by multikey quicksort on words of eight bytes, takes the ties on the
-   whole gram as classes, and finds the earliest of equal windows in each class.
+   core as classes, and finds the earliest of equal windows in each class.
 4. Covered spans are merged per document and cut out.
 
 Cases: a null text is an empty one; texts under 100 bytes lose nothing; documents are ordered by
@@ -34,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, merged_rows, opened, squeeze, unsqueeze
-from siltstone.llm.words import Prefix, raw, slices
+from siltstone.llm.words import Prefix, mix, raw, slices
+from siltstone.llm.worker import tidy, tidy_group
 from siltstone.session import Scratch, ship, small_batches
 
 WIDTH, GRAM = 100, 32
+_SIDE = (WIDTH - GRAM) // 2
+CORE = GRAM + _SIDE
 SAMPLE = 256  # leading bytes that a bucket gives as candidates for splitters
 _GRAMS = WIDTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
 _CHUNK = 1 << 23
 _GATHER = 16 << 20  # bytes of text within which a task merges equal runs
-_SLICE = 1 << 20  # bytes of text that are hashed at once
 #: Windows that a range compares at once, a larger class apart.
 WINDOWS = 100_000
 _32 = np.uint64(32)
@@ -60,7 +64,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Prefix]:
-    """Of all texts of a slice: first and last window start of each run, its anchor, the anchor's gram hash."""
+    """Of all texts of a slice: first and last window start of each run, its core's place and hash."""
     prefix = Prefix(data)
     grams = prefix.fixed(GRAM)
     firsts, lasts, anchors = [], [], []
@@ -80,9 +84,15 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             firsts.append(heads + at)
             lasts.append(np.flatnonzero(last) + at)
             anchors.append(anchor[heads] + at)
-    empty = np.zeros(0, np.int64)
-    first, last, anchor = (np.concatenate(x) if x else empty for x in (firsts, lasts, anchors))
-    return first, last, anchor, grams[anchor] if len(anchor) else np.zeros(0, np.uint64), prefix
+    if not firsts:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), prefix
+    first, last, anchor = (np.concatenate(x) for x in (firsts, lasts, anchors))
+    # Windows that start at most _SIDE bytes before the anchor hold the core after it, the others the one before it.
+    cut = anchor - _SIDE
+    right, left = last >= cut, first < cut
+    first, last, core = np.concatenate([np.maximum(first, cut)[right], first[left]]), np.concatenate([last[right], np.minimum(last, cut - 1)[left]]), np.concatenate([anchor[right], cut[left]])
+    return first, last, core, prefix.hash(core, core + CORE), prefix
 
 
 def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -101,11 +111,11 @@ def _count_grams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
-            for _, part in slices(batch.column(0), _SLICE):
+            for _, part in slices(batch.column(0)):
                 data, bounds = raw(part)
                 _, _, anchor, gram, _ = runs(data, bounds)
                 counter.add(gram)
-                some = np.flatnonzero(gram % np.uint64(64) == 0)
+                some = np.flatnonzero(mix(gram + anchor.astype(np.uint64)) % np.uint64(64) == 0)
                 if len(some):  # kind 1: (gram, its leading bytes), for splitters
                     order = some[np.argsort(gram[some])]
                     yield bucket_rows(gram[order], _leading(data, anchor[order]), _bucket(gram[order], buckets), kind=1)
@@ -202,7 +212,7 @@ def _send_runs(store: Store, buckets: int, splitters: np.ndarray):
 
         for batch in batches:
             docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for row, part in slices(batch.column(2), _SLICE):
+            for row, part in slices(batch.column(2)):
                 data, bounds = raw(part)
                 first, last, anchor, gram, prefix = runs(data, bounds)
                 order = np.argsort(gram)
@@ -306,7 +316,7 @@ def _find_repeats(table: pa.Table) -> pa.Table:
         length = c["size"] + WIDTH - 1
         base = np.cumsum(length) - length
         at = base + c["offset"]
-        words = np.stack([_leading(data, at + 8 * k) for k in range(GRAM // 8)], axis=1)
+        words = np.stack([_leading(data, at + 8 * k) for k in range(CORE // 8)], axis=1)
         order, group = multikey_order(words)
         del words
         # Equal windows lie in one class, so whole classes are compared, about WINDOWS windows at a time.
@@ -329,16 +339,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store = Store(Scratch(spark, "substrings").path("grams"))
     texts = docs.where(F.octet_length("text") >= WIDTH).select(_key().alias("_doc"), F.xxhash64("text").alias("_t"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(_count_grams(buckets), BUCKET_DDL)
-    found = counted.groupBy("bucket").applyInArrow(_write_repeated(store), "bucket int, lead array<long>, gram array<long>").collect()  # SAMPLE pairs a bucket at most
+    counted = texts.select("text").mapInArrow(tidy(_count_grams(buckets)), BUCKET_DDL)
+    found = counted.groupBy("bucket").applyInArrow(tidy_group(_write_repeated(store)), "bucket int, lead array<long>, gram array<long>").collect()  # SAMPLE pairs a bucket at most
     for b in set(range(buckets)) - {r["bucket"] for r in found}:
         store.put(f"grams-{b}", np.zeros(0, np.uint64))
     pairs = np.array([(x, g) for r in found for x, g in zip(r["lead"], r["gram"])], np.int64).reshape(-1, 2).astype(np.uint64)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     ranges = 2 * buckets
     splitters = pairs[(np.arange(1, ranges) * len(pairs)) // ranges] if len(pairs) else pairs
-    sent = texts.mapInArrow(_send_runs(store, buckets, splitters), _RUNS_DDL)
-    covered = sent.groupBy("bucket").applyInArrow(_find_repeats, "_doc long, _t long, a long, b long")
+    sent = texts.mapInArrow(tidy(_send_runs(store, buckets, splitters)), _RUNS_DDL)
+    covered = sent.groupBy("bucket").applyInArrow(tidy_group(_find_repeats), "_doc long, _t long, a long, b long")
     return covered.groupBy("_doc", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
 
 
@@ -371,4 +381,4 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(_key().alias("_doc"), F.xxhash64("text").alias("_t"), F.col("text").cast("string").alias("text"), row.alias("row"))
     joined = keyed.join(spans, ["_doc", "_t"], "left").select("text", "_spans", "row")
     schema = joined.select("row", F.lit(b"").alias("kept"), F.col("_spans").alias("spans")).schema
-    return joined.mapInArrow(_cut, schema).select("row.*", "kept", "spans")
+    return joined.mapInArrow(tidy(_cut), schema).select("row.*", "kept", "spans")
