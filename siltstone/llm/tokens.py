@@ -16,7 +16,7 @@ from siltstone.llm.words import Prefix, raw, slices, word_ranges
 from siltstone.llm.worker import held
 
 #: Pieces that a worker remembers (about 40 bytes each) before it starts afresh.
-MEMO_PIECES = 2_000_000
+MEMO_PIECES = 2_500_000
 #: White space beyond ASCII may merge with its neighbours in the byte-level pattern.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
@@ -126,7 +126,7 @@ class PieceEncoder:
     def encode(self, arr: pa.Array, end_id: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of the array: first row, all ids in a row, and the n+1 bounds of the rows' ids."""
         out = []
-        for at, part in slices(arr, 2 << 20):
+        for at, part in slices(arr, 3 << 20):
             ids, bounds = self._slice(part, end_id)
             if self.byte_level:
                 odd = {i: t for i, t in enumerate(part.to_pylist()) if t and not t.isascii() and _WIDE_SPACE.search(t)}
