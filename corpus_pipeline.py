@@ -16,6 +16,8 @@ from siltstone.session import Scratch, read_table
 
 #: A document whose likeliest language has less than this pooled probability is rejected.
 MIN_SCORE = 0.35
+#: Near duplicates here share this percentage of their shingles of so many words; op7's own contract is another.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id."""
-    kept = minhash.group_near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = minhash.group_near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 

@@ -1,10 +1,12 @@
 """Near-duplicate groups by one-permutation MinHash with optimal densification, exact at the links.
 
-A document's set holds its distinct three-word shingles (A-Z lower-cased). One hash of each shingle
-gives its bin (top bits) and its rank; an empty bin copies the bin that a fixed random sequence
-names first among the filled ones (optimal densification). ``BINS`` values make ``BANDS`` bands of
-six; documents that share a band are candidates. At a Jaccard similarity of 0.85 a pair shares
-none of 42 bands with a chance of about 2e-9.
+A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased); two documents are
+linked at a Jaccard similarity of t = ``percent`` / 100. op7 takes three words and 0.85, the defaults.
+One hash of each shingle gives its bin (top bits) and its rank; an empty bin copies the bin that a
+fixed random sequence names first among the filled ones (optimal densification). The ``BINS`` values
+make bands of as many rows as ``percent`` allows (``rows_of``); documents that share a band are
+candidates. At a similarity of 0.85 a pair shares none of 42 bands of six with a chance of about
+2e-9, and at 0.8 none of 50 bands of five with the same.
 
 Documents of one set form a class, and its smallest doc_id stands for it. In a bucket, edges form
 a star: from the smallest representative (the centre C) to each other one, linear in the bucket's
@@ -13,11 +15,11 @@ components. A star may miss a link between two of its leaves A and B; these are
 
 * Let D(A) be the symmetric difference of A's set and C's. If D(A) and D(B) are disjoint, then
   J(A, B) <= min(J(A, C), J(B, C)). So a link that the star misses joins two leaves whose
-  differences share an element, one of which is not linked to C; and they share more than 0.4594
+  differences share an element, one of which is not linked to C; and they share more than t / (1 + t)
   of the differences of the one whose partner is not linked to C. Leaves near C (J >= 0.3) are
   joined on the elements of their differences, rarest first and only as many as these bounds
   leave (prefix filter): near copies that were edited independently share none of their rare ones.
-* Leaves far from C (J < 0.45) go on without it, parted further: by each other band of theirs, so
+* Leaves far from C (J < 0.3 + 1 - t) go on without it, parted further: by each other band of theirs, so
   that two of them meet again in every band that they share besides. Linked ones share about 16
   more (none with a chance of 1e-10); chance meetings hardly any, so what is left dwindles in a few
   rounds. As Jaccard distance is a metric, two linked leaves are both near or both far. Far ones
@@ -26,8 +28,8 @@ components. A star may miss a link between two of its leaves A and B; these are
 So no group emits all its pairs, and no link between two documents that share a band is lost but by
 such a chance.
 
-Cases: text null, or without words: n_shingles 0, linked with nothing. One or two words: one
-shingle, the whole sequence. A null doc_id is linked with nothing and has a null component_id;
+Cases: text null, or without words: n_shingles 0, linked with nothing. Fewer words than
+``width``: one shingle, the whole sequence. A null doc_id is linked with nothing and has a null component_id;
 rows of one doc_id are one document, linked where any of its texts is. Columns other than doc_id
 and text are ignored; an empty table gives no row.
 """
@@ -46,17 +48,25 @@ from siltstone.llm.words import Prefix, joined, lowered, mix, raw, slices, word_
 from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
-BINS, ROWS = 252, 6
-BANDS = BINS // ROWS
+BINS = 252
+#: The greatest chance that a pair at the least similarity shares no band.
+MISSED = 1e-8
 #: Every MARK-th value of a signature is kept, as 16 bits, to estimate similarity.
 MARK = 2
 SHINGLE = 3
 PERCENT = 85
 _TRIES = np.random.default_rng(8).integers(0, BINS, (4096, BINS))
-_SALT = np.random.default_rng(9).integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_SALT = np.random.default_rng(9).integers(1, 1 << 63, BINS, dtype=np.uint64)
 _EMPTY = np.uint64((1 << 64) - 1)
 
 
+def rows_of(percent: int) -> int:
+    """Rows of a band: the most with which a pair of this similarity shares no band with a chance of MISSED at most."""
+    if not 50 <= percent <= 99:
+        raise ValueError("percent must be from 50 to 99")
+    return max(r for r in range(1, BINS) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED)
+
+
 def shingle_sets(arr: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice."""
     data, bounds = raw(arr)
@@ -101,34 +111,41 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(_SALT, (len(sig), BANDS)).copy()
-    for r in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = BINS // rows
+    parts = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    key = np.broadcast_to(_SALT[:bands], (len(sig), bands)).copy()
+    for r in range(rows):
         key = joined(key, parts[:, :, r])
     return key.astype(np.int64)
 
 
 _SKETCH = "doc_id long, n long, s long, x long, bands array<long>, sig array<short>"
-#: Bounds of near and far leaves; sets from ESTIMATE_FROM shingles on are told far by an estimate under ESTIMATE_FAR.
-NEAR, FAR, ESTIMATE_FAR, ESTIMATE_FROM = 0.3, 0.45, 0.15, 64
+#: Least percentage of near leaves; sets from ESTIMATE_FROM shingles on are told far by an estimate under ESTIMATE_FAR.
+NEAR, ESTIMATE_FAR, ESTIMATE_FROM = 30, 0.15, 64
 #: Bits of the map that tells which documents may be candidates; its size is fixed, a full one only filters less.
 MAP_BITS = 1 << 23
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, part in slices(batch.column(1)):
-            sets = shingle_sets(part)
-            n = np.array([len(s) for s in sets], np.int64)
-            total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-            folded = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
-            sig = signatures([s for s in sets if len(s)])
-            offsets = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sig).reshape(-1)))
-            marked = (mix(sig[:, ::MARK]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-            marks = pa.ListArray.from_arrays(pa.array(offsets // BANDS * marked.shape[1]), pa.array(np.ascontiguousarray(marked).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands, marks], ["doc_id", "n", "s", "x", "bands", "sig"])
+def _sketch(width: int, rows: int):
+    """A sketch of each document."""
+    n_bands = BINS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                sets = shingle_sets(part, width)
+                n = np.array([len(s) for s in sets], np.int64)
+                total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+                folded = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
+                sig = signatures([s for s in sets if len(s)])
+                offsets = np.append(0, np.cumsum(np.where(n > 0, n_bands, 0))).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sig, rows).reshape(-1)))
+                marked = (mix(sig[:, ::MARK]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                marks = pa.ListArray.from_arrays(pa.array(offsets // n_bands * marked.shape[1]), pa.array(np.ascontiguousarray(marked).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands, marks], ["doc_id", "n", "s", "x", "bands", "sig"])
+
+    return run
 
 
 def _place(doc_ids: np.ndarray) -> np.ndarray:
@@ -154,7 +171,7 @@ def _candidate_map(candidates: DataFrame) -> np.ndarray:
     return np.packbits(whole)
 
 
-def _sets(packed: np.ndarray):
+def _sets(packed: np.ndarray, width: int):
     """Sets of the documents that the candidates' map may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +180,7 @@ def _sets(packed: np.ndarray):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             kept = batch.filter(pa.array(wanted[_place(ids)]))
             for at, part in slices(kept.column(1)):
-                sets = shingle_sets(part)
+                sets = shingle_sets(part, width)
                 offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([kept.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "hashes"])
@@ -204,10 +221,12 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.withColumns({"na": F.size("ha"), "nb": F.size("hb"), "both": F.size(F.array_intersect("ha", "hb"))})
 
 
-_LINKED = f"100 * both >= {PERCENT} * (na + nb - both)"
+def _at_least(percent: int) -> str:
+    """Whether the two sets of a compared pair have this similarity."""
+    return f"100 * both >= {percent} * (na + nb - both)"
 
 
-def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a: centre, b: leaf, nb, linked, near, far, diff) of all buckets (band, doc_id, first), each pair once.
 
     ``diff`` is there for near leaves; pairs whose signatures tell that they are far have no sets fetched.
@@ -218,13 +237,13 @@ def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
         F.max(F.expr(f"CASE WHEN least(n_a, n_b) < {ESTIMATE_FROM} THEN 1.0D ELSE size(filter(zip_with(s_a, s_b, (x, y) -> x = y), z -> z)) / size(s_a) END")).alias("estimate")
     )
     close = _compared(told.where(f"estimate >= {ESTIMATE_FAR}").select("a", "b"), sets)
-    exact = close.select("a", "b", F.col("nb"), F.expr(_LINKED).alias("linked"), F.expr(f"both >= {NEAR} * (na + nb - both)").alias("near"), F.expr(f"both < {FAR} * (na + nb - both)").alias("far"), "ha", "hb")
+    exact = close.select("a", "b", F.col("nb"), F.expr(_at_least(percent)).alias("linked"), F.expr(_at_least(NEAR)).alias("near"), (~F.expr(_at_least(NEAR + 100 - percent))).alias("far"), "ha", "hb")
     exact = exact.withColumn("diff", F.when(F.col("near"), F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha")))).drop("ha", "hb")
     distant = told.where(f"estimate < {ESTIMATE_FAR}").select("a", "b", F.lit(0).alias("nb"), F.lit(False).alias("linked"), F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(None).cast("array<long>").alias("diff"))
     return exact.unionByName(distant)
 
 
-def _missed_pairs(edges: DataFrame) -> DataFrame:
+def _missed_pairs(edges: DataFrame, percent: int) -> DataFrame:
     """Pairs of leaves that a star may have missed: near one centre, not both linked to it, sharing a rare element of their differences.
 
     A leaf's home is its smallest near centre. Two leaves of one home are joined there alone; a
@@ -240,26 +259,30 @@ def _missed_pairs(edges: DataFrame) -> DataFrame:
     shared = rows.join(rare, ["a", "e"])
     place = F.col("x") - F.count(F.lit(1)).over(Window.partitionBy("a", "b")) + F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
     # The least number of shared elements: with a partner that is not linked to the centre; and, for one that is not linked itself, with one that is.
-    least = F.greatest(F.lit(1), F.ceil(F.col("x") * 0.4594))
-    least = F.when(F.col("linked"), least).otherwise(F.least(least, F.greatest(F.lit(1), F.ceil(F.col("x") - F.col("nb") * 0.1766))))
+    least = F.expr(f"greatest(1, (x * {percent} + {99 + percent}) div {100 + percent})")
+    least = F.when(F.col("linked"), least).otherwise(F.least(least, F.expr(f"greatest(1, x - (nb * {100 - percent}) div {percent})")))
     few = shared.withColumn("place", place).where(F.col("place") <= F.col("x") - least + 1)
     side = lambda n: few.select("a", "e", *[F.col(c).alias(f"{c}{n}") for c in ("b", "linked", "place", "x", "nb", "home")])
     # Of two linked leaves' elements at least ``need`` are shared, so the rarest shared one has at most x - need + 1 places up to it in either.
-    need = "greatest(1, (x1 + x2 - (nb1 + nb2) * 15 / 185) / 2)"
+    need = f"greatest(1, (x1 + x2 - (nb1 + nb2) * {100 - percent} / {100 + percent}) / 2)"
     fits = F.expr(f"NOT linked1 AND b1 <> b2 AND (linked2 OR b1 < b2) AND (home1 <> home2 OR a = home1) AND place1 <= x1 - {need} + 1 AND place2 <= x2 - {need} + 1")
     one, two = side(1), side(2).withColumnsRenamed({"a": "a2", "e": "e2"})
     pairs = one.join(two, (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & fits)
     return pairs.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
 
 
-def group_near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest doc_id of each component) for every row."""
+def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the smallest doc_id of each component) for every row.
+
+    Texts are linked that share ``percent`` of their shingles of ``width`` words, at least.
+    """
+    linked = _at_least(percent)
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.table("sketch", rows.mapInArrow(tidy(_sketch), _SKETCH))
+    sketch = scratch.table("sketch", rows.mapInArrow(tidy(_sketch(width, rows_of(percent))), _SKETCH))
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table("classes", known.groupBy("s", "x", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("s", "x", "n", "rep"))
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
@@ -276,14 +299,14 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     members = scratch.table("members", banded.join(shared, "band"))
     buckets = scratch.table("buckets-0", centred(members).withColumn("used", F.array("band")))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
-    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates))), "doc_id long, hashes array<long>")
+    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width)), "doc_id long, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
     marks = scratch.table("marks", slim.join(candidates, "doc_id", "left_semi").select("doc_id", "n", "sig", "bands"))
     links = spark.createDataFrame([], "a long, b long")
     turn = 0
     while not buckets.isEmpty():
-        edges = scratch.table(f"edges-{turn}", _star(buckets, marks, sets))
-        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges), sets).where(_LINKED).select("a", "b").distinct())
+        edges = scratch.table(f"edges-{turn}", _star(buckets, marks, sets, percent))
+        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges, percent), sets).where(linked).select("a", "b").distinct())
         stars = scratch.table(f"stars-{turn}", edges.where("linked").select("a", "b"))
         links = links.union(stars).union(missed)
         far = buckets.join(edges.where("far").select(F.col("a").alias("first"), F.col("b").alias("doc_id")), ["first", "doc_id"], "left_semi").select("doc_id", "band", "used")
