@@ -604,7 +604,7 @@ def q_finding_dedupe(spark, sf_dir):
 
 @query()
 def q_compatible_pairs(spark, sf_dir):
-    f = modelio.as_findings(event_results(spark, sf_dir).where("ord < 3000"))
+    f = modelio.as_findings(event_results(spark, sf_dir))
     return dedupe.compatible_pairs(f).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
