@@ -111,6 +111,14 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
