@@ -14,6 +14,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siltstone.llm.worker import held
 
@@ -131,6 +133,16 @@ class Counter:
         return out
 
 
+#: Bytes of text whose counted keys one bucket holds, about.
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_for(docs: DataFrame, text: str) -> int:
+    """Buckets for keys counted over a column of texts, in proportion to its bytes."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(16, -(-total // BUCKET_BYTES))
+
+
 BUCKET_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 BUCKET_DDL = "bucket int, kind int, n long, keys binary, counts binary"
 

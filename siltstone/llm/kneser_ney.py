@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, merged_rows, opened
-from siltstone.llm.words import Prefix, lowered, mix, raw, slices, word_ranges
+from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, buckets_for, merged_rows, opened
+from siltstone.llm.words import blocks, lowered, mix, range_hashes, raw, word_ranges
 from siltstone.llm.worker import tidy, tidy_group
 from siltstone.session import Scratch, ship, small_batches
 
@@ -47,13 +47,16 @@ def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _32) * np.uint64(buckets) >> _32).astype(np.int64)
 
 
-def _words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text with its end, in a row, and the n+1 bounds."""
+def _words(arr: pa.Array, more: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text with its end, in a row, and the n+1 bounds; if ``more``, the last text has no end yet."""
     data, bounds = raw(arr)
     data = lowered(data)
     starts, ends, of = word_ranges(data, bounds)
-    hashes = np.insert(Prefix(data).hash(starts, ends), of[1:], END)
-    return hashes, of + np.arange(len(of))
+    last = len(of) - more
+    hashes = np.insert(range_hashes(data, starts, ends), of[1:last], END)
+    of = of + np.arange(len(of))
+    of[last:] -= 1
+    return hashes, of
 
 
 @dataclass
@@ -99,8 +102,8 @@ def _count_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
-            for _, part in slices(batch.column(0)):
-                counter.add(_words(part)[0])
+            for _, part, more in blocks(batch.column(0)):
+                counter.add(_words(part, more)[0])
                 if counter.full():
                     keys, counts = counter.take()
                     yield bucket_rows(keys, counts, _ranges(keys, buckets))
@@ -124,7 +127,7 @@ def _write_words(store: Store):
 
 def fit_vocabulary(train: DataFrame, store: Store, buckets: int) -> Vocabulary:
     rows = train.select("text").mapInArrow(tidy(_count_words(buckets)), BUCKET_DDL)
-    found = rows.groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
+    found = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
     sizes = {r["bucket"]: r["size"] for r in found}
     offsets = [0, *np.cumsum([sizes.get(b, 0) for b in range(buckets)]).tolist()]
     if offsets[-1] >= START:
@@ -132,15 +135,21 @@ def fit_vocabulary(train: DataFrame, store: Store, buckets: int) -> Vocabulary:
     return Vocabulary(store, buckets, offsets, sum(r["total"] for r in found), sum(r["ends"] for r in found))
 
 
-def _numbered(vocabulary: Vocabulary, arr: pa.Array):
-    """For each token of a slice: its number, count, and its context's number (START at a text's first, -1: unknown) and count."""
-    hashes, bounds = _words(arr)
+def _numbered(vocabulary: Vocabulary, arr: pa.Array, more: bool = False, before: tuple[int, int] | None = None):
+    """For each token of a slice: its number, count, and its context's number (START at a text's first, -1: unknown) and count.
+
+    ``before``: number and count of the word before the slice, where its first text goes on from the last slice.
+    """
+    hashes, bounds = _words(arr, more)
     unique, where = np.unique(hashes, return_inverse=True)
     number, count = vocabulary.look_up(unique)
     number, count = number[where], count[where]
     context, total = np.empty_like(number), np.empty_like(count)
     context[1:], total[1:] = number[:-1], count[:-1]
-    context[bounds[:-1]], total[bounds[:-1]] = START, vocabulary.texts
+    firsts = bounds[:-1][bounds[:-1] < len(number)]
+    context[firsts], total[firsts] = START, vocabulary.texts
+    if before and len(context):
+        context[0], total[0] = before
     return number, count, context, total, bounds
 
 
@@ -173,9 +182,11 @@ def _count_bigrams(bigrams: Bigrams):
             totals[inner] = bigrams.vocabulary.at("word-counts", context[inner], np.int64)
             return bucket_rows(keys, counts, bigrams.bucket_of(keys, totals))
 
+        before = None
         for batch in batches:
-            for _, part in slices(batch.column(0)):
-                number, _, context, _, _ = _numbered(bigrams.vocabulary, part)
+            for _, part, more in blocks(batch.column(0)):
+                number, count, context, _, _ = _numbered(bigrams.vocabulary, part, more, before)
+                before = (int(number[-1]), int(count[-1])) if more else None
                 counter.add(context.astype(np.uint64) << _32 | number.astype(np.uint64))
                 if counter.full():
                     yield rows()
@@ -290,11 +301,11 @@ class Model:
         c[known] = vocabulary.at("continuations", number[known], np.int64)
         return np.maximum(c - self.d1[np.minimum(c, 3).astype(np.int64)], 0) / self.types + self.back_off1 * base
 
-    def score(self, arr: pa.Array) -> dict[str, np.ndarray]:
-        """Per text of a slice: n_tokens, n_known, base_score and score."""
+    def score(self, arr: pa.Array, more: bool = False, before: tuple[int, int] | None = None) -> tuple[dict[str, np.ndarray], tuple[int, int] | None]:
+        """Per text of a slice: n_tokens, n_known, base_score and score; and the last word, if ``more``."""
         vocabulary, bigrams = self.bigrams.vocabulary, self.bigrams
         store = opened(vocabulary.store)
-        number, count, context, total, bounds = _numbered(vocabulary, arr)
+        number, count, context, total, bounds = _numbered(vocabulary, arr, more, before)
         unique, where = np.unique(number, return_inverse=True)
         p = self.unigram(unique)[where]
         seen = np.flatnonzero((context >= 0) & (total > 0)) if self.types else np.zeros(0, np.int64)
@@ -330,7 +341,7 @@ class Model:
             "n_known": np.bincount(text, count > 0, n).astype(np.int64),
             "base_score": np.bincount(text, base, n),
             "score": np.bincount(text, np.log10(p), n),
-        }
+        }, ((int(number[-1]), int(count[-1])) if more else None)
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -342,14 +353,14 @@ def fit(train: DataFrame, uri: str, buckets: int | None = None) -> Model:
     spark = train.sparkSession
     ship(spark)
     small_batches(spark)
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or buckets_for(train, "text")
     store = Store(uri)
     vocabulary = fit_vocabulary(train, store, buckets)
     bigrams = Bigrams(vocabulary, buckets)
     if not vocabulary.size:
         return Model(bigrams, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0, np.zeros(0, np.int64), np.zeros(0))
     rows = train.select("text").mapInArrow(tidy(_count_bigrams(bigrams)), BUCKET_DDL)
-    found = rows.groupBy("bucket").applyInArrow(tidy_group(_write_bigrams(store)), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
+    found = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_bigrams(store)), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
     filled = {r["bucket"] for r in found}
     for b in set(range(buckets)) - filled:
         store.put(f"pairs-{b}", np.zeros(0, np.uint64))
@@ -357,7 +368,7 @@ def fit(train: DataFrame, uri: str, buckets: int | None = None) -> Model:
     each = spark.createDataFrame([(b,) for b in sorted(filled)], "bucket int").repartition(len(filled), "bucket")
     parts = each.mapInArrow(tidy(_back_off(bigrams, d2)), BUCKET_DDL)
     schema = "types long, words long, n1 long, n2 long, n3 long, n4 long, hot array<long>, micro array<long>"
-    ends = parts.groupBy("bucket").applyInArrow(tidy_group(_write_continuations(vocabulary)), schema).collect()  # a row a bucket
+    ends = parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_continuations(vocabulary)), schema).collect()  # a row a bucket
     counts = [sum(r[f"n{i}"] for r in ends) for i in range(1, 5)]
     d1, types, words = discounts(*counts), sum(r["types"] for r in ends), sum(r["words"] for r in ends)
     back_off1 = (d1[1] * counts[0] + d1[2] * counts[1] + d1[3] * (words - counts[0] - counts[1])) / types
@@ -375,8 +386,16 @@ _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(batch.column(2)):
-                n, got = len(part), model.score(part)
+            begun: dict[str, float] = {}
+            before = None
+            for at, part, more in blocks(batch.column(2)):
+                got, before = model.score(part, more, before)
+                for k, v in begun.items():
+                    got[k][0] += v
+                begun = {k: v[-1] for k, v in got.items()} if more else {}
+                if more:
+                    continue
+                n = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array([model.bigrams.vocabulary.tokens] * n, pa.int64()), pa.array(got["base_score"]), pa.array(got["score"])],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

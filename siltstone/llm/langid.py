@@ -1,19 +1,20 @@
 """Language of documents by a bidirectional gated recurrent network over bytes.
 
-The network reads segments: words (runs of bytes that are no ASCII white space), between two
-spaces, cut every ``SEGMENT`` bytes. At each byte it gives a probability for each language; a
-document's probabilities are the mean over all bytes of its words that may hold letters, and the
-likeliest language is predicted. As a segment's state starts at its own edge, equal segments give
-equal labels: each worker runs the network once for each new segment and remembers the sums, in a
-memo of bounded size. Every byte of the text counts.
+A text is read in windows of ``WINDOW`` bytes, each forwards and backwards, with the state carried
+from byte to byte across words, spaces and lines. At each byte the two states give a probability
+for each language; a document's probabilities are the mean over all its bytes that may belong to a
+letter, and the likeliest language is predicted. Every byte of a text is read. Windows of a slice
+run side by side, longest first, so that those still going on are always the first columns.
 
-Training (numpy, backpropagation through time, Adam, fixed seeds) uses a bounded sample: about
-``SAMPLE_DOCS`` documents of each language, drawn by a hash of doc_id, and ``SAMPLE_WORDS`` words
-of each, chosen alike on every run. Languages are bounded by ``MAX_LANGUAGES``.
+Training (numpy, backpropagation through time, Adam, fixed seeds) uses a bounded sample: of each
+language ``SAMPLE_DOCS`` documents, those with the smallest hashes of doc_id, and of each document
+``SAMPLE_WINDOWS`` stretches of ``TRAIN_WINDOW`` bytes, evenly spread over it. Only these stretches
+reach the driver. Of more than ``MAX_LANGUAGES`` languages the most frequent ones are learned.
 
 Cases: lang is ``und`` and score 0 for a null text, a text without a letter, and every text when
 no labelled row is left to learn from; a null lang or null doc_id is never learned from; a null
-doc_id is not held out; an empty table gives no row; other columns are ignored.
+doc_id is not held out; rows that repeat a doc_id share the sample's bound; an empty table gives no
+row; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,30 +27,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siltstone.llm.words import Prefix, raw, slices, word_ranges
+from siltstone.llm.words import raw, slices
 from siltstone.llm.worker import held, release, tidy
-from siltstone.session import ship, small_batches
+from siltstone.session import fresh_name, ship, small_batches
 
-SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 300, 200, 500
-TRAIN_WORDS, EPOCHS, BATCH, RATE = 9000, 5, 256, 0.01
-HIDDEN, SEGMENT = 16, 32
-MEMO_SEGMENTS = 800_000
+SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW, MAX_LANGUAGES = 300, 4, 160, 500
+EPOCHS, BATCH, RATE = 5, 128, 0.01
+HIDDEN, WINDOW = 12, 512
+#: Windows that run side by side.
+COLUMNS = 1024
 UNKNOWN = "und"
-_SPACE = 0x20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MAYBE = _LETTER.copy()
 _MAYBE[0x80:] = True
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Model:
-    """For each direction: input table (256, 3H), recurrent (H, 3H), bias of the candidate's recurrent part (H)."""
+    """For each direction: input table (3H, 256), recurrent (3H, H), bias of the candidate's recurrent part (H, 1)."""
 
     languages: list[str]
     weights: dict[str, np.ndarray]
@@ -59,177 +57,203 @@ class Model:
         rng = np.random.default_rng(seed)
         w = {}
         for d in "fb":
-            w[f"x{d}"] = rng.normal(0, 0.3, (256, 3 * hidden))
-            w[f"h{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden))
-            w[f"c{d}"] = np.zeros(hidden)
-        w["out"] = rng.normal(0, 1 / np.sqrt(hidden), (2 * hidden, len(languages)))
-        w["bias"] = np.zeros(len(languages))
+            w[f"x{d}"] = rng.normal(0, 0.3, (3 * hidden, 256))
+            w[f"h{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (3 * hidden, hidden))
+            w[f"c{d}"] = np.zeros((hidden, 1))
+            w[f"o{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (len(languages), hidden))
+        w["bias"] = np.zeros((len(languages), 1))
         return cls(languages, {k: v.astype(np.float32) for k, v in w.items()})
 
 
-def _run(w: dict, d: str, x: np.ndarray, on: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each byte, (T, B, H); x: bytes (T, B) in the order they are read; on: 1 inside the segment."""
+def _run(w: dict, d: str, x: np.ndarray, sizes: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """What each byte's state gives the languages, (T, L, B).
+
+    x: bytes (T, B) in the order they are read; ``sizes`` (descending): how many of a column count.
+    """
     hidden = w[f"c{d}"].shape[0]
-    h = np.zeros((x.shape[1], hidden), np.float32)
-    out = np.empty((*x.shape, hidden), np.float32)
+    table, rec, bias, out_w = w[f"x{d}"], w[f"h{d}"], w[f"c{d}"], w[f"o{d}"]
+    h = np.zeros((hidden, x.shape[1]), np.float32)
+    out = np.zeros((len(x), len(out_w), x.shape[1]), np.float32)
+    active = np.searchsorted(-sizes, -np.arange(len(x)), "left")  # columns longer than t
     for t in range(len(x)):
-        a = w[f"x{d}"][x[t]]
-        u = h @ w[f"h{d}"]
-        zr = _sigmoid(a[:, : 2 * hidden] + u[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        v = u[:, 2 * hidden :] + w[f"c{d}"]
-        n = np.tanh(a[:, 2 * hidden :] + r * v)
-        m = on[t][:, None]
-        new = h + m * (1 - z) * (n - h)
+        m = int(active[t])
+        before = h[:, :m]
+        a = table.take(x[t, :m], axis=1)
+        u = rec @ before
+        zr = a[: 2 * hidden]
+        zr += u[: 2 * hidden]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5  # the logistic function
+        z, r = zr[:hidden], zr[hidden:]
+        v = u[2 * hidden :]
+        v += bias
+        n = a[2 * hidden :]
+        if keep is None:
+            v *= r
+            n += v
+        else:
+            n += r * v
+        np.tanh(n, out=n)
+        after = before - n
+        after *= z
+        after += n
         if keep is not None:
-            keep.append((h, z, r, v, n, m))
-        h = new
-        out[t] = h
+            keep.append((before, z, r, v, n))
+        h = after
+        np.matmul(out_w, after, out=out[t, :, :m])
     return out
 
 
 def _back(w: dict, d: str, x: np.ndarray, kept: list, dout: np.ndarray, grads: dict) -> None:
+    """Gradients from those of _run's result."""
     hidden = w[f"c{d}"].shape[0]
-    dx, dh_w, dc = np.zeros_like(w[f"x{d}"]), np.zeros_like(w[f"h{d}"]), np.zeros_like(w[f"c{d}"])
-    carry = np.zeros_like(dout[0])
+    rec, out_w = w[f"h{d}"], w[f"o{d}"]
+    drec, dc, do = np.zeros_like(rec), np.zeros_like(w[f"c{d}"]), np.zeros_like(out_w)
+    dtable, read = [], []
+    carry = np.zeros((hidden, 0), np.float32)
     for t in range(len(x) - 1, -1, -1):
-        h, z, r, v, n, m = kept[t]
-        dh = dout[t] + carry
-        dn = dh * m * (1 - z) * (1 - n * n)
-        dz = -dh * m * (n - h) * z * (1 - z)
+        before, z, r, v, n = kept[t]
+        m = before.shape[1]
+        if carry.shape[1] < m:
+            carry = np.concatenate([carry, np.zeros((hidden, m - carry.shape[1]), np.float32)], axis=1)
+        g = dout[t, :, :m]
+        do += g @ (n + z * (before - n)).T
+        dh = out_w.T @ g + carry
+        dn = dh * (1 - z) * (1 - n * n)
+        dz = dh * (before - n) * z * (1 - z)
         dr = dn * v * r * (1 - r)
         dv = dn * r
-        du = np.concatenate([dz, dr, dv], axis=1)
-        np.add.at(dx, x[t], np.concatenate([dz, dr, dn], axis=1))
-        dh_w += h.T @ du
-        dc += dv.sum(axis=0)
-        carry = dh * (1 - m * (1 - z)) + du @ w[f"h{d}"].T
-    grads[f"x{d}"], grads[f"h{d}"], grads[f"c{d}"] = dx, dh_w, dc
-
-
-def _grid(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (T, B), each segment between two spaces, and 1 where a segment or its spaces are."""
-    size = np.array([len(s) for s in segments]) + 2
-    grid = np.full((len(segments), int(size.max())), _SPACE, np.uint8)
-    for i, s in enumerate(segments):
-        grid[i, 1 : len(s) + 1] = np.frombuffer(s, np.uint8)
-    on = (np.arange(grid.shape[1]) < size[:, None]).astype(np.float32)
-    return grid.T, on.T
-
-
-def _labels(model: Model, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities at each byte (T, B, L), and 1 where they count (the segment's own bytes)."""
-    x, on = _grid(segments)
+        du = np.concatenate([dz, dr, dv])
+        dtable.append(np.concatenate([dz, dr, dn]))
+        read.append(x[t, :m])
+        drec += du @ before.T
+        dc += dv.sum(axis=1, keepdims=True)
+        carry = dh * z + rec.T @ du
+    every, byte = np.concatenate(dtable, axis=1), np.concatenate(read)
+    order = np.argsort(byte, kind="stable")
+    firsts = np.flatnonzero(np.append(True, byte[order][1:] != byte[order][:-1]))
+    dx = np.zeros_like(w[f"x{d}"])
+    dx[:, byte[order][firsts]] = np.add.reduceat(every[:, order], firsts, axis=1)
+    grads[f"x{d}"], grads[f"h{d}"], grads[f"c{d}"], grads[f"o{d}"] = dx, drec, dc, do
+
+
+def _turned(sizes: np.ndarray, steps: int) -> np.ndarray:
+    """Places (T, B) that read each column from its end; those beyond its size do not matter."""
+    return np.maximum(sizes[None, :] - 1 - np.arange(steps)[:, None], 0)
+
+
+def _labels(w: dict, x: np.ndarray, sizes: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
+    """Probabilities (T, L, B) at each byte of the columns."""
+    back = _turned(sizes, len(x))
+    out = _run(w, "f", x, sizes, keep[0] if keep else None)
+    behind = _run(w, "b", np.take_along_axis(x, back, 0), sizes, keep[1] if keep else None)
+    full = int(np.searchsorted(-sizes, -len(x), "right"))  # columns of full length are simply turned round
+    out[:, :, :full] += behind[::-1, :, :full]
+    if full < x.shape[1]:
+        out[:, :, full:] += np.take_along_axis(behind[:, :, full:], back[:, None, full:], 0)
+    out += w["bias"]
+    out -= out.max(axis=1, keepdims=True)
+    np.exp(out, out=out)
+    out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
+def _grid(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (T, B) of windows, longest first; their sizes; and the order."""
+    sizes = np.array([len(s) for s in windows])
+    order = np.argsort(-sizes, kind="stable")
+    grid = np.zeros((len(windows), int(sizes.max())), np.uint8)
+    for row, i in zip(grid, order):
+        row[: sizes[i]] = np.frombuffer(windows[i], np.uint8)
+    return np.ascontiguousarray(grid.T), sizes[order], order
+
+
+def gradients(model: Model, windows: list[bytes], target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of all bytes, and its gradients."""
     w = model.weights
-    forward = _run(w, "f", x, on)
-    backward = _run(w, "b", x[::-1], on[::-1])[::-1]
-    logits = np.concatenate([forward, backward], axis=2) @ w["out"] + w["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    inner = on.copy()
-    inner[0] = 0
-    inner[np.array([len(s) for s in segments]) + 1, np.arange(len(segments))] = 0
-    return p, inner
-
-
-def train(words: dict[str, list[bytes]], epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """A model of the languages in ``words``, each word (at most SEGMENT bytes) one segment."""
-    languages = sorted(words)
+    x, sizes, order = _grid(windows)
+    kept: tuple[list, list] = ([], [])
+    p = _labels(w, x, sizes, kept)
+    on = (np.arange(len(x))[:, None] < sizes).astype(np.float32)
+    own = target[order]
+    columns = np.arange(len(windows))
+    loss = float(-(np.log(p[:, own, columns] + 1e-30) * on).sum() / on.sum())
+    p[:, own, columns] -= 1
+    p *= (on / on.sum())[:, None, :]
+    grads = {"bias": p.sum(axis=(0, 2))[:, None]}
+    back = _turned(sizes, len(x))
+    _back(w, "f", x, kept[0], p, grads)
+    _back(w, "b", np.take_along_axis(x, back, 0), kept[1], np.take_along_axis(p, back[:, None, :], 0), grads)
+    return loss, grads
+
+
+def train(windows: dict[str, list[bytes]], epochs: int = EPOCHS, seed: int = 5) -> Model:
+    """A model of the languages in ``windows``; every byte of a window is labelled with its language."""
+    languages = sorted(windows)
     model = Model.fresh(languages, seed=seed)
     rng = np.random.default_rng(seed)
-    pairs = [(s, i) for i, lang in enumerate(languages) for s in words[lang]]
-    first, second, step = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2)), None, 0
-    first, second = first
-    for epoch in range(epochs):
+    pairs = [(s, i) for i, lang in enumerate(languages) for s in windows[lang] if s]
+    first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+    step, total = 0, epochs * -(-len(pairs) // BATCH)
+    for _ in range(epochs):
         rng.shuffle(pairs)
-        # Batches of like length waste no steps on padding; their order is random.
-        blocks = [sorted(pairs[i : i + 32 * BATCH], key=lambda p: len(p[0])) for i in range(0, len(pairs), 32 * BATCH)]
-        batches = [b[i : i + BATCH] for b in blocks for i in range(0, len(b), BATCH)]
-        rng.shuffle(batches)
-        for batch in batches:
-            w, segments = model.weights, [s for s, _ in batch]
-            target = np.array([i for _, i in batch])
-            x, on = _grid(segments)
-            kept_f: list = []
-            kept_b: list = []
-            forward = _run(w, "f", x, on, kept_f)
-            backward = _run(w, "b", x[::-1], on[::-1], kept_b)[::-1]
-            both = np.concatenate([forward, backward], axis=2)
-            logits = both @ w["out"] + w["bias"]
-            logits -= logits.max(axis=2, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=2, keepdims=True)
-            p[:, np.arange(len(batch)), target] -= 1
-            d = (p * on[:, :, None] / on.sum()).astype(np.float32)
-            grads = {"out": np.einsum("tbi,tbl->il", both, d, optimize=True), "bias": d.sum(axis=(0, 1))}
-            dboth = d @ w["out"].T
-            hidden = forward.shape[2]
-            _back(w, "f", x, kept_f, dboth[:, :, :hidden], grads)
-            _back(w, "b", x[::-1], kept_b, dboth[::-1, :, hidden:], grads)
+        for at in range(0, len(pairs), BATCH):
+            some = pairs[at : at + BATCH]
+            _, grads = gradients(model, [s for s, _ in some], np.array([i for _, i in some]))
             step += 1
-            rate = RATE * (1 - 0.9 * (epoch / max(1, epochs))) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * (1.05 - step / total) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
                 g = np.clip(g, -1, 1)
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                w[k] = (w[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                model.weights[k] = (model.weights[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
     return model
 
 
+def _window_sums(w: dict, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each window the sums (B, L) of the probabilities at its bytes that may belong to a letter."""
+    sums = np.zeros((len(starts), len(w["bias"])))
+    order = np.argsort(-sizes, kind="stable")
+    for at in range(0, len(order), COLUMNS):
+        some = order[at : at + COLUMNS]
+        steps = np.arange(int(sizes[some[0]]))[:, None]
+        x = data[np.minimum(starts[some] + steps, len(data) - 1)]
+        counts = _MAYBE[x] & (steps < sizes[some])
+        p = _labels(w, x, sizes[some])
+        p *= counts[:, None, :]
+        sums[some] = p.sum(axis=0).T
+    return sums
+
+
 class Reader:
-    """Predictions for whole texts, with the memo of segments."""
+    """Predictions for whole texts."""
 
     def __init__(self, model: Model):
-        self.model, n = model, len(model.languages)
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, n), np.float32)
-
-    def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        sums = np.zeros((len(segments), len(self.model.languages)), np.float32)
-        for at in range(0, len(order), 2048):
-            some = order[at : at + 2048]
-            p, inner = _labels(self.model, [segments[i] for i in some])
-            sums[some] = np.einsum("tbl,tb->bl", p, inner, optimize=True)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.sums = np.insert(self.keys, where, keys), np.insert(self.sums, where, sums, axis=0)
+        self.model = model
 
     def _slice(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of probabilities and number of bytes of each text, and whether it has a letter."""
+        """Sums of probabilities and number of counted bytes of each text, and whether it has a letter."""
         data, bounds = raw(arr)
-        if len(self.keys) > MEMO_SEGMENTS:
-            self.keys, self.sums = self.keys[:0], self.sums[:0]
-        letters = np.append(0, np.cumsum(_LETTER[data]))
+        before = lambda flags: np.append(0, np.cumsum(flags))
+        letters, maybe = before(_LETTER[data]), before(_MAYBE[data])
         lettered = letters[bounds[1:]] > letters[bounds[:-1]]
-        for i in np.flatnonzero(~lettered & (bounds[1:] > bounds[:-1])):
+        counted = maybe[bounds[1:]] - maybe[bounds[:-1]]
+        for i in np.flatnonzero(~lettered & (counted > 0)):
             lettered[i] = any(c.isalpha() for c in arr[int(i)].as_py() or "")
-        starts, ends, of = word_ranges(data, bounds)
-        maybe = np.append(0, np.cumsum(_MAYBE[data]))
-        held = maybe[ends] > maybe[starts]
-        text = np.repeat(np.arange(len(arr)), np.diff(of))[held]
-        starts, ends = starts[held], ends[held]
-        long = -(-(ends - starts) // SEGMENT)  # segments of each word
-        if len(long) and long.max() > 1:
-            nth = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-            text, first, last = np.repeat(text, long), np.repeat(starts, long), np.repeat(ends, long)
-            starts = first + nth * SEGMENT
-            ends = np.minimum(last, starts + SEGMENT)
+        # Nothing is read of texts without a letter.
+        size = np.where(lettered, np.diff(bounds), 0)
+        many = -(-size // WINDOW)
+        text = np.repeat(np.arange(len(arr)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        starts = bounds[:-1][text] + nth * WINDOW
         sums = np.zeros((len(arr), len(self.model.languages)))
-        sizes = np.bincount(text, ends - starts, len(arr))
-        if len(starts):
-            keys, one, where = np.unique(Prefix(data).hash(starts, ends), return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            new = np.ones(len(keys), bool)
-            inside = at < len(self.keys)
-            new[inside] = self.keys[at[inside]] != keys[inside]
-            if new.any():
-                flat = data.tobytes()
-                self._learn(keys[new], [flat[starts[i] : ends[i]] for i in one[new]])
-                at = np.searchsorted(self.keys, keys)
-            per = self.sums[at][where]
+        if len(text):
+            per = _window_sums(self.model.weights, data, starts, np.minimum(bounds[1:][text] - starts, WINDOW))
             for j in range(sums.shape[1]):
                 sums[:, j] = np.bincount(text, per[:, j], len(arr))
-        return sums, sizes, lettered
+        return sums, counted, lettered
 
     def predict(self, arr: pa.Array) -> tuple[list[str], np.ndarray]:
         langs: list[str] = []
@@ -237,11 +261,11 @@ class Reader:
         if not self.model.languages:
             return [UNKNOWN] * len(arr), scores
         for at, part in slices(arr):
-            sums, sizes, lettered = self._slice(part)
+            sums, counted, lettered = self._slice(part)
             best = sums.argmax(axis=1)
-            known = lettered & (sizes > 0)
+            known = lettered & (counted > 0)
             langs += [self.model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            share = sums[np.arange(len(part)), best] / np.maximum(sizes, 1)
+            share = sums[np.arange(len(part)), best] / np.maximum(counted, 1)
             scores[at : at + len(part)] = np.where(known, np.clip(share, 0, 1), 0)
         return langs, scores
 
@@ -252,16 +276,20 @@ def reader(model: Model) -> Reader:
     return held(("langid", key), lambda: Reader(model))
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, word): SAMPLE_WORDS words of each text that may hold letters, evenly spread over it."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, stretch): SAMPLE_WINDOWS stretches of each text that has a letter, evenly spread over it."""
     for batch in batches:
-        langs, words = [], []
+        langs, parts = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            every = [w for w in text.encode().split() if _MAYBE[np.frombuffer(w, np.uint8)].any()]
-            some = [every[i * len(every) // SAMPLE_WORDS] for i in range(SAMPLE_WORDS)] if len(every) > SAMPLE_WORDS else every
-            langs += [lang] * len(some)
-            words += [w[:SEGMENT] for w in some]
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["lang", "word"])
+            data = text.encode()
+            if not _MAYBE[np.frombuffer(data, np.uint8)].any():
+                continue
+            n = min(SAMPLE_WINDOWS, -(-len(data) // TRAIN_WINDOW))
+            for k in range(n):
+                at = k * max(0, len(data) - TRAIN_WINDOW) // max(1, n - 1)
+                langs.append(lang)
+                parts.append(data[at : at + TRAIN_WINDOW])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
 
 def _bucket(doc_id: str = "doc_id"):
@@ -273,27 +301,26 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(_bucket() != 2).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(_bucket() != 2)
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(11), "doc_id").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    # The sample's greatest hash is a literal for each language, so that one scan draws all languages' texts.
+    ranked = labelled.select("lang", "h").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
+    top = ranked.groupBy("lang").agg(F.max("h").alias("h"))
+    many = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    bounds = {r["lang"]: r["h"] for r in many.join(top, "lang").collect()}
+    if not bounds:
         return Model.fresh([])
-    # The sample's hash bound is a literal for each language, so one scan draws all languages.
-    chance = F.lit(0.0)
-    for lang in sorted(counts):
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / counts[lang]))).otherwise(chance)
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
-    rows = drawn.select("lang", "text").mapInArrow(tidy(_sample_words), "lang string, word binary").toArrow()
-    words: dict[str, list[bytes]] = {}
-    for lang, word in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        words.setdefault(lang, []).append(word)
-    rng = np.random.default_rng(3)
-    for lang, some in words.items():
-        some.sort()
-        if len(some) > TRAIN_WORDS:
-            words[lang] = [some[i] for i in np.sort(rng.choice(len(some), TRAIN_WORDS, replace=False))]
-    return train(words)
+    wanted = F.lit(False)
+    for lang in sorted(bounds):
+        wanted = F.when(F.col("lang") == lang, F.col("h") <= bounds[lang]).otherwise(wanted)
+    # Rows of one doc_id have one hash: the bound holds for rows, whatever their ids.
+    drawn = labelled.where(wanted).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("place") <= sample_docs)
+    rows = drawn.select("lang", "text").mapInArrow(tidy(_stretches), "lang string, part binary").toArrow()
+    windows: dict[str, list[bytes]] = {}
+    for lang, part in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        windows.setdefault(lang, []).append(part)
+    return train({lang: sorted(some) for lang, some in windows.items()})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -307,8 +334,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
         release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
-    found = docs.withColumn("_found", of(F.col(text).cast("string")))
-    return found.withColumn(lang, F.col("_found.lang")).withColumn(score, F.col("_found.score")).drop("_found")
+    found = fresh_name(docs, "found")
+    return docs.withColumn(found, of(F.col(text).cast("string"))).withColumn(lang, F.col(found)["lang"]).withColumn(score, F.col(found)["score"]).drop(found)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.words import Prefix, joined, lowered, mix, raw, slices, word_ranges
+from siltstone.llm.words import joined, lowered, mix, range_hashes, raw, slices, word_ranges
 from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
@@ -72,7 +72,7 @@ def shingle_sets(arr: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     data, bounds = raw(arr)
     data = lowered(data)
     starts, ends, of = word_ranges(data, bounds)
-    words = Prefix(data).hash(starts, ends)
+    words = range_hashes(data, starts, ends)
     runs = words
     for k in range(1, width):
         runs = joined(runs[: len(words) - k], words[k:]) if len(words) > k else runs[:0]

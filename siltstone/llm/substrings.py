@@ -11,19 +11,26 @@ holds the ``CORE`` of 66 bytes on that side. Suffixes at cores are kept, each wi
 windows that share it (about one core for 25 bytes) and as many bytes as these windows need. A
 line that a third of all documents hold, but that is shorter than a core, joins nothing.
 
-1. Cores are counted (packed by bucket of their hash); those that occur twice are written as sorted
-   arrays into the shared folder, with a bounded sample of their leading bytes.
-2. Runs with a repeated core are sent to ranges between sampled splitters of (leading bytes, core).
-   A splitter never parts equal cores, so no match lies across a boundary. Runs with equal bytes
-   are merged within a task first: all but the earliest are repeats already, so a passage that a
-   third of all documents share costs one run a task.
-3. A range sorts its suffixes by multikey quicksort on words of eight bytes, takes the ties on the
-   core as classes, and finds the earliest of equal windows in each class.
-4. Covered spans are merged per document and cut out.
+1. Hashes of cores are counted (packed by bucket of the hash, buckets in proportion to the input);
+   those that occur twice are written as sorted arrays into the shared folder. This only thins:
+   a false hit costs a row.
+2. Cores with over ``HOT`` occurrences are too many for one range where what surrounds them differs.
+   Their windows become suffixes of their own: counted likewise, and those that occur twice are sent
+   as they stand, to the ranges where their own bytes lie.
+3. Suffixes are sent to ranges between sampled splitters, by the bytes of the core (or window); as
+   many ranges as keep about ``RANGE_BYTES`` each. A splitter never parts equal ones. Runs with equal
+   bytes are merged within a task first: all but the earliest are repeats already, so a passage that
+   a third of all documents share costs one run a task.
+4. A range sorts its suffixes by multikey quicksort and compares neighbours byte by byte, to the
+   right of the core's start and to the left of it. Two windows that hold a core at the same offset
+   are equal if both comparisons reach to their ends; the earliest of equal ones stays.
+5. Ranges give their first and last suffix; neighbours across a boundary must differ.
+6. Covered spans are merged per document and cut out.
 
 Cases: a null text is an empty one; texts under 100 bytes lose nothing; documents are ordered by
-doc_id (null first), then by the text's hash, and rows equal in both count as one document; an
-empty table gives no row; other columns stay.
+doc_id (null first), then by the text's hash, and rows equal in both count as one document; a long
+text is read in blocks; an empty table gives no row; other columns stay, but those with the names of
+the two new ones are replaced.
 """
 
 from __future__ import annotations
@@ -34,23 +41,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, merged_rows, opened, squeeze, unsqueeze
-from siltstone.llm.words import Prefix, mix, raw, slices
+from siltstone.llm.arrays import BUCKET_DDL, BUCKET_ROWS, Counter, Store, bucket_rows, buckets_for, merged_rows, opened, squeeze, unsqueeze
+from siltstone.llm.words import lanes, mix, range_hashes, raw, same_ranges, slices
 from siltstone.llm.worker import tidy, tidy_group
 from siltstone.session import Scratch, ship, small_batches
 
 WIDTH, GRAM = 100, 32
-_SIDE = (WIDTH - GRAM) // 2
-CORE = GRAM + _SIDE
-SAMPLE = 256  # leading bytes that a bucket gives as candidates for splitters
+SIDE = (WIDTH - GRAM) // 2
+CORE = GRAM + SIDE
 _GRAMS = WIDTH - GRAM + 1
 _PLACE = np.uint64((1 << 24) - 1)
-_CHUNK = 1 << 23
+_BLOCK = 1 << 20
 _GATHER = 16 << 20  # bytes of text within which a task merges equal runs
-#: Windows that a range compares at once, a larger class apart.
-WINDOWS = 100_000
-_32 = np.uint64(32)
+#: Bytes of runs that a range holds, about.
+RANGE_BYTES = 32 << 20
+#: Splitters that workers hold; beyond them a range is parted by the suffixes' hashes.
+MOST_RANGES = 1 << 18
+#: Occurrences from which a core's windows are suffixes of their own.
+HOT = 1 << 14
+#: One of so many suffixes is a candidate for splitters.
+SAMPLED = 512
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,62 +76,109 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Prefix]:
-    """Of all texts of a slice: first and last window start of each run, its core's place and hash."""
-    prefix = Prefix(data)
-    grams = prefix.fixed(GRAM)
-    firsts, lasts, anchors = [], [], []
-    if len(grams) >= _GRAMS:
-        ends = np.repeat(bounds[1:], np.diff(bounds))
-        for at in range(0, len(grams) - _GRAMS + 1, _CHUNK):
-            part = grams[at : at + _CHUNK + _GRAMS - 1]
-            place = np.arange(len(part), dtype=np.uint64)
-            anchor = (_least(part & ~_PLACE | place, _GRAMS) & _PLACE).astype(np.int64)
-            start = at + np.arange(len(anchor))
-            ok = start + WIDTH <= ends[start]
-            same = ok[1:] & ok[:-1] & (anchor[1:] == anchor[:-1])
-            first, last = ok.copy(), ok.copy()
-            first[1:] &= ~same
-            last[:-1] &= ~same
-            heads = np.flatnonzero(first)
-            firsts.append(heads + at)
-            lasts.append(np.flatnonzero(last) + at)
-            anchors.append(anchor[heads] + at)
-    if not firsts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), prefix
-    first, last, anchor = (np.concatenate(x) for x in (firsts, lasts, anchors))
-    # Windows that start at most _SIDE bytes before the anchor hold the core after it, the others the one before it.
-    cut = anchor - _SIDE
+def _ranks(data: np.ndarray) -> np.ndarray:
+    """A value of each gram, by which anchors are chosen."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = lanes(data).copy()
+    value = eight[:n] * _FACTORS[0]
+    for k in range(1, GRAM // 8):
+        value += eight[8 * k : 8 * k + n] * _FACTORS[k]
+    value ^= value >> np.uint64(32)
+    value *= _FACTORS[3]
+    return value
+
+
+def blocks(arr: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, bounds, offset of the first byte in its text); windows of blocks in a row are those of the texts."""
+    for row, part in slices(arr, _BLOCK):
+        data, bounds = raw(part)
+        if len(part) > 1 or len(data) <= _BLOCK + WIDTH:
+            yield row, data, bounds, 0
+            continue
+        for at in range(0, len(data) - WIDTH + 1, _BLOCK):
+            own = data[at : at + _BLOCK + WIDTH - 1]
+            yield row, own, np.array([0, len(own)]), at
+
+
+def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts of a block: first and last window start of each run, and its core's place."""
+    none = np.zeros(0, np.int64)
+    ranks = _ranks(data)
+    if len(ranks) < _GRAMS:
+        return none, none, none
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    place = np.arange(len(ranks), dtype=np.uint64)
+    anchor = (_least(ranks & ~_PLACE | place, _GRAMS) & _PLACE).astype(np.int64)
+    start = np.arange(len(anchor))
+    ok = start + WIDTH <= ends[start]
+    same = ok[1:] & ok[:-1] & (anchor[1:] == anchor[:-1])
+    first, last = ok.copy(), ok.copy()
+    first[1:] &= ~same
+    last[:-1] &= ~same
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    anchor = anchor[first]
+    # Windows that start at most SIDE bytes before the anchor hold the core after it, the others the one before it.
+    cut = anchor - SIDE
     right, left = last >= cut, first < cut
-    first, last, core = np.concatenate([np.maximum(first, cut)[right], first[left]]), np.concatenate([last[right], np.minimum(last, cut - 1)[left]]), np.concatenate([anchor[right], cut[left]])
-    return first, last, core, prefix.hash(core, core + CORE), prefix
+    return np.concatenate([np.maximum(first, cut)[right], first[left]]), np.concatenate([last[right], np.minimum(last, cut - 1)[left]]), np.concatenate([anchor[right], cut[left]])
 
 
-def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one number, most significant first."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
-    return out
+def _bytes_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Ranges of ``size`` bytes, as an array of WIDTH-byte strings that sort as bytes do."""
+    out = np.zeros((len(at), WIDTH), np.uint8)
+    out[:, :size] = data[at[:, None] + np.arange(size)]
+    return out.view(f"S{WIDTH}").reshape(-1)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> _32) * np.uint64(buckets) >> _32).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _known(store: Store, kind: str, h: np.ndarray, buckets: int) -> np.ndarray:
+    """Whether each hash is in the arrays ``kind``."""
+    order = np.argsort(h)
+    ranked = h[order]
+    hit = np.zeros(len(h), bool)
+    cuts = np.searchsorted(_bucket(ranked, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        known = store.get(f"{kind}-{b}")
+        if len(known):
+            mine = ranked[cuts[b] : cuts[b + 1]]
+            hit[order[cuts[b] : cuts[b + 1]]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+    return hit
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return _flat(first, last - first + 1)
 
 
-def _count_grams(buckets: int):
+def _count(buckets: int, hot: Store | None = None):
+    """Counts of core hashes; with ``hot``, of the windows of hot cores. Rows of kind 1 are sampled suffixes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
-            for _, part in slices(batch.column(0)):
-                data, bounds = raw(part)
-                _, _, anchor, gram, _ = runs(data, bounds)
-                counter.add(gram)
-                some = np.flatnonzero(mix(gram + anchor.astype(np.uint64)) % np.uint64(64) == 0)
-                if len(some):  # kind 1: (gram, its leading bytes), for splitters
-                    order = some[np.argsort(gram[some])]
-                    yield bucket_rows(gram[order], _leading(data, anchor[order]), _bucket(gram[order], buckets), kind=1)
+            for _, data, bounds, _ in blocks(batch.column(0)):
+                first, last, at = runs(data, bounds)
+                size = CORE
+                h = range_hashes(data, at, at + CORE)
+                if hot is not None:
+                    on = _known(opened(hot), "hot", h, buckets)
+                    at, size = _windows_of(first[on], last[on]), WIDTH
+                    h = range_hashes(data, at, at + WIDTH)
+                counter.add(h)
+                some = np.flatnonzero(mix(h + at.astype(np.uint64)) % np.uint64(SAMPLED) == 0)
+                if len(some):
+                    some = some[np.argsort(h[some])]
+                    yield _sample_rows(h[some], _bytes_at(data, at[some], size), _bucket(h[some], buckets))
                 if counter.full():
                     keys, counts = counter.take()
                     yield bucket_rows(keys, counts, _bucket(keys, buckets))
@@ -128,207 +188,285 @@ def _count_grams(buckets: int):
     return run
 
 
-def _write_repeated(store: Store):
+def _sample_rows(keys: np.ndarray, suffixes: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Sorted hashes and their suffixes, a row a bucket."""
+    cuts = np.append(np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket))
+    rows = [(int(bucket[a]), 1, int(b - a), squeeze(keys[a:b], True), suffixes[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BUCKET_ROWS)], schema=BUCKET_ROWS)
+
+
+def _write_repeated(store: Store, kind: str, hot: int | None, sample: int):
+    """Writes a bucket's hashes that occur twice, and those that occur over ``hot`` times."""
+
     def run(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         keys, counts = merged_rows(table)
-        keys = keys[counts > 1]
-        store.put(f"grams-{b}", keys)
-        found = []
-        for kind, n, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "n", "keys", "counts"))):
-            if kind == 1 and len(keys):
-                gram, lead = unsqueeze(k, n, True), unsqueeze(c, n)
-                hit = keys[np.minimum(np.searchsorted(keys, gram), len(keys) - 1)] == gram
-                found.append(np.stack([lead[hit], gram[hit]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[(np.arange(SAMPLE) * len(pairs)) // SAMPLE] if len(pairs) > SAMPLE else pairs
-        return pa.table({"bucket": pa.array([b], pa.int32()), "lead": pa.array([pairs[:, 0].astype(np.int64).tolist()], pa.list_(pa.int64())), "gram": pa.array([pairs[:, 1].astype(np.int64).tolist()], pa.list_(pa.int64()))})
+        store.put(f"{kind}-{b}", keys[counts > 1])
+        n_hot = 0
+        if hot is not None:
+            store.put(f"hot-{b}", keys[counts > hot])
+            n_hot = int((counts > hot).sum())
+        many = keys[counts > 1]
+        found = [np.zeros(0, f"S{WIDTH}")]
+        for is_sample, n, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "n", "keys", "counts"))):
+            if is_sample == 1 and len(many):
+                h = unsqueeze(k, n, True)
+                hit = many[np.minimum(np.searchsorted(many, h), len(many) - 1)] == h
+                found.append(np.frombuffer(c, f"S{WIDTH}")[hit])
+        suffixes = np.sort(np.concatenate(found))
+        suffixes = suffixes[(np.arange(sample) * len(suffixes)) // sample] if len(suffixes) > sample else suffixes
+        return pa.table({"bucket": pa.array([b], pa.int32()), "runs": [int(counts[counts > 1].sum())], "hot": [n_hot], "suffixes": pa.array([suffixes.tobytes()], pa.binary())})
 
     return run
 
 
-def _range_of(lead: np.ndarray, gram: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Number of splitters (lead, gram) that are not above each pair."""
-    out = np.searchsorted(splitters[:, 0], lead, "left")
-    tied = np.flatnonzero(np.searchsorted(splitters[:, 0], lead, "right") > out)
-    for value in np.unique(lead[tied]):
-        rows = tied[lead[tied] == value]
-        own = splitters[splitters[:, 0] == value, 1]
-        out[rows] += np.searchsorted(own, gram[rows], "right")
-    return out
-
-
+_WRITTEN = "bucket int, runs long, hot long, suffixes binary"
 _FIELDS = ("doc", "t", "start", "offset", "size")
-_RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *[(f, pa.binary()) for f in _FIELDS], ("length", pa.int64()), ("bytes", pa.binary())])
-_RUNS_DDL = "bucket int, kind int, n long, doc binary, t binary, start binary, offset binary, size binary, length long, bytes binary"
+_RUNS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *[(f, pa.binary()) for f in _FIELDS], ("length", pa.int64()), ("bytes", pa.binary())])
+_RUNS_DDL = "bucket long, kind int, n long, doc binary, t binary, start binary, offset binary, size binary, length long, bytes binary"
+#: Kinds of rows: runs of windows around a core, single windows of hot cores, and windows known to be repeats (no bytes).
+_AROUND, _SINGLE, _LATE = 0, 1, 2
 
 
-def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of ranges, in a row."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _run_rows(kind: int, bucket: np.ndarray, columns: dict[str, np.ndarray], texts: list[np.ndarray] | None = None, slice_of: np.ndarray | None = None, at: np.ndarray | None = None) -> pa.RecordBatch:
+def _run_rows(kind: int, bucket: np.ndarray, columns: dict[str, np.ndarray], body: np.ndarray | None = None, base: np.ndarray | None = None) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.append(np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:]):
         some = order[a:b]
-        body = b""
-        if texts is not None:
-            body = b"".join(texts[s][p : p + n].tobytes() for s, p, n in zip(slice_of[some], at[some], columns["size"][some] + WIDTH - 1))
-        packed = bytes(pa.compress(body, codec="zstd", asbytes=True)) if body else b""
-        rows.append((int(bucket[a]), kind, b - a, *(squeeze(columns[f][some]) for f in _FIELDS), len(body), packed))
+        text = body[_flat(base[some], columns["size"][some] + WIDTH - 1)].tobytes() if body is not None else b""
+        packed = bytes(pa.compress(text, codec="zstd", asbytes=True)) if text else b""
+        rows.append((int(bucket[a]), kind, b - a, *(squeeze(columns[f][some]) for f in _FIELDS), len(text), packed))
     values = list(zip(*rows)) if rows else [()] * len(_RUNS)
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _RUNS)], schema=_RUNS)
 
 
-def _send_runs(store: Store, buckets: int, splitters: np.ndarray):
-    """Kind 0: runs with their bytes; kind 1: windows that are known to be repeats, without."""
-
+class _Gathered:
+    """Suffixes of one kind that a task has found, and their bytes."""
+
+    def __init__(self, kind: int, core: int):
+        self.kind, self.core = kind, core
+        self.parts: list[dict[str, np.ndarray]] = []
+        self.bodies: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc: np.ndarray, t: np.ndarray, start: np.ndarray, offset: np.ndarray, size: np.ndarray, data: np.ndarray, at: np.ndarray, h: np.ndarray) -> None:
+        length = size + WIDTH - 1
+        body = data[_flat(at, length)]
+        self.parts.append({"doc": doc, "t": t, "start": start, "offset": offset, "size": size, "h": h, "base": self.held + np.cumsum(length) - length})
+        self.bodies.append(body)
+        self.held += len(body)
+
+    def rows(self, splitters: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        c = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
+        body = np.concatenate(self.bodies)
+        self.parts, self.bodies, self.held = [], [], 0
+        length = c["size"] + WIDTH - 1
+        content = range_hashes(body, c["base"], c["base"] + length)
+        order = np.lexsort((c["start"], c["t"], c["doc"], c["offset"], content))
+        c, content, length = {k: v[order] for k, v in c.items()}, content[order], length[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (content[1:] != content[:-1]) | (c["offset"][1:] != c["offset"][:-1]) | (length[1:] != length[:-1])
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        # A run is only known for a repeat if its bytes are those of the first.
+        same = same_ranges(body, c["base"], body, c["base"][first], length)
+        own = (c["doc"] == c["doc"][first]) & (c["t"] == c["t"][first]) & (c["start"] == c["start"][first])
+        late, keep = np.flatnonzero(same & ~own), np.flatnonzero(head | ~same)
+        columns = {f: c[f] for f in _FIELDS}
+        if len(late):
+            ranges = (len(splitters) + 1) * parts
+            yield _run_rows(_LATE, (mix(c["doc"][late].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64), {f: v[late] for f, v in columns.items()})
+        suffixes = _bytes_at(body, (c["base"] + c["offset"])[keep], self.core)
+        bucket = np.searchsorted(splitters, suffixes, "right") * parts + (c["h"][keep] % np.uint64(parts)).astype(np.int64)
+        yield _run_rows(self.kind, bucket, {f: v[keep] for f, v in columns.items()}, body, c["base"][keep])
+
+
+def _send(store: Store, buckets: int, any_hot: bool, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = opened(store)
-        texts: list[np.ndarray] = []
-        held: list[dict[str, np.ndarray]] = []
-        gathered = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            order = np.lexsort((c["start"], c["t"], c["doc"], c["offset"], c["content"]))
-            c = {k: v[order] for k, v in c.items()}
-            head = np.ones(len(order), bool)
-            head[1:] = (c["content"][1:] != c["content"][:-1]) | (c["offset"][1:] != c["offset"][:-1])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            own = (c["doc"] == c["doc"][first]) & (c["t"] == c["t"][first]) & (c["start"] == c["start"][first])
-            late = np.flatnonzero(~own)
-            columns = {f: c[f] for f in _FIELDS}
-            if len(late):
-                yield _run_rows(1, (c["doc"][late] % buckets).astype(np.int64), {f: v[late] for f, v in columns.items()})
-            keep = np.flatnonzero(head)
-            yield _run_rows(0, _range_of(c["lead"][keep], c["gram"][keep], splitters), {f: v[keep] for f, v in columns.items()}, texts, c["slice"][keep], c["at"][keep])
-
+        arrays = opened(store)
+        splitters = arrays.get("splitters")
+        around, single = _Gathered(_AROUND, CORE), _Gathered(_SINGLE, WIDTH)
         for batch in batches:
             docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for row, part in slices(batch.column(2)):
-                data, bounds = raw(part)
-                first, last, anchor, gram, prefix = runs(data, bounds)
-                order = np.argsort(gram)
-                ranked = gram[order]
-                hit = np.zeros(len(gram), bool)
-                cuts = np.searchsorted(_bucket(ranked, buckets), np.arange(buckets + 1))
-                for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                    known = grams.get(f"grams-{b}")
-                    if len(known):
-                        mine = ranked[cuts[b] : cuts[b + 1]]
-                        hit[order[cuts[b] : cuts[b + 1]]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-                first, last, anchor, gram = first[hit], last[hit], anchor[hit], gram[hit]
-                if not len(first):
-                    continue
+            for row, data, bounds, base in blocks(batch.column(2)):
+                first, last, core = runs(data, bounds)
+                h = range_hashes(data, core, core + CORE)
+                hit = _known(arrays, "cores", h, buckets)
+                first, last, core, h = first[hit], last[hit], core[hit], h[hit]
+                hot = _known(arrays, "hot", h, buckets) if any_hot else np.zeros(len(h), bool)
+                if hot.any():
+                    at = _windows_of(first[hot], last[hot])
+                    w = range_hashes(data, at, at + WIDTH)
+                    twice = _known(arrays, "windows", w, buckets)
+                    at, w = at[twice], w[twice]
+                    text = np.searchsorted(bounds, at, "right") - 1
+                    single.add(docs[row + text], hashes[row + text], at - bounds[text] + base, np.zeros(len(at), np.int64), np.ones(len(at), np.int64), data, at, w)
+                    first, last, core, h = first[~hot], last[~hot], core[~hot], h[~hot]
                 text = np.searchsorted(bounds, first, "right") - 1
-                held.append(
-                    {
-                        "doc": docs[row + text], "t": hashes[row + text], "start": first - bounds[text], "offset": anchor - first, "size": last - first + 1,
-                        "content": prefix.hash(first, last + WIDTH), "lead": _leading(data, anchor), "gram": gram, "slice": np.full(len(first), len(texts)), "at": first,
-                    }
-                )
-                texts.append(data)
-                gathered += len(data)
-                if gathered >= _GATHER:
-                    yield from flush()
-                    texts, held, gathered = [], [], 0
-        if held:
-            yield from flush()
+                around.add(docs[row + text], hashes[row + text], first - bounds[text] + base, core - first, last - first + 1, data, first, h)
+                for some in (around, single):
+                    if some.held >= _GATHER:
+                        yield from some.rows(splitters, parts)
+        for some in (around, single):
+            yield from some.rows(splitters, parts)
 
     return run
 
 
-def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of 64-bit words, and the number of each ordered row's class of equal rows.
+def multikey_order(keys: np.ndarray, small: int = 1024) -> np.ndarray:
+    """Order of the rows of 64-bit words, by multikey quicksort.
 
-    Multikey quicksort, level by level: rows are sorted by one word, and only rows that tie with a
-    neighbour go on to the next word.
+    Rows are parted by their word at some depth into those below, at and above a pivot, the median
+    of three; those at it go on with the next word. Short stretches are sorted at once.
     """
-    n, width = keys.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    todo = np.arange(n)  # places in the order that are still tied
-    for k in range(width):
-        if not len(todo):
+    order = np.arange(len(keys))
+    todo = [(0, len(keys), 0)]
+    while todo:
+        a, b, k = todo.pop()
+        if b - a < 2 or k == keys.shape[1]:
+            continue
+        rows = order[a:b]
+        if b - a <= small:
+            order[a:b] = rows[np.lexsort(keys[rows, k:].T[::-1])]
+            continue
+        word = keys[rows, k]
+        pivot = np.sort(word[[0, (b - a) // 2, -1]])[1]
+        below, above = word < pivot, word > pivot
+        at = ~(below | above)
+        n, m = int(below.sum()), int(at.sum())
+        order[a:b] = np.concatenate([rows[below], rows[at], rows[above]])
+        todo += [(a, a + n, k), (a + n, a + n + m, k + 1), (a + n + m, b, k)]
+    return order
+
+
+def shared_bytes(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of the order shares with the one before it (the first: none)."""
+    shared = np.zeros(len(order), np.int64)
+    on = np.arange(1, len(order))
+    for k in range(keys.shape[1]):
+        if not len(on):
             break
-        rows = order[todo]
-        by = np.lexsort((keys[rows, k], group[todo]))
-        order[todo] = rows[by]
-        word = keys[order[todo], k]
-        same = np.zeros(n, bool)
-        joint = (group[todo][1:] == group[todo][:-1]) & (word[1:] == word[:-1]) & (todo[1:] == todo[:-1] + 1)
-        same[todo[1:]] = joint
-        group = np.cumsum(~same) - 1
-        size = np.bincount(group)
-        todo = np.flatnonzero(size[group] > 1)
-    return order, group
-
-
-def _compare(c: dict[str, np.ndarray], data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of windows of these runs that also start earlier; ``base`` is where a run's bytes lie in ``data``."""
-    # By document and place, so that the first of equal windows is the earliest.
-    rank = np.lexsort((c["start"], c["t"], c["doc"]))
-    c, base = {f: v[rank] for f, v in c.items()}, base[rank]
+        differ = keys[order[on], k] ^ keys[order[on - 1], k]
+        # Leading zero bytes of the difference.
+        zero = np.zeros(len(on), np.int64)
+        for byte in range(7, -1, -1):
+            zero += (zero == 7 - byte) & ((differ >> np.uint64(8 * byte)) & np.uint64(255) == 0)
+        shared[on] += zero
+        on = on[differ == 0]
+    return shared
+
+
+def _kept_high(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The most significant ``count`` bytes of each word (0 or less: none; 8 or more: all)."""
+    count = np.clip(count, 0, 8)
+    shift = np.minimum(8 * (8 - count), 63).astype(np.uint64)
+    return np.where(count > 0, words >> shift << shift, np.uint64(0))
+
+
+def suffix_words(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from each place as big-endian words; zeros beyond ``size`` bytes."""
+    eight = lanes(data)
+    steps = -(-width // 8)
+    return np.stack([_kept_high(eight[np.minimum(at + 8 * k, len(data))].byteswap(), np.minimum(size, width) - 8 * k) for k in range(steps)], axis=1)
+
+
+def prefix_words(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes before each place, nearest first, as big-endian words; zeros beyond ``size`` bytes."""
+    room = 8 * -(-width // 8)
+    eight = lanes(np.concatenate([np.zeros(room, np.uint8), data]))
+    return np.stack([_kept_high(eight[at + room - 8 * (k + 1)].astype(np.uint64), np.minimum(size, width) - 8 * k) for k in range(room // 8)], axis=1)
+
+
+def _classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the number of its class of rows that share ``depth`` leading bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < depth)
+    return out
+
+
+def repeats(c: dict[str, np.ndarray], data: np.ndarray, core: int) -> tuple[tuple[np.ndarray, ...], bytes, bytes]:
+    """Spans (doc, t, first byte, last byte + 1) of windows of these runs that also start earlier; the first and last suffix.
+
+    ``data`` holds the runs' bytes in a row; a run's core of ``core`` bytes starts at its ``offset``.
+    """
+    side = WIDTH - core
     length = c["size"] + WIDTH - 1
-    text = data[_flat(base, length)]
-    base = np.cumsum(length) - length
-    where = _flat(base, c["size"])
-    of = np.repeat(np.arange(len(base)), c["size"])
-    start = c["start"][of] + where - base[of]
-    h = Prefix(text).hash(where, where + WIDTH)
-    by = np.argsort(h, kind="stable")
-    head = np.append(True, h[by][1:] != h[by][:-1])
-    first = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    gone = np.zeros(len(by), bool)
-    gone[by] = (c["doc"][of[by]] != c["doc"][of[first]]) | (c["t"][of[by]] != c["t"][of[first]]) | (start[by] != start[first])
-    # Neighbouring windows of a run make one span.
-    same = np.append(False, (of[1:] == of[:-1]) & gone[1:] & gone[:-1])
-    begin, end = np.flatnonzero(gone & ~same), np.flatnonzero(gone & ~np.append(same[1:], False))
-    return c["doc"][of[begin]], c["t"][of[begin]], start[begin], start[end] + WIDTH
+    at = np.cumsum(length) - length + c["offset"]
+    right = suffix_words(data, at, length - c["offset"], WIDTH)
+    order = multikey_order(right)
+    ends = [_bytes_at(data, at[order[[i]]], core).tobytes() for i in (0, -1)]
+    shared = shared_bytes(right, order)
+    del right
+    # Only runs whose core another one has go on, in the order of documents and places.
+    joint = np.append(shared[1:] >= core, False) | (shared >= core)
+    kept = np.zeros(len(order), bool)
+    kept[order[joint]] = True
+    rank = np.lexsort((c["start"] + c["offset"], c["t"], c["doc"]))
+    rank = rank[kept[rank]]
+    number = np.full(len(order), -1)
+    number[rank] = np.arange(len(rank))
+    order, shared = number[order[joint]], shared[joint]
+    c, at = {f: v[rank] for f, v in c.items()}, at[rank]
+    left = prefix_words(data, at, c["offset"], max(side, 1))
+    back = multikey_order(left)
+    before = shared_bytes(left, back)
+    place = c["start"] + c["offset"]
+    gone = np.zeros((len(rank), side + 2), bool)  # by how many bytes a window starts before the core, between two empty columns
+    for n in range(side + 1):
+        rows = np.flatnonzero((n <= c["offset"]) & (n > c["offset"] - c["size"]))
+        if not len(rows):
+            continue
+        key = _classes(order, shared, WIDTH - n)[rows]
+        if n:
+            key = key * (len(rank) + 1) + _classes(back, before, n)[rows]
+        by = np.argsort(key, kind="stable")
+        head = np.append(True, key[by][1:] != key[by][:-1])
+        first, rows = rows[by[np.flatnonzero(head)[np.cumsum(head) - 1]]], rows[by]
+        gone[rows, n] = (c["doc"][rows] != c["doc"][first]) | (c["t"][rows] != c["t"][first]) | (place[rows] != place[first])
+    edges = np.diff(gone.astype(np.int8), axis=1, prepend=0)
+    row, low = np.nonzero(edges == 1)
+    _, high = np.nonzero(edges == -1)
+    return (c["doc"][row], c["t"][row], place[row] - high + 1, place[row] - low + WIDTH), ends[0], ends[1]
+
+
+_FOUND = "bucket long, kind int, _doc long, _t long, a long, b long, low binary, high binary"
 
 
 def _find_repeats(table: pa.Table) -> pa.Table:
-    """A range's runs -> covered spans (doc, t, first byte, last byte + 1)."""
-    held: dict[str, list[np.ndarray]] = {f: [] for f in _FIELDS}
-    late: dict[str, list[np.ndarray]] = {f: [] for f in _FIELDS}
-    bodies = []
+    """A range's runs -> covered spans; and for each kind a row (no span) with its first and last suffix."""
+    bucket = table.column("bucket")[0].as_py()
+    held: dict[int, dict[str, list[np.ndarray]]] = {}
+    bodies: dict[int, list[np.ndarray]] = {}
     for i in range(table.num_rows):
         row = {c: table.column(c)[i].as_py() for c in table.column_names}
-        into = late if row["kind"] else held
+        into = held.setdefault(row["kind"], {f: [] for f in _FIELDS})
         for f in _FIELDS:
             into[f].append(unsqueeze(row[f], row["n"]).astype(np.int64))
-        if not row["kind"]:
-            bodies.append(np.frombuffer(pa.decompress(row["bytes"], decompressed_size=row["length"], codec="zstd", asbytes=True), np.uint8))
-    spans = []
-    if late["doc"]:
-        c = {f: np.concatenate(v) for f, v in late.items()}
-        spans.append((c["doc"], c["t"], c["start"], c["start"] + c["size"] - 1 + WIDTH))
-    if held["doc"]:
-        c = {f: np.concatenate(v) for f, v in held.items()}
-        data = np.concatenate(bodies)
-        del bodies
-        length = c["size"] + WIDTH - 1
-        base = np.cumsum(length) - length
-        at = base + c["offset"]
-        words = np.stack([_leading(data, at + 8 * k) for k in range(CORE // 8)], axis=1)
-        order, group = multikey_order(words)
-        del words
-        # Equal windows lie in one class, so whole classes are compared, about WINDOWS windows at a time.
-        many = np.bincount(group)[group] > 1
-        order, group = order[many], group[many]
-        load = np.cumsum(c["size"][order])
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
-        cuts = np.unique(np.append(heads[np.searchsorted(load[heads], np.arange(0, load[-1], WINDOWS), "left").clip(max=len(heads) - 1)], len(order))) if len(order) else np.zeros(0, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            spans.append(_compare({f: v[order[a:b]] for f, v in c.items()}, data, base[order[a:b]]))
-    columns = [np.concatenate([s[i] for s in spans]) if spans else np.zeros(0, np.int64) for i in range(4)]
-    return pa.table(dict(zip(("_doc", "_t", "a", "b"), (pa.array(x, pa.int64()) for x in columns))))
+        if row["kind"] != _LATE:
+            bodies.setdefault(row["kind"], []).append(np.frombuffer(pa.decompress(row["bytes"], decompressed_size=row["length"], codec="zstd", asbytes=True), np.uint8))
+    out = []
+    for kind in sorted(held):
+        c = {f: np.concatenate(v) for f, v in held.pop(kind).items()}
+        if kind == _LATE:
+            spans = (c["doc"], c["t"], c["start"], c["start"] + c["size"] - 1 + WIDTH)
+        else:
+            spans, low, high = repeats(c, np.concatenate(bodies.pop(kind)), CORE if kind == _AROUND else WIDTH)
+            out.append([pa.array([bucket]), pa.array([kind], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([low], pa.binary()), pa.array([high], pa.binary())])
+        n = len(spans[0])
+        out.append([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.array(x, pa.int64()) for x in spans), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())])
+    names = ["bucket", "kind", "_doc", "_t", "a", "b", "low", "high"]
+    return pa.concat_tables([pa.Table.from_arrays(columns, names) for columns in out])
+
+
+def _boundaries_differ(found: DataFrame, parts: int) -> None:
+    """Raises if equal suffixes lie on both sides of a boundary: a splitter parted them."""
+    ends = found.where("kind IS NOT NULL").select("kind", F.pmod("bucket", F.lit(parts)).alias("part"), "bucket", "low", "high")
+    before = F.lag("high").over(Window.partitionBy("kind", "part").orderBy("bucket"))
+    if not ends.withColumn("before", before).where("before >= low").isEmpty():
+        raise ValueError("equal suffixes lie in two ranges")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -336,20 +474,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store = Store(Scratch(spark, "substrings").path("grams"))
+    scratch = Scratch(spark, "substrings")
+    store = Store(scratch.path("arrays"))
     texts = docs.where(F.octet_length("text") >= WIDTH).select(_key().alias("_doc"), F.xxhash64("text").alias("_t"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(tidy(_count_grams(buckets)), BUCKET_DDL)
-    found = counted.groupBy("bucket").applyInArrow(tidy_group(_write_repeated(store)), "bucket int, lead array<long>, gram array<long>").collect()  # SAMPLE pairs a bucket at most
-    for b in set(range(buckets)) - {r["bucket"] for r in found}:
-        store.put(f"grams-{b}", np.zeros(0, np.uint64))
-    pairs = np.array([(x, g) for r in found for x, g in zip(r["lead"], r["gram"])], np.int64).reshape(-1, 2).astype(np.uint64)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    ranges = 2 * buckets
-    splitters = pairs[(np.arange(1, ranges) * len(pairs)) // ranges] if len(pairs) else pairs
-    sent = texts.mapInArrow(tidy(_send_runs(store, buckets, splitters)), _RUNS_DDL)
-    covered = sent.groupBy("bucket").applyInArrow(tidy_group(_find_repeats), "_doc long, _t long, a long, b long")
-    return covered.groupBy("_doc", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    buckets = buckets_for(texts, "text")
+
+    def count(kind: str, hot: Store | None, limit: int | None) -> list:
+        counted = texts.select("text").mapInArrow(tidy(_count(buckets, hot)), BUCKET_DDL).repartition(buckets, "bucket")
+        sample = max(16, MOST_RANGES // buckets)
+        rows = counted.groupBy("bucket").applyInArrow(tidy_group(_write_repeated(store, kind, limit, sample)), _WRITTEN).collect()  # MOST_RANGES suffixes, or 16 a bucket
+        for b in set(range(buckets)) - {r["bucket"] for r in rows}:
+            for name in (kind, "hot") if limit is not None else (kind,):
+                store.put(f"{name}-{b}", np.zeros(0, np.uint64))
+        return rows
+
+    rows = count("cores", None, HOT)
+    any_hot = any(r["hot"] for r in rows)
+    if any_hot:
+        rows += count("windows", store, None)
+    suffixes = np.sort(np.concatenate([np.zeros(0, f"S{WIDTH}"), *(np.frombuffer(r["suffixes"], f"S{WIDTH}") for r in rows)]))
+    wanted = max(16, sum(r["runs"] for r in rows) * (WIDTH + 25) // RANGE_BYTES)
+    ranges = min(wanted, MOST_RANGES)
+    parts = -(-wanted // ranges)
+    store.put("splitters", np.unique(suffixes[(np.arange(1, ranges) * len(suffixes)) // ranges]) if len(suffixes) else suffixes)
+    sent = texts.mapInArrow(tidy(_send(store, buckets, any_hot, parts)), _RUNS_DDL).repartition(ranges * parts, "bucket")
+    found = scratch.table("found", sent.groupBy("bucket").applyInArrow(tidy_group(_find_repeats), _FOUND))
+    scratch.drop("arrays")
+    _boundaries_differ(found, parts)
+    return found.where("_doc IS NOT NULL").groupBy("_doc", "_t").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
 
 
 def _key():
@@ -374,11 +526,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["row", "kept", "spans"])
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, kept: str = "kept", spans: str = "spans") -> DataFrame:
     """Each row with ``kept`` (its remaining bytes) and ``spans`` (merged runs of removed bytes, as offsets a to b)."""
-    spans = repeated_spans(docs)
-    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    found = repeated_spans(docs)
+    stay = [c for c in docs.columns if c.lower() not in (kept.lower(), spans.lower())]
+    # Numbered names inside, so that other columns may be called anything.
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(stay)])
     keyed = docs.select(_key().alias("_doc"), F.xxhash64("text").alias("_t"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    joined = keyed.join(spans, ["_doc", "_t"], "left").select("text", "_spans", "row")
+    joined = keyed.join(found, ["_doc", "_t"], "left").select("text", "_spans", "row")
     schema = joined.select("row", F.lit(b"").alias("kept"), F.col("_spans").alias("spans")).schema
-    return joined.mapInArrow(tidy(_cut), schema).select("row.*", "kept", "spans")
+    out = joined.mapInArrow(tidy(_cut), schema)
+    return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(stay)], F.col("kept").alias(kept), F.col("spans").alias(spans))

@@ -1,36 +1,27 @@
 """Words of UTF-8 texts as byte ranges with 64-bit hashes, for whole Arrow batches at once.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are polynomial over the
-ring of 64-bit integers with a random value for each byte, then mixed; any byte range of a batch
-gets its hash from two prefix sums.
+A word is a maximal run of bytes other than space and 0x09-0x0D. A range's hash starts from its
+length and takes in eight bytes at a time, scrambled after each step; ranges of over ``LANES`` steps
+are hashed by BLAKE2b instead. No arithmetic of the bytes themselves survives, so that texts of a
+certain make (complements, shifts, repetitions) collide no more often than random ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_RADIX = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_RADIX, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Steps of eight bytes that are taken for a whole batch at once.
+LANES = 20
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("_powers", _RADIX), ("_inverses", _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            globals()[name] = np.multiply.accumulate(table)
+#: What of eight bytes lies within the first k.
+_WITHIN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,23 +64,78 @@ def slices(arr: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]
         at = to
 
 
-class Prefix:
-    """Prefix sums from which any byte range's hash follows."""
-
-    def __init__(self, data: np.ndarray):
-        _grow(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * _powers[: len(data)], out=self.sums[1:])
+def blocks(arr: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array, bool]]:
+    """(first row, slice, whether its last text goes on in the next) of about ``most`` bytes each.
+
+    A longer text is cut before single spaces between two words, so that its words and the pieces
+    that a tokenizer splits it into are those of its blocks in a row.
+    """
+    for at, part in slices(arr, most):
+        data, _ = raw(part)
+        if len(part) > 1 or len(data) <= most:
+            yield at, part, False
+            continue
+        start = 0
+        while len(data) - start > most:
+            to = _cut_near(data, start + most)
+            if to <= start or to >= len(data):
+                break
+            yield at, pa.array([data[start:to].tobytes()], pa.binary()), True
+            start = to
+        yield at, pa.array([data[start:].tobytes()], pa.binary()), False
+
+
+def _cut_near(data: np.ndarray, at: int, step: int = 1 << 16) -> int:
+    """The first place from ``at`` on where a single space stands between two ASCII letters or digits."""
+    while at < len(data):
+        part = data[at - 1 : at + step + 1]
+        plain = (part >= 0x30) & (part < 0x80) & _IS_WORD[part]
+        hit = np.flatnonzero((part[1:-1] == 0x20) & plain[:-2] & plain[2:])
+        if len(hit):
+            return at + int(hit[0])
+        at += step
+    return len(data)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one little-endian number; beyond the end there are zeros."""
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte range."""
+    eight = lanes(data)
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    on = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for k in range(LANES):
+        if not len(on):
+            break
+        left = size[on] - 8 * k
+        v = eight[starts[on] + 8 * k] & _WITHIN[np.minimum(left, 8)]
+        h[on] = joined(h[on], v)
+        on = on[left > 8]
+    for i in np.flatnonzero(size > 8 * LANES):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _inverses[start])
 
-    def fixed(self, width: int) -> np.ndarray:
-        """Hashes of all ranges of ``width`` bytes."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * _inverses[:n])
+def same_ranges(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ranges of two byte arrays hold the same bytes, pairwise; ``size`` holds for both."""
+    out = np.ones(len(size), bool)
+    left, right = lanes(a), lanes(b)
+    on = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for k in range(LANES):
+        if not len(on):
+            break
+        rest = size[on] - 8 * k
+        same = (left[a_starts[on] + 8 * k] ^ right[b_starts[on] + 8 * k]) & _WITHIN[np.minimum(rest, 8)] == 0
+        out[on[~same]] = False
+        on = on[same & (rest > 8)]
+    for i in np.flatnonzero(size > 8 * LANES):
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -42,6 +42,14 @@ def test_line_windows_edges(spark, empty):
     assert got[None, "t"] == "p\nq\nr" and got[6, "h"] == ""
 
 
+def test_line_windows_leave_other_columns(spark):
+    rows = [(1, "a\nb\nc", 7, 8, 9, 10, 11), (2, "a\nb\nc\nd", 7, 8, 9, 10, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d int, _H int, _gone int, _ls int, _key int")
+    got = line_windows.dedup_line_windows(df, n_lines="lines", n_removed="gone").orderBy("doc_id")
+    assert got.columns == [*df.columns, "lines", "gone"]
+    assert [tuple(r) for r in got.collect()] == [(1, "a\nb\nc", 7, 8, 9, 10, 11, 3, 0), (2, "d", 7, 8, 9, 10, 11, 4, 3)]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
@@ -170,26 +178,68 @@ def test_substring_edges(spark, empty):
     assert kept == [(0, len(long)), (1, 0), (2, 0), (2, 0), (3, 0), (4, 99)]
 
 
-def test_a_long_text_is_hashed_in_parts(monkeypatch):
-    import numpy as np
-
-    from siltstone.llm.words import raw
-
+def test_a_long_text_is_read_in_blocks(monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice("abcd ") for _ in range(3000))
-    whole = substrings.runs(*raw(pa.array([text])))
-    monkeypatch.setattr(substrings, "_CHUNK", 256)
-    parts = substrings.runs(*raw(pa.array([text])))
-    cover = lambda r: sorted((int(c), s) for a, b, c in zip(r[0], r[1], r[2]) for s in range(a, b + 1))
-    assert cover(whole) == cover(parts) and len(np.unique([s for _, s in cover(whole)])) == len(text) - 99
+
+    def cover():
+        out = []
+        for _, data, bounds, base in substrings.blocks(pa.array(["x", text])):
+            first, last, core = substrings.runs(data, bounds)
+            out += [(base + s, base + k) for a, b, k in zip(first, last, core) for s in range(a, b + 1)]
+        return sorted(out)
+
+    whole = cover()
+    monkeypatch.setattr(substrings, "_BLOCK", 256)
+    parts = cover()
+    # The first text goes before the second in one block, and is too short for a window.
+    assert [(s - 1, k - 1) for s, k in whole] == parts and [s for s, _ in parts] == list(range(len(text) - 99))
+
+
+@pytest.mark.parametrize("hot,size", [(3, 2000), (1 << 14, 2000), (5, 1 << 25)])
+def test_hot_cores_and_many_ranges(spark, monkeypatch, hot, size):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", size)
+    monkeypatch.setattr(substrings, "SAMPLED", 3)
+    monkeypatch.setattr(substrings, "MOST_RANGES", 20)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    other = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    pairs = [(i, other(rng.randrange(80)) + line + rng.choice(["", line[:20], other(rng.randrange(60))]) + other(20)) for i in range(60)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in substrings.cut_repeats(df).collect()}
+    assert got == plain_substrings(pairs)
+
+
+def test_columns_of_the_same_names(spark):
+    long = "".join(chr(97 + i % 26) + str(i) for i in range(80))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, long, 1, 2, 3)], "doc_id long, text string, Kept int, _doc int, row int")
+    got = substrings.cut_repeats(df)
+    assert got.columns == ["doc_id", "text", "_doc", "row", "kept", "spans"]
+    assert [(r["doc_id"], r["_doc"], r["row"], len(r["kept"])) for r in got.orderBy("doc_id").collect()] == [(1, 2, 3, len(long)), (2, 2, 3, 0)]
 
 
-def test_multikey_order():
+@pytest.mark.parametrize("small", [1, 8, 1000])
+def test_multikey_order_and_shared_bytes(small):
     import numpy as np
 
     rng = np.random.default_rng(4)
-    keys = rng.integers(0, 3, (200, 4)).astype(np.uint64)
-    order, group = substrings.multikey_order(keys)
-    rows = [tuple(keys[i]) for i in order]
-    assert rows == sorted(rows)
-    assert all((group[i] == group[i + 1]) == (rows[i] == rows[i + 1]) for i in range(199))
+    texts = [bytes(rng.integers(97, 99, rng.integers(0, 20)).astype(np.uint8)) for _ in range(400)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    at = np.cumsum(size) - size
+    for words, rows in ((substrings.suffix_words(data, at, size, 20), texts), (substrings.prefix_words(data, at + size, size, 20), [t[::-1] for t in texts])):
+        order = substrings.multikey_order(words, small)
+        ranked = [rows[i].ljust(24, b"\0") for i in order]
+        assert ranked == sorted(ranked)
+        shared = substrings.shared_bytes(words, order)
+        expected = [next((k for k in range(24) if a[k] != b[k]), 24) for a, b in zip(ranked, ranked[1:])]
+        assert shared[1:].tolist() == expected
+
+
+def test_parted_equal_suffixes_are_noticed(spark):
+    rows = [(0, 0, b"a", b"c"), (1, 0, b"d", b"f"), (1, 1, b"a", b"b")]
+    df = spark.createDataFrame(rows, "bucket long, kind int, low binary, high binary")
+    substrings._boundaries_differ(df, 1)
+    with pytest.raises(ValueError):
+        substrings._boundaries_differ(df.union(spark.createDataFrame([(2, 0, b"f", b"g")], df.schema)), 1)

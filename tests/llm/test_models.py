@@ -72,6 +72,21 @@ def test_model_edges(spark, empty):
     assert sorted(r["n_tokens"] for r in odd) == [1, 2, 2, 3001] and not any(r["held_out"] for r in odd if r["doc_id"] is None)
 
 
+def test_words_of_one_hash_by_construction_and_texts_in_blocks(spark, pairs, monkeypatch):
+    one = b"a"
+    while len(one) < 1024:
+        one += one.translate(bytes.maketrans(b"ab", b"ba"))
+    other = one.translate(bytes.maketrans(b"ab", b"ba"))
+    df = spark.createDataFrame([(1, one.decode()), (3, other.decode()), (4, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in kneser_ney.score_documents(df).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert all(r["n_known"] == (2 if i not in held else 1) for i, r in got.items())
+    arr = pa.array([t for _, t in pairs] + ["b a " * 400])
+    whole = [kneser_ney._words(part, more) for _, part, more in kneser_ney.blocks(arr)]
+    parts = [kneser_ney._words(part, more) for _, part, more in kneser_ney.blocks(arr, 200)]
+    assert len(parts) > len(whole) == 1 and (np.concatenate([h for h, _ in parts]) == whole[0][0]).all()
+
+
 def test_packed_rows_and_counter():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(40)
@@ -123,47 +138,73 @@ def test_without_labels_everything_is_unknown(spark, empty):
     assert langid.identify(empty, langid.fit(empty)).count() == 0
 
 
+def test_clashing_names_and_repeated_ids(spark):
+    rows = [(0, f"{t} {i}", lang, 1, 2, 3) for i, (_, t, lang) in enumerate(corpus(6, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _found int, _FOUND_ int, h int")
+    model = langid.fit(df, sample_docs=3)
+    got = langid.identify(df, model)
+    assert model.languages == ["de", "en", "fr"] and got.columns == [*df.columns, "lang_pred", "score"]
+    assert {(r["_found"], r["_FOUND_"], r["h"]) for r in got.collect()} == {(1, 2, 3)}
+
+
+def test_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, "a b c", "xyzzy"[i % 5]) for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(df).languages == ["y", "z"]
+
+
 def test_gradients_against_differences():
     model = langid.Model.fresh(["a", "b"], hidden=3)
-    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
-    x, on = langid._grid([b"ab", b"c"])
-    goal = np.array([0, 1])
-
-    def loss(w, grads=None):
-        kf, kb = ([], []) if grads is not None else (None, None)
-        f = langid._run(w, "f", x, on, kf).astype(float)
-        b = langid._run(w, "b", x[::-1], on[::-1], kb)[::-1].astype(float)
-        both = np.concatenate([f, b], axis=2)
-        z = both @ w["out"] + w["bias"]
-        p = np.exp(z) / np.exp(z).sum(axis=2, keepdims=True)
-        value = -(np.log(p[:, np.arange(2), goal]) * on).sum()
-        if grads is not None:
-            p[:, np.arange(2), goal] -= 1
-            d = p * on[:, :, None]
-            dboth = d @ w["out"].T
-            langid._back(w, "f", x, kf, dboth[:, :, :3], grads)
-            langid._back(w, "b", x[::-1], kb, dboth[::-1, :, 3:], grads)
-        return value
-
-    grads = {}
-    loss(w, grads)
+    windows, goal = [b"ab a", b"c", b"bca"], np.array([0, 1, 0])
+    _, grads = langid.gradients(model, windows, goal)
     rng = np.random.default_rng(1)
-    for k in ("xf", "hf", "cf", "xb", "hb", "cb"):
-        at = tuple(rng.integers(0, n) for n in w[k].shape) if k[0] != "x" else (ord("a"), int(rng.integers(0, 9)))
-        step, old = 1e-3, w[k][at]
-        w[k][at] = old + step
-        up = loss(w)
-        w[k][at] = old - step
-        down = loss(w)
-        w[k][at] = old
-        assert grads[k][at] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-3)
-
-
-def test_memoised_sums_equal_fresh_ones():
-    rows = corpus(9, 30)
-    model = langid.train({lang: [w.encode() for _, t, g in rows if g == lang for w in t.split()] for lang in LANGS}, epochs=1)
-    r = langid.Reader(model)
-    texts = pa.array([t for _, t, _ in rows])
-    first, again = r.predict(texts), r.predict(texts)
-    assert first[0] == again[0] and np.allclose(first[1], again[1])
-    assert first[0] == [langid.Reader(model).predict(pa.array([t]))[0][0] for _, t, _ in rows]
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    for k, w in model.weights.items():
+        for _ in range(3):
+            at = tuple(rng.integers(0, n) for n in w.shape) if k[0] != "x" else (int(rng.integers(0, 9)), ord("a"))
+            step, old = 1e-3, w[at]
+            w[at] = old + step
+            up, _ = langid.gradients(model, windows, goal)
+            w[at] = old - step
+            down, _ = langid.gradients(model, windows, goal)
+            w[at] = old
+            assert grads[k][at] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-4)
+
+
+def plain_labels(w, window):
+    """One window, a byte at a time."""
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    out = np.zeros((len(window), len(w["bias"])))
+    for d, places in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+        n = w[f"c{d}"].shape[0]
+        h = np.zeros(n)
+        for t in places:
+            a, u = w[f"x{d}"][:, window[t]], w[f"h{d}"] @ h
+            z, r = logistic(a[:n] + u[:n]), logistic(a[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * (u[2 * n :] + w[f"c{d}"][:, 0]))
+            h = new + z * (h - new)
+            out[t] += w[f"o{d}"] @ h
+    e = np.exp(out + w["bias"][:, 0])
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_predictions_against_a_byte_at_a_time(monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", 40)
+    monkeypatch.setattr(langid, "COLUMNS", 7)
+    model = langid.Model.fresh(["p", "q", "r"], hidden=4)
+    texts = [t for _, t, _ in corpus(9, 12)] + ["é", "a", "", None, "12 a 3", "12"]
+    langs, scores = langid.Reader(model).predict(pa.array(texts))
+    for t, lang, score in zip(texts, langs, scores):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        sums, n = np.zeros(3), 0
+        for at in range(0, len(data), 40):
+            p, on = plain_labels(model.weights, data[at : at + 40]), langid._MAYBE[data[at : at + 40]]
+            sums, n = sums + p[on].sum(axis=0), n + on.sum()
+        assert lang == ("und" if not n else "pqr"[sums.argmax()]) and score == pytest.approx(sums.max() / n if n else 0, abs=1e-5)
+
+
+def test_state_goes_on_across_words():
+    model = langid.Model.fresh(["p", "q"], hidden=4)
+    x = np.frombuffer(b"abc def ghi" + b"xyz def ghi", np.uint8).reshape(2, 11).T
+    p = langid._labels(model.weights, np.ascontiguousarray(x), np.array([11, 11]))
+    assert np.abs(p[4:, :, 0] - p[4:, :, 1]).min() > 0  # the same bytes after another word
