@@ -8,7 +8,8 @@ eight-bit frames (64 bytes a sample), a chunk and a keyframe every 16 samples.
 
 Cases: a null text is an empty one; null media give nulls and ``error`` "no media"; damaged media
 give nulls and a reason, never an exception; a track without stss has every sample a keyframe;
-equal texts give equal values; other columns stay. A value is held in memory whole, with tables
+equal texts give equal values; other columns stay, but ``probe`` replaces ``tracks`` and ``error``;
+an empty table gives no row. A value is held in memory whole, with tables
 of 12 bytes a sample.
 """
 
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from siltstone.llm.worker import tidy
-from siltstone.session import ship, small_batches
+from siltstone.session import fresh_name, ship, small_batches
 
 SIDE, FRAME, GROUP, TIMESCALE = 8, 64, 16, 25
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -143,7 +145,7 @@ def _tables(data: bytes, at: int, end: int, track: Track) -> None:
     for kind, a, b in boxes(data, at, end):
         if kind == b"stsd":
             if struct.unpack_from(">I", data, a + 4)[0]:
-                track.codec = data[a + 12 : a + 16].decode("latin-1")
+                track.codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
                 if track.handler == "vide" and a + 44 <= b:
                     track.width, track.height = struct.unpack_from(">HH", data, a + 40)
         elif kind == b"stts":
@@ -202,7 +204,7 @@ def parse(data: bytes) -> list[Track]:
                 wide = data[a] == 1
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
             elif kind == b"hdlr" and tracks:
-                tracks[-1].handler = data[a + 8 : a + 12].decode("latin-1")
+                tracks[-1].handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
             elif kind == b"stbl" and tracks:
                 _tables(data, a, b, tracks[-1])
             elif kind in _NESTED:
@@ -241,22 +243,26 @@ def _track_row(t: Track) -> dict:
     return {"handler": t.handler, "codec": t.codec, "width": t.width, "height": t.height, "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes), "keyframes": keys}
 
 
+def _looked(data: pa.Buffer) -> dict:
+    try:
+        return {"tracks": [_track_row(t) for t in parse(memoryview(data))], "error": None}
+    except ValueError as e:
+        return {"tracks": None, "error": str(e)}
+
+
 def probe(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds ``tracks`` (``TRACK_TYPE``) and ``error``; the media data are not touched."""
     ship(df.sparkSession)
     small_batches(df.sparkSession)
 
-    @F.udf(f"struct<tracks:{TRACK_TYPE},error:string>", useArrow=True)
-    def look(data: bytes | None) -> dict:
-        if data is None:
-            return {"tracks": None, "error": "no media"}
-        try:
-            return {"tracks": [_track_row(t) for t in parse(bytes(data))], "error": None}
-        except ValueError as e:
-            return {"tracks": None, "error": str(e)}
+    kind = T._parse_datatype_string(f"struct<tracks:{TRACK_TYPE},error:string>")
+
+    @F.arrow_udf(kind)
+    def look(media: pa.Array) -> pa.Array:
+        return pa.array([_looked(m.as_buffer()) if m.is_valid else {"tracks": None, "error": "no media"} for m in media], to_arrow_type(kind))
 
-    found = df.withColumn("_found", look(F.col(media_col)))
-    return found.withColumn("tracks", F.col("_found.tracks")).withColumn("error", F.col("_found.error")).drop("_found")
+    found = fresh_name(df, "found")
+    return df.withColumn(found, look(F.col(media_col).cast("binary"))).withColumn("tracks", F.col(found)["tracks"]).withColumn("error", F.col(found)["error"]).drop(found)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,23 +281,32 @@ def store(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(_store), "doc_id long, n_bytes long, media binary")
 
 
-_SCHEMA = T.StructType(
-    [T.StructField(n, T.LongType() if t == "long" else T.StringType()) for n, t in (("doc_id", "long"), ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "s"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "s"), ("feature", "s"))]
-)
+def save(docs: DataFrame, path: str) -> DataFrame:
+    """``store``'s table as Parquet files below ``path``, read again."""
+    stored = store(docs)
+    stored.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(stored.schema).parquet(path)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            track = parse(data)[0]
-            got = sample_bytes(data, track)
-            rows.append((doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
-        columns = list(zip(*rows)) if rows else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(columns, _SCHEMA)], _SCHEMA.names)
+_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes array<struct<offset:long,length:long>>"
+
+
+def _read(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = memoryview(data.as_buffer())
+                track = parse(data)[0]
+                got, row = sample_bytes(data, track), _track_row(track)
+                rows.append((doc_id, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), *(row[k] for k in ("codec", "timescale", "duration", "keyframes"))))
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """From the stored bytes alone: the payload's digests and each file's feature."""
+    """From the stored bytes alone: the payload's digests, each file's feature, its codec, duration and keyframe byte ranges."""
     ship(stored.sparkSession)
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read), _SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_read(to_arrow_schema(T._parse_datatype_string(_DDL)))), _DDL)

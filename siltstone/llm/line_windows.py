@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import fresh_name
+
 WIDTH = 3
 
 
@@ -40,24 +42,24 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     return long_enough.where("w.full").select("d", "t", F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.col("w.g").alias("g"))
 
 
-def dedup_line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The input with ``text`` cut, and the columns _n_lines and _n_removed (null text: 0)."""
+def dedup_line_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """The input with ``text`` cut, and the columns ``n_lines`` and ``n_removed`` (null text: 0), which replace columns of these names."""
     rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), _lines(text).alias("ls"))
     windows = _windows(rows, width)
     place = F.struct("d", "t", "at")
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
     later = windows.join(repeated, ["h", "g"]).where(place > F.col("first"))
-    covered = later.groupBy("d", "t").agg(F.collect_set("at").alias("_starts")).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "_starts")
-    spread = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + width - 1))))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(covered, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    lines = _lines(text)
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone"))
-    cut = joined.withColumn("_ls", lines).withColumn("_gone", spread)
+    key, owner, own, starts, lines, gone = (fresh_name(docs, n) for n in ("key", "owner", "own", "starts", "lines", "gone"))
+    covered = later.groupBy("d", "t").agg(F.collect_set("at").alias(starts)).select(F.col("d").alias(owner), F.col("t").alias(own), starts)
+    spread = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + width - 1))))
+    joined = docs.withColumn(key, F.xxhash64(text)).join(covered, F.col(doc_id).eqNullSafe(F.col(owner)) & (F.col(key) == F.col(own)), "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    cut = joined.withColumn(lines, _lines(text)).withColumn(gone, spread)
     return (
-        cut.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_ls")))
-        .withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda i: F.col("_ls")[i]), "\n")))
-        .drop("_h", "_d", "_t", "_starts", "_ls", "_gone")
+        cut.withColumn(n_lines, F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
+        .withColumn(n_removed, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)))
+        .withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda i: F.col(lines)[i]), "\n")))
+        .drop(key, owner, own, starts, lines, gone)
     )
 
 

@@ -2,16 +2,18 @@
 
 Targets: sources ordered by code point, null last, weigh 5, 2, 1, 5, ...; they share the corpus's
 size in words, no target above ``MOST`` times its source (the excess is reshared by weight). The
-words of a source are dealt by a seeded hash of doc_id to shards of about ``SHARD_WORDS`` words,
-``MAX_SHARDS`` at most; a shard is cut into blocks of ``BLOCK_WORDS`` words (equal to within one
-word, across documents). Blocks go to sources, then to a source's shards, by highest quotients
+words of a source are dealt by a seeded hash of doc_id and text to shards of about ``SHARD_WORDS``
+words, ``MAX_SHARDS`` at most; a shard is cut into blocks of ``BLOCK_WORDS`` words (equal to within
+one word, across documents). Blocks go to sources, then to a source's shards, by highest quotients
 weight / (2 * seats + 1). A shard with quota q and n blocks takes each block q // n times and
 q % n of them once more, those that a seeded affine permutation puts first, so that selection
-needs no sort and no list of blocks.
+needs no sort and no list of blocks. Within a shard documents are ordered by their hash; where a
+source has more words than MAX_SHARDS shards of SHARD_WORDS hold, a shard is summed in parts, ranges
+of the hash, so that no task orders more than about SHARD_WORDS words' documents at any size.
 
 Per-source and per-shard totals reach the driver: at most MAX_SHARDS rows a source, and sources
-are bounded by ``MAX_SOURCES`` (more raise ValueError). The plan is joined by Spark, which
-broadcasts it only under its own threshold.
+are bounded by ``MAX_SOURCES`` (more raise ValueError: the targets are worked out there). The plan is
+joined by Spark, which broadcasts it only under its own threshold.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0
 take nothing; equal doc_ids of a source are ordered by size; an empty table gives no row.
@@ -23,6 +25,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,8 @@ MOST = 3
 BLOCK_WORDS, SHARD_WORDS, MAX_SHARDS, MAX_SOURCES = 64, 1 << 20, 1024, 100_000
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes above any shard's number of blocks: multiplying by one permutes the blocks.
-_PRIMES = (1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033, 1_000_000_087, 1_000_000_093)
+#: A shard's blocks stay below this, so that products of two of them fit 64 bits.
+MAX_BLOCKS = 1 << 31
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -88,6 +91,17 @@ def sainte_lague(weights: list[float], seats: int, most: list[int]) -> list[int]
     return [int(g) for g in got]
 
 
+def _multiplier(rng: np.random.Generator, blocks: int) -> int:
+    """A random number without a common divisor with ``blocks``: multiplying by it permutes them."""
+    if blocks >= MAX_BLOCKS:
+        raise ValueError("a shard has too many blocks: raise MAX_SHARDS")
+    while blocks > 2:
+        found = int(rng.integers(1, blocks))
+        if gcd(found, blocks) == 1:
+            return found
+    return 1
+
+
 _PLAN = "source string, shard int, source_size long, target double, words long, blocks long, each long, extra long, mult long, plus long"
 
 
@@ -114,18 +128,32 @@ def _plan(sized: DataFrame, seed: int) -> DataFrame:
             blocks = cut(n)
             rng = np.random.default_rng([seed, shard, *(s or "\0").encode()])
             each, extra = divmod(q, blocks) if blocks else (0, 0)
-            rows.append((s, shard, size_of[s], goal[s], n, blocks, each, extra, int(rng.choice(_PRIMES)), int(rng.integers(0, max(1, blocks)))))
+            rows.append((s, shard, size_of[s], goal[s], n, blocks, each, extra, _multiplier(rng, blocks), int(rng.integers(0, max(1, blocks)))))
     return spark.createDataFrame(rows, _PLAN)
 
 
-def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with size and h -> with their shard's plan and ``a``, the words before them in it."""
+def _placed(rows: DataFrame, sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with source, size and h -> with their shard's plan and ``a``, the words before them in it.
+
+    ``sized`` holds source, size and h of the same rows.
+    """
     counts = plan.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), *[c for c in plan.columns if c not in ("source", "shard")])
-    many = rows.sparkSession.createDataFrame([(r["source"], min(MAX_SHARDS, max(1, -(-r["source_size"] // SHARD_WORDS)))) for r in plan.select("source", "source_size").distinct().collect()], "s string, shards int")
-    keyed = rows.join(many, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", F.expr("pmod(h, shards)").cast("int")).drop("s", "shards")
-    full = keyed.join(counts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
-    before = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return full.withColumn("a", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # A source's shards and the parts of each.
+    cut = [(r["source"], max(1, -(-r["source_size"] // SHARD_WORDS))) for r in plan.select("source", "source_size").distinct().collect()]
+    many = rows.sparkSession.createDataFrame([(s, min(MAX_SHARDS, n), -(-n // MAX_SHARDS)) for s, n in cut], "s string, shards int, parts long")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        place = some.join(many, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", F.expr("pmod(h, shards)").cast("int"))
+        # The upper 31 bits of the order's key, so that parts follow the order.
+        return place.withColumn("part", F.expr("shiftrightunsigned(h, 33) * parts div 2147483648")).withColumn("high", F.expr("shiftrightunsigned(h, 33)")).drop("s", "shards", "parts")
+
+    sums = dealt(sized).groupBy("source", "shard", "part").agg(F.sum("size").alias("part_words"))
+    earlier = Window.partitionBy("source", "shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), F.col("part").alias("q_part"), F.coalesce(F.sum("part_words").over(earlier), F.lit(0)).alias("ahead"))
+    full = dealt(rows).join(counts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
+    full = full.join(ahead, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")) & (F.col("part") == F.col("q_part")))
+    before = Window.partitionBy("source", "shard", "part").orderBy("high", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return full.withColumn("a", F.col("ahead") + F.coalesce(F.sum("size").over(before), F.lit(0)))
 
 
 _TAKEN = """CASE WHEN size = 0 OR blocks = 0 THEN 0 ELSE each * size + aggregate(
@@ -135,7 +163,7 @@ _TAKEN = """CASE WHEN size = 0 OR blocks = 0 THEN 0 ELSE each * size + aggregate
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -143,7 +171,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sized = scratch.table("sized", _sized(rows, seed).select("doc_id", "source", "size", "h"))
-    placed = _placed(sized, _plan(sized, seed))
+    placed = _placed(sized, sized, _plan(sized, seed))
     return placed.select("doc_id", "size", "source_size", "target", F.expr(_TAKEN).alias("taken"), "source", "shard")
 
 
@@ -182,8 +210,8 @@ def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     packed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("struct<x:int>").alias("rest"))
     sized = _sized(packed, seed)
-    plan = _plan(scratch.table("sized", sized.select("source", "size", "h", "doc_id")), seed)
-    placed = _placed(sized, plan).where("size > 0 AND (each > 0 OR extra > 0)")
+    slim = scratch.table("sized", sized.select("source", "size", "h"))
+    placed = _placed(sized, slim, _plan(slim, seed)).where("size > 0 AND (each > 0 OR extra > 0)")
     names = ["a", "words", "blocks", "each", "extra", "mult", "plus"]
     kept = placed.select("doc_id", "source", "text", "rest", *names)
     schema = kept.select("doc_id", "source", "text", "rest").schema

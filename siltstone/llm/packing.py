@@ -8,7 +8,9 @@ that tier or any shorter one; what no rest fits is filled by a cut. Whatever is
 end is laid end to end and cut at powers of two. So every sequence is full, or its
 length is a power of two: no id of padding is needed.
 
-Sequences of a tier form step groups of equal ids (``STEP_IDS``), numbered in each task.
+Sequences of one length form step groups of ``STEP_IDS`` ids. The packed pieces are written first;
+then each task's sequences of a length are numbered after those of the tasks before it, so groups
+run on across tasks, and only the last group of a length may be short.
 
 Cases: a null text is an empty one (the end id alone); rows with equal or null doc_id are packed
 separately; an empty table gives no row; other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,40 +28,41 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.llm.tokens import encoder
 from siltstone.llm.worker import tidy
-from siltstone.session import ship, small_batches
+from siltstone.session import Scratch, ship, small_batches
 
 TIERS = (256, 512, 1024, 2048)
 #: Ids that one step group of a tier holds.
 STEP_IDS = 1 << 14
 #: Ids of rests that a task gathers before it packs them.
 WINDOW_IDS = 1 << 21
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("step_group", pa.int64())])
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, nth long"
+_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("nth", pa.int64())])
+#: Bits of a sequence's number within its task.
+_OWN = 40
 
 
 class Packer:
     """One task's packing. A rest is (length, order, doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, part: int, tiers: tuple[int, ...] = TIERS, step_ids: int = STEP_IDS):
-        self.tiers, self.step_ids, self.base = tiers, step_ids, part << 40
+    def __init__(self, part: int, tiers: tuple[int, ...] = TIERS):
+        self.tiers, self.base = tiers, part << _OWN
         self.sequences = 0
-        self.in_tier = dict.fromkeys(tiers, 0)
+        self.of_size: Counter[int] = Counter()
         self.rests: list[tuple] = []
         self.held = self.order = 0
         self.rows: list[tuple] = []
 
     def _close(self, pieces: list[tuple]) -> None:
         size = sum(p[0] for p in pieces)
-        tier = next((t for t in self.tiers if t >= size), self.tiers[-1])
-        group = self.in_tier[tier] // max(1, self.step_ids // tier)
-        self.in_tier[tier] += 1
         at = 0
         for length, _, doc_id, start, ids, total in pieces:
-            self.rows.append((doc_id, start, length, zlib.crc32(ids.astype("<u4").tobytes()), total, self.base + self.sequences, at, tier, self.base + group))
+            self.rows.append((doc_id, start, length, zlib.crc32(ids.astype("<u4").tobytes()), total, self.base + self.sequences, at, size, self.of_size[size]))
             at += length
+        self.of_size[size] += 1
         self.sequences += 1
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -131,9 +135,17 @@ def _pack(tokenizer: str, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence, with tier and step group."""
-    ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
+def pack(docs: DataFrame, tokenizer: str, end_id: int, step_ids: int = STEP_IDS) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence, the sequence's length (``tier``) and step group."""
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(_pack(tokenizer, end_id)), SCHEMA)
+    pieces = Scratch(spark, "packing").table("pieces", rows.mapInArrow(tidy(_pack(tokenizer, end_id)), SCHEMA))
+    part = F.shiftright("sequence_id", _OWN)
+    counts = pieces.groupBy(part.alias("part"), F.col("tier").alias("t")).agg((F.max("nth") + 1).alias("n"))
+    before = Window.partitionBy("t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("part", "t", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    numbered = pieces.join(ahead, (part == F.col("part")) & (F.col("tier") == F.col("t")))
+    group = F.expr(f"(ahead + nth) div greatest(1, {step_ids} div tier)").alias("step_group")
+    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", group)

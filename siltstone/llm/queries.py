@@ -33,7 +33,7 @@ def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isomedia.read_back(isomedia.store(read_table(spark, sf_dir, "documents")))
+    return isomedia.read_back(isomedia.save(read_table(spark, sf_dir, "documents"), Scratch(spark, "op4").path("media")))
 
 
 def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

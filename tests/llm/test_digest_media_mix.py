@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from siltstone.llm import digest, isomedia, mixing
+from siltstone.session import Scratch
 
 
 def test_fingerprints_and_edits_against_plain_python(spark, docs, pairs):
@@ -63,7 +64,15 @@ def test_digest_edges(spark, empty):
 
 
 def test_media_round_trip(spark, docs, pairs):
-    got = {r["doc_id"]: r for r in isomedia.read_back(isomedia.store(docs)).collect()}
+    where = Scratch(spark, "t").path("media")
+    got = {r["doc_id"]: r for r in isomedia.read_back(isomedia.save(docs, where)).collect()}
+    files = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(where).collect()}
+    assert {i: hashlib.sha256(m).hexdigest() for i, m in files.items()} == {i: r["media_sha256"] for i, r in got.items()}
+    for i, r in got.items():
+        payload = b"".join(files[i][k["offset"] : k["offset"] + 64] for k in r["keyframes"])
+        raw = (dict(pairs)[i] or "").encode()
+        assert payload == b"".join((raw + bytes(-len(raw) % 64 if raw else 64))[at : at + 64] for at in range(0, r["payload_bytes"], 1024))
+        assert r["codec"] == "raw " and r["duration"] == r["payload_bytes"] // 64
     for doc_id, t in pairs:
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -162,6 +171,35 @@ def test_drawn_texts_hold_the_words_taken(spark, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_large_sources_are_summed_in_parts(spark, docs, pairs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 50)
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 2)
+    got = mixing.mix(docs).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["source"], []).append(r)
+    for rows in per.values():
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 3 * mixing.BLOCK_WORDS
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(5)).collect()} == {r["doc_id"]: r["taken"] for r in got}
+    drawn = {r["doc_id"]: size_of(r["text"]) for r in mixing.draw(docs).collect()}
+    assert drawn == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
+
+
+def test_multipliers_permute():
+    import math
+
+    rng = np.random.default_rng(3)
+    assert all(math.gcd(mixing._multiplier(rng, n), n) == 1 for n in [1, 2, 3, 12, 30030, 10**9])
+    with pytest.raises(ValueError):
+        mixing._multiplier(rng, mixing.MAX_BLOCKS)
+
+
+def test_probe_leaves_other_columns(spark):
+    df = spark.createDataFrame([(isomedia.mux(bytes(64)), 5, 6)], "media binary, _found int, _FOUND_ int")
+    got = isomedia.probe(df).first()
+    assert (got["_found"], got["_FOUND_"], got["error"]) == (5, 6, None) and got["tracks"][0]["samples"] == 1
+
+
 def test_mix_edges(spark, empty):
     assert mixing.mix(empty).count() == 0 and mixing.draw(empty).count() == 0
     odd = spark.createDataFrame([(1, None, None), (2, "", "a"), (3, "x y", "a"), (3, "x y", "a"), (None, "z", None)], "doc_id long, text string, source string")

@@ -122,13 +122,23 @@ def test_packing_fills_long_windows_from_shorter_tiers():
     p.flush(last=True)
     rows = [dict(zip([f.name for f in packing._ARROW], r)) for r in p.rows]
     check_pieces(rows, expected)
-    full = {}
-    for r in rows:
-        full.setdefault((r["tier"], r["step_group"]), set()).add(r["sequence_id"])
-    assert all(len(s) <= max(1, packing.STEP_IDS // t) for (t, _), s in full.items())
     assert len({r["tier"] for r in rows}) > 1
 
 
+def test_step_groups_are_equal_across_tasks(spark, docs):
+    many = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).repartition(7)
+    rows = packing.pack(many, pt.path("word_bpe_49k.json"), 1, step_ids=2048).collect()
+    sizes, groups = {}, {}
+    for r in rows:
+        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+        groups.setdefault(r["tier"], {}).setdefault(r["step_group"], set()).add(r["sequence_id"])
+    assert all(sizes[r["sequence_id"]] == r["tier"] for r in rows)
+    assert len({r["sequence_id"] >> 40 for r in rows}) > 3
+    for tier, own in groups.items():
+        assert sorted(own) == list(range(len(own)))
+        assert all(len(s) == max(1, 2048 // tier) for g, s in own.items() if g < len(own) - 1)
+
+
 def test_packing_edge_cases(spark, empty):
     assert packing.pack(empty, pt.path("word_bpe_49k.json"), 1).count() == 0
     odd = spark.createDataFrame([(None, None, 1), (4, "x " * 5000, 2)], "doc_id long, text string, length long")
@@ -136,7 +146,43 @@ def test_packing_edge_cases(spark, empty):
     assert {r["doc_id"]: r["n"] for r in got} == {None: 1, 4: 5001}
 
 
+def thue_morse(n):
+    s = b"a"
+    while len(s) < n:
+        s += s.translate(bytes.maketrans(b"ab", b"ba"))
+    return s, s.translate(bytes.maketrans(b"ab", b"ba"))
+
+
 def test_hashes_of_ranges_agree():
-    data = np.frombuffer(b"abcabcabc", np.uint8)
-    p = words.Prefix(data)
-    assert len(set(p.fixed(3)[[0, 3, 6]].tolist())) == 1 and p.fixed(3)[0] == p.hash(np.array([3]), np.array([6]))[0] != p.fixed(3)[1]
+    data = np.frombuffer(b"abcabcabc" + b"x" * 200 + b"abc" + b"x" * 200, np.uint8)
+    h = words.range_hashes(data, np.array([0, 3, 6, 1, 0, 9, 212, 209]), np.array([3, 6, 9, 4, 2, 209, 412, 212]))
+    assert h[0] == h[1] == h[2] == h[7] and h[5] == h[6] and len(set(h.tolist())) == 4
+    assert words.same_ranges(data, np.array([0, 0, 9, 9]), data, np.array([3, 1, 212, 10]), np.array([3, 3, 200, 199])).tolist() == [True, False, True, True]
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 8192])
+def test_complements_do_not_collide(n):
+    data = np.frombuffer(b"".join(thue_morse(n)), np.uint8)
+    assert len(set(words.range_hashes(data, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
+@pytest.mark.parametrize("name,end", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)])
+def test_ids_of_complements_and_of_colliding_pieces(name, end, monkeypatch):
+    texts = [" ".join(x.decode() for x in thue_morse(n)[::step]) for n in (64, 1024, 2048, 4096, 8192) for step in (1, -1)]
+    for hashed in (words.range_hashes, lambda data, a, b: (b - a).astype(np.uint64) % np.uint64(5)):  # the second one collides all the time
+        monkeypatch.setattr(tokens, "range_hashes", hashed)
+        enc = tokens.PieceEncoder(pt.path(name))
+        for _ in range(2):
+            got = [ids[a:b].tolist() for _, ids, bounds in enc.encode(pa.array(texts + ["one two <|x", "two one éa"]), end) for a, b in zip(bounds[:-1], bounds[1:])]
+            assert got == direct(name, texts + ["one two <|x", "two one éa"], end)
+
+
+@pytest.mark.parametrize("name,end", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)])
+def test_long_texts_are_encoded_in_blocks(pairs, name, end, monkeypatch):
+    monkeypatch.setattr(tokens, "blocks", lambda arr, most: words.blocks(arr, 300))
+    texts = [t for _, t in pairs] + ["word " * 500, "x" * 2000, " y  z\t\u3000w 1 2" * 90, "a  b" * 300]
+    enc, got, at = tokens.PieceEncoder(pt.path(name)), [], []
+    for i, ids, bounds in enc.encode(pa.array(texts, pa.string()), end):
+        at.append(i)
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == direct(name, texts, end) and at == sorted(set(at))
