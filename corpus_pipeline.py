@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import langid, line_windows, minhash, mixing, packing
 from siltstone.llm.queries import tokenizer_path
-from siltstone.session import Scratch, read_table
+from siltstone.session import Scratch, fresh_name, read_table
 
 #: A document whose likeliest language has less than this pooled probability is rejected.
 MIN_SCORE = 0.35
@@ -22,20 +22,23 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language: null or letterless texts and mere noise."""
-    found = langid.identify(docs, langid.fit(docs), lang="_lang", score="_score")
-    return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = fresh_name(docs, "lang"), fresh_name(docs, "score")
+    found = langid.identify(docs, langid.fit(docs), lang=lang, score=score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated three-line windows; a document of which nothing is left goes."""
-    cut = line_windows.dedup_line_windows(docs).where("NOT (_n_removed > 0 AND _n_removed = _n_lines)")
+    every, gone = fresh_name(docs, "every"), fresh_name(docs, "gone_lines")
+    cut = line_windows.dedup_line_windows(docs, n_lines=every, n_removed=gone).where((F.col(gone) == 0) | (F.col(gone) < F.col(every)))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id."""
-    kept = minhash.group_near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = fresh_name(docs, "kept")
+    kept = minhash.group_near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
