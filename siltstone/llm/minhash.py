@@ -9,24 +9,20 @@ candidates. At a similarity of 0.85 a pair shares none of 42 bands of six with a
 2e-9, and at 0.8 none of 50 bands of five with the same.
 
 Documents of one set form a class, and its smallest doc_id stands for it. In a bucket, edges form
-a star: from the smallest representative (the centre C) to each other one, linear in the bucket's
-size. Edges are confirmed on the full sets (64-bit shingle hashes), and confirmed links give
-components. A star may miss a link between two of its leaves A and B; these are found thus:
-
-* Let D(A) be the symmetric difference of A's set and C's. If D(A) and D(B) are disjoint, then
-  J(A, B) <= min(J(A, C), J(B, C)). So a link that the star misses joins two leaves whose
-  differences share an element, one of which is not linked to C; and they share more than t / (1 + t)
-  of the differences of the one whose partner is not linked to C. Leaves near C (J >= 0.3) are
-  joined on the elements of their differences, rarest first and only as many as these bounds
-  leave (prefix filter): near copies that were edited independently share none of their rare ones.
-* Leaves far from C (J < 0.3 + 1 - t) go on without it, parted further: by each other band of theirs, so
-  that two of them meet again in every band that they share besides. Linked ones share about 16
-  more (none with a chance of 1e-10); chance meetings hardly any, so what is left dwindles in a few
-  rounds. As Jaccard distance is a metric, two linked leaves are both near or both far. Far ones
-  are told by their signatures where sets are large and the estimate is below 0.15, else by their sets.
-
-So no group emits all its pairs, and no link between two documents that share a band is lost but by
-such a chance.
+a star: from the representative with the smallest set (the centre C; ties by doc_id) to each other
+one, linear in the bucket's size. Edges are confirmed on the full sets (64-bit shingle hashes), and
+confirmed links give components. A star may miss a link between two of its leaves A and B, where not
+both are connected to C. Say A is not linked to it. Linked sets share |A & B| >= t / (1 + t) (|A| + |B|),
+A and C share less than t / (1 + t) (|A| + |C|), and |C| <= |B|: so A and B share elements that C does not
+hold. Therefore leaves go on in new buckets, one for each element that they have beyond C, rarest
+first and only as many as these bounds leave (prefix filter). Copies that were filled in or edited
+independently share no such element, and the bucket ends; near copies of another text share one,
+meet in one bucket and are linked to its centre.
+
+Every new bucket gets a star of its own, whose centre comes later than the last one, and so on until
+no bucket holds leaves that are not known to be connected. n near copies of one text cost pairs with
+one of them in each bucket, not all their pairs. No link between two documents that share a band is
+lost but by the chance above.
 
 Cases: text null, or without words: n_shingles 0, linked with nothing. Fewer words than
 ``width``: one shingle, the whole sequence. A null doc_id is linked with nothing and has a null component_id;
@@ -37,6 +33,7 @@ and text are ignored; an empty table gives no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +48,6 @@ from siltstone.session import Scratch, ship, small_batches
 BINS = 252
 #: The greatest chance that a pair at the least similarity shares no band.
 MISSED = 1e-8
-#: Every MARK-th value of a signature is kept, as 16 bits, to estimate similarity.
-MARK = 2
 SHINGLE = 3
 PERCENT = 85
 _TRIES = np.random.default_rng(8).integers(0, BINS, (4096, BINS))
@@ -120,9 +115,9 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-_SKETCH = "doc_id long, n long, s long, x long, bands array<long>, sig array<short>"
-#: Least percentage of near leaves; sets from ESTIMATE_FROM shingles on are told far by an estimate under ESTIMATE_FAR.
-NEAR, ESTIMATE_FAR, ESTIMATE_FROM = 30, 0.15, 64
+_SKETCH = "doc_id long, n long, s long, x long, bands array<long>"
+#: Into so many parts the leaves of one centre are dealt where they meet what is known of it.
+SALT = 16
 #: Bits of the map that tells which documents may be candidates; its size is fixed, a full one only filters less.
 MAP_BITS = 1 << 23
 
@@ -141,9 +136,7 @@ def _sketch(width: int, rows: int):
                 sig = signatures([s for s in sets if len(s)])
                 offsets = np.append(0, np.cumsum(np.where(n > 0, n_bands, 0))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(sig, rows).reshape(-1)))
-                marked = (mix(sig[:, ::MARK]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                marks = pa.ListArray.from_arrays(pa.array(offsets // n_bands * marked.shape[1]), pa.array(np.ascontiguousarray(marked).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands, marks], ["doc_id", "n", "s", "x", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(total), pa.array(folded), bands], ["doc_id", "n", "s", "x", "bands"])
 
     return run
 
@@ -196,7 +189,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     now = scratch.table(f"{name}-0", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for step in range(1, 100):
+    for step in count(1):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -221,54 +214,45 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.withColumns({"na": F.size("ha"), "nb": F.size("hb"), "both": F.size(F.array_intersect("ha", "hb"))})
 
 
-def _at_least(percent: int) -> str:
-    """Whether the two sets of a compared pair have this similarity."""
-    return f"100 * both >= {percent} * (na + nb - both)"
+def _star(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a: centre, b: leaf, na, nb, both, linked, joined, root, own) of all buckets, each pair once.
 
+    ``buckets``: band, doc_id, n, root (a document that it is known to be connected to), first (n,
+    doc_id and root of the centre). ``joined``: connected to the centre, linked or by their roots;
+    ``own``: what the leaf has beyond the centre.
+    """
+    met = buckets.where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.root").alias("ra"), F.col("root").alias("rb"))
+    pairs = met.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.bool_or(F.col("ra") == F.col("rb")).alias("same"))
+    exact = _compared(pairs, sets).withColumn("linked", F.expr(f"100 * both >= {percent} * (na + nb - both)"))
+    joined = F.col("linked") | F.col("same")
+    return exact.select("a", "b", "na", "nb", "both", "linked", joined.alias("joined"), F.when(joined, F.col("ra")).otherwise(F.col("rb")).alias("root"), F.array_except("hb", "ha").alias("own"))
 
-def _star(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a: centre, b: leaf, nb, linked, near, far, diff) of all buckets (band, doc_id, first), each pair once.
 
-    ``diff`` is there for near leaves; pairs whose signatures tell that they are far have no sets fetched.
-    """
-    pairs = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    m = lambda side: marks.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"s_{side}"))
-    told = pairs.join(m("a"), "a").join(m("b"), "b").groupBy("a", "b").agg(
-        F.max(F.expr(f"CASE WHEN least(n_a, n_b) < {ESTIMATE_FROM} THEN 1.0D ELSE size(filter(zip_with(s_a, s_b, (x, y) -> x = y), z -> z)) / size(s_a) END")).alias("estimate")
-    )
-    close = _compared(told.where(f"estimate >= {ESTIMATE_FAR}").select("a", "b"), sets)
-    exact = close.select("a", "b", F.col("nb"), F.expr(_at_least(percent)).alias("linked"), F.expr(_at_least(NEAR)).alias("near"), (~F.expr(_at_least(NEAR + 100 - percent))).alias("far"), "ha", "hb")
-    exact = exact.withColumn("diff", F.when(F.col("near"), F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha")))).drop("ha", "hb")
-    distant = told.where(f"estimate < {ESTIMATE_FAR}").select("a", "b", F.lit(0).alias("nb"), F.lit(False).alias("linked"), F.lit(False).alias("near"), F.lit(True).alias("far"), F.lit(None).cast("array<long>").alias("diff"))
-    return exact.unionByName(distant)
-
-
-def _missed_pairs(edges: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves that a star may have missed: near one centre, not both linked to it, sharing a rare element of their differences.
-
-    A leaf's home is its smallest near centre. Two leaves of one home are joined there alone; a
-    centre joins leaves of different homes besides.
+def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, band, root: leaves of one centre, not all connected to it, that share a rare element beyond it.
+
+    A leaf's home is its smallest centre. Two leaves of one home meet there alone; a centre
+    brings leaves of different homes together besides.
     """
-    near = edges.where("near AND size(diff) > 0")
-    homes = edges.where("near").groupBy("b").agg(F.min("a").alias("home"))
-    housed = near.join(homes, "b")
-    groups = housed.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("open"), F.min("home").alias("h1"), F.max("home").alias("h2")).where("open").select("a", (F.col("h1") < F.col("h2")).alias("many"))
-    rows = housed.join(groups, "a").where("many OR a = home").select("a", "b", "linked", "nb", "home", F.size("diff").alias("x"), F.explode("diff").alias("e"))
-    rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # An element that only one leaf differs in joins nothing, but takes a place in the order: the rarest come first.
-    shared = rows.join(rare, ["a", "e"])
-    place = F.col("x") - F.count(F.lit(1)).over(Window.partitionBy("a", "b")) + F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e"))
-    # The least number of shared elements: with a partner that is not linked to the centre; and, for one that is not linked itself, with one that is.
-    least = F.expr(f"greatest(1, (x * {percent} + {99 + percent}) div {100 + percent})")
-    least = F.when(F.col("linked"), least).otherwise(F.least(least, F.expr(f"greatest(1, x - (nb * {100 - percent}) div {percent})")))
-    few = shared.withColumn("place", place).where(F.col("place") <= F.col("x") - least + 1)
-    side = lambda n: few.select("a", "e", *[F.col(c).alias(f"{c}{n}") for c in ("b", "linked", "place", "x", "nb", "home")])
-    # Of two linked leaves' elements at least ``need`` are shared, so the rarest shared one has at most x - need + 1 places up to it in either.
-    need = f"greatest(1, (x1 + x2 - (nb1 + nb2) * {100 - percent} / {100 + percent}) / 2)"
-    fits = F.expr(f"NOT linked1 AND b1 <> b2 AND (linked2 OR b1 < b2) AND (home1 <> home2 OR a = home1) AND place1 <= x1 - {need} + 1 AND place2 <= x2 - {need} + 1")
-    one, two = side(1), side(2).withColumnsRenamed({"a": "a2", "e": "e2"})
-    pairs = one.join(two, (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & fits)
-    return pairs.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct()
+    homes = edges.groupBy("b").agg(F.min("a").alias("home"))
+    housed = edges.where("size(own) > 0").join(homes, "b").withColumn("salt", F.expr(f"pmod(hash(b), {SALT})"))
+    groups = housed.groupBy("a").agg(F.bool_or(~F.col("joined")).alias("open"), F.count(F.lit(1)).alias("leaves"), F.min("home").alias("h1"), F.max("home").alias("h2")).where("open AND leaves > 1")
+    salted = groups.select("a", (F.col("h1") < F.col("h2")).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rows = housed.join(salted, ["a", "salt"]).where("many OR a = home").select("a", "b", "root", "joined", "na", "nb", "both", F.size("own").alias("x"), F.explode("own").alias("e"))
+    rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"), F.bool_or(~F.col("joined")).alias("open"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    # An element that only one leaf has joins nothing, but takes a place in the order: the rarest come first.
+    shared = rows.join(rare.where("often > 1"), ["a", "e"])
+    by = Window.partitionBy("a", "b")
+    placed = shared.withColumn("place", F.col("x") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "e")))
+    # The least number of elements beyond the centre that two linked leaves share: by this one's size and what it
+    # shares with the centre; and, if it is connected to the centre, by its partner, which is not.
+    least = f"greatest(1, ({percent} * (nb + greatest(na, ({percent} * nb + 99) div 100)) + {99 + percent}) div {100 + percent} - both)"
+    least = f"CASE WHEN joined THEN greatest({least}, {percent} * (nb - na) div {100 + percent} + 1) ELSE {least} END"
+    fit = placed.where(F.expr(f"open AND r1 < r2 AND place <= x - {least} + 1"))
+    keyed = fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band"), "root", "joined")
+    worth = keyed.groupBy("band").agg(F.bool_or(~F.col("joined")).alias("open"), F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    worth = worth.where("open AND d1 < d2 AND r1 < r2").select("band")
+    return keyed.join(worth, "band").groupBy("doc_id", "n", "band").agg(F.min("root").alias("root"))
 
 
 def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -276,7 +260,6 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
 
     Texts are linked that share ``percent`` of their shingles of ``width`` words, at least.
     """
-    linked = _at_least(percent)
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
@@ -289,37 +272,29 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     classed = sketch.join(classes, ["s", "x", "n"], "left").select("doc_id", "n", rep.alias("rep"))
     # A bucket is a band key that two representatives share; keys are aggregated, then joined back.
     slim = known.join(classes, ["s", "x", "n"], "left").where("rep IS NULL OR rep = doc_id")
-    banded = slim.select("doc_id", F.explode("bands").alias("band")).distinct()
+    banded = slim.select("doc_id", F.explode("bands").alias("band"), "n").groupBy("doc_id", "band").agg(F.min("n").alias("n"))
 
     def centred(members: DataFrame) -> DataFrame:
-        first = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("band", "first")
-        return members.join(first, "band")
+        return members.join(members.groupBy("band").agg(F.min(F.struct("n", "doc_id", "root")).alias("first")), "band")
 
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    members = scratch.table("members", banded.join(shared, "band"))
-    buckets = scratch.table("buckets-0", centred(members).withColumn("used", F.array("band")))
+    members = banded.join(shared, "band").select("doc_id", "n", "band", F.col("doc_id").alias("root"))
+    buckets = scratch.table("buckets-0", centred(members))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
     found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width)), "doc_id long, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
-    marks = scratch.table("marks", slim.join(candidates, "doc_id", "left_semi").select("doc_id", "n", "sig", "bands"))
     links = spark.createDataFrame([], "a long, b long")
     turn = 0
     while not buckets.isEmpty():
-        edges = scratch.table(f"edges-{turn}", _star(buckets, marks, sets, percent))
-        missed = scratch.table(f"missed-{turn}", _compared(_missed_pairs(edges, percent), sets).where(linked).select("a", "b").distinct())
-        stars = scratch.table(f"stars-{turn}", edges.where("linked").select("a", "b"))
-        links = links.union(stars).union(missed)
-        far = buckets.join(edges.where("far").select(F.col("a").alias("first"), F.col("b").alias("doc_id")), ["first", "doc_id"], "left_semi").select("doc_id", "band", "used")
-        shared_by = far.groupBy("band").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("h")).where("l < h").select("band")
-        again = far.join(shared_by, "band").join(marks.select("doc_id", F.explode("bands").alias("other")).distinct(), "doc_id").where("NOT array_contains(used, other)")
-        parted = again.select("doc_id", F.array_sort(F.array_append("used", F.col("other"))).alias("used")).distinct().withColumn("band", F.xxhash64("used"))
-        rest = scratch.table(f"buckets-{turn + 1}", centred(parted))
+        edges = scratch.table(f"edges-{turn}", _star(buckets, sets, percent))
+        links = links.union(scratch.table(f"links-{turn}", edges.where("linked").select("a", "b")))
+        rest = scratch.table(f"buckets-{turn + 1}", centred(_element_buckets(edges, percent)))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
         buckets, turn = rest, turn + 1
     comps = components(links, scratch, "components")
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("candidates", "members", "sets", "marks"):
+    for name in ("candidates", "sets", *(f"links-{t}" for t in range(turn))):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")

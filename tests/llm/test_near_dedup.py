@@ -50,3 +50,38 @@ def test_bands_follow_the_least_similarity():
     assert [(r, minhash.BINS // r) for r in map(minhash.rows_of, (80, 85))] == [(5, 50), (6, 42)]
     with pytest.raises(ValueError):
         minhash.rows_of(100)
+
+
+def copies_beside(n, seed=3):
+    """A text, and n copies of another that shares 0.6 of it: each copy has one word of its own and links to the other copies alone."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+    other = base[:225] + [f"o{rng.randrange(10**6)}" for _ in range(75)]
+    out = [(1, " ".join(base))]
+    for i in range(n):
+        w = list(other)
+        w[rng.randrange(len(w))] = f"own{i}"
+        out.append((i + 2, " ".join(w)))
+    return out
+
+
+def template(n, seed=4):
+    """n texts of one form, a tenth of each filled in by itself: none is linked to another, though all share bands."""
+    rng = random.Random(seed)
+    form = [f"f{rng.randrange(10**6)}" for _ in range(300)]
+    return [(i + 1, " ".join(w if k % 30 else f"own{i}x{k}" for k, w in enumerate(form))) for i in range(n)]
+
+
+@pytest.mark.parametrize("make,most", [(copies_beside, 8), (template, 8)])
+def test_compared_pairs_grow_with_the_group_not_its_square(spark, monkeypatch, make, most):
+    star, compared = minhash._star, []
+    for n in (60, 120):
+        seen = []
+        monkeypatch.setattr(minhash, "_star", lambda *args: seen.append(star(*args).cache()) or seen[-1])
+        pairs = make(n)
+        df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.group_near_duplicates(df).collect()}
+        assert got == plain_groups_of(pairs, 3, 85)
+        compared.append((sum(e.count() for e in seen), len(seen)))
+    (few, rounds), (many, more) = compared
+    assert few <= most * 60 and many <= 2.5 * few and more <= rounds + 1, compared
