@@ -7,7 +7,7 @@ letter, and the likeliest language is predicted. Every byte of a text is read. W
 run side by side, longest first, so that those still going on are always the first columns.
 
 Training (numpy, backpropagation through time, Adam, fixed seeds) uses a bounded sample: of each
-language ``SAMPLE_DOCS`` documents, those with the smallest hashes of doc_id, and of each document
+language ``SAMPLE_DOCS`` documents, those with the smallest hashes, and of each document
 ``SAMPLE_WINDOWS`` stretches of ``TRAIN_WINDOW`` bytes, evenly spread over it. Only these stretches
 reach the driver. Of more than ``MAX_LANGUAGES`` languages the most frequent ones are learned.
 
@@ -302,20 +302,18 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     ship(spark)
     small_batches(spark)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(_bucket() != 2)
-    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(11), "doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    # The sample's greatest hash is a literal for each language, so that one scan draws all languages' texts.
-    ranked = labelled.select("lang", "h").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
-    top = ranked.groupBy("lang").agg(F.max("h").alias("h"))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
     many = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    bounds = {r["lang"]: r["h"] for r in many.join(top, "lang").collect()}
-    if not bounds:
+    counts = {r["lang"]: r["n"] for r in many.collect()}
+    if not counts:
         return Model.fresh([])
-    wanted = F.lit(False)
-    for lang in sorted(bounds):
-        wanted = F.when(F.col("lang") == lang, F.col("h") <= bounds[lang]).otherwise(wanted)
-    # Rows of one doc_id have one hash: the bound holds for rows, whatever their ids.
-    drawn = labelled.where(wanted).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("place") <= sample_docs)
+    # A bound of the hash under which about twice the sample lies is a literal for each language: one scan
+    # draws all languages, and few rows are ranked.
+    share = F.lit(0.0)
+    for lang in sorted(counts):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * sample_docs + 100) / counts[lang]))).otherwise(share)
+    near = labelled.where(F.shiftrightunsigned("h", 33) < share * (1 << 31))
+    drawn = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_docs)
     rows = drawn.select("lang", "text").mapInArrow(tidy(_stretches), "lang string, part binary").toArrow()
     windows: dict[str, list[bytes]] = {}
     for lang, part in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
