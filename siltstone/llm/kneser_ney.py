@@ -127,7 +127,7 @@ def _write_words(store: Store):
 
 def fit_vocabulary(train: DataFrame, store: Store, buckets: int) -> Vocabulary:
     rows = train.select("text").mapInArrow(tidy(_count_words(buckets)), BUCKET_DDL)
-    found = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
+    found = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
     sizes = {r["bucket"]: r["size"] for r in found}
     offsets = [0, *np.cumsum([sizes.get(b, 0) for b in range(buckets)]).tolist()]
     if offsets[-1] >= START:
@@ -360,7 +360,7 @@ def fit(train: DataFrame, uri: str, buckets: int | None = None) -> Model:
     if not vocabulary.size:
         return Model(bigrams, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0, np.zeros(0, np.int64), np.zeros(0))
     rows = train.select("text").mapInArrow(tidy(_count_bigrams(bigrams)), BUCKET_DDL)
-    found = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_bigrams(store)), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
+    found = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_group(_write_bigrams(store)), "bucket int, n1 long, n2 long, n3 long, n4 long").collect()  # a row a bucket
     filled = {r["bucket"] for r in found}
     for b in set(range(buckets)) - filled:
         store.put(f"pairs-{b}", np.zeros(0, np.uint64))
@@ -368,7 +368,7 @@ def fit(train: DataFrame, uri: str, buckets: int | None = None) -> Model:
     each = spark.createDataFrame([(b,) for b in sorted(filled)], "bucket int").repartition(len(filled), "bucket")
     parts = each.mapInArrow(tidy(_back_off(bigrams, d2)), BUCKET_DDL)
     schema = "types long, words long, n1 long, n2 long, n3 long, n4 long, hot array<long>, micro array<long>"
-    ends = parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_write_continuations(vocabulary)), schema).collect()  # a row a bucket
+    ends = parts.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_group(_write_continuations(vocabulary)), schema).collect()  # a row a bucket
     counts = [sum(r[f"n{i}"] for r in ends) for i in range(1, 5)]
     d1, types, words = discounts(*counts), sum(r["types"] for r in ends), sum(r["words"] for r in ends)
     back_off1 = (d1[1] * counts[0] + d1[2] * counts[1] + d1[3] * (words - counts[0] - counts[1])) / types

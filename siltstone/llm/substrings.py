@@ -222,8 +222,8 @@ def _write_repeated(store: Store, kind: str, hot: int | None, sample: int):
 
 _WRITTEN = "bucket int, runs long, hot long, suffixes binary"
 _FIELDS = ("doc", "t", "start", "offset", "size")
-_RUNS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *[(f, pa.binary()) for f in _FIELDS], ("length", pa.int64()), ("bytes", pa.binary())])
-_RUNS_DDL = "bucket long, kind int, n long, doc binary, t binary, start binary, offset binary, size binary, length long, bytes binary"
+_RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *[(f, pa.binary()) for f in _FIELDS], ("length", pa.int64()), ("bytes", pa.binary())])
+_RUNS_DDL = "bucket int, kind int, n long, doc binary, t binary, start binary, offset binary, size binary, length long, bytes binary"
 #: Kinds of rows: runs of windows around a core, single windows of hot cores, and windows known to be repeats (no bytes).
 _AROUND, _SINGLE, _LATE = 0, 1, 2
 
@@ -432,7 +432,7 @@ def repeats(c: dict[str, np.ndarray], data: np.ndarray, core: int) -> tuple[tupl
     return (c["doc"][row], c["t"][row], place[row] - high + 1, place[row] - low + WIDTH), ends[0], ends[1]
 
 
-_FOUND = "bucket long, kind int, _doc long, _t long, a long, b long, low binary, high binary"
+_FOUND = "bucket int, kind int, _doc long, _t long, a long, b long, low binary, high binary"
 
 
 def _find_repeats(table: pa.Table) -> pa.Table:
@@ -454,9 +454,9 @@ def _find_repeats(table: pa.Table) -> pa.Table:
             spans = (c["doc"], c["t"], c["start"], c["start"] + c["size"] - 1 + WIDTH)
         else:
             spans, low, high = repeats(c, np.concatenate(bodies.pop(kind)), CORE if kind == _AROUND else WIDTH)
-            out.append([pa.array([bucket]), pa.array([kind], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([low], pa.binary()), pa.array([high], pa.binary())])
+            out.append([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([low], pa.binary()), pa.array([high], pa.binary())])
         n = len(spans[0])
-        out.append([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.array(x, pa.int64()) for x in spans), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())])
+        out.append([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *(pa.array(x, pa.int64()) for x in spans), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())])
     names = ["bucket", "kind", "_doc", "_t", "a", "b", "low", "high"]
     return pa.concat_tables([pa.Table.from_arrays(columns, names) for columns in out])
 
@@ -480,7 +480,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = buckets_for(texts, "text")
 
     def count(kind: str, hot: Store | None, limit: int | None) -> list:
-        counted = texts.select("text").mapInArrow(tidy(_count(buckets, hot)), BUCKET_DDL).repartition(buckets, "bucket")
+        counted = texts.select("text").mapInArrow(tidy(_count(buckets, hot)), BUCKET_DDL).repartitionById(buckets, F.col("bucket"))
         sample = max(16, MOST_RANGES // buckets)
         rows = counted.groupBy("bucket").applyInArrow(tidy_group(_write_repeated(store, kind, limit, sample)), _WRITTEN).collect()  # MOST_RANGES suffixes, or 16 a bucket
         for b in set(range(buckets)) - {r["bucket"] for r in rows}:
@@ -497,7 +497,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranges = min(wanted, MOST_RANGES)
     parts = -(-wanted // ranges)
     store.put("splitters", np.unique(suffixes[(np.arange(1, ranges) * len(suffixes)) // ranges]) if len(suffixes) else suffixes)
-    sent = texts.mapInArrow(tidy(_send(store, buckets, any_hot, parts)), _RUNS_DDL).repartition(ranges * parts, "bucket")
+    sent = texts.mapInArrow(tidy(_send(store, buckets, any_hot, parts)), _RUNS_DDL).repartitionById(ranges * parts, F.col("bucket"))
     found = scratch.table("found", sent.groupBy("bucket").applyInArrow(tidy_group(_find_repeats), _FOUND))
     scratch.drop("arrays")
     _boundaries_differ(found, parts)
