@@ -8,9 +8,10 @@ make bands of as many rows as ``percent`` allows (``rows_of``); documents that s
 candidates. At a similarity of 0.85 a pair shares none of 42 bands of six with a chance of about
 2e-9, and at 0.8 none of 50 bands of five with the same.
 
-Documents of one set form a class, and its smallest doc_id stands for it. In a bucket, edges form
-a star: from the representative with the smallest set (the centre C; ties by doc_id) to each other
-one, linear in the bucket's size. Edges are confirmed on the full sets (64-bit shingle hashes), and
+Documents of one set form a class, and its smallest doc_id stands for it. In a bucket of over
+``DIRECT`` representatives that are not known to be connected, edges form a star: from the one with
+the smallest set (the centre C; ties by doc_id) to each other one. In others those few are compared
+with all. Both are linear in the bucket's size. Edges are confirmed on the full sets (64-bit shingle hashes), and
 confirmed links give components. A star may miss a link between two of its leaves A and B, where not
 both are connected to C. Say A is not linked to it. Linked sets share |A & B| >= t / (1 + t) (|A| + |B|),
 A and C share less than t / (1 + t) (|A| + |C|), and |C| <= |B|: so A and B share elements that C does not
@@ -19,8 +20,8 @@ first and only as many as these bounds leave (prefix filter). Copies that were f
 independently share no such element, and the bucket ends; near copies of another text share one,
 meet in one bucket and are linked to its centre.
 
-Every new bucket gets a star of its own, whose centre comes later than the last one, and so on until
-no bucket holds leaves that are not known to be connected. n near copies of one text cost pairs with
+Components are worked out after each round, and every new bucket is compared in the same way, with a
+later centre, until no bucket holds leaves that are not known to be connected. n near copies of one text cost pairs with
 one of them in each bucket, not all their pairs. No link between two documents that share a band is
 lost but by the chance above.
 
@@ -118,6 +119,8 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 _SKETCH = "doc_id long, n long, s long, x long, bands array<long>"
 #: Into so many parts the leaves of one centre are dealt where they meet what is known of it.
 SALT = 16
+#: So many members of a bucket that are not known to be connected to the rest are compared with all of it at once.
+DIRECT = 8
 #: Bits of the map that tells which documents may be candidates; its size is fixed, a full one only filters less.
 MAP_BITS = 1 << 23
 
@@ -214,32 +217,44 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.withColumns({"na": F.size("ha"), "nb": F.size("hb"), "both": F.size(F.array_intersect("ha", "hb"))})
 
 
-def _star(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a: centre, b: leaf, na, nb, both, linked, joined, root, own) of all buckets, each pair once.
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, star) to compare of all buckets (band, doc_id, n, root), linear in each bucket's size.
 
-    ``buckets``: band, doc_id, n, root (a document that it is known to be connected to), first (n,
-    doc_id and root of the centre). ``joined``: connected to the centre, linked or by their roots;
-    ``own``: what the leaf has beyond the centre.
+    ``root`` is a document that a member is known to be connected to. Members beside the bucket's
+    most frequent root are compared with all of other roots where they are ``DIRECT`` at most; where
+    they are more, all are compared with the member of the smallest set, which is ``a`` (``star``).
     """
-    met = buckets.where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.root").alias("ra"), F.col("root").alias("rb"))
-    pairs = met.groupBy("a", "b").agg(F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.bool_or(F.col("ra") == F.col("rb")).alias("same"))
+    sized = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    stats = sized.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all")).select("band", F.col("most.root").alias("major"), (F.col("all") - F.col("most.c")).alias("others")).where("others > 0")
+    known = members.join(stats, "band")
+    few, many = known.where(F.col("others") <= DIRECT), known.where(F.col("others") > DIRECT)
+    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("root").alias("r1"))
+    two = few.select("band", F.col("doc_id").alias("d2"), F.col("root").alias("r2"), "major")
+    direct = one.join(two, "band").where("r1 <> r2 AND (r2 = major OR d1 < d2)").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
+    first = many.groupBy("band").agg(F.min(F.struct("n", "doc_id")).alias("first"))
+    star = many.join(first, "band").where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("star"))
+    return direct.union(star).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
+
+
+def _edges(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with na, nb, both, linked, and for stars ``own``: what the leaf has beyond the centre."""
     exact = _compared(pairs, sets).withColumn("linked", F.expr(f"100 * both >= {percent} * (na + nb - both)"))
-    joined = F.col("linked") | F.col("same")
-    return exact.select("a", "b", "na", "nb", "both", "linked", joined.alias("joined"), F.when(joined, F.col("ra")).otherwise(F.col("rb")).alias("root"), F.array_except("hb", "ha").alias("own"))
+    return exact.select("a", "b", "star", "na", "nb", "both", "linked", F.when(F.col("star"), F.array_except("hb", "ha")).alias("own"))
 
 
 def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, band, root: leaves of one centre, not all connected to it, that share a rare element beyond it.
+    """doc_id, n, band: leaves of one star, not all connected to its centre, that share a rare element beyond it.
 
-    A leaf's home is its smallest centre. Two leaves of one home meet there alone; a centre
-    brings leaves of different homes together besides.
+    ``edges`` of stars with ra and rb, the roots of centre and leaf. A leaf's home is its smallest
+    centre. Two leaves of one home meet there alone; a centre brings leaves of different homes together besides.
     """
-    homes = edges.groupBy("b").agg(F.min("a").alias("home"))
-    housed = edges.where("size(own) > 0").join(homes, "b").withColumn("salt", F.expr(f"pmod(hash(b), {SALT})"))
+    every = edges.withColumn("joined", F.col("linked") | (F.col("ra") == F.col("rb")))
+    homes = every.groupBy("b").agg(F.min("a").alias("home"))
+    housed = every.where("size(own) > 0").join(homes, "b").withColumn("salt", F.expr(f"pmod(hash(b), {SALT})"))
     groups = housed.groupBy("a").agg(F.bool_or(~F.col("joined")).alias("open"), F.count(F.lit(1)).alias("leaves"), F.min("home").alias("h1"), F.max("home").alias("h2")).where("open AND leaves > 1")
     salted = groups.select("a", (F.col("h1") < F.col("h2")).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    rows = housed.join(salted, ["a", "salt"]).where("many OR a = home").select("a", "b", "root", "joined", "na", "nb", "both", F.size("own").alias("x"), F.explode("own").alias("e"))
-    rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"), F.bool_or(~F.col("joined")).alias("open"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    rows = housed.join(salted, ["a", "salt"]).where("many OR a = home").select("a", "b", "rb", "joined", "na", "nb", "both", F.size("own").alias("x"), F.explode("own").alias("e"))
+    rare = rows.groupBy("a", "e").agg(F.count(F.lit(1)).alias("often"), F.bool_or(~F.col("joined")).alias("open"), F.min("rb").alias("r1"), F.max("rb").alias("r2"))
     # An element that only one leaf has joins nothing, but takes a place in the order: the rarest come first.
     shared = rows.join(rare.where("often > 1"), ["a", "e"])
     by = Window.partitionBy("a", "b")
@@ -249,10 +264,7 @@ def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
     least = f"greatest(1, ({percent} * (nb + greatest(na, ({percent} * nb + 99) div 100)) + {99 + percent}) div {100 + percent} - both)"
     least = f"CASE WHEN joined THEN greatest({least}, {percent} * (nb - na) div {100 + percent} + 1) ELSE {least} END"
     fit = placed.where(F.expr(f"open AND r1 < r2 AND place <= x - {least} + 1"))
-    keyed = fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band"), "root", "joined")
-    worth = keyed.groupBy("band").agg(F.bool_or(~F.col("joined")).alias("open"), F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    worth = worth.where("open AND d1 < d2 AND r1 < r2").select("band")
-    return keyed.join(worth, "band").groupBy("doc_id", "n", "band").agg(F.min("root").alias("root"))
+    return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band")).distinct()
 
 
 def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -273,28 +285,28 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     # A bucket is a band key that two representatives share; keys are aggregated, then joined back.
     slim = known.join(classes, ["s", "x", "n"], "left").where("rep IS NULL OR rep = doc_id")
     banded = slim.select("doc_id", F.explode("bands").alias("band"), "n").groupBy("doc_id", "band").agg(F.min("n").alias("n"))
-
-    def centred(members: DataFrame) -> DataFrame:
-        return members.join(members.groupBy("band").agg(F.min(F.struct("n", "doc_id", "root")).alias("first")), "band")
-
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    members = banded.join(shared, "band").select("doc_id", "n", "band", F.col("doc_id").alias("root"))
-    buckets = scratch.table("buckets-0", centred(members))
+    buckets = scratch.table("buckets-0", banded.join(shared, "band").select("doc_id", "n", "band", F.col("doc_id").alias("root")))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
     found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width)), "doc_id long, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
     links = spark.createDataFrame([], "a long, b long")
     turn = 0
-    while not buckets.isEmpty():
-        edges = scratch.table(f"edges-{turn}", _star(buckets, sets, percent))
+    while True:
+        edges = scratch.table(f"edges-{turn}", _edges(_pairs(buckets), sets, percent))
         links = links.union(scratch.table(f"links-{turn}", edges.where("linked").select("a", "b")))
-        rest = scratch.table(f"buckets-{turn + 1}", centred(_element_buckets(edges, percent)))
+        comps = components(links, scratch, f"components-{turn}")
+        stars = edges.where("star")
+        if stars.isEmpty():
+            break
+        root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent)
+        following = scratch.table(f"buckets-{turn + 1}", root(members, "doc_id", "root"))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
-        buckets, turn = rest, turn + 1
-    comps = components(links, scratch, "components")
+        buckets, turn = following, turn + 1
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("candidates", "sets", *(f"links-{t}" for t in range(turn))):
+    for name in ("candidates", "sets", f"buckets-{turn}", f"edges-{turn}"):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")

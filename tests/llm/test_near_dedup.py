@@ -72,12 +72,12 @@ def template(n, seed=4):
     return [(i + 1, " ".join(w if k % 30 else f"own{i}x{k}" for k, w in enumerate(form))) for i in range(n)]
 
 
-@pytest.mark.parametrize("make,most", [(copies_beside, 8), (template, 8)])
+@pytest.mark.parametrize("make,most", [(copies_beside, 9), (template, 9)])
 def test_compared_pairs_grow_with_the_group_not_its_square(spark, monkeypatch, make, most):
-    star, compared = minhash._star, []
+    edges, compared = minhash._edges, []
     for n in (60, 120):
         seen = []
-        monkeypatch.setattr(minhash, "_star", lambda *args: seen.append(star(*args).cache()) or seen[-1])
+        monkeypatch.setattr(minhash, "_edges", lambda *args: seen.append(edges(*args).cache()) or seen[-1])
         pairs = make(n)
         df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.group_near_duplicates(df).collect()}
