@@ -73,22 +73,32 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"))) + 1
 
 
-def hits(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches of a literal pattern as array<struct<line:int,hit:string>>, lines by the match's start.
+#: Characters that no text is meant to hold (Unicode noncharacters); where one does, it is read as U+FFFD.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
-    The texts between matches (split) and the matches (extract_all) alternate, so counting newlines
-    along them gives each start's line without offsets.
-    """
-    gaps, whole, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n")))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,hit:string>>").alias("out"))
 
-    def step(acc: Column, k: Column) -> Column:
-        at = acc["line"] + breaks(F.get(gaps, k))
-        return F.struct((at + breaks(F.get(whole, k))).cast("int").alias("line"), F.concat(acc["out"], F.array(F.struct(at.cast("int").alias("line"), F.get(found, k).alias("hit")))).alias("out"))
+def hits(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """All matches of a pattern as array<struct<line:int,hit:string>>, lines by the match's start.
 
-    out = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast("array<struct<line:int,hit:string>>"))
+    One pass puts a mark before and after each match; lines and matches then come from plain splits,
+    linear in the text and in the number of matches. A group other than 0 takes a second pass.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    clean = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")).otherwise(text)
+    marked = F.regexp_replace(clean, pattern, F.lit(f"{_OPEN}$0{_CLOSE}"))
+    grouped = marked if not group else F.regexp_replace(clean, pattern, F.lit(f"{_OPEN}${group}{_CLOSE}$0"))
+    both = F.array(F.struct(marked.alias("m"), *([grouped.alias("g")] if group else [])))
+
+    def located(s: Column) -> Column:
+        many = lambda line: F.length(line) - F.length(F.replace(line, F.lit(_OPEN)))
+        at = F.flatten(F.transform(F.split(s["m"], "\n", -1), lambda line, i: F.array_repeat(i + 1, many(line))))
+        parts = F.split(s["g" if group else "m"], _OPEN, -1)
+        found = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.substring_index(p, _CLOSE, 1))
+        return F.zip_with(at, found, lambda line, hit: F.struct(line.cast("int").alias("line"), hit.alias("hit")))
+
+    empty = F.array().cast("array<struct<line:int,hit:string>>")
+    # An array of one binds the marked text, so that it is made once.
+    return F.coalesce(F.get(F.transform(both, lambda s: F.when(s["m"].contains(_OPEN), located(s)).otherwise(empty)), F.lit(0)), empty)
 
 
 # What is redacted, in this order. The second pattern stops at a backslash or the

@@ -75,17 +75,29 @@ def silent_scanners(results: DataFrame, all_results: DataFrame) -> DataFrame:
 
 
 def context_packs(results: DataFrame, files: DataFrame, all_results: DataFrame, max_chars: int = 60_000) -> DataFrame:
-    """One JSON document a result; a pack that is too long has its snippet clipped by as much."""
+    """One JSON document a result, and its length in characters.
+
+    A pack that is too long has its snippet clipped by as much, then goes without related results,
+    then without symbols and routes, then without hints and imports: the first form that fits
+    counts, and the last one where none does. ``chars`` is the true length.
+    """
     parts = snippets(results, files).select("ord", F.struct("path", "start_line", "end_line", "content").alias("snippet"))
     gather = lambda df, name: df.groupBy("ord").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "ord"])).alias(name))
     packs = results.select("ord", F.struct("scanner", "rule_id", "title", "category", "severity", "path", "start_line", "end_line", "message").alias("result")).join(parts, "ord", "left")
     for df in (gather(near_symbols(results, files), "symbols"), gather(near_routes(results, files), "routes"), gather(config_hints(results, files), "config_hints"), file_imports(results, files), related(results, all_results), silent_scanners(results, all_results)):
         packs = packs.join(df, "ord", "left")
-    whole = lambda: F.to_json(F.struct(*[c for c in packs.columns if c != "ord"]))
-    sized = packs.withColumn("_over", F.greatest(F.length(whole()) - max_chars, F.lit(0)))
-    keep = F.greatest(F.length("snippet.content") - F.col("_over"), F.lit(0))
-    clipped = sized.withColumn("snippet", F.col("snippet").withField("content", F.substring(F.col("snippet.content"), F.lit(1), keep)))
-    return clipped.select("ord", whole().alias("pack"), F.least(F.length(whole()), F.lit(max_chars)).alias("chars"))
+    names = [c for c in packs.columns if c != "ord"]
+
+    def form(snippet, *without: str):
+        return F.to_json(F.struct(*[snippet.alias(c) if c == "snippet" else F.col(c) for c in names if c not in without]))
+
+    # A character takes one or more in JSON, so clipping by what is too much is enough while the snippet has it.
+    over = lambda *without: F.greatest(F.length(form(F.col("snippet"), *without)) - max_chars, F.lit(0))
+    clip = lambda *without: F.col("snippet").withField("content", F.substring(F.col("snippet.content"), F.lit(1), F.greatest(F.length("snippet.content") - over(*without), F.lit(0))))
+    steps = [(), ("related",), ("related", "symbols", "routes"), ("related", "symbols", "routes", "config_hints", "modules")]
+    forms = [form(F.col("snippet")), *[form(clip(*w), *w) for w in steps]]
+    fitting = F.coalesce(*[F.when(F.length(f) <= max_chars, f) for f in forms], forms[-1])
+    return packs.select("ord", fitting.alias("pack")).select("ord", "pack", F.length("pack").alias("chars"))
 
 
 def given_ranges(packs: DataFrame, requested: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ Where order matters a column gives it explicitly; ``ord`` by default. Every rank
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,14 +98,25 @@ def range_semi(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str
     return points.join(r, (F.col(key) == F.col("_k")) & F.col(at).between(F.col("_a"), F.col("_b")), "left_anti" if anti else "left_semi")
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """Distinct rows as ``_row``, and how often each occurs (``_n``)."""
+    return df.groupBy(F.struct(*[F.col(c) for c in df.columns]).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _repeated(df: DataFrame, extra: str) -> DataFrame:
+    """The rows of ``_row`` with a column, as often as they occurred."""
+    return df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*", extra)
+
+
 def range_first(points: DataFrame, ranges: DataFrame, key: str, at: str, order: str, low: str = "start_line", high: str = "end_line") -> DataFrame:
-    """Each point with the first range of its key that holds it (columns of the range as struct ``hit``, null for none)."""
+    """Each point with the first range of its key that holds it (columns of the range as struct ``hit``, null for none).
+
+    Repeated points are joined once and stay as many as they are.
+    """
     r = ranges.select(F.col(key).alias("_k"), F.struct(*[F.col(c) for c in ranges.columns]).alias("hit"))
-    inside = (F.col(key) == F.col("_k")) & F.col(at).between(F.col("hit")[low], F.col("hit")[high])
-    row = F.struct(*[F.col(c) for c in points.columns])
-    tagged = points.withColumn("_id", F.xxhash64(row))
-    joined = tagged.join(r, inside, "left")
-    return joined.groupBy("_id", row.alias("_row")).agg(F.min_by("hit", F.col("hit")[order]).alias("hit")).select("_row.*", "hit")
+    inside = (F.col("_row")[key] == F.col("_k")) & F.col("_row")[at].between(F.col("hit")[low], F.col("hit")[high])
+    joined = _counted(points).join(r, inside, "left")
+    return _repeated(joined.groupBy("_row", "_n").agg(F.min_by("hit", F.col("hit")[order]).alias("hit")), "hit")
 
 
 def band_self_join(df: DataFrame, key: str, at: str, width: int, order: str = "ord") -> DataFrame:
@@ -137,13 +150,25 @@ def multiset_diff(current: DataFrame, baseline: DataFrame, key: str) -> tuple[Da
     return current.join(b, key, "left_anti"), baseline.join(c, key, "left_anti"), current.join(b, key, "left_semi")
 
 
-def theta_first(df: DataFrame, rules: DataFrame, condition: Column, order: str, most_rules: int = 10_000) -> DataFrame:
-    """Each row with the first rule for which a condition holds. Rules are a configured table; its size is checked."""
-    if rules.limit(most_rules + 1).count() > most_rules:
-        raise ValueError(f"more than {most_rules} rules")
-    row = F.struct(*[F.col(c) for c in df.columns])
-    joined = df.withColumn("_row", row).join(F.broadcast(rules.select(F.struct(*[F.col(c) for c in rules.columns]).alias("rule"))), condition, "left")
-    return joined.groupBy("_row").agg(F.min_by("rule", F.col("rule")[order]).alias("rule")).select("_row.*", "rule")
+#: Rules that are made part of the expression; more are joined.
+LITERAL_RULES = 1000
+
+
+def theta_first(df: DataFrame, rules: DataFrame, condition: Callable[[Column], Column], order: str) -> DataFrame:
+    """Each row with the first rule (struct ``rule``) for which a condition holds, or null.
+
+    ``condition`` makes a column of a rule's struct and the row's columns. A configured table of
+    rules becomes an array in the expression: no join, nothing is shuffled. A large one is joined.
+    """
+    rule = F.struct(*[F.col(c) for c in rules.columns])
+    few = rules.select(rule.alias("rule")).orderBy(F.col("rule")[order].asc_nulls_first(), "rule").limit(LITERAL_RULES + 1)
+    listed = few.agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("rule")[order].alias("o"), "rule")))).alias("j"), F.count(F.lit(1)).alias("n")).first()
+    if listed["n"] <= LITERAL_RULES:
+        kind = few.agg(F.collect_list(F.struct(F.col("rule")[order].alias("o"), "rule")).alias("x")).schema["x"].dataType
+        array = F.transform(F.from_json(F.lit(listed["j"]), kind), lambda x: x["rule"])
+        return df.withColumn("rule", F.get(F.filter(array, condition), F.lit(0)))
+    joined = _counted(df).select("*", "_row.*").join(rules.select(rule.alias("rule")), condition(F.col("rule")), "left")
+    return _repeated(joined.groupBy("_row", "_n").agg(F.min_by("rule", F.col("rule")[order]).alias("rule")), "rule")
 
 
 def threshold(df: DataFrame, min_severity: str | None, min_confidence: str | None) -> DataFrame:

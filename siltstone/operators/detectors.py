@@ -13,7 +13,7 @@ from siltstone.functions.classify import file_role, reusable_role
 from siltstone.functions.rules import CATEGORIES, CONFIG_RULES, DEFAULT_RULES, RUNTIME_SECRETS
 from siltstone.functions.text import explode_lines, extension, function_window, hits, line_slice, lines, matches, redact, trim, window
 from siltstone.operators.core import first_wins, top_per_key
-from siltstone.schemas import RESULTS, columns_of
+from siltstone.schemas import FILE_SPAN, PLACES, RESULTS, RULES, columns_of
 from siltstone.sources.files import routes
 
 
@@ -23,9 +23,14 @@ def _results(df: DataFrame, scanner: str, **columns: Column) -> DataFrame:
     return df.select(*[made[c].cast(kinds[c]).alias(c) for c in columns_of(RESULTS)])
 
 
-def _order(*parts: Column) -> Column:
-    """ord of a hit: the file's, then the hit's place in it."""
-    return F.col("ord") * 1_000_000 + sum((p * w for p, w in zip(parts, (1000, 1))), F.lit(0))
+def _order(rule: Column, place: Column) -> Column:
+    """ord of a hit: the file's, then the rule's, then the hit's place among that rule's."""
+    return F.col("ord") * FILE_SPAN + rule.cast("long") * PLACES + place
+
+
+def _line_order(line: Column, rule: Column) -> Column:
+    """ord of a hit: the file's, then the line's (or route's), then the rule's."""
+    return F.col("ord") * FILE_SPAN + line.cast("long") * RULES + rule
 
 
 # A secret's kind by its text; the original's classifier is not public, so this is our own contract.
@@ -46,16 +51,15 @@ def _numbered_hit(rule: int, *fields: str):
 def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFrame:
     """Every match of every rule over whole contents, with the line it starts on.
 
-    All rules are one array expression in one scan: each pattern is a literal, and tests the file's
-    extension, then whether it occurs at all, before matches are located.
+    One scan: first the rules that a file's extension and one test of each literal pattern leave,
+    as an array; then, for these alone, a pass that locates their matches.
     """
-    ext, out = extension(F.col("path")), []
-    empty = F.array().cast("array<struct<rule:int,nth:int,line:int,hit:string>>")
-    for i, (_, _, _, exts, _, pattern) in enumerate(rules):
-        found = F.transform(hits(F.col("content"), f"(?im){pattern}"), _numbered_hit(i, "line", "hit"))
-        wanted = matches(F.col("content"), f"(?im){pattern}")
-        out.append(F.when(ext.isin(*exts) & wanted if exts else wanted, found).otherwise(empty))
-    rows = files.select("path", "ord", F.explode(F.concat(*out)).alias("h")).select("path", "ord", "h.*")
+    ext, content = extension(F.col("path")), F.col("content")
+    patterns = [f"(?im){r[5]}" for r in rules]
+    wanted = [matches(content, p) & ext.isin(*r[3]) if r[3] else matches(content, p) for p, r in zip(patterns, rules)]
+    which = F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]))
+    rows = files.select("path", "ord", "content", F.explode(which).alias("rule"))
+    rows = rows.select("path", "ord", "rule", F.posexplode(hits(content, F.get(F.array(*map(F.lit, patterns)), F.col("rule")))).alias("nth", "h")).select("path", "ord", "rule", "nth", "h.*")
     meta = F.array(*[F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category"), F.lit(r[4]).alias("title")) for r in rules])
     rows = rows.withColumn("r", F.get(meta, F.col("rule")))
     value = trim(F.regexp_extract("hit", r"(?s)[:=]\s*(.+)$", 1))
@@ -215,23 +219,23 @@ def source_patterns(files: DataFrame) -> DataFrame:
     found = rows.select("path", "ord", "i", "line", F.explode(passed).alias("rule"))
     meta = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "title", "category", "severity"), r[:4])]) for r in rules])
     found = found.withColumn("r", F.get(meta, F.col("rule")))
-    by_line = _source_result(found, F.col("r.id"), F.col("r.title"), F.col("r.category"), F.col("r.severity"), F.col("i") + 1, trim(F.col("line")), _order(F.col("i"), F.col("rule")))
+    by_line = _source_result(found, F.col("r.id"), F.col("r.title"), F.col("r.category"), F.col("r.severity"), F.col("i") + 1, trim(F.col("line")), _line_order(F.col("i"), F.col("rule")))
     at = routes(kept.withColumn("ls", lines(F.col("content"))))
     label = F.concat_ws(" ", "method", "route_path")
     near = line_slice(F.col("ls"), F.col("start_line") - 1, F.col("start_line") + 3)
     bare = at.where(F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE", "ALL", "USE") & matches(F.col("route_path"), SENSITIVE_ROUTE) & ~matches(near, ROUTE_GUARD))
     shop = matches(F.col("route_path"), "(?i)(basket|cart|order|checkout|payment|coupon|review|feedback|deluxe)")
     grave = matches(F.col("route_path"), "(?i)(admin|internal|export|token|password|payment|checkout)")
-    guards = _source_result(bare, "source-sensitive-route-without-guard", "Sensitive route lacks an obvious inline authentication or authorization guard", F.when(shop, "business-logic").otherwise("authorization"), F.when(grave, "high").otherwise("medium"), F.col("start_line"), label, _order(F.lit(900), F.col("k")))
+    guards = _source_result(bare, "source-sensitive-route-without-guard", "Sensitive route lacks an obvious inline authentication or authorization guard", F.when(shop, "business-logic").otherwise("authorization"), F.when(grave, "high").otherwise("medium"), F.col("start_line"), label, _order(F.lit(RULES - 4), F.col("k")))
     gets = at.where((F.col("method") == "GET") & matches(F.col("route_path"), "(?i)(logout|signout|delete|destroy|revoke|disconnect|deactivate)") & ~matches(window(F.col("ls"), F.col("start_line") - 1, 4, 4), "(?i)(csrf|sameSite|idempotent|safeLogout)"))
-    logout = _source_result(gets, "source-state-changing-get-logout", "State-changing logout route uses GET", "auth", "medium", F.col("start_line"), label, _order(F.lit(950), F.col("k")))
+    logout = _source_result(gets, "source-state-changing-get-logout", "State-changing logout route uses GET", "auth", "medium", F.col("start_line"), label, _order(F.lit(RULES - 2), F.col("k")))
     said = F.transform(F.regexp_extract_all("content", F.lit(r"(?i)message\s*:\s*(?:\{[^}]*content\s*:\s*)?['\"`]([^'\"`]+)['\"`]"), F.lit(1)), F.lower)
     who, what = "user .*not found|unknown user|no such user", "invalid password|wrong password|bad password"
     login = kept.where(F.exists(said, lambda m: m.rlike(who)) & F.exists(said, lambda m: m.rlike(what))).withColumn("ls", lines(F.col("content")))
     first = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size("ls")), lambda k: F.get(F.col("ls"), k - 1).rlike(f"(?i){who}"))), F.lit(1))
     login = login.withColumn("_at", first)
     spoken = F.coalesce(F.nullif(trim(F.get("ls", F.col("_at") - 1)), F.lit("")), F.lit("distinct login failure messages"))
-    distinct = _source_result(login, "source-login-distinct-failure-messages", "Login flow exposes distinct username and password failure messages", "auth", "medium", F.col("_at"), spoken, _order(F.lit(940), F.lit(0)))
+    distinct = _source_result(login, "source-login-distinct-failure-messages", "Login flow exposes distinct username and password failure messages", "auth", "medium", F.col("_at"), spoken, _order(F.lit(RULES - 3), F.lit(0)))
     every = by_line.unionByName(guards).unionByName(distinct).unionByName(logout)
     return first_wins(every, ["rule_id", "path", "start_line"])
 
@@ -266,7 +270,7 @@ def business_invariants(files: DataFrame) -> DataFrame:
     hit = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("n"), F.lit(i).alias("id"), F.lit(t).alias("title"), F.lit(s).alias("severity"))) for k, (c, i, t, s) in enumerate(kinds)]))
     rows = at.select("path", "ord", "k", "method", "route_path", "start_line", F.explode(hit).alias("h"))
     raw = F.to_json(F.struct(F.when(F.col("h.severity") == "high", "high").otherwise("medium").alias("confidence")))
-    out = _results(rows, "business-invariants", rule_id=F.col("h.id"), title=F.col("h.title"), category=F.lit("business-logic"), severity=F.col("h.severity"), start_line=F.col("start_line"), message=F.concat_ws(" ", "method", "route_path"), raw=raw, ord=_order(F.col("k"), F.col("h.n")))
+    out = _results(rows, "business-invariants", rule_id=F.col("h.id"), title=F.col("h.title"), category=F.lit("business-logic"), severity=F.col("h.severity"), start_line=F.col("start_line"), message=F.concat_ws(" ", "method", "route_path"), raw=raw, ord=_line_order(F.col("k"), F.col("h.n")))
     return first_wins(out, ["rule_id", "path", "start_line"])
 
 
@@ -283,7 +287,7 @@ def discover_invariants(files: DataFrame, most: int = 200) -> DataFrame:
     rows = at.select("path", "ord", "k", "method", "route_path", F.col("start_line").alias("line"), "body", F.explode(hit).alias("h"))
     evidence = F.substring(F.array_join(F.slice(F.filter(F.transform(lines(F.col("body")), trim), lambda s: s != ""), 1, 6), " | "), 1, 700)
     rule = F.concat(F.lit("Route "), F.col("method"), F.lit(" "), F.col("route_path"), F.lit(" "), F.col("h.rule"))
-    out = rows.select(F.concat_ws(":", "h.category", "path", "line").alias("id"), "h.title", "h.category", "path", "line", rule.alias("rule"), evidence.alias("evidence"), "h.confidence", _order(F.col("k"), F.col("h.n")).alias("ord"))
+    out = rows.select(F.concat_ws(":", "h.category", "path", "line").alias("id"), "h.title", "h.category", "path", "line", rule.alias("rule"), evidence.alias("evidence"), "h.confidence", _line_order(F.col("k"), F.col("h.n")).alias("ord"))
     return first_wins(out, ["category", "path", "line"]).orderBy("ord").limit(most)
 
 
@@ -387,7 +391,7 @@ def header_gates(files: DataFrame) -> DataFrame:
     message = F.concat(title, F.lit(". "), F.when(host, "Host headers").otherwise("Proxy client IP headers"), F.lit(" are attacker-controlled unless overwritten by trusted proxy middleware/configuration."), F.when(F.col("g.strong"), " Strong auth also appears nearby; validate whether it dominates the header gate.").otherwise(""))
     chain = F.struct(F.when(host, "host-header-auth-bypass").otherwise("proxy-header-auth-bypass").alias("kind"), F.when(F.col("g.strong"), "low").otherwise("medium").alias("confidence"))
     raw = F.to_json(F.struct(chain.alias("attackChain"), F.array(F.struct("path", (F.col("i") + 1).alias("line"), F.substring(trim(F.col("line")), 1, 220).alias("note"))).alias("evidence")))
-    made = _results(rows, "correlation", rule_id=F.when(host, "host-header-admin-gate").otherwise("proxy-header-admin-gate"), title=F.concat(title, F.lit(" ("), F.col("g.pack"), F.lit(")")), category=F.lit("auth"), severity=F.when(F.col("g.strong"), "medium").otherwise("high"), start_line=F.col("i") + 1, message=message, raw=raw, ord=_order(F.col("i"), F.col("g.n")))
+    made = _results(rows, "correlation", rule_id=F.when(host, "host-header-admin-gate").otherwise("proxy-header-admin-gate"), title=F.concat(title, F.lit(" ("), F.col("g.pack"), F.lit(")")), category=F.lit("auth"), severity=F.when(F.col("g.strong"), "medium").otherwise("high"), start_line=F.col("i") + 1, message=message, raw=raw, ord=_line_order(F.col("i"), F.col("g.n")))
     return first_wins(made, ["rule_id", "path", "start_line"])
 
 

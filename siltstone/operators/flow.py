@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import rules as R
 from siltstone.functions.text import explode_lines, extension, matches, trim
 from siltstone.operators.core import first_wins
-from siltstone.schemas import RESULTS, columns_of
+from siltstone.schemas import FILE_SPAN, RESULTS, columns_of
 from siltstone.session import ship
 
 _LINES = re.compile(r"\r?\n")
@@ -73,7 +73,7 @@ def _lite(path: str, text: list[str], order: int):
         for rule, message, raw in hits:
             if (no, rule) not in seen:
                 seen.add((no, rule))
-                yield ("taint-lite", rule, sink[2], sink[1], "high", path, no, no, message, json.dumps(raw | {"cwe": sink[4], "owasp": _owasp(sink[1])}), order * 1_000_000 + nth)
+                yield ("taint-lite", rule, sink[2], sink[1], "high", path, no, no, message, json.dumps(raw | {"cwe": sink[4], "owasp": _owasp(sink[1])}), order * FILE_SPAN + nth)
                 nth += 1
 
 
@@ -125,7 +125,7 @@ def _functions(path: str, text: list[str], order: int):
     for i, line in enumerate(text):
         found = _signature(line, _ext(path))
         if found:
-            yield (path, found[0], found[1], i + 1, _ends(text, i, _ext(path)), found[2], order * 1_000_000 + i)
+            yield (path, found[0], found[1], i + 1, _ends(text, i, _ext(path)), found[2], order * FILE_SPAN + i)
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def occurrences(files: DataFrame) -> DataFrame:
         sink = F.when(matches(F.col("line"), p), F.struct(F.lit(i).alias("sink_id"), F.lit(c).alias("category"), F.lit(t).alias("title"))).otherwise(sink)
     source = matches(F.col("line"), R.SOURCE)
     both = F.array_compact(F.array(F.when(source, F.struct(F.lit("source").alias("kind"), F.lit(None).cast("struct<sink_id:string,category:string,title:string>").alias("s"))), F.when(sink.isNotNull(), F.struct(F.lit("sink").alias("kind"), sink.alias("s")))))
-    out = rows.select("path", (F.col("i") + 1).alias("line"), F.substring(trim(F.col("line")), 1, 220).alias("code"), (F.col("ord") * 1_000_000 + F.col("i")).alias("ord"), F.explode(both).alias("b"))
+    out = rows.select("path", (F.col("i") + 1).alias("line"), F.substring(trim(F.col("line")), 1, 220).alias("code"), (F.col("ord") * FILE_SPAN + F.col("i")).alias("ord"), F.explode(both).alias("b"))
     return out.select("b.kind", "path", "line", "code", "b.s.sink_id", "b.s.category", "b.s.title", "ord")
 
 
@@ -252,7 +252,7 @@ def _backtrace(path: str, text: list[str], order: int):
             seen.add((at, no, sink[0]))
             raw = {"sourceLine": at, "sinkLine": no, "dataFlow": [{"path": path, "line": n, "step": s} for n, s in steps], "sanitizerAssessment": {"sanitizers": [{"path": path, "line": n, "code": c} for n, c in cleaners], "sufficient": False, "reason": why}}
             message = f"Sink-first trace found {expression} reaching {sink[1]} sink without a context-sufficient sanitizer."
-            yield ("taint-flow", f"{sink[0]}-sink-backtrace", sink[2], sink[1], "medium" if sink[1] == "xss" else "high", path, no, no, message, json.dumps(raw), order * 1_000_000 + nth)
+            yield ("taint-flow", f"{sink[0]}-sink-backtrace", sink[2], sink[1], "medium" if sink[1] == "xss" else "high", path, no, no, message, json.dumps(raw), order * FILE_SPAN + nth)
             nth += 1
 
 

@@ -87,6 +87,13 @@ def resolve_approvals(approvals: DataFrame, decisions: DataFrame, now) -> DataFr
     return joined.withColumn("resolved_at", F.when(F.col("_d").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("resolved_at"))).withColumn("status", F.coalesce("_d", "status")).select(*approvals.columns)
 
 
+def finish_scans(scans: DataFrame, finished: DataFrame, now) -> DataFrame:
+    """Running scans that ``finished`` (id, status) names take its status; others stay as they are."""
+    d = finished.select(F.col("id").alias("_i"), F.col("status").alias("_d"))
+    joined = scans.join(d, (F.col("id") == F.col("_i")) & F.col("finished_at").isNull(), "left")
+    return joined.withColumn("finished_at", F.when(F.col("_d").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("finished_at"))).withColumn("status", F.coalesce("_d", "status")).select(*scans.columns)
+
+
 def approved(actions: DataFrame, approvals: DataFrame) -> DataFrame:
     """Actions (action_type, target) that someone approved."""
     return actions.join(approvals.where("status = 'approved'").select("action_type", "target"), ["action_type", "target"], "left_semi")

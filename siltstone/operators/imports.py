@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,11 @@ def import_graph(files: DataFrame) -> DataFrame:
     dotted = found.where(r"module rlike '^[A-Za-z_][\\w.]*$'").select("path", "k", F.replace("module", F.lit("."), F.lit("/")).alias("base"))
     rooted = found.where("NOT startswith(module, '.')").select("path", "k", F.col("module").alias("base"))
     aliases = path_aliases(files)
-    by_alias = found.join(aliases, F.expr("prefix <> '' AND startswith(module, prefix)")).select("path", "k", resolve_folder(F.concat("target", F.expr("substring(module, length(prefix) + 1)"))).alias("base"))
+    # A module meets the aliases by its own beginnings of the lengths that occur: an equi-join.
+    named = aliases.where("prefix <> ''")
+    sizes = sorted(r["n"] for r in named.select(F.length("prefix").alias("n")).distinct().collect())
+    heads = F.explode(F.array_distinct(F.array(*[F.substring("module", 1, n) for n in sizes]))) if sizes else F.lit(None).cast("string")
+    by_alias = found.withColumn("prefix", heads).join(named, "prefix").select("path", "k", resolve_folder(F.concat("target", F.expr("substring(module, length(prefix) + 1)"))).alias("base"))
     every = relative.unionByName(dotted).unionByName(rooted).unionByName(by_alias)
     tried = every.select("path", "k", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in _ENDINGS])).alias("n", "to_path"))
     known = files.select(F.col("path").alias("to_path"))
@@ -43,21 +48,22 @@ def import_graph(files: DataFrame) -> DataFrame:
     return one.select(F.col("path").alias("from_path"), "to_path").distinct()
 
 
-def reach_depth(edges: DataFrame, seeds: DataFrame, most_rounds: int = 30) -> DataFrame:
+def reach_depth(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """path, depth: breadth-first distance from the seeds over (from_path, to_path).
 
     Each round joins only the frontier and anti-joins what was seen; rounds are written to the
-    shared folder, so the plan does not grow.
+    shared folder, so the plan does not grow. It ends when a round reaches nothing new.
     """
     scratch = Scratch(edges.sparkSession, "bfs")
     seen = scratch.table("seen-0", seeds.select("path", F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         following = frontier.join(edges, F.col("path") == F.col("from_path")).select(F.col("to_path").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("depth", F.lit(depth))
         frontier = scratch.table(f"frontier-{depth}", following)
         if frontier.isEmpty():
             break
         seen = scratch.table(f"seen-{depth}", seen.unionByName(frontier))
+        scratch.drop(f"seen-{depth - 1}")
     return seen
 
 
@@ -124,6 +130,16 @@ def uninspected(points: DataFrame, inspected: DataFrame) -> DataFrame:
     return range_semi(points, inspected, "path", "line", anti=True)
 
 
+def backed_off(budget: int, sizes: list[int], fixed: int, limit: int, share: float = 0.7) -> int:
+    """The budget for source text, cut to ``share`` of itself until it and the fixed text of a prompt fit the limit.
+
+    ``sizes``: characters of the chunks in order, the last one that fits being clipped.
+    """
+    while budget > 0 and fixed + min(budget, sum(sizes)) > limit:
+        budget = int(budget * share)
+    return budget
+
+
 def bounded_pack(chunks: DataFrame, budget: int) -> DataFrame:
     """Chunks in order while their text fits a budget of characters; the last one is clipped."""
     used = running_budget(chunks.withColumn("_n", F.length("content")), "_n", budget, ["place"])

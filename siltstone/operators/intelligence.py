@@ -10,6 +10,7 @@ from siltstone.functions.rules import SANITIZER
 from siltstone.functions.text import explode_lines, first_sentence, matches, normal_path, or_empty, squeeze, trim
 from siltstone.operators.core import first_wins, top_per_key
 from siltstone.operators.detectors import _SOURCE_FILE
+from siltstone.schemas import FILE_SPAN
 from siltstone.operators.flow import occurrences
 from siltstone.operators.policy import active
 from siltstone.schemas import CONFIDENCES, SEVERITIES, rank, score
@@ -30,7 +31,7 @@ def catalog(files: DataFrame) -> DataFrame:
     rows = explode_lines(files)
     kinds = F.array_compact(F.array(F.when(matches(F.col("line"), SANITIZER), F.struct(F.lit("sanitizer").alias("kind"), F.lit("sanitizer").alias("category"))), F.when(matches(F.col("line"), GUARD), F.struct(F.lit("guard").alias("kind"), F.lit("authz").alias("category")))))
     text = trim(F.col("line"))
-    other = rows.select(F.explode(kinds).alias("c"), F.substring(text, 1, 120).alias("name"), "path", (F.col("i") + 1).alias("no"), F.substring(text, 1, 220).alias("evidence"), (F.col("ord") * 1_000_000 + F.col("i")).alias("ord"))
+    other = rows.select(F.explode(kinds).alias("c"), F.substring(text, 1, 120).alias("name"), "path", (F.col("i") + 1).alias("no"), F.substring(text, 1, 220).alias("evidence"), (F.col("ord") * FILE_SPAN + F.col("i")).alias("ord"))
     other = other.select("c.kind", "name", "path", F.col("no").alias("line"), "c.category", "evidence", "ord", F.lit(2).alias("_n"))
     return known.unionByName(other).withColumn("discovered_by", F.lit("deterministic"))
 
@@ -51,7 +52,7 @@ def full_catalog(files: DataFrame, items: DataFrame | None = None, most: int = 4
 
 
 def entrypoints(files: DataFrame, most: int = 500) -> DataFrame:
-    rows = routes(files).select("method", "route_path", "path", F.col("start_line").alias("line"), "framework", boundary(F.col("path"))["id"].alias("boundary"), (F.col("ord") * 1_000_000 + F.col("k")).alias("ord"))
+    rows = routes(files).select("method", "route_path", "path", F.col("start_line").alias("line"), "framework", boundary(F.col("path"))["id"].alias("boundary"), (F.col("ord") * FILE_SPAN + F.col("k")).alias("ord"))
     return first_wins(rows, ["method", "route_path", "path", "line"]).orderBy("ord").limit(most)
 
 

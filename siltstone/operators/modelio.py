@@ -57,16 +57,16 @@ def price(used: DataFrame, prices: DataFrame) -> DataFrame:
     """Fills missing costs from a price table (provider, aliases, input_per_m, cached_per_m, cache_write_per_m, output_per_m, ord).
 
     The first entry counts one of whose aliases the model's name, or its part after the last slash,
-    equals or starts with (before a dash). The table is configuration: it is checked to be small.
+    equals or starts with (before a dash). The table is configuration.
     """
     from siltstone.operators.core import theta_first
 
     alias = prices.select(F.struct("*").alias("p"), "ord", F.explode("aliases").alias("alias")).select("p.*", F.lower("alias").alias("alias"))
     model = F.lower("model")
     tail = F.element_at(F.split(model, "/"), -1)
-    fits = lambda m: (m == F.col("rule.alias")) | m.startswith(F.concat(F.col("rule.alias"), F.lit("-")))
-    same = (F.lower(F.col("provider")) == F.lower(F.col("rule.provider"))) & F.col("rule.alias").endswith(F.concat(F.lit("/"), tail))
-    joined = theta_first(used, alias, fits(model) | fits(tail) | same, "ord")
+    fits = lambda m, rule: (m == rule["alias"]) | m.startswith(F.concat(rule["alias"], F.lit("-")))
+    same = lambda rule: (F.lower(F.col("provider")) == F.lower(rule["provider"])) & rule["alias"].endswith(F.concat(F.lit("/"), tail))
+    joined = theta_first(used, alias, lambda rule: fits(model, rule) | fits(tail, rule) | same(rule), "ord")
     part = lambda tokens, rate: (F.col(tokens).cast("decimal(20,0)") * rate.cast("decimal(14,6)") / F.lit(1_000_000).cast("decimal(8,0)")).cast(MONEY)
     r = F.col("rule")
     cached = F.coalesce("cached_input_cost", part("cached_input_tokens", r["cached_per_m"]))

@@ -105,15 +105,30 @@ def snippets(findings: DataFrame, files: DataFrame, around: int = 4) -> DataFram
     return joined.withColumn("snippet", F.when(F.col("_ls").isNotNull() & (F.col("start_line") > 0), numbered(cut, first, 5))).drop("_p", "_ls")
 
 
-def json_report(tables: dict[str, DataFrame], most: int = 100_000) -> DataFrame:
-    """One row ``document``: every table as an array, at most ``most`` rows each (more raise ValueError)."""
-    out = None
+#: Rows that one document holds, about.
+DOCUMENT_ROWS = 50_000
+
+
+def _blocks(df: DataFrame, blocks: int) -> DataFrame:
+    """The rows with ``block``, equal shares by a hash of their order."""
+    return df.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
+
+
+def json_report(tables: dict[str, DataFrame], rows: int = DOCUMENT_ROWS) -> DataFrame:
+    """block, document: every table as an array; one document, or as many as keep about ``rows`` rows of each table.
+
+    Tables with a column ``ord`` are dealt by it and listed in its order, others go into the first document.
+    """
+    blocks = max(1, *(-(-df.count() // rows) for df in tables.values() if "ord" in df.columns), 1)
+    out = tables[next(iter(tables))].sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
     for name, df in tables.items():
-        if df.limit(most + 1).count() > most:
-            raise ValueError(f"{name} has more than {most} rows; write it as a table")
-        one = df.agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out.select(F.to_json(F.struct(*[F.col(n) for n in tables])).alias("document"))
+        row = F.struct(*[F.col(c) for c in df.columns])
+        dealt = _blocks(df, blocks) if "ord" in df.columns else df.withColumn("block", F.lit(0))
+        listed = F.collect_list(F.struct(F.col("ord").alias("o"), row.alias("r"))) if "ord" in df.columns else F.collect_list(F.struct(F.lit(0).alias("o"), row.alias("r")))
+        one = dealt.groupBy("block").agg(F.transform(F.array_sort(listed), lambda s: s["r"]).alias(name))
+        empty = F.array().cast(one.schema[name].dataType)
+        out = out.join(one, "block", "left").withColumn(name, F.coalesce(name, empty))
+    return out.select("block", F.to_json(F.struct(*[F.col(n) for n in tables])).alias("document"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -122,19 +137,22 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(rule.alias("rule_id"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _LEVEL.items() for x in kv]), F.col("severity")), F.lit("note")).alias("level"), F.col("title"), F.col("reasoning").alias("message"), "fingerprint", F.col("path").alias("uri"), F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("line"), F.greatest(F.coalesce("end_line", "start_line", F.lit(1)), F.lit(1)).alias("end_line"), "ord")
 
 
-def sarif(findings: DataFrame, tool: str, most: int = 100_000) -> DataFrame:
-    """One row ``document``: a SARIF 2.1.0 log; rules are unique by id, the first counts."""
-    if findings.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} findings; a SARIF log holds fewer")
-    rows = sarif_results(findings)
+def sarif(findings: DataFrame, tool: str, rows: int = DOCUMENT_ROWS) -> DataFrame:
+    """block, document: SARIF 2.1.0 logs; in each, rules are unique by id, the first counts.
+
+    One log, or as many as keep about ``rows`` results each, so that no task gathers all findings.
+    """
+    blocks = max(1, -(-findings.count() // rows))
+    results = _blocks(sarif_results(findings), blocks)
     rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"))
-    rules = first_wins(rows, ["rule_id"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", rule.alias("r")))), lambda s: s["r"]).alias("rules"))
+    rules = first_wins(results, ["block", "rule_id"]).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", rule.alias("r")))), lambda s: s["r"]).alias("rules"))
     place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("end_line").alias("endLine")).alias("region")).alias("physicalLocation"))
     item = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.coalesce("message", "title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("fingerprints"))
-    listed = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("i")))), lambda s: s["i"]).alias("results"))
-    driver = F.struct(F.lit(tool).alias("name"), "rules")
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), "results")
-    return rules.crossJoin(listed).select(F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    listed = results.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("i")))), lambda s: s["i"]).alias("results"))
+    every = findings.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(rules, "block", "left").join(listed, "block", "left")
+    full = every.select("block", *[F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c) for c in ("rules", "results")])
+    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "results")
+    return full.select("block", F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
 def ci_annotations(findings: DataFrame, fail_on: str = "none") -> DataFrame:
@@ -175,13 +193,73 @@ def markdown_table(df: DataFrame, columns: list[str], most: int = 500) -> str:
 
 
 def html_table(df: DataFrame, columns: list[str], most: int = 500) -> str:
+    """The first rows as a table that a field above it filters by what is typed."""
     rows = df.select(*[html_escape(or_empty(F.col(c))).alias(c) for c in columns]).limit(most).collect()
     body = "".join("<tr>" + "".join(f"<td>{v}</td>" for v in r) + "</tr>" for r in rows)
-    return "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + f"</tr>{body}</table>"
-
-
-def markdown(results: DataFrame, findings: DataFrame) -> str:
-    """A report of the aggregated sections."""
-    parts = [("Health", health(findings), ["health"]), ("Severities", severity_share(findings), ["severity", "n", "share"]), ("Fix first", fix_first(findings), ["score", "severity", "title", "path", "start_line"]), ("Scanners", scanner_counts(results).orderBy("place"), ["scanner", "n"]), ("Compliance", compliance_table(results), ["rule_id", "status", "remediation"]), ("Attack chains", attack_chains(results), ["rule_id", "severity", "path", "start_line"]), ("Noise", noise_bucket(results), ["scanner", "rule_id", "n"])]
-    return "\n\n".join(f"## {title}\n\n{markdown_table(df, columns)}" for title, df, columns in parts)
-
+    return '<input class="filter" placeholder="filter"><table><thead><tr>' + "".join(f"<th>{c}</th>" for c in columns) + f"</tr></thead><tbody>{body}</tbody></table>"
+
+
+_PLACE = ["severity", "confidence", "title", "path", "start_line"]
+
+
+def sections(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame] | None = None) -> list[tuple[str, DataFrame, list[str]]]:
+    """The sections of a report in order: title, table (aggregated or cut to its first rows) and columns.
+
+    ``more`` gives tables that a scan does not always have, by section title; one without a table is left out.
+    """
+    more = dict(more or {})
+    code = findings.where("category <> 'dependency'")
+    packages = more.get("Dependency findings", findings.sparkSession.createDataFrame([], "package string, score int"))
+    state = lambda *names: code.where(F.col("status").isin(*names)).withColumn("score", report_score()).orderBy(F.col("score").desc(), "ord").limit(500)
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    summary = counted(active(findings), "code findings").unionByName(counted(results, "results")).unionByName(counted(results.where("scanner = 'correlation'"), "attack chains")).unionByName(counted(results.where("scanner = 'compliance'"), "compliance rows")).unionByName(counted(code.where("status = 'false_positive'"), "false positives"))
+    made = {
+        "Summary": (summary, ["what", "n"]),
+        "Health": (health(findings), ["health"]),
+        "Scan strategy": None, "Security intelligence": None, "Static recon": None, "Static proof packs": None,
+        "Action plan": (action_plan(findings, packages), ["action", "title", "score"]),
+        "Fix first": (top_fixes(findings, packages), ["kind", "name", "score"]),
+        "Attack chains": (attack_chains(results).limit(500), ["rule_id", "title", "severity", "path", "start_line", "kind"]),
+        "Confirmed code findings": (state("confirmed", "confirmed_true_positive", "likely_true_positive"), _PLACE),
+        "Suspected or to be validated": (state("suspected", "needs_dynamic_test", "security_hotspot", "needs_context"), _PLACE),
+        "Dependency findings": None,
+        "Compliance evidence": (compliance_table(results), ["rule_id", "status", "remediation"]),
+        "False positives": (state("false_positive"), _PLACE),
+        "Additional results": (additional_results(results, findings), ["scanner", "rule_id", "severity", "path", "n"]),
+        "Noise": (noise_bucket(results), ["scanner", "rule_id", "n"]),
+        "Baseline": None,
+        "Severities": (severity_share(active(findings)).orderBy(rank(F.col("severity"), SEVERITIES)), ["severity", "n", "share"]),
+        "Audit coverage": None, "Execution": None, "Model budget": None, "Model jobs": None,
+        "Scanner results": (scanner_counts(results).orderBy("place"), ["scanner", "n"]),
+        "Suppressions": None, "Warnings": None,
+    }
+    out = []
+    for title, own in made.items():
+        if title in more:
+            out.append((title, more[title], [c for c in more[title].columns if c != "ord"]))
+        elif own:
+            out.append((title, *own))
+    return out
+
+
+def markdown(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame] | None = None) -> str:
+    """The sections as Markdown."""
+    return "\n\n".join(f"## {title}\n\n{markdown_table(df, columns)}" for title, df, columns in sections(results, findings, more))
+
+
+_FILTER = "document.querySelectorAll('.filter').forEach(f=>f.oninput=()=>f.nextElementSibling.querySelectorAll('tbody tr').forEach(r=>r.hidden=!r.textContent.toLowerCase().includes(f.value.toLowerCase())))"
+
+
+def severity_chart(findings: DataFrame) -> str:
+    """A bar for each severity, as inline SVG."""
+    found = {r["severity"]: r["n"] for r in severity_share(active(findings)).collect()}  # a row a severity
+    most = max([*found.values(), 1])
+    bars = "".join(f'<text x="0" y="{22 * i + 15}">{s}</text><rect x="80" y="{22 * i + 3}" width="{300 * found.get(s, 0) // most}" height="16"/><text x="{90 + 300 * found.get(s, 0) // most}" y="{22 * i + 15}">{found.get(s, 0)}</text>' for i, s in enumerate(SEVERITIES))
+    return f'<svg width="460" height="{22 * len(SEVERITIES)}" role="img" aria-label="findings by severity">{bars}</svg>'
+
+
+def html(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame] | None = None) -> str:
+    """The sections as one HTML page: score, chart of severities, and tables with filters."""
+    score_of = health(findings).first()["health"]
+    body = "".join(f"<h2>{title}</h2>{html_table(df, columns)}" for title, df, columns in sections(results, findings, more))
+    return f"<!doctype html><meta charset=utf-8><title>Report</title><h1>Health {score_of}/100</h1>{severity_chart(findings)}{body}<script>{_FILTER}</script>"

@@ -18,6 +18,7 @@ from siltstone.functions.text import finding_fingerprint, result_fingerprint
 from siltstone.operators import dedupe, dependencies, detectors, flow, history, policy
 from siltstone.operators.core import breadth_first
 from siltstone.operators.modelio import as_findings
+from siltstone.schemas import PART_SPAN
 from siltstone.session import Scratch
 from siltstone.sources.files import ProjectConfig
 from siltstone.sources.scanners import ADAPTERS
@@ -27,8 +28,6 @@ DETECTORS = {
     "custom-rules": detectors.custom_rules, "source-patterns": detectors.source_patterns, "taint-lite": flow.taint_lite, "taint-flow": flow.taint_flow,
     "business-invariants": detectors.business_invariants, "config-checks": detectors.config_checks, "quality": detectors.quality,
 }
-#: Rows that one detector may report before another's order begins.
-_SPAN = 1 << 44
 
 
 @dataclass
@@ -43,7 +42,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     """UNION ALL in order: each part's rows come after the parts' before it."""
     out = parts[0]
     for n, part in enumerate(parts[1:], 1):
-        out = out.unionByName(part.withColumn("ord", F.col("ord") + n * _SPAN), allowMissingColumns=True)
+        out = out.unionByName(part.withColumn("ord", F.col("ord") + n * PART_SPAN), allowMissingColumns=True)
     return out
 
 
@@ -55,7 +54,7 @@ def detect(files: DataFrame, changed: DataFrame | None = None, reports: dict[str
     # Four later steps read these rows: they are written once, and later plans stay small.
     preliminary = Scratch(files.sparkSession, "detect").table("preliminary", union_all(parts))
     more = [detectors.compliance(files, preliminary), detectors.pollution_chain(preliminary), dependencies.reachable_results(files, preliminary), detectors.header_gates(files)]
-    return union_all([preliminary, union_all(more).withColumn("ord", F.col("ord") + len(parts) * _SPAN)])
+    return union_all([preliminary, union_all(more).withColumn("ord", F.col("ord") + len(parts) * PART_SPAN)])
 
 
 def scan(files: DataFrame, config: ProjectConfig | None = None, reports: dict[str, DataFrame] | None = None, ignore: list[str] = (), cache: DataFrame | None = None, repo_path: str = "/repo", memory: DataFrame | None = None, baseline: DataFrame | None = None) -> ScanResult:

@@ -217,9 +217,8 @@ def q_range_state(spark, sf_dir):
 @query("""SELECT p_partkey, p_type, CASE WHEN p_type LIKE 'E%' THEN 'E*' WHEN p_type LIKE '%L' THEN '*L' WHEN p_name LIKE '%ring' THEN 'ring' END AS pattern FROM part""")
 def q_theta_pattern_join(spark, sf_dir):
     rules = spark.createDataFrame([("E*", "^E", "p_type", 0), ("*L", "L$", "p_type", 1), ("ring", "ring$", "p_name", 2)], "pattern string, regex string, field string, ord int")
-    text_of = F.when(F.col("rule.field") == "p_type", F.col("p_type")).otherwise(F.col("p_name"))
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return core.theta_first(p, rules, F.rlike(text_of, F.col("rule.regex")), "ord").select("p_partkey", "p_type", F.col("rule.pattern").alias("pattern"))
+    return core.theta_first(p, rules, lambda rule: F.rlike(F.when(rule["field"] == "p_type", F.col("p_type")).otherwise(F.col("p_name")), rule["regex"]), "ord").select("p_partkey", "p_type", F.col("rule.pattern").alias("pattern"))
 
 
 @query(f"WITH {EVENT_RESULTS} SELECT CAST(CASE WHEN bool_or(severity IN ('critical', 'high')) THEN 2 ELSE 0 END AS INT) AS exit_code FROM er")

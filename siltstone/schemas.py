@@ -26,6 +26,13 @@ APPROVALS = "id string, scan_id string, action_type string, command_preview stri
 ROUTE = "method string, route_path string, start_line int, framework string"
 
 
+#: Orders of a file's rows: so many places (lines, or hits of a rule) for each of so many rules.
+PLACES, RULES = 1 << 20, 1 << 8
+#: What one file takes of the order; files are 2^30 at most before another part's order begins (PART).
+FILE_SPAN = PLACES * RULES
+PART_SPAN = FILE_SPAN << 30
+
+
 def columns_of(ddl: str) -> list[str]:
     return T.StructType.fromDDL(ddl).fieldNames()
 

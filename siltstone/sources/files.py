@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.classify import language
 from siltstone.functions.rules import ROUTES
-from siltstone.functions.text import hits, line_count, lines, matches, normal_path
+from siltstone.functions.text import hits, line_count, lines, matches, normal_path, trim
 from siltstone.schemas import ROUTE
 
 # Folders that a walk leaves out, and limits.
@@ -250,6 +250,23 @@ def parse_config(text: str) -> ProjectConfig:
     return config
 
 
+def changed_paths(spark: SparkSession, listing: str) -> DataFrame:
+    """path of every line of a listing of changed files (one a line, as version control prints them); none if it is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.text(listing)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string")
+    return rows.select(normal_path(trim(F.col("value"))).alias("path")).where("path <> ''").distinct()
+
+
+def only_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The files that a table of changed paths names."""
+    named = changed.select(normal_path(F.col("path"), mount=True).alias("_p")).distinct()
+    return files.withColumn("_n", normal_path(F.col("path"), mount=True)).join(named, F.col("_n") == F.col("_p"), "left_semi").drop("_n")
+
+
 def missing_globs(paths: DataFrame, globs: DataFrame) -> DataFrame:
     """Configured globs (field, pattern) that match no path: the preflight fails if there is one."""
     return globs.join(paths.select(normal_path(F.col("path"), root=True).alias("_p")), F.expr("_p = pattern OR startswith(_p, concat(rtrim('/', pattern), '/')) OR _p rlike regex"), "left_anti")

@@ -4,36 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.functions.text import normal_path
+from siltstone.operators.history import changed_files, upsert_cache
 from siltstone.schemas import FILES, SCAN_CACHE
 
+#: Parts of the cache by a hash of the path; a batch rewrites only those that it touches.
+BUCKETS = 64
+#: Versions of a part that stay: the last one, and the one before, which a repeated batch reads.
+KEPT = 2
+
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Parquet files of (path, language, content, line_count, ord) as they arrive."""
     return spark.readStream.schema(FILES).parquet(folder)
 
 
-def merge_cache(spark: SparkSession, folder: str, batch: DataFrame, epoch: int, repo_path: str, now) -> None:
-    """The cache after a batch, as a new version; a batch that runs twice writes the same version."""
-    from siltstone.operators.history import upsert_cache
+def _bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
-    old = read_cache(spark, folder, epoch - 1)
-    upsert_cache(old, batch, repo_path, now).write.mode("overwrite").parquet(f"{folder}/v={epoch}")
 
+def _versions(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """The versions of each part, ascending: at most BUCKETS parts of a few versions."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = lambda status: int(status.getPath().getName().split("=")[1])
+    parts = [p for p in fs.listStatus(root) if "=" in p.getPath().getName()] if fs.exists(root) else []
+    return {number(p): sorted(number(v) for v in fs.listStatus(p.getPath()) if "=" in v.getPath().getName()) for p in parts}
 
-def read_cache(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
-    """The cache as of an epoch; empty before the first."""
-    if epoch < 0:
-        return spark.createDataFrame([], SCAN_CACHE)
-    return spark.read.schema(SCAN_CACHE).parquet(f"{folder}/v={epoch}")
+
+def merge_cache(spark: SparkSession, folder: str, batch: DataFrame, epoch: int, repo_path: str, now) -> None:
+    """New versions of the parts that a batch touches; a batch that runs twice writes the same ones."""
+    touched = sorted(r["b"] for r in batch.select(_bucket(normal_path(F.col("path"), mount=True)).alias("b")).distinct().collect())  # BUCKETS at most
+    if not touched:
+        return
+    merged = upsert_cache(read_cache(spark, folder, epoch - 1, touched), batch, repo_path, now)
+    out = merged.withColumn("b", _bucket(F.col("path"))).withColumn("v", F.lit(epoch))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "v").parquet(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part, versions in _versions(spark, folder).items():
+        for v in [v for v in versions if v <= epoch][:-KEPT]:
+            fs.delete(hadoop.Path(f"{folder}/b={part}/v={v}"), True)
+
+
+def read_cache(spark: SparkSession, folder: str, epoch: int, parts: list[int] | None = None) -> DataFrame:
+    """The cache as of an epoch, or some of its parts; empty before the first."""
+    paths = []
+    for part, versions in _versions(spark, folder).items():
+        known = [v for v in versions if v <= epoch]
+        if known and (parts is None or part in parts):
+            paths.append(f"{folder}/b={part}/v={known[-1]}")
+    return spark.read.schema(SCAN_CACHE).parquet(*paths) if paths else spark.createDataFrame([], SCAN_CACHE)
 
 
 def scan_stream(files: DataFrame, detect: Callable[[DataFrame], DataFrame], cache_folder: str, out_folder: str, checkpoint: str, repo_path: str, now) -> StreamingQuery:
     """Per micro-batch: keep files whose content changed, detect, write the rows of that batch, merge the cache."""
-    from siltstone.operators.history import changed_files
-
     spark = files.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -203,12 +204,21 @@ def test_scan_end_to_end(spark):
     assert r.findings.where("scanner_source = 'compliance'").count() == 0
     assert 0 < scan.plan_review(r.results, 5).count() <= 5
     assert 0 <= report.health(r.findings).first()[0] <= 100
-    log = json.loads(report.sarif(r.findings, "tool").first()[0])
+    log = json.loads(report.sarif(r.findings, "tool").first()["document"])
     assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == r.findings.count()
     ids = [x["id"] for x in log["runs"][0]["tool"]["driver"]["rules"]]
     assert len(ids) == len(set(ids)) and {x["ruleId"] for x in log["runs"][0]["results"]} == set(ids)
     assert all(x["annotation"].startswith("::error file=") for x in report.ci_annotations(r.findings, "high").collect())
     assert intelligence.proof_packs(r.findings, 3).count() <= 3 and "## Health" in report.markdown(r.results, r.findings)
+    page = report.html(r.results, r.findings, {"Warnings": spark.createDataFrame([("<b>",)], "warning string")})
+    assert "<svg" in page and 'class="filter"' in page and "&lt;b&gt;" in page and "## Warnings" not in report.markdown(r.results, r.findings)
+    blocks = [json.loads(x["document"]) for x in report.sarif(r.findings, "tool", rows=2).collect()]
+    listed = [x for b in blocks for x in b["runs"][0]["results"]]
+    assert len(blocks) > 1 and len(listed) == r.findings.count()
+    assert all({x["ruleId"] for x in b["runs"][0]["results"]} == {x["id"] for x in b["runs"][0]["tool"]["driver"]["rules"]} for b in blocks)
+    few = r.findings.select("ord", "title")
+    documents = [json.loads(x["document"]) for x in report.json_report({"findings": few, "health": report.health(r.findings)}, rows=2).collect()]
+    assert sum(len(d["findings"]) for d in documents) == few.count() and sum(len(d["health"]) for d in documents) == 1
     assert [c.split(" ")[0] for c in FINDINGS.split(", ")][0] == r.findings.columns[0]
 
 
@@ -232,5 +242,24 @@ def test_incremental_stream(spark, tmp_path):
     run()
     code(spark, {"a.ts": "eval(x)", "b.ts": "eval(y)"}).write.mode("append").parquet(src)
     run()
-    rows = spark.read.parquet(out).select("batch", "path").collect()
+    assert {(x["path"], x["sha256"][:4]) for x in incremental.read_cache(spark, cache, 1).collect()} == {(p, hashlib.sha256(c.encode()).hexdigest()[:4]) for p, c in (("a.ts", "eval(x)"), ("b.ts", "eval(y)"))}
+    for n in range(3):
+        code(spark, {"a.ts": f"eval({n})"}).write.mode("append").parquet(src)
+        run()
+    assert incremental.read_cache(spark, cache, 9).count() == 2
+    versions = incremental._versions(spark, cache)
+    assert len(versions) == 2 and sorted(map(len, versions.values()))[-1] <= incremental.KEPT
+    rows = spark.read.parquet(out).where("batch < 2").select("batch", "path").collect()
     assert sorted((r["batch"], r["path"]) for r in rows) == [(0, "a.ts"), (1, "b.ts")]
+
+
+def test_hits_of_one_rule_do_not_reach_into_the_next(spark):
+    rules = [("one", "high", "xss", None, "t", "foo"), ("two", "high", "xss", None, "t", "bar")]
+    f = code(spark, {"a.ts": "foo\n" * 1500 + "bar\n" * 20, "b.ts": "foo"})
+    rows = detectors.custom_rules(f, rules).orderBy("ord").collect()
+    assert len({r["ord"] for r in rows}) == len(rows) == 1521
+    assert [r["rule_id"] for r in rows] == ["one"] * 1500 + ["two"] * 20 + ["one"]
+    assert [r["start_line"] for r in rows] == [*range(1, 1521), 1]
+    many = code(spark, {"a.ts": "\n" * 5000 + "eval(req.query.x);\n", "b.ts": "eval(req.query.x);\n"})
+    orders = [(r["path"], r["ord"]) for r in detectors.source_patterns(many).orderBy("ord").collect()]
+    assert orders == sorted(orders) and len(set(orders)) == len(orders)

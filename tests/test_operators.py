@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import core, dedupe, history, modelio, policy
+from siltstone.operators import core, dedupe, history, imports, modelio, policy
 from siltstone.schemas import FINDINGS, RESULTS, SCAN_CACHE, SCANS
 
 FILES = "path string, language string, content string, line_count int, ord long"
@@ -222,3 +222,40 @@ def test_evidence_must_lie_in_read_ranges(spark):
 
 def test_findings_schema(spark):
     assert modelio.as_findings(result(spark, [{}])).columns == [c.split(" ")[0] for c in FINDINGS.replace("array<struct<path:string,line:int,note:string>>", "x").split(", ")]
+
+
+def test_repeated_rows_stay(spark):
+    points = spark.createDataFrame([("f", 5), ("f", 5), ("f", 50)], "path string, line int")
+    ranges = spark.createDataFrame([("f", 4, 9, 2), ("f", 1, 9, 1)], "path string, start_line int, end_line int, ord int")
+    got = sorted((r["line"], r["hit"]["ord"] if r["hit"] else 0) for r in core.range_first(points, ranges, "path", "line", "ord").collect())
+    assert got == [(5, 1), (5, 1), (50, 0)]
+    rules = spark.createDataFrame([("x", "^a", 2), ("y", "^ab", 1), ("z", None, 0)], "name string, regex string, ord int")
+    rows = spark.createDataFrame([("abc",), ("abc",), ("ax",), ("q",)], "s string")
+    for most in (1000, 1):
+        core.LITERAL_RULES = most
+        got = sorted((r["s"], r["rule"]["name"] if r["rule"] else "") for r in core.theta_first(rows, rules, lambda rule: F.rlike(F.col("s"), rule["regex"]), "ord").collect())
+        assert got == [("abc", "y"), ("abc", "y"), ("ax", "x"), ("q", "")]
+    core.LITERAL_RULES = 1000
+
+
+def test_depth_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(36)], "from_path string, to_path string")
+    got = {r["path"]: r["depth"] for r in imports.reach_depth(edges, spark.createDataFrame([("n0",)], "path string")).collect()}
+    assert got == {f"n{i}": i for i in range(37)}
+
+
+def test_changed_paths_and_finished_scans(spark, tmp_path):
+    from siltstone.sources import files
+
+    (tmp_path / "diff").write_text("a.ts\n./b.ts\r\n\n")
+    tree = spark.createDataFrame([("a.ts",), ("b.ts",), ("c.ts",)], "path string")
+    assert sorted(r[0] for r in files.only_changed(tree, files.changed_paths(spark, str(tmp_path / "diff"))).collect()) == ["a.ts", "b.ts"]
+    assert files.only_changed(tree, files.changed_paths(spark, str(tmp_path / "none"))).count() == 0
+    scans = spark.createDataFrame([("1", "running", None), ("2", "running", None), ("3", "failed", None)], "id string, status string, finished_at timestamp")
+    done = history.finish_scans(scans, spark.createDataFrame([("1", "completed"), ("9", "completed")], "id string, status string"), "2024-01-01 00:00:00")
+    assert [(r["id"], r["status"], r["finished_at"] is None) for r in done.orderBy("id").collect()] == [("1", "completed", False), ("2", "running", True), ("3", "failed", True)]
+
+
+def test_budgets_back_off():
+    assert imports.backed_off(1000, [400, 700], 100, 10_000) == 1000
+    assert imports.backed_off(1000, [400, 700], 100, 600) == 489 and imports.backed_off(1000, [10], 700, 600) == 0

@@ -88,3 +88,12 @@ def test_title_overlap(spark):
 def test_mounted_path(spark):
     got = [one(spark, text.mounted_path(F.lit(p))) for p in ("/src/a.ts", "../../src/b.ts", "/repo/c.ts", "d\\e.ts")]
     assert got == ["a.ts", "b.ts", "c.ts", "d/e.ts"]
+
+
+def test_hits_of_groups_across_lines_and_marks(spark):
+    body = "a x=1\nb\nx=22 x=3\n\ufdd0 x=\n4"
+    df = spark.createDataFrame([(body,), (None,), ("",), ("none",)], "t string")
+    got = [[(h["line"], h["hit"]) for h in r["h"]] for r in df.select(text.hits(F.col("t"), r"x=\s*(\d+)", 1).alias("h")).collect()]
+    assert got == [[(1, "1"), (3, "22"), (3, "3"), (4, "4")], [], [], []]
+    whole = df.select(text.hits(F.col("t"), r"(?m)^.*x=\s*\d").alias("h")).first()["h"]
+    assert [(h["line"], h["hit"]) for h in whole] == [(1, "a x=1"), (3, "x=22 x=3"), (4, "\ufffd x=\n4")]
