@@ -11,7 +11,8 @@ candidates. At a similarity of 0.85 a pair shares none of 42 bands of six with a
 Documents of one set form a class, and its smallest doc_id stands for it. In a bucket of over
 ``DIRECT`` representatives that are not known to be connected, edges form a star: from the one with
 the smallest set (the centre C; ties by doc_id) to each other one. In others those few are compared
-with all. Both are linear in the bucket's size. Edges are confirmed on the full sets (64-bit shingle hashes), and
+with all. Both are linear in the bucket's size. Before that, a round of stars from each bucket's
+smallest doc_id connects what it can: few centres serve all bands of a group. Edges are confirmed on the full sets (64-bit shingle hashes), and
 confirmed links give components. A star may miss a link between two of its leaves A and B, where not
 both are connected to C. Say A is not linked to it. Linked sets share |A & B| >= t / (1 + t) (|A| + |B|),
 A and C share less than t / (1 + t) (|A| + |C|), and |C| <= |B|: so A and B share elements that C does not
@@ -217,6 +218,26 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.withColumns({"na": F.size("ha"), "nb": F.size("hb"), "both": F.size(F.array_intersect("ha", "hb"))})
 
 
+def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, comp) after those of their representatives, ``more``, are known."""
+    later = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    known = comps.join(later, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return known.union(more.join(comps.select("node"), "node", "left_anti").select("node", "comp"))
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, star) of each bucket's smallest doc_id with its others: few centres serve all bands of a group."""
+    first = members.groupBy("band").agg(F.min("doc_id").alias("a"))
+    met = _salted(members, first, ["doc_id"])
+    return met.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct().withColumn("star", F.lit(False))
+
+
+def _salted(members: DataFrame, per_band: DataFrame, kept: list[str]) -> DataFrame:
+    """Members with what is known of their band; a band's members are dealt to ``SALT`` parts."""
+    dealt = members.select("band", *kept, F.expr(f"pmod(hash(doc_id), {SALT})").alias("salt"))
+    return dealt.join(per_band.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["band", "salt"])
+
+
 def _pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b, star) to compare of all buckets (band, doc_id, n, root), linear in each bucket's size.
 
@@ -224,15 +245,15 @@ def _pairs(members: DataFrame) -> DataFrame:
     most frequent root are compared with all of other roots where they are ``DIRECT`` at most; where
     they are more, all are compared with the member of the smallest set, which is ``a`` (``star``).
     """
-    sized = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    stats = sized.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all")).select("band", F.col("most.root").alias("major"), (F.col("all") - F.col("most.c")).alias("others")).where("others > 0")
-    known = members.join(stats, "band")
+    sized = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "doc_id")).alias("least"))
+    stats = sized.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.min("least").alias("least"))
+    stats = stats.select("band", F.col("most.root").alias("major"), (F.col("all") - F.col("most.c")).alias("others"), F.col("least.doc_id").alias("a")).where("others > 0")
+    known = _salted(members, stats, ["doc_id", "root"])
     few, many = known.where(F.col("others") <= DIRECT), known.where(F.col("others") > DIRECT)
-    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("root").alias("r1"))
-    two = few.select("band", F.col("doc_id").alias("d2"), F.col("root").alias("r2"), "major")
-    direct = one.join(two, "band").where("r1 <> r2 AND (r2 = major OR d1 < d2)").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
-    first = many.groupBy("band").agg(F.min(F.struct("n", "doc_id")).alias("first"))
-    star = many.join(first, "band").where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("star"))
+    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("root").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    two = few.select("band", "salt", F.col("doc_id").alias("d2"), F.col("root").alias("r2"), "major")
+    direct = one.join(two, ["band", "salt"]).where("r1 <> r2 AND (r2 = major OR d1 < d2)").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
+    star = many.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(True).alias("star"))
     return direct.union(star).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
 
 
@@ -290,17 +311,19 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
     found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width)), "doc_id long, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
-    links = spark.createDataFrame([], "a long, b long")
+    comps = spark.createDataFrame([], "node long, comp long")
+    root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     turn = 0
     while True:
-        edges = scratch.table(f"edges-{turn}", _edges(_pairs(buckets), sets, percent))
-        links = links.union(scratch.table(f"links-{turn}", edges.where("linked").select("a", "b")))
-        comps = components(links, scratch, f"components-{turn}")
+        pairs = _pairs(buckets) if turn else _first_pairs(buckets)
+        edges = scratch.table(f"edges-{turn}", _edges(pairs, sets, percent))
+        new = root(root(edges.where("linked").select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        if not new.isEmpty():
+            comps = scratch.table(f"connected-{turn}", _merged(comps, components(new, scratch, f"components-{turn}")))
         stars = edges.where("star")
-        if stars.isEmpty():
+        if turn and stars.isEmpty():
             break
-        root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-        members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent)
+        members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent) if turn else buckets.drop("root")
         following = scratch.table(f"buckets-{turn + 1}", root(members, "doc_id", "root"))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
