@@ -6,6 +6,8 @@ array of lines, so nothing is shuffled and no window is built for the rest.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def _numbered_hit(rule: int, *fields: str):
     return lambda h, k: F.struct(F.lit(rule).alias("rule"), k.alias("nth"), *[h[f].alias(f) for f in fields])
 
 
+_ASCII_BOUND = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with \b between ASCII letters, digits and _ and others alone, as rules are written; here it would count accents as letters."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + _ASCII_BOUND, pattern)
+
+
 def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFrame:
     """Every match of every rule over whole contents, with the line it starts on.
 
@@ -55,7 +65,7 @@ def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFr
     as an array; then, for these alone, a pass that locates their matches.
     """
     ext, content = extension(F.col("path")), F.col("content")
-    patterns = [f"(?im){r[5]}" for r in rules]
+    patterns = [f"(?im){ascii_bounds(r[5])}" for r in rules]
     wanted = [matches(content, p) & ext.isin(*r[3]) if r[3] else matches(content, p) for p, r in zip(patterns, rules)]
     which = F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]))
     rows = files.select("path", "ord", "content", F.explode(which).alias("rule"))

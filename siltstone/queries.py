@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import classify, text
-from siltstone.operators import core, dedupe, dependencies, detectors, flow, history, imports, intelligence, modelio, policy
+from siltstone.operators import context, core, dedupe, dependencies, detectors, flow, history, imports, intelligence, modelio, policy
 from siltstone.plans import report, scan
-from siltstone.schemas import RESULTS, SEVERITIES, columns_of, rank
+from siltstone.schemas import APPROVALS, FINDINGS, RESULTS, SEVERITIES, columns_of, rank
 from siltstone.session import read_table
 from siltstone.sources import files as source_files
 from siltstone.sources import scanners
@@ -64,6 +65,17 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), text.line_count(F.col("text")).alias("line_count"), F.col("doc_id").alias("ord"))
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"), text.line_count(F.col("html")).alias("line_count"), F.col("page_id").alias("ord"))
+
+
+def _kinds(ddl: str) -> list[tuple[str, str]]:
+    """Names and types of a row type."""
+    return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(ddl)]
+
+
 _CODE = {
     "src/routes/user.ts": "import _ from 'lodash';\nimport { run } from '../exec';\napp.get('/users/:id', (req, res) => {\n  const id = req.params.id;\n  db.query(`SELECT * FROM t WHERE id = ${id}`);\n  eval(req.body.code);\n  _.template(req.query.t);\n  run(req.query.cmd);\n});\nrouter.post('/checkout', async (req, res) => {\n  const total = req.body.price;\n  order.save(total);\n});\napp.get('/logout', end);\n",
     "src/exec.ts": "import cp from 'child_process';\nexport function run(cmd) {\n  cp.exec(cmd);\n}\n",
@@ -149,13 +161,20 @@ def q_file_role(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", path.alias("path"), classify.file_role(path).alias("role"))
 
 
-@query("""SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations""")
-def q_context_window(spark, sf_dir):
-    from pyspark.sql.window import Window
+_AT_DOC = "'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt'"
+_DOC_LINES = "d AS (SELECT 'docs/' || doc_id || '.txt' AS p, string_split_regex(text, '\\r?\\n') AS ls, text FROM documents)"
+_REDACT_SQL = "'((?:api[_-]?key|token|password|secret|passwd|pwd)\\s*[:=]\\s*[''\"]?)[^''\"\\s]+', '\\1[REDACTED]', 'gi'"
+
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    around = F.array_join(F.collect_list("text").over(w.rowsBetween(-1, 1)), "\n")
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", around.alias("around"), F.lag("role").over(w).alias("before"))
+def _in_docs(rows: DataFrame) -> DataFrame:
+    """Results placed in the first 1000 documents, on the lines they give."""
+    return rows.withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt")))
+
+
+@query(f"""WITH {EVENT_RESULTS}, {_DOC_LINES}, r AS (SELECT er.ord, d.p AS path, ls, greatest(1, start_line - 25) AS a, least(len(ls), end_line + 25) AS b FROM er JOIN d ON d.p = {_AT_DOC})
+SELECT ord, path, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, substr(regexp_replace(CASE WHEN b < a THEN '' ELSE array_to_string(ls[a:b], chr(10)) END, {_REDACT_SQL}), 1, 12000) AS content FROM r""")
+def q_context_window(spark, sf_dir):
+    return context.snippets(_in_docs(event_results(spark, sf_dir)), doc_files(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
@@ -236,37 +255,45 @@ def q_range_join(spark, sf_dir):
     return core.range_semi(e, o, "user_id", "at").select("event_id")
 
 
-@query(f"""WITH {EVENT_RESULTS}, s AS (SELECT * FROM er WHERE path IS NOT NULL AND scanner = 'error')
+@query(f"""WITH {EVENT_RESULTS}, s AS (SELECT * FROM er WHERE path IS NOT NULL)
 SELECT a.ord AS a, b.ord AS b FROM s a JOIN s b ON a.path = b.path AND a.ord < b.ord AND abs(a.start_line - b.start_line) <= 5""")
 def q_band_self_join(spark, sf_dir):
-    rows = event_results(spark, sf_dir).where("path IS NOT NULL AND scanner = 'error'").select("path", "start_line", "ord")
+    rows = event_results(spark, sf_dir).where("path IS NOT NULL").select("path", "start_line", "ord")
     return core.band_self_join(rows, "path", "start_line", 5).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
-@query("""WITH w AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 3)) AS t FROM part WHERE p_partkey < 400)
+@query("""WITH w AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 3)) AS t FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) END AS overlap FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
 def q_title_overlap(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", "p_brand", "p_name")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("p_name").alias("na")), p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_name").alias("nb"))
     return a.join(b, "p_brand").where("a < b").select("a", "b", text.title_overlap(F.col("na"), F.col("nb")).alias("overlap"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'false_positive' WHEN l.quality = 1 THEN 'confirmed_true_positive' ELSE 'suspected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("""SELECT d.doc_id AS ord, CASE WHEN d.doc_id % 2 = 0 AND l.toxic = 1 THEN 'false_positive' WHEN d.doc_id % 2 = 0 AND l.quality = 1 THEN 'confirmed_true_positive' ELSE 'suspected' END AS status,
+CASE WHEN d.doc_id % 2 = 0 AND l.toxic = 1 THEN 'low' WHEN d.doc_id % 2 = 0 AND l.quality = 1 THEN 'medium' ELSE 'low' END AS confidence FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_left_outer_policy(spark, sf_dir):
-    d, lab = read_table(spark, sf_dir, "documents").select("doc_id"), read_table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left").select("doc_id", F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 1, "confirmed_true_positive").otherwise("suspected").alias("status"))
+    files = doc_files(spark, sf_dir)
+    found = files.select(*[F.col(c) if c in ("path", "ord") else F.col("ord").cast("string").alias(c) if c == "fingerprint" else F.lit({"status": "suspected", "confidence": "low"}.get(c)).cast(t).alias(c) for c, t in _kinds(FINDINGS)])
+    told = read_table(spark, sf_dir, "labels").where("toxic = 1 OR quality = 1").join(files.select(F.col("ord").alias("doc_id"), "content"), "doc_id")
+    memory = told.select(F.col("doc_id").cast("string").alias("fingerprint"), F.when(F.col("toxic") == 1, "false_positive").otherwise("confirmed_true_positive").alias("status"), F.lit("r").alias("reasoning"), F.sha2(F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("old"), 256).alias("sha256"))
+    return history.apply_memory(found, memory, files).select("ord", "status", "confidence")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"WITH {EVENT_RESULTS} SELECT ord, path, start_line AS line FROM er WHERE path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE 'src/u' || CAST(o.o_custkey % 40 AS VARCHAR) || '.ts' = er.path AND er.start_line BETWEEN o.o_orderkey % 60 AND o.o_orderkey % 60 + 1)")
 def q_represented_anti(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id").join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    o = read_table(spark, sf_dir, "orders").select(F.concat(F.lit("src/u"), (F.col("o_custkey") % 40).cast("string"), F.lit(".ts")).alias("path"), (F.col("o_orderkey") % 60).alias("start_line"), (F.col("o_orderkey") % 60 + 1).alias("end_line")).distinct()
+    return imports.uninspected(event_results(spark, sf_dir).where("path IS NOT NULL").select("ord", "path", F.col("start_line").alias("line")), o)
 
 
-@query("""SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('click'), ('error'), ('signup'), ('refund')) t(event_type) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.event_type)""")
+_AS_SCANNER = ("semgrep", "bearer", "custom-rules", "taint-lite")
+
+
+@query(f"""WITH {EVENT_RESULTS}, x AS (SELECT ord, path, ['semgrep', 'bearer', 'custom-rules', 'taint-lite'][CAST(ord % 4 AS INT) + 1] AS s FROM er WHERE start_line % 9 = 0), seen AS (SELECT path, list(DISTINCT s) AS ss FROM x WHERE path IS NOT NULL GROUP BY path)
+SELECT ord, array_to_string(list_sort(list_filter(['semgrep', 'bearer', 'custom-rules', 'taint-lite', 'config-checks'], lambda e: NOT list_contains(coalesce(seen.ss, []), e))), ',') AS scanners FROM x LEFT JOIN seen USING (path)""")
 def q_missing_dim(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events")
-    have = e.groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    return have.select("user_id", F.explode(F.array_except(F.array(*map(F.lit, ("click", "error", "signup", "refund"))), F.col("have"))).alias("event_type"))
+    rows = event_results(spark, sf_dir).where("start_line % 9 = 0").withColumn("scanner", F.get(F.array(*map(F.lit, _AS_SCANNER)), (F.col("ord") % 4).cast("int")))
+    return context.silent_scanners(rows, rows).select("ord", F.array_join(F.array_sort("scanners"), ",").alias("scanners"))
 
 
 @query("""SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id""")
@@ -294,24 +321,21 @@ def q_group_examples(spark, sf_dir):
     return out.select("scanner", "severity", "n", "first_order", F.array_join("examples", ",").alias("examples"))
 
 
-@query("""WITH u AS (SELECT o_custkey AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 45 WHEN o_orderpriority LIKE '2%' THEN 25 ELSE 8 END AS amount FROM orders UNION ALL SELECT c_custkey, 20 FROM customer WHERE c_acctbal < 0)
-SELECT k, CAST(sum(amount) AS BIGINT) AS score FROM u GROUP BY k""")
-def q_weighted_rollup(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority").startswith("1"), 45).when(F.col("o_orderpriority").startswith("2"), 25).otherwise(8).alias("amount"))
-    c = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit(20).alias("amount"))
-    return o.unionByName(c).groupBy("k").agg(F.sum("amount").alias("score"))
-
-
-@query("""SELECT CAST(greatest(0, round(100 - coalesce(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 25 WHEN o_orderpriority LIKE '2%' THEN 12 WHEN o_orderpriority LIKE '3%' THEN 5 WHEN o_orderpriority LIKE '4%' THEN 2 ELSE 0 END * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END), 0))) AS INT) AS health FROM orders WHERE o_orderkey < 12""")
+@query("""SELECT CAST(greatest(0, round(100 - coalesce(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 25 WHEN o_orderpriority LIKE '2%' THEN 12 WHEN o_orderpriority LIKE '3%' THEN 5 WHEN o_orderpriority LIKE '4%' THEN 2 ELSE 0 END * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END), 0))) AS INT) AS health FROM orders WHERE o_orderstatus = 'P'""")
 def q_health_score(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").where("o_orderkey < 12")
+    o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "likely_true_positive").otherwise("suspected")
     return report.health(o.select(F.get(F.array(*map(F.lit, SEVERITIES)), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("severity"), status.alias("status")))
 
 
-@query("""SELECT p_brand AS package, count(*) AS n, count(DISTINCT p_name) AS titles, CAST(min(p_size) AS INT) AS least FROM part GROUP BY 1""")
+@query("""WITH v AS (SELECT p_brand AS package, p_type AS rule_id, p_name AS title, CASE WHEN p_size > 40 THEN 1 WHEN p_size > 20 THEN 2 ELSE 3 END AS r FROM part)
+SELECT package, count(*) AS n, count(DISTINCT rule_id) AS ids, count(DISTINCT title) AS titles, ['critical', 'high', 'medium', 'low', 'info'][min(r) + 1] AS severity, CAST([80, 65, 45, 20, 5][min(r) + 1] + CASE WHEN package LIKE '%1' THEN 10 ELSE 0 END + CASE WHEN package LIKE '%2' THEN 15 ELSE -10 END AS INT) AS score FROM v GROUP BY package""")
 def q_dependency_rollup(spark, sf_dir):
-    return read_table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("package")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_name").alias("titles"), F.min("p_size").alias("least"))
+    p = read_table(spark, sf_dir, "part")
+    rows = p.select(F.lit("trivy").alias("scanner"), F.col("p_type").alias("rule_id"), F.col("p_name").alias("title"), F.lit("dependency").alias("category"), F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 20, "medium").otherwise("low").alias("severity"), F.lit("package-lock.json").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit("m").alias("message"), F.to_json(F.struct(F.col("p_type").alias("VulnerabilityID"), F.col("p_brand").alias("PkgName"))).alias("raw"), F.col("p_partkey").alias("ord"))
+    brands = p.select(F.col("p_brand").alias("package")).distinct()
+    out = dependencies.package_rollup(rows, brands.where("package LIKE '%1'"), brands.where("package LIKE '%2'"))
+    return out.select("package", "n", F.size("ids").cast("long").alias("ids"), F.size("titles").cast("long").alias("titles"), "severity", F.col("score").cast("int").alias("score"))
 
 
 @query(f"""WITH {EVENT_RESULTS}, f AS (SELECT 1 AS one), x AS (SELECT count(*) FILTER (category = 'secrets') AS s, count(*) FILTER (category IN ('weak-crypto', 'transport-security')) AS c FROM er)
@@ -321,11 +345,12 @@ def q_control_status(spark, sf_dir):
     return detectors.compliance(docs, event_results(spark, sf_dir)).where("rule_id = 'compliance-secret-management'").select("title", "severity")
 
 
-@query("""SELECT event_type AS provider, CAST(sum(CASE WHEN event_type = 'click' THEN NULL WHEN event_id % 3 = 0 THEN event_id END) AS DOUBLE) AS cost, count(*) AS requests FROM events GROUP BY 1""")
+@query("""SELECT event_type AS provider, sum(CASE WHEN event_type <> 'click' AND event_id % 3 = 0 THEN event_id % 1000 END)::DOUBLE AS cost, count(*) AS requests FROM events GROUP BY 1""")
 def q_null_sum(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    cost = F.when((F.col("event_type") != "click") & (F.col("event_id") % 3 == 0), F.col("event_id"))
-    return e.groupBy(F.col("event_type").alias("provider")).agg(F.sum(cost).cast("double").alias("cost"), F.count(F.lit(1)).alias("requests"))
+    said = F.when((F.col("event_type") != "click") & (F.col("event_id") % 3 == 0), F.format_string('{"usage": {"cost": %d}}', F.col("event_id") % 1000)).otherwise("{}")
+    rows = e.select(F.col("event_type").alias("provider"), F.lit("low").alias("tier"), F.lit("m").alias("model"), said.alias("response"))
+    return modelio.usage_summary(modelio.usage(rows)).select("provider", F.col("cost").cast("double").alias("cost"), "requests")
 
 
 # --- dedupe and order --------------------------------------------------------------------------
@@ -352,13 +377,6 @@ def q_semantic_merge(spark, sf_dir):
     return merged.select("first_ord", F.coalesce("semantic_deduplication.deduplicated_count", F.lit(0)).cast("long").alias("others"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM t WHERE n = 1 GROUP BY conv_id""")
-def q_evidence_union(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations")
-    first = core.first_wins(c, ["conv_id", "role"], ["turn"])
-    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), ",").alias("roles"))
-
-
 _ROUND = "WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n, first_value(l_extendedprice) OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS h FROM lineitem)"
 
 
@@ -376,9 +394,12 @@ def q_char_budget(spark, sf_dir):
     return core.running_budget(d, "n_chars", 20_000, ["doc_id"], ["source"]).select("source", "doc_id", "used", "taken")
 
 
-@query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50""")
+_REPORT_SCORE = "CAST(greatest(0, least(100, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 45 WHEN 'medium' THEN 25 WHEN 'low' THEN 10 ELSE 0 END + 15 + 5)) AS INT)"
+
+
+@query(f"WITH {EVENT_RESULTS} SELECT ord, {_REPORT_SCORE} AS score FROM er WHERE category <> 'dependency' ORDER BY score DESC, ord LIMIT 10")
 def q_topk_score(spark, sf_dir):
-    return read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.col("o_totalprice").desc(), "o_orderkey").limit(50)
+    return report.fix_first(modelio.as_findings(event_results(spark, sf_dir))).select("ord", F.col("score").cast("int").alias("score"))
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 12""")
@@ -434,10 +455,70 @@ def q_cache_upsert(spark, sf_dir):
     return history.upsert_cache(old, f.where("ord % 3 = 0"), "/repo", "2024-01-01 00:00:00").select("repo_path", "path", "sha256")
 
 
-@query("""SELECT o_custkey AS repo_path, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <> 7 GROUP BY 1""")
+def _scans(spark, sf_dir) -> DataFrame:
+    """Orders as scans of ten repositories."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("/r"), (F.col("o_custkey") % 10).cast("string")).alias("repo_path"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+
+
+@query("""SELECT arg_max(id, (d, id)) AS id FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'F' AND o_orderkey <> 7) WHERE id IS NOT NULL HAVING count(*) > 0""")
 def q_latest_scan(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderkey <> 7")
-    return o.groupBy(F.col("o_custkey").alias("repo_path")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("id"))
+    return history.latest_scan(_scans(spark, sf_dir), "/r3", "7")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS status, o_orderkey % 3 = 0 AS finished FROM orders""")
+def q_finish_scans(spark, sf_dir):
+    s = _scans(spark, sf_dir)
+    done = s.where("CAST(id AS BIGINT) % 3 = 0").select("id", F.lit("failed").alias("status"))
+    return history.finish_scans(s, done, "2024-01-01 00:00:00").select("id", "status", F.col("finished_at").isNotNull().alias("finished"))
+
+
+_FOUND = f"WITH {EVENT_RESULTS}, f AS (SELECT er.*, CAST(1 + ord % 500 AS VARCHAR) AS scan_id, rule_id || '|' || coalesce(path, '') AS fp FROM er WHERE scanner <> 'view'), s AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '/r' || CAST(o_custkey % 10 AS VARCHAR) AS repo_path, CAST(o_orderdate AS TIMESTAMP) AS started_at FROM orders)"
+
+
+def _scanned_findings(spark, sf_dir) -> DataFrame:
+    f = modelio.as_findings(event_results(spark, sf_dir).where("scanner <> 'view'"))
+    return f.withColumn("scan_id", (1 + F.col("ord") % 500).cast("string")).withColumn("fingerprint", F.concat_ws("|", "sink", F.coalesce("path", F.lit("")))).withColumn("status", F.when(F.col("ord") % 2 == 0, "false_positive").otherwise("suspected"))
+
+
+@query(f"""{_FOUND}, j AS (SELECT f.*, s.started_at, row_number() OVER (PARTITION BY fp ORDER BY s.started_at DESC, ord) AS n FROM f JOIN s ON s.id = f.scan_id WHERE s.repo_path = '/r3' AND s.id <> '7')
+SELECT fp AS fingerprint, CASE WHEN ord % 2 = 0 THEN 'false_positive' ELSE 'suspected' END AS status, CASE WHEN path IS NOT NULL THEN 'sha' || scan_id END AS sha256 FROM j WHERE n = 1""")
+def q_triage_memory(spark, sf_dir):
+    f = _scanned_findings(spark, sf_dir)
+    files = f.where("path IS NOT NULL").select("scan_id", "path", F.concat(F.lit("sha"), "scan_id").alias("sha256")).distinct()
+    return history.triage_memory(f, _scans(spark, sf_dir), files, "/r3", "7").select("fingerprint", "status", "sha256")
+
+
+@query(f"""{_FOUND} SELECT title, path, start_line, 'false_positive' AS status, fp AS fingerprint FROM f JOIN s ON s.id = f.scan_id WHERE s.repo_path = '/r3' AND s.id <> '7' AND ord % 2 = 0 ORDER BY s.started_at DESC, ord LIMIT 80""")
+def q_negative_evidence(spark, sf_dir):
+    return history.negative_evidence(_scanned_findings(spark, sf_dir), _scans(spark, sf_dir), "/r3", "7").select("title", "path", "start_line", "status", "fingerprint")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 0 THEN 'approved' WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 1 THEN 'rejected' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'rejected' END AS status, o_orderstatus = 'O' AND o_orderkey % 4 < 2 AS resolved FROM orders""")
+def q_approvals(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    made = {"id": F.col("o_orderkey").cast("string"), "action_type": F.lit("run"), "target": F.col("o_custkey").cast("string"), "status": F.when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected")}
+    asked = o.select(*[made.get(c, F.lit(None)).cast(t).alias(c) for c, t in _kinds(APPROVALS)])
+    told = o.where("o_orderkey % 4 < 2").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "approved").otherwise("rejected").alias("status"))
+    return history.resolve_approvals(asked, told, "2024-01-01 00:00:00").select("id", "status", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
+@query("""SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS target FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def q_approved_actions(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(F.lit("run").alias("action_type"), F.col("o_custkey").cast("string").alias("target"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("status"))
+    return history.approved(o.select("action_type", "target"), o).select("target").distinct()
+
+
+@query(f"""{_HALVES.replace("SELECT er.*, rule_id || '|' || coalesce(path, '') AS fp", "SELECT er.*, rule_id || '|' || coalesce(path, '') AS fp")} SELECT ord, CASE WHEN fp IN (SELECT fp FROM b) THEN 'unchanged' ELSE 'new' END AS baseline_status FROM c""")
+def q_mark_baseline(spark, sf_dir):
+    now, before = (modelio.as_findings(x).drop("fingerprint").join(x.select("ord", F.col("fp").alias("fingerprint")), "ord") for x in _halves(spark, sf_dir))
+    return history.mark_baseline(now, before).select("ord", "baseline_status")
+
+
+@query("SELECT 'docs/' || doc_id || '.txt' AS path FROM documents WHERE doc_id % 7 = 0")
+def q_changed_paths(spark, sf_dir):
+    f = doc_files(spark, sf_dir)
+    return source_files.only_changed(f, f.where("ord % 7 = 0").select(F.concat(F.lit("./"), "path").alias("path"))).select("path")
 
 
 # --- sets, states and JSON ----------------------------------------------------------------------
@@ -469,33 +550,37 @@ def q_result_score(spark, sf_dir):
     return event_results(spark, sf_dir).select("ord", classify.result_score().cast("int").alias("score"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 3 / 1000000, 9) AS input_cost, round(l_quantity * 30 / 1000000, 9) AS output_cost FROM lineitem WHERE l_orderkey < 500""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * 3 / 1000000, 9) AS input_cost, round(l_quantity * 30 / 1000000, 9) AS output_cost FROM lineitem""")
 def q_cost_model(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("P").alias("provider"), F.lit("house/model-1-mini").alias("model"), F.format_string('{"usage": {"prompt_tokens": %d, "completion_tokens": "%d"}}', F.col("l_quantity").cast("int"), (F.col("l_quantity") * 2).cast("int")).alias("response"))
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("P").alias("provider"), F.lit("house/model-1-mini").alias("model"), F.format_string('{"usage": {"prompt_tokens": %d, "completion_tokens": "%d"}}', F.col("l_quantity").cast("int"), (F.col("l_quantity") * 2).cast("int")).alias("response"))
     prices = spark.createDataFrame([("p", ["model-1"], 3.0, 0.3, 3.75, 15.0, 0)], "provider string, aliases array<string>, input_per_m double, cached_per_m double, cache_write_per_m double, output_per_m double, ord int")
     return modelio.price(modelio.usage(rows), prices).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("input_cost").cast("double"), 9).alias("input_cost"), F.round(F.col("output_cost").cast("double"), 9).alias("output_cost"))
 
 
-@query("""SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1)[1] AS first_link, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS links, len(regexp_extract_all(html, '<script', 0)) AS scripts FROM pages""")
+_INVENTORY_SQL = ", ".join(f"({n}, '{k}', {'NULL' if c is None else repr(c)}, '{p.replace(chr(39), chr(39) * 2)}')" for n, (k, c, p) in enumerate(context._INVENTORY))
+
+
+@query(f"""WITH l AS (SELECT 'pages/' || page_id || '.html' AS path, string_split_regex(html, '\\r?\\n') AS ls FROM pages), e AS (SELECT path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l), k(n, kind, category, p) AS (VALUES {_INVENTORY_SQL}),
+h AS (SELECT path, kind, category, i, n, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 180) AS detail, row_number() OVER (PARTITION BY path, kind ORDER BY i, n) AS r FROM e JOIN k ON regexp_matches(line, p))
+SELECT path, kind, category, CAST(i AS INT) AS line, detail FROM h WHERE (kind = 'boundary' AND r <= 30) OR (kind <> 'boundary' AND r <= 40)""")
 def q_html_inventory(spark, sf_dir):
-    links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    return read_table(spark, sf_dir, "pages").select("page_id", F.get(links, F.lit(0)).alias("first_link"), F.size(links).cast("long").alias("links"), F.regexp_count("html", F.lit("<script")).cast("long").alias("scripts"))
+    return context.inventory(page_files(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS f, 'r' || n_regionkey AS t FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELECT 'c' || c_custkey AS path, 0 AS depth FROM customer WHERE c_custkey < 50 UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.f = w.path)
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS f, 'r' || n_regionkey AS t FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELECT 'c' || c_custkey AS path, 0 AS depth FROM customer UNION SELECT e.t, w.depth + 1 FROM w JOIN e ON e.f = w.path)
 SELECT path, CAST(min(depth) AS INT) AS depth FROM w GROUP BY path""")
 def q_bfs_depth(spark, sf_dir):
     n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("from_path"), F.concat(F.lit("r"), "n_regionkey").alias("to_path"))
     c = read_table(spark, sf_dir, "customer")
     e = n.unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("from_path"), F.concat(F.lit("n"), "c_nationkey").alias("to_path")))
-    return imports.reach_depth(e, c.where("c_custkey < 50").select(F.concat(F.lit("c"), "c_custkey").alias("path")))
+    return imports.reach_depth(e, c.select(F.concat(F.lit("c"), "c_custkey").alias("path")))
 
 
-@query(f"""WITH {EVENT_RESULTS}, m AS (SELECT *, 'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt' AS p, CAST(ord % 9 AS INT) + 1 AS l FROM er WHERE ord < 2000),
+@query(f"""WITH {EVENT_RESULTS}, m AS (SELECT *, 'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt' AS p, CAST(ord % 9 AS INT) + 1 AS l FROM er),
 d AS (SELECT 'docs/' || doc_id || '.txt' AS p, string_split_regex(text, '\\r?\\n') AS ls FROM documents)
 SELECT m.ord, CASE WHEN regexp_matches(m.p, '^docs/1.*[.]txt$') THEN m.rule_id || ' ignored by .auditignore at ' || m.p END AS suppressed FROM m""")
 def q_suppress(spark, sf_dir):
-    rows = event_results(spark, sf_dir).where("ord < 2000").withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt"))).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
+    rows = event_results(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt"))).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
     return policy.suppress(rows, doc_files(spark, sf_dir), ["docs/1*.txt"]).select("ord", "suppressed")
 
 
@@ -613,6 +698,149 @@ def q_model_findings(spark, sf_dir):
     return modelio.finding_rows(rows).select("conv_id", "turn", "place", "severity", "start_line", "valid")
 
 
+# --- columns, reports and reviews --------------------------------------------------------------
+
+_SQUEEZE_SQL = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_TOKEN_SQL = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[_-]+', '.', 'g'), '[^a-z0-9.`()]+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN s = '' THEN 'none' ELSE s END AS slug, CASE WHEN n = '' THEN 'codebase' ELSE n END AS name, {_SQUEEZE_SQL.format("replace(coalesce(text, ''), '|', chr(92) || '|')")} AS cell, '"' || replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS yaml,
+replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS html, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS loose, {_SQUEEZE_SQL.format(f"regexp_replace({_TOKEN_SQL}, '{chr(92)}b(candidate|detected|finding|usage of|default|configuration|settings){chr(92)}b', '', 'g')")} AS title
+FROM (SELECT *, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s, regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS n FROM documents)""")
+def q_text_helpers(spark, sf_dir):
+    t = F.col("text")
+    return read_table(spark, sf_dir, "documents").select("doc_id", text.slug(t, "none").alias("slug"), text.safe_name(t).alias("name"), text.table_cell(t).alias("cell"), text.yaml_quote(text.or_empty(t)).alias("yaml"), text.html_escape(t).alias("html"), text.loose(t).alias("loose"), text.semantic_title(t).alias("title"))
+
+
+@query("""WITH p AS (SELECT page_id, './src' || chr(92) || regexp_replace(url, '^https?:/', '') AS path, regexp_replace(url, '^https?:/', '') AS u FROM pages)
+SELECT page_id, regexp_replace(replace(path, chr(92), '/'), '^[.]/', '') AS plain, lower(replace(path, chr(92), '/')) AS low, regexp_replace(regexp_replace('/src/' || u, '^/src/', ''), '^/+', '') AS mounted, regexp_extract(u, '[^/]([.][^./]*)$', 1) AS ext,
+CASE WHEN page_id % 3 = 0 THEN u WHEN page_id % 3 = 1 THEN regexp_replace('../../src/x' || u, '^(?:[.][.]/)+src/', '') ELSE substr('/repo/x' || u, 7) END AS inner_path FROM p""")
+def q_paths(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages").withColumn("u", F.regexp_replace("url", "^https?:/", "")).withColumn("path", F.concat(F.lit("./src\\"), "u"))
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/src/"), "u")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("../../src/x"), "u")).otherwise(F.concat(F.lit("/repo/x"), "u"))
+    return p.select("page_id", text.normal_path(F.col("path")).alias("plain"), text.normal_path(F.col("path"), lower=True, dot=False).alias("low"), text.normal_path(F.concat(F.lit("/src/"), "u"), mount=True, root=True).alias("mounted"), text.extension(F.col("u")).alias("ext"), text.mounted_path(given).alias("inner_path"))
+
+
+_STATUS_OF = ("confirmed", "suspected", "needs_dynamic_test", "confirmed_true_positive", "likely_true_positive", "security_hotspot", "needs_context", "false_positive")
+_FIND = f"WITH {EVENT_RESULTS}, f AS (SELECT *, {list(_STATUS_OF)}[CAST(ord % 8 AS INT) + 1] AS status FROM er)"
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    """Findings of all events with every status."""
+    f = modelio.as_findings(event_results(spark, sf_dir))
+    return f.withColumn("status", F.get(F.array(*map(F.lit, _STATUS_OF)), (F.col("ord") % 8).cast("int")))
+
+
+@query(f"""{_FIND} SELECT CASE WHEN status IN ('confirmed', 'confirmed_true_positive', 'likely_true_positive') THEN 'confirmed' WHEN status IN ('needs_dynamic_test', 'security_hotspot', 'needs_context') THEN 'needs_dynamic' WHEN status = 'suspected' THEN 'suspected' ELSE 'other' END AS bucket, count(*) AS n FROM f GROUP BY 1""")
+def q_status_buckets(spark, sf_dir):
+    return report.status_buckets(_found(spark, sf_dir))
+
+
+@query(f"{_FIND} SELECT ord FROM f WHERE status <> 'false_positive' AND category <> 'dependency'")
+def q_active(spark, sf_dir):
+    return policy.active(_found(spark, sf_dir)).select("ord")
+
+
+@query(f"""{_FIND} SELECT ord, '::error file=' || coalesce(path, '') || ',line=' || start_line || ',title=[' || severity || '] ' || category || ': ' || title || '::' || scanner || ' reported ' || rule_id || ': ' || message AS annotation FROM f WHERE status <> 'false_positive' AND severity IN ('critical', 'high')""")
+def q_ci_annotations(spark, sf_dir):
+    return report.ci_annotations(_found(spark, sf_dir), "high")
+
+
+@query(f"""{_FIND}, x AS (SELECT * FROM f WHERE status IN ('confirmed', 'confirmed_true_positive', 'likely_true_positive') ORDER BY ord LIMIT 50), y AS (SELECT *, trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS id FROM x)
+SELECT id, '- id: ' || id || chr(10) || '  severity: ' || CASE WHEN severity IN ('critical', 'high') THEN 'ERROR' WHEN severity = 'medium' THEN 'WARNING' ELSE 'INFO' END || chr(10) || '  message: "' || title || '"' || chr(10) || '  metadata:' || chr(10) || '    category: "' || category || '"' || chr(10) || '    path: "' || coalesce(path, '') || '"' || chr(10) AS rule FROM y""")
+def q_rule_export(spark, sf_dir):
+    return report.rule_export(_found(spark, sf_dir).withColumn("path", text.or_empty(F.col("path"))))
+
+
+@query(f"""{_FIND}, x AS (SELECT *, ['ai-exploratory-audit', 'trivy', 'semgrep', 'taint-lite', 'osv-scanner'][CAST(ord % 5 AS INT) + 1] AS s FROM f) SELECT ord, CASE WHEN s = 'ai-exploratory-audit' THEN 'model audit' WHEN s IN ('trivy', 'osv-scanner') THEN 'dependency database' WHEN s = 'semgrep' THEN 'external scanner' ELSE 'local detector' END AS origin FROM x""")
+def q_provenance(spark, sf_dir):
+    names = F.array(*map(F.lit, ("ai-exploratory-audit", "trivy", "semgrep", "taint-lite", "osv-scanner")))
+    return report.provenance(_found(spark, sf_dir).withColumn("scanner_source", F.get(names, (F.col("ord") % 5).cast("int")))).select("ord", "origin")
+
+
+_FULL_SCORE = "greatest(0, least(100, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 45 WHEN 'medium' THEN 25 WHEN 'low' THEN 10 ELSE 0 END + 15 + CASE status WHEN 'confirmed_true_positive' THEN 20 WHEN 'confirmed' THEN 18 WHEN 'likely_true_positive' THEN 12 WHEN 'false_positive' THEN -100 ELSE 5 END))"
+_BRANDS = "p AS (SELECT p_brand AS package, CAST(max(p_size) AS INT) AS score FROM part GROUP BY 1)"
+
+
+def _brands(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("package")).agg(F.max("p_size").cast("int").alias("score"))
+
+
+@query(f"""{_FIND}, {_BRANDS}, a AS (SELECT *, {_FULL_SCORE} AS score FROM f WHERE status <> 'false_positive' AND category <> 'dependency')
+SELECT 'fix-now' AS action, title, CAST(score AS INT) AS score FROM (SELECT * FROM a WHERE severity IN ('critical', 'high') ORDER BY score DESC, ord LIMIT 8) UNION ALL SELECT 'upgrade', package, score FROM (SELECT * FROM p ORDER BY score DESC, package LIMIT 5)""")
+def q_action_plan(spark, sf_dir):
+    return report.action_plan(_found(spark, sf_dir), _brands(spark, sf_dir)).select("action", "title", F.col("score").cast("int").alias("score"))
+
+
+@query(f"""{_FIND}, {_BRANDS}, a AS (SELECT 'code' AS kind, title AS name, {_FULL_SCORE} AS score FROM f WHERE status <> 'false_positive' AND category <> 'dependency' UNION ALL SELECT 'dependency', package, score FROM p)
+SELECT kind, name, CAST(score AS INT) AS score FROM a WHERE score >= 60 ORDER BY score DESC, kind, name LIMIT 5""")
+def q_top_fixes(spark, sf_dir):
+    return report.top_fixes(_found(spark, sf_dir), _brands(spark, sf_dir)).select("kind", "name", F.col("score").cast("int").alias("score"))
+
+
+@query(f"""{_FIND}, {_DOC_LINES}, j AS (SELECT f.ord, d.ls, greatest(1, f.start_line - 4) AS a, least(len(d.ls), f.start_line + 4) AS b, f.start_line FROM f LEFT JOIN d ON d.p = {_AT_DOC})
+SELECT ord, CASE WHEN ls IS NOT NULL AND start_line > 0 THEN coalesce(array_to_string(list_transform(range(a, b + 1), lambda i: CASE WHEN i > 99999 THEN substr(CAST(i AS VARCHAR), 1, 5) ELSE lpad(CAST(i AS VARCHAR), 5, ' ') END || ': ' || ls[i]), chr(10)), '') END AS snippet FROM j""")
+def q_report_snippets(spark, sf_dir):
+    return report.snippets(_in_docs(_found(spark, sf_dir)), doc_files(spark, sf_dir)).select("ord", "snippet")
+
+
+@query(f"""WITH {EVENT_RESULTS}, h AS (SELECT ord, rule_id || ' ignored by .auditignore at ' || {_AT_DOC} AS s FROM er WHERE {_AT_DOC} LIKE 'docs/7%.txt')
+SELECT (SELECT count(*) FROM h) AS suppressed, string_agg(s, ';' ORDER BY ord) AS reasons FROM (SELECT * FROM h ORDER BY ord LIMIT 100)""")
+def q_suppression_summary(spark, sf_dir):
+    tagged = policy.suppress(_in_docs(event_results(spark, sf_dir)), doc_files(spark, sf_dir), ["docs/7*.txt"])
+    return policy.suppression_summary(tagged).select("suppressed", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(f"""WITH {EVENT_RESULTS}, w AS (SELECT * FROM er WHERE path IS NOT NULL AND ord % 3 = 0), n AS (SELECT min(ord) AS ord, path, start_line, end_line FROM w WHERE NOT EXISTS (SELECT 1 FROM er i WHERE i.ord % 3 = 1 AND i.path = w.path AND i.start_line - 2 <= w.start_line AND i.end_line + 2 >= w.end_line) GROUP BY path, start_line, end_line),
+o AS (SELECT path FROM n GROUP BY path ORDER BY min(ord) LIMIT 7) SELECT ord, path, start_line, end_line FROM n WHERE path IN (SELECT path FROM o)""")
+def q_requested_targets(spark, sf_dir):
+    rows = event_results(spark, sf_dir).where("path IS NOT NULL").select("path", "start_line", "end_line", "ord")
+    seen = rows.where("ord % 3 = 1").select("path", (F.col("start_line") - 2).alias("start_line"), (F.col("end_line") + 2).alias("end_line"))
+    return imports.requested_targets(rows.where("ord % 3 = 0"), rows.select("path").distinct(), seen, 7)
+
+
+@query(f"""WITH {_DOC_LINES}, x AS (SELECT documents.doc_id, d.p, d.ls, list_position(list_transform(d.ls, lambda l: contains(lower(l), 'licen')), true) AS i FROM documents JOIN d ON d.p = 'docs/' || doc_id || '.txt')
+SELECT p AS path, CAST(greatest(1, i - 60) AS INT) AS start_line, CAST(least(len(ls), i + 90) AS INT) AS end_line FROM x WHERE i > 0 ORDER BY doc_id LIMIT 20""")
+def q_search(spark, sf_dir):
+    return imports.search(doc_files(spark, sf_dir), "licen")
+
+
+_TOLD = ("reject", "keep", "downgrade")
+
+
+@query(f"""{_FIND} SELECT ord, CASE ord % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'likely_true_positive' ELSE status END AS status, CASE ord % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
+CASE ord % 4 WHEN 0 THEN 'AI verdict marked this scanner result false_positive: no' WHEN 1 THEN 'AI first-pass verdict marked this scanner result true_positive with high confidence: no.' || chr(10) || scanner || ' reported ' || rule_id || ': ' || message ELSE scanner || ' reported ' || rule_id || ': ' || message END AS reasoning FROM f""")
+def q_verdicts(spark, sf_dir):
+    f = _found(spark, sf_dir)
+    told = f.where("ord % 4 < 3").select("ord", F.get(F.array(*map(F.lit, ("false_positive", "true_positive", "uncertain"))), (F.col("ord") % 4).cast("int")).alias("verdict"), F.lit("high").alias("verdict_confidence"), F.lit("no").alias("reason"))
+    return modelio.apply_verdicts(f, told).select("ord", "status", "confidence", "reasoning")
+
+
+@query(f"{_FIND} SELECT ord, CASE WHEN ord % 4 IN (1, 2) THEN 'needs_context' ELSE status END AS status FROM f WHERE ord % 4 <> 0")
+def q_second_pass(spark, sf_dir):
+    f = _found(spark, sf_dir)
+    told = f.where("ord % 4 < 3").select("ord", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("reject").alias("decision")), F.struct(F.lit(2).alias("at"), F.get(F.array(*map(F.lit, _TOLD)), (F.col("ord") % 4).cast("int")).alias("decision")))).alias("d"))
+    return modelio.second_pass(f, told.select("ord", "d.*", F.lit("needs_context").alias("status"), F.lit(None).cast("string").alias("confidence"), F.lit("why").alias("reason"))).select("ord", "status")
+
+
+@query(f"{_FIND} SELECT ord, CASE ord % 4 WHEN 0 THEN 'false_positive' WHEN 2 THEN 'suspected' ELSE status END AS status, CASE ord % 4 WHEN 0 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence FROM f")
+def q_critic(spark, sf_dir):
+    f = _found(spark, sf_dir)
+    told = f.where("ord % 4 < 3").select("ord", F.get(F.array(*map(F.lit, _TOLD)), (F.col("ord") % 4).cast("int")).alias("decision"), F.lit("suspected").alias("status"), F.lit("medium").alias("confidence"))
+    return modelio.critic(f, told).select("ord", "status", "confidence")
+
+
+#: Rules whose patterns mean the same in both engines: no look-around, no rule that drops matches afterwards.
+_PLAIN_RULES = [r for r in detectors.DEFAULT_RULES if r[2] != "secrets" and "(?" not in r[5].replace("(?:", "")]
+_RULES_SQL = ", ".join(f"('{r[0]}', '(?im)' || '{r[5].replace(chr(39), chr(39) * 2)}')" for r in _PLAIN_RULES)
+
+
+@query(f"""WITH r(rule_id, p) AS (VALUES {_RULES_SQL}), h AS (SELECT rule_id, 'docs/' || doc_id || '.txt' AS path, len(regexp_extract_all(text, p)) AS n FROM documents, r WHERE regexp_matches(text, p) UNION ALL SELECT rule_id, 'pages/' || page_id || '.html', len(regexp_extract_all(html, p)) FROM pages, r WHERE regexp_matches(html, p)) SELECT rule_id, path, n FROM h""")
+def q_rule_counts(spark, sf_dir):
+    rules = [(*r[:3], None, *r[4:]) for r in _PLAIN_RULES]
+    return detectors.custom_rules(doc_files(spark, sf_dir).unionByName(page_files(spark, sf_dir)), rules).groupBy("rule_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- code bases (our own small one; tested in tests/) -------------------------------------------
 
 
@@ -673,7 +901,7 @@ def q_reachability(spark, sf_dir):
 
 @query()
 def q_sarif_struct(spark, sf_dir):
-    return report.sarif(modelio.as_findings(event_results(spark, sf_dir).limit(200)).withColumn("fingerprint", text.finding_fingerprint()), "siltstone")
+    return report.sarif(modelio.as_findings(event_results(spark, sf_dir)).withColumn("fingerprint", text.finding_fingerprint()), "siltstone")
 
 
 @query(f"WITH {EVENT_RESULTS} SELECT severity, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM er GROUP BY 1")
