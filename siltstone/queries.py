@@ -93,6 +93,12 @@ def code_files(spark: SparkSession) -> DataFrame:
     return f.withColumn("language", classify.language(F.col("path"), F.col("content"))).withColumn("line_count", text.line_count(F.col("content"))).select("path", "language", "content", "line_count", "ord")
 
 
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, all pages and our own code base as the files of one tree."""
+    parts = [p.withColumn("ord", F.col("ord") * 3 + i) for i, p in enumerate((doc_files(spark, sf_dir), page_files(spark, sf_dir), code_files(spark)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- texts -------------------------------------------------------------------------------------
 
 
@@ -341,8 +347,7 @@ def q_dependency_rollup(spark, sf_dir):
 @query(f"""WITH {EVENT_RESULTS}, f AS (SELECT 1 AS one), x AS (SELECT count(*) FILTER (category = 'secrets') AS s, count(*) FILTER (category IN ('weak-crypto', 'transport-security')) AS c FROM er)
 SELECT CASE WHEN s > 0 THEN 'FAIL' ELSE 'UNKNOWN' END || ': Secret management posture' AS title, CASE WHEN s > 0 THEN 'high' ELSE 'info' END AS severity FROM x""")
 def q_control_status(spark, sf_dir):
-    docs = doc_files(spark, sf_dir).where(F.lit(False))
-    return detectors.compliance(docs, event_results(spark, sf_dir)).where("rule_id = 'compliance-secret-management'").select("title", "severity")
+    return detectors.compliance(doc_files(spark, sf_dir), event_results(spark, sf_dir)).where("rule_id = 'compliance-secret-management'").select("title", "severity")
 
 
 @query("""SELECT event_type AS provider, sum(CASE WHEN event_type <> 'click' AND event_id % 3 = 0 THEN event_id % 1000 END)::DOUBLE AS cost, count(*) AS requests FROM events GROUP BY 1""")
@@ -666,17 +671,17 @@ def q_proof_packs(spark, sf_dir):
 
 @query()
 def q_compliance(spark, sf_dir):
-    return detectors.compliance(code_files(spark), event_results(spark, sf_dir)).select("rule_id", "title", "severity", "path", "start_line")
+    return detectors.compliance(all_files(spark, sf_dir), event_results(spark, sf_dir)).select("rule_id", "title", "severity", "path", "start_line")
 
 
 @query()
 def q_source_patterns(spark, sf_dir):
-    return detectors.source_patterns(code_files(spark)).select("rule_id", "path", "start_line")
+    return detectors.source_patterns(all_files(spark, sf_dir)).select("rule_id", "path", "start_line")
 
 
 @query()
 def q_static_recon(spark, sf_dir):
-    f = code_files(spark)
+    f = all_files(spark, sf_dir)
     return intelligence.static_recon(f, detectors.custom_rules(f))["sinks"]
 
 
@@ -846,12 +851,12 @@ def q_rule_counts(spark, sf_dir):
 
 @query()
 def q_detect(spark, sf_dir):
-    return scan.detect(code_files(spark)).select("scanner", "rule_id", "severity", "path", "start_line", "message")
+    return scan.detect(all_files(spark, sf_dir)).select("scanner", "rule_id", "severity", "path", "start_line", "message")
 
 
 @query()
 def q_scan_findings(spark, sf_dir):
-    return scan.scan(code_files(spark)).findings.select("title", "category", "severity", "status", "path", "start_line", "fingerprint", "exploitability_score")
+    return scan.scan(all_files(spark, sf_dir)).findings.select("title", "category", "severity", "status", "path", "start_line", "fingerprint", "exploitability_score")
 
 
 @query()
@@ -863,40 +868,40 @@ def q_rule_scan(spark, sf_dir):
 
 @query()
 def q_taint_lite(spark, sf_dir):
-    return flow.taint_lite(code_files(spark)).select("rule_id", "path", "start_line", "message")
+    return flow.taint_lite(all_files(spark, sf_dir)).select("rule_id", "path", "start_line", "message")
 
 
 @query()
 def q_taint_flow(spark, sf_dir):
-    return flow.taint_flow(code_files(spark)).select("rule_id", "path", "start_line", "message")
+    return flow.taint_flow(all_files(spark, sf_dir)).select("rule_id", "path", "start_line", "message")
 
 
 @query()
 def q_catalog(spark, sf_dir):
-    return intelligence.full_catalog(code_files(spark)).select("kind", "name", "path", "line", "category")
+    return intelligence.full_catalog(all_files(spark, sf_dir)).select("kind", "name", "path", "line", "category")
 
 
 @query()
 def q_high_risk(spark, sf_dir):
-    f = code_files(spark)
+    f = all_files(spark, sf_dir)
     return intelligence.high_risk_files(f, scan.detect(f), intelligence.entrypoints(f))
 
 
 @query()
 def q_import_graph(spark, sf_dir):
-    return imports.import_graph(code_files(spark))
+    return imports.import_graph(all_files(spark, sf_dir))
 
 
 @query()
 def q_traversal(spark, sf_dir):
-    f = code_files(spark)
+    f = all_files(spark, sf_dir)
     return imports.traversal(f, detectors.custom_rules(f))
 
 
 @query()
 def q_reachability(spark, sf_dir):
     v = spark.createDataFrame([("trivy", "CVE-2021-1", "lodash: template code execution", "dependency", "high", "package-lock.json", None, None, "template injection", '{"VulnerabilityID": "CVE-2021-1", "PkgName": "lodash"}', 0)], RESULTS)
-    return dependencies.reachability(code_files(spark), v).select("package", "apis", "impact", "status", "confidence", "package_usages", "api_usages")
+    return dependencies.reachability(all_files(spark, sf_dir), v).select("package", "apis", "impact", "status", "confidence", "package_usages", "api_usages")
 
 
 @query()
