@@ -7,6 +7,7 @@ array of lines, so nothing is shuffled and no window is built for the rest.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,18 +59,58 @@ def ascii_bounds(pattern: str) -> str:
     return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + _ASCII_BOUND, pattern)
 
 
+def required_literals(pattern: str) -> list[str]:
+    """Lower-case texts of which one occurs wherever the pattern matches; empty where none are known.
+
+    From the standard library's parse of the pattern: of a sequence the part with the longest
+    texts, of alternatives all of theirs, of a repetition those of its body if it occurs at all.
+    """
+    from re import _parser as parser
+
+    def best(options: list[list[str]]) -> list[str]:
+        return max((o for o in options if o and all(t.isascii() for t in o)), key=lambda o: (min(map(len, o)), -len(o)), default=[])
+
+    def walk(items) -> list[str]:
+        options, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(value).lower()
+                continue
+            options.append([run] if run else [])
+            run = ""
+            if op is parser.SUBPATTERN:
+                options.append(walk(value[-1]))
+            elif op is parser.BRANCH:
+                parts = [walk(branch) for branch in value[1]]
+                options.append([t for p in parts for t in p] if all(parts) else [])
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+                options.append(walk(value[2]))
+        return best(options)
+
+    try:
+        found = walk(parser.parse(pattern))
+    except re.error:
+        return []
+    return sorted(set(found)) if found and min(map(len, found)) > 1 else []
+
+
 def custom_rules(files: DataFrame, rules: list[tuple] = DEFAULT_RULES) -> DataFrame:
     """Every match of every rule over whole contents, with the line it starts on.
 
-    One scan: first the rules that a file's extension and one test of each literal pattern leave,
-    as an array; then, for these alone, a pass that locates their matches.
+    One scan: first the rules that a file's extension and plain texts that a pattern cannot do
+    without leave, as an array; then one test of each pattern left; then a pass that locates matches.
     """
     ext, content = extension(F.col("path")), F.col("content")
-    patterns = [f"(?im){ascii_bounds(r[5])}" for r in rules]
-    wanted = [matches(content, p) & ext.isin(*r[3]) if r[3] else matches(content, p) for p, r in zip(patterns, rules)]
-    which = F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]))
-    rows = files.select("path", "ord", "content", F.explode(which).alias("rule"))
-    rows = rows.select("path", "ord", "rule", F.posexplode(hits(content, F.get(F.array(*map(F.lit, patterns)), F.col("rule")))).alias("nth", "h")).select("path", "ord", "rule", "nth", "h.*")
+    patterns = F.array(*[F.lit(f"(?im){ascii_bounds(r[5])}") for r in rules])
+    lowered = files.select("path", "ord", "content", ext.alias("ext"), F.lower("content").alias("low")).where("content IS NOT NULL")
+    maybe = []
+    for r in rules:
+        need = [F.col("low").contains(t) for t in required_literals(r[5])]
+        held = reduce(lambda a, b: a | b, need) if need else F.lit(True)
+        maybe.append(F.col("ext").isin(*r[3]) & held if r[3] else held)
+    which = F.array_compact(F.array(*[F.when(m, F.lit(i)) for i, m in enumerate(maybe)]))
+    rows = lowered.select("path", "ord", "content", F.explode(which).alias("rule")).where(F.rlike("content", F.get(patterns, F.col("rule"))))
+    rows = rows.select("path", "ord", "rule", F.posexplode(hits(content, F.get(patterns, F.col("rule")))).alias("nth", "h")).select("path", "ord", "rule", "nth", "h.*")
     meta = F.array(*[F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category"), F.lit(r[4]).alias("title")) for r in rules])
     rows = rows.withColumn("r", F.get(meta, F.col("rule")))
     value = trim(F.regexp_extract("hit", r"(?s)[:=]\s*(.+)$", 1))

@@ -263,3 +263,11 @@ def test_hits_of_one_rule_do_not_reach_into_the_next(spark):
     many = code(spark, {"a.ts": "\n" * 5000 + "eval(req.query.x);\n", "b.ts": "eval(req.query.x);\n"})
     orders = [(r["path"], r["ord"]) for r in detectors.source_patterns(many).orderBy("ord").collect()]
     assert orders == sorted(orders) and len(set(orders)) == len(orders)
+
+
+def test_required_literals_never_miss(spark):
+    assert detectors.required_literals(r"\b(exec|spawn)\s*\(") == ["exec", "spawn"] and detectors.required_literals(r"[a-z]+|x") == []
+    assert detectors.required_literals(r"a?(?:Foo){2}\d") == ["foo"] and detectors.required_literals("(") == []
+    samples = {"eval(x)": "js-eval", "exec('a')": "node-child-process"}
+    f = code(spark, {f"f{i}.ts": t for i, t in enumerate(samples)})
+    assert {r["rule_id"] for r in detectors.custom_rules(f).collect()} >= set(samples.values())
