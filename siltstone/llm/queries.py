@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rans_tokens, op2_quartile_digest, op3_line_windows, op4_iso_media, op5_sainte_lague, op6_kneser_ney, op7_minhash, op8_hierarchical_packing, op9_byte_gru, op10_suffix_ranges)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_windows": line_windows.SQL, "op7_minhash": minhash.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_windows": line_windows.SQL, "op7_minhash": minhash.SQL, "op10_suffix_ranges": substrings.SQL}

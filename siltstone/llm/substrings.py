@@ -537,3 +537,20 @@ def cut_repeats(docs: DataFrame, kept: str = "kept", spans: str = "spans") -> Da
     schema = joined.select("row", F.lit(b"").alias("kept"), F.col("_spans").alias("spans")).schema
     out = joined.mapInArrow(tidy(_cut), schema)
     return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(stay)], F.col("kept").alias(kept), F.col("spans").alias(spans))
+
+
+SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+n AS (SELECT doc_id, t, octet_length(t) AS size FROM b),
+w AS (SELECT doc_id, i, t[i:i + 99] AS s FROM (SELECT doc_id, t, unnest(range(1, size - 98)) AS i FROM n)),
+f AS (SELECT s, min((doc_id, i)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN f USING (s) WHERE (w.doc_id, w.i) > f.first),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+c AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span),
+k AS (SELECT n.doc_id, n.t[coalesce(lag(c.z) OVER v, 1):c.a - 1] AS piece, c.a FROM n JOIN c USING (doc_id) WINDOW v AS (PARTITION BY n.doc_id ORDER BY c.a)
+      UNION ALL SELECT n.doc_id, n.t[max(c.z):n.size], n.size + 1 FROM n JOIN c USING (doc_id) GROUP BY n.doc_id, n.t, n.size),
+h AS (SELECT doc_id, sha256(unhex(string_agg(hex(piece), '' ORDER BY a))) AS kept FROM k GROUP BY doc_id),
+m AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id)
+SELECT n.doc_id, n.size AS n_bytes, CAST(coalesce(m.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(m.n_spans, 0) AS BIGINT) AS n_spans, coalesce(h.kept, sha256(n.t)) AS kept_sha256
+FROM n LEFT JOIN m USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
