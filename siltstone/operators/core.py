@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.schemas import CONFIDENCES, SEVERITIES, rank
+from siltstone.session import Scratch
 
 
 def first_wins(df: DataFrame, keys: list[Column | str], order: list[Column | str] = ("ord",)) -> DataFrame:
@@ -77,19 +78,37 @@ def breadth_first(df: DataFrame, key: Column, order: list[tuple[str, bool]], mos
     return out.drop("_key", "_in", *[f"_h{i}" for i in range(len(order))])
 
 
+def _in_order(df: DataFrame, order: list[str], amount: Column) -> DataFrame:
+    """The rows with ``_n`` (place from 0) and ``_before`` (sum of the amount before the row), over the whole table.
+
+    Rows are sorted by ranges and written; sums of the ranges before are added to those within one,
+    so that no task orders the whole table.
+    """
+    ranked = df.withColumn("_amount", F.coalesce(amount.cast("long"), F.lit(0))).orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    rows = Scratch(df.sparkSession, "order").table("rows", ranked)
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.sum("_amount").alias("s"))
+    ahead = totals.select("_p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_c"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s"))
+    own = Window.partitionBy("_p").orderBy("_k")
+    before = F.coalesce(F.sum("_amount").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(ahead, "_p").withColumn("_n", F.col("_c") + F.row_number().over(own) - 1).withColumn("_before", F.col("_s") + before).drop("_p", "_k", "_c", "_s", "_amount")
+
+
 def running_budget(df: DataFrame, size: str, budget: int, order: list[str], keys: list[str] = ()) -> DataFrame:
     """Adds ``used`` (before the row) and ``taken``: what of its size fits the budget in order; rows without any go."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        used = df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    else:
+        used = _in_order(df, order, F.col(size)).withColumnRenamed("_before", "used").drop("_n")
     return used.withColumn("taken", F.least(F.col(size), F.greatest(F.lit(budget) - F.col("used"), F.lit(0)))).where("taken > 0")
 
 
 def until_enough(df: DataFrame, active: Column, target: int, batch: int, order: list[str]) -> DataFrame:
     """Whole batches in order, up to the one with which ``target`` active rows are reached."""
-    place = df.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("batch", F.floor(F.col("_n") / batch))
-    per = place.groupBy("batch").agg(F.sum(active.cast("int")).alias("_a"))
-    done = per.withColumn("_before", F.coalesce(F.sum("_a").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < target)
-    return place.join(done.select("batch"), "batch", "left_semi").drop("_n")
+    place = _in_order(df, order, active.cast("int")).withColumn("batch", F.floor(F.col("_n") / batch))
+    done = place.groupBy("batch").agg(F.min("_before").alias("_b")).where(F.col("_b") < target)
+    return place.join(done.select("batch"), "batch", "left_semi").drop("_n", "_before")
 
 
 def range_semi(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str = "start_line", high: str = "end_line", anti: bool = False) -> DataFrame:
