@@ -691,13 +691,14 @@ def q_finding_dedupe(spark, sf_dir):
     return dedupe.dedupe_findings(f).select("title", "path", "start_line", F.size("evidence").alias("evidence"))
 
 
-@query()
+@query(f"""WITH {EVENT_RESULTS}, f AS (SELECT *, CASE category WHEN 'xss' THEN 'template-xss' WHEN 'sql-injection' THEN 'sql-injection' ELSE 'command-injection' END AS fam FROM er)
+SELECT a.ord AS a, b.ord AS b FROM f a JOIN f b ON coalesce(a.path, '') = coalesce(b.path, '') AND a.fam = b.fam AND a.ord < b.ord AND abs(a.start_line - b.start_line) <= 5""")
 def q_compatible_pairs(spark, sf_dir):
     f = modelio.as_findings(event_results(spark, sf_dir))
     return dedupe.compatible_pairs(f).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
-@query()
+@query("SELECT conv_id, turn, 0 AS place, 'high' AS severity, nullif(turn, 0) AS start_line, true AS valid FROM conversations UNION ALL SELECT conv_id, turn, 1, NULL, NULL, false FROM conversations")
 def q_model_findings(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('noise {"findings": [{"title": "t", "severity": ["high"], "confidence": "low", "status": "suspected", "startLine": '), F.col("turn").cast("string"), F.lit("}, {}]}")).alias("response"))
     return modelio.finding_rows(rows).select("conv_id", "turn", "place", "severity", "start_line", "valid")
