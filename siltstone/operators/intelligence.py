@@ -10,15 +10,14 @@ from siltstone.functions.rules import SANITIZER
 from siltstone.functions.text import explode_lines, first_sentence, matches, normal_path, or_empty, squeeze, trim
 from siltstone.operators.core import first_wins, top_per_key
 from siltstone.operators.detectors import _SOURCE_FILE
-from siltstone.schemas import FILE_SPAN
 from siltstone.operators.flow import occurrences
 from siltstone.operators.policy import active
-from siltstone.schemas import CONFIDENCES, SEVERITIES, rank, score
+from siltstone.schemas import CONFIDENCES, FILE_SPAN, SEVERITIES, rank, score
 from siltstone.sources.files import routes
 
 # Lines that guard, and lines that read input.
 GUARD = r"(?i)\b(requireAuth|isAuthenticated|authorize|isAuthorized|requireRole|requireAdmin|policy|permission|guard|can\?|csrf|jwt\.verify|passport\.authenticate)\b"
-RECON_GUARD = GUARD[:-3] + r"|current_user|req\.user|session\.user)\b"
+RECON_GUARD = r"(?i)\b(requireAuth|isAuthenticated|authorize|isAuthorized|requireRole|requireAdmin|policy|permission|guard|can\?|csrf|jwt\.verify|passport\.authenticate|current_user|req\.user|session\.user)\b"
 RECON_INPUT = r"(?i)\b(req|request|ctx)\.(body|query|params|headers|cookies)\.([A-Za-z0-9_$-]+)|\b(searchParams|getParameter|getHeader)\s*\("
 RECON_SINK = r"(?i)sink|injection|xss|ssrf|command|path|file|deserialization|template|authz|business"
 
