@@ -225,11 +225,16 @@ def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
     return known.union(more.join(comps.select("node"), "node", "left_anti").select("node", "comp"))
 
 
-def _first_pairs(members: DataFrame) -> DataFrame:
+def _like_sizes(n1: str, n2: str, percent: int) -> str:
+    """Whether two sets of these sizes can be linked at all."""
+    return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
+
+
+def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, star) of each bucket's smallest doc_id with its others: few centres serve all bands of a group."""
-    first = members.groupBy("band").agg(F.min("doc_id").alias("a"))
-    met = _salted(members, first, ["doc_id"])
-    return met.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct().withColumn("star", F.lit(False))
+    first = members.groupBy("band").agg(F.min(F.struct("doc_id", F.col("n").alias("na"))).alias("first"))
+    met = _salted(members, first, ["doc_id", "n"]).select("first.*", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    return met.where(f"doc_id <> b AND {_like_sizes('na', 'nb', percent)}").select(F.col("doc_id").alias("a"), "b").distinct().withColumn("star", F.lit(False))
 
 
 def _salted(members: DataFrame, per_band: DataFrame, kept: list[str]) -> DataFrame:
@@ -238,21 +243,21 @@ def _salted(members: DataFrame, per_band: DataFrame, kept: list[str]) -> DataFra
     return dealt.join(per_band.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["band", "salt"])
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, star) to compare of all buckets (band, doc_id, n, root), linear in each bucket's size.
 
     ``root`` is a document that a member is known to be connected to. Members beside the bucket's
-    most frequent root are compared with all of other roots where they are ``DIRECT`` at most; where
+    most frequent root are compared with all of other roots and of a size that can be linked, where they are ``DIRECT`` at most; where
     they are more, all are compared with the member of the smallest set, which is ``a`` (``star``).
     """
     sized = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "doc_id")).alias("least"))
     stats = sized.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.min("least").alias("least"))
     stats = stats.select("band", F.col("most.root").alias("major"), (F.col("all") - F.col("most.c")).alias("others"), F.col("least.doc_id").alias("a")).where("others > 0")
-    known = _salted(members, stats, ["doc_id", "root"])
+    known = _salted(members, stats, ["doc_id", "n", "root"])
     few, many = known.where(F.col("others") <= DIRECT), known.where(F.col("others") > DIRECT)
-    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("root").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    two = few.select("band", "salt", F.col("doc_id").alias("d2"), F.col("root").alias("r2"), "major")
-    direct = one.join(two, ["band", "salt"]).where("r1 <> r2 AND (r2 = major OR d1 < d2)").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
+    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    two = few.select("band", "salt", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("root").alias("r2"), "major")
+    direct = one.join(two, ["band", "salt"]).where(f"r1 <> r2 AND (r2 = major OR d1 < d2) AND {_like_sizes('n1', 'n2', percent)}").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
     star = many.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(True).alias("star"))
     return direct.union(star).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
 
@@ -269,9 +274,8 @@ def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
     ``edges`` of stars with ra and rb, the roots of centre and leaf. A leaf's home is its smallest
     centre. Two leaves of one home meet there alone; a centre brings leaves of different homes together besides.
     """
-    every = edges.withColumn("joined", F.col("linked") | (F.col("ra") == F.col("rb")))
-    homes = every.groupBy("b").agg(F.min("a").alias("home"))
-    housed = every.where("size(own) > 0").join(homes, "b").withColumn("salt", F.expr(f"pmod(hash(b), {SALT})"))
+    every = edges.withColumn("joined", F.col("linked") | (F.col("ra") == F.col("rb"))).withColumn("home", F.min("a").over(Window.partitionBy("b")))
+    housed = every.where("size(own) > 0").withColumn("salt", F.expr(f"pmod(hash(b), {SALT})"))
     groups = housed.groupBy("a").agg(F.bool_or(~F.col("joined")).alias("open"), F.count(F.lit(1)).alias("leaves"), F.min("home").alias("h1"), F.max("home").alias("h2")).where("open AND leaves > 1")
     salted = groups.select("a", (F.col("h1") < F.col("h2")).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     rows = housed.join(salted, ["a", "salt"]).where("many OR a = home").select("a", "b", "rb", "joined", "na", "nb", "both", F.size("own").alias("x"), F.explode("own").alias("e"))
@@ -315,7 +319,7 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     turn = 0
     while True:
-        pairs = _pairs(buckets) if turn else _first_pairs(buckets)
+        pairs = _pairs(buckets, percent) if turn else _first_pairs(buckets, percent)
         edges = scratch.table(f"edges-{turn}", _edges(pairs, sets, percent))
         new = root(root(edges.where("linked").select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         if not new.isEmpty():
