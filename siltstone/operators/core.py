@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.schemas import CONFIDENCES, SEVERITIES, rank
-from siltstone.session import Scratch
+from siltstone.session import Scratch, fresh_name
 
 
 def first_wins(df: DataFrame, keys: list[Column | str], order: list[Column | str] = ("ord",)) -> DataFrame:
@@ -84,14 +84,16 @@ def _in_order(df: DataFrame, order: list[str], amount: Column) -> DataFrame:
     Rows are sorted by ranges and written; sums of the ranges before are added to those within one,
     so that no task orders the whole table.
     """
-    ranked = df.withColumn("_amount", F.coalesce(amount.cast("long"), F.lit(0))).orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    part, key, worth, rows_ahead, sum_ahead = (fresh_name(df, n) for n in ("part", "key", "worth", "rows_ahead", "sum_ahead"))
+    ranked = df.withColumn(worth, F.coalesce(amount.cast("long"), F.lit(0))).orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(key, F.monotonically_increasing_id())
     rows = Scratch(df.sparkSession, "order").table("rows", ranked)
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    totals = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.sum("_amount").alias("s"))
-    ahead = totals.select("_p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_c"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s"))
-    own = Window.partitionBy("_p").orderBy("_k")
-    before = F.coalesce(F.sum("_amount").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(ahead, "_p").withColumn("_n", F.col("_c") + F.row_number().over(own) - 1).withColumn("_before", F.col("_s") + before).drop("_p", "_k", "_c", "_s", "_amount")
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = rows.groupBy(part).agg(F.count(F.lit(1)).alias("c"), F.sum(worth).alias("s"))
+    ahead = totals.select(part, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias(rows_ahead), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias(sum_ahead))
+    own = Window.partitionBy(part).orderBy(key)
+    before = F.coalesce(F.sum(worth).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(ahead, part).withColumn("_n", F.col(rows_ahead) + F.row_number().over(own) - 1).withColumn("_before", F.col(sum_ahead) + before)
+    return placed.select(*[c for c in df.columns if c not in ("_n", "_before")], "_n", "_before")
 
 
 def running_budget(df: DataFrame, size: str, budget: int, order: list[str], keys: list[str] = ()) -> DataFrame:
@@ -100,7 +102,7 @@ def running_budget(df: DataFrame, size: str, budget: int, order: list[str], keys
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         used = df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0)))
     else:
-        used = _in_order(df, order, F.col(size)).withColumnRenamed("_before", "used").drop("_n")
+        used = _in_order(df, order, F.col(size)).select(*[c for c in df.columns if c != "used"], F.col("_before").alias("used"))
     return used.withColumn("taken", F.least(F.col(size), F.greatest(F.lit(budget) - F.col("used"), F.lit(0)))).where("taken > 0")
 
 
