@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import digest, isomedia, kneser_ney, langid, line_windows, minhash, mixing, packing, rans, substrings
+from siltstone.llm import conversations, digest, embeddings, filter_audit, isomedia, kneser_ney, langid, line_windows, minhash, mixing, packing, rans, substrings
 from siltstone.session import Scratch, read_table
 
 
@@ -65,8 +65,26 @@ def op10_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", (size + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rans_tokens, op2_quartile_digest, op3_line_windows, op4_iso_media, op5_sainte_lague, op6_kneser_ney, op7_minhash, op8_hierarchical_packing, op9_byte_gru, op10_suffix_ranges)
-}
+def op11_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(read_table(spark, sf_dir, "conversations"))
+
 
-ORACLE_SQL: dict[str, str] = {"op3_line_windows": line_windows.SQL, "op7_minhash": minhash.SQL, "op10_suffix_ranges": substrings.SQL}
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_rans_tokens, op2_quartile_digest, op3_line_windows, op4_iso_media, op5_sainte_lague, op6_kneser_ney, op7_minhash, op8_hierarchical_packing, op9_byte_gru, op10_suffix_ranges,
+        op11_spherical_caps, op12_turn_repair, op13_filter_interactions,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_windows": line_windows.SQL, "op7_minhash": minhash.SQL, "op10_suffix_ranges": substrings.SQL, "op11_spherical_caps": embeddings.SQL, "op13_filter_interactions": filter_audit.SQL,
+}
