@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) runs of bytes that are no ASCII white space; a document is its words
 and an end, which is a word of the vocabulary. The vocabulary is a sorted array of 64-bit word
-hashes; a word's number is its place there. A bigram is one 64-bit key (number of the context,
+hashes (BLAKE2b under a key drawn for each run: no text can be made to collide); a word's number is its place there. A bigram is one 64-bit key (number of the context,
 number of the word). Three passes build the model, each a count within tasks, a shuffle of packed
 counts by bucket and a merge that writes one file a bucket into the shared folder:
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.arrays import BUCKET_DDL, Counter, Store, bucket_rows, buckets_for, merged_rows, opened
-from siltstone.llm.words import blocks, lowered, mix, range_hashes, raw, word_ranges
+from siltstone.llm.words import blocks, lowered, mix, new_key, raw, word_hashes, word_ranges
 from siltstone.llm.worker import tidy, tidy_group
 from siltstone.session import Scratch, ship, small_batches
 
@@ -47,13 +47,13 @@ def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _32) * np.uint64(buckets) >> _32).astype(np.int64)
 
 
-def _words(arr: pa.Array, more: bool) -> tuple[np.ndarray, np.ndarray]:
+def _words(arr: pa.Array, more: bool, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text with its end, in a row, and the n+1 bounds; if ``more``, the last text has no end yet."""
     data, bounds = raw(arr)
     data = lowered(data)
     starts, ends, of = word_ranges(data, bounds)
     last = len(of) - more
-    hashes = np.insert(range_hashes(data, starts, ends), of[1:last], END)
+    hashes = np.insert(word_hashes(data, starts, ends, key), of[1:last], END)
     of = of + np.arange(len(of))
     of[last:] -= 1
     return hashes, of
@@ -66,6 +66,7 @@ class Vocabulary:
     offsets: list[int]  # first number of each bucket, and the number of words
     tokens: int
     texts: int
+    key: bytes  # of the words' hashes
 
     @property
     def size(self) -> int:
@@ -98,12 +99,12 @@ class Vocabulary:
         return np.searchsorted(self.offsets, numbers, "right") - 1
 
 
-def _count_words(buckets: int):
+def _count_words(buckets: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
             for _, part, more in blocks(batch.column(0)):
-                counter.add(_words(part, more)[0])
+                counter.add(_words(part, more, key)[0])
                 if counter.full():
                     keys, counts = counter.take()
                     yield bucket_rows(keys, counts, _ranges(keys, buckets))
@@ -126,13 +127,14 @@ def _write_words(store: Store):
 
 
 def fit_vocabulary(train: DataFrame, store: Store, buckets: int) -> Vocabulary:
-    rows = train.select("text").mapInArrow(tidy(_count_words(buckets)), BUCKET_DDL)
+    key = new_key()
+    rows = train.select("text").mapInArrow(tidy(_count_words(buckets, key)), BUCKET_DDL)
     found = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_group(_write_words(store)), "bucket int, size long, total long, ends long").collect()  # a row a bucket
     sizes = {r["bucket"]: r["size"] for r in found}
     offsets = [0, *np.cumsum([sizes.get(b, 0) for b in range(buckets)]).tolist()]
     if offsets[-1] >= START:
         raise ValueError("the vocabulary passes 2**32 words")
-    return Vocabulary(store, buckets, offsets, sum(r["total"] for r in found), sum(r["ends"] for r in found))
+    return Vocabulary(store, buckets, offsets, sum(r["total"] for r in found), sum(r["ends"] for r in found), key)
 
 
 def _numbered(vocabulary: Vocabulary, arr: pa.Array, more: bool = False, before: tuple[int, int] | None = None):
@@ -140,7 +142,7 @@ def _numbered(vocabulary: Vocabulary, arr: pa.Array, more: bool = False, before:
 
     ``before``: number and count of the word before the slice, where its first text goes on from the last slice.
     """
-    hashes, bounds = _words(arr, more)
+    hashes, bounds = _words(arr, more, vocabulary.key)
     unique, where = np.unique(hashes, return_inverse=True)
     number, count = vocabulary.look_up(unique)
     number, count = number[where], count[where]

@@ -12,8 +12,8 @@ Documents of one set form a class, and its smallest doc_id stands for it. In a b
 ``DIRECT`` representatives that are not known to be connected, edges form a star: from the one with
 the smallest set (the centre C; ties by doc_id) to each other one. In others those few are compared
 with all. Both are linear in the bucket's size. Before that, a round of stars from each bucket's
-smallest doc_id connects what it can: few centres serve all bands of a group. Edges are confirmed on the full sets (64-bit shingle hashes), and
-confirmed links give components. A star may miss a link between two of its leaves A and B, where not
+smallest doc_id connects what it can: few centres serve all bands of a group. Edges are confirmed on the full sets
+(64-bit hashes of shingles, from words' BLAKE2b under a key drawn for each run, which no text can be made to meet), and confirmed links give components. A star may miss a link between two of its leaves A and B, where not
 both are connected to C. Say A is not linked to it. Linked sets share |A & B| >= t / (1 + t) (|A| + |B|),
 A and C share less than t / (1 + t) (|A| + |C|), and |C| <= |B|: so A and B share elements that C does not
 hold. Therefore leaves go on in new buckets, one for each element that they have beyond C, rarest
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.words import joined, lowered, mix, range_hashes, raw, slices, word_ranges
+from siltstone.llm.words import joined, lowered, mix, new_key, raw, slices, word_hashes, word_ranges
 from siltstone.llm.worker import tidy
 from siltstone.session import Scratch, ship, small_batches
 
@@ -64,12 +64,12 @@ def rows_of(percent: int) -> int:
     return max(r for r in range(1, BINS) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED)
 
 
-def shingle_sets(arr: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text of a slice."""
+def shingle_sets(arr: pa.Array, key: bytes, width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a slice, under a key of ``words.new_key``."""
     data, bounds = raw(arr)
     data = lowered(data)
     starts, ends, of = word_ranges(data, bounds)
-    words = range_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends, key)
     runs = words
     for k in range(1, width):
         runs = joined(runs[: len(words) - k], words[k:]) if len(words) > k else runs[:0]
@@ -126,14 +126,14 @@ DIRECT = 8
 MAP_BITS = 1 << 23
 
 
-def _sketch(width: int, rows: int):
+def _sketch(width: int, rows: int, key: bytes):
     """A sketch of each document."""
     n_bands = BINS // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(1)):
-                sets = shingle_sets(part, width)
+                sets = shingle_sets(part, key, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
                 folded = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
@@ -168,7 +168,7 @@ def _candidate_map(candidates: DataFrame) -> np.ndarray:
     return np.packbits(whole)
 
 
-def _sets(packed: np.ndarray, width: int):
+def _sets(packed: np.ndarray, width: int, key: bytes):
     """Sets of the documents that the candidates' map may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _sets(packed: np.ndarray, width: int):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             kept = batch.filter(pa.array(wanted[_place(ids)]))
             for at, part in slices(kept.column(1)):
-                sets = shingle_sets(part, width)
+                sets = shingle_sets(part, key, width)
                 offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([kept.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "hashes"])
@@ -185,15 +185,57 @@ def _sets(packed: np.ndarray, width: int):
     return run
 
 
+#: Edges that one task contracts in memory (some tens of MB).
+CONTRACTED = 1 << 20
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) that connect what the edges (a, b) do, shortest ones."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        if sum(map(len, a)) > 2 * CONTRACTED:  # files are dealt whole, so a task may get more
+            x, y = contracted(np.concatenate(a), np.concatenate(b))
+            a, b = [x], [y]
+            if len(x) > CONTRACTED:
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                a, b = [x[:0]], [y[:0]]
+    x, y = contracted(np.concatenate(a), np.concatenate(b))
+    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, comp (its smallest reachable node) of every node of the edges (a, b), by alternating stars.
+    """node, comp (its smallest reachable node) of every node of the edges (a, b).
 
-    A round replaces edges by shorter ones towards smaller nodes; a node's neighbours are never
-    gathered, only their minimum. Every round is written to the shared folder.
+    Tasks of up to CONTRACTED edges contract theirs to stars. Where that takes one task all is done;
+    else alternating stars go on across tasks: a round replaces edges by shorter ones towards smaller
+    nodes; a node's neighbours are never gathered, only their minimum. Every round is written to the shared folder.
     """
-    now = scratch.table(f"{name}-0", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ship(edges.sparkSession)
+    plain = scratch.table(f"{name}-edges", edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = -(-plain.count() // CONTRACTED)
+    now = scratch.table(f"{name}-0", plain.coalesce(max(1, tasks)).mapInArrow(tidy(_contract), "a long, b long"))
+    scratch.drop(f"{name}-edges")
     seen = None
-    for step in count(1):
+    for step in count(1) if tasks > 1 else ():
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -202,12 +244,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         new = scratch.table(f"{name}-{step}", small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}-{step - 1}")
-        if state == seen:
-            break
-        now, seen = new, state
-        if not state[0]:
+        now, last, seen = new, seen, state
+        if state == last or not state[0]:
             break
-    now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
@@ -289,7 +328,7 @@ def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
     least = f"greatest(1, ({percent} * (nb + greatest(na, ({percent} * nb + 99) div 100)) + {99 + percent}) div {100 + percent} - both)"
     least = f"CASE WHEN joined THEN greatest({least}, {percent} * (nb - na) div {100 + percent} + 1) ELSE {least} END"
     fit = placed.where(F.expr(f"open AND r1 < r2 AND place <= x - {least} + 1"))
-    return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band")).distinct()
+    return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band"))
 
 
 def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -300,20 +339,21 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
-    scratch = Scratch(spark, "minhash")
+    scratch, key = Scratch(spark, "minhash"), new_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.table("sketch", rows.mapInArrow(tidy(_sketch(width, rows_of(percent))), _SKETCH))
+    sketch = scratch.table("sketch", rows.mapInArrow(tidy(_sketch(width, rows_of(percent), key)), _SKETCH))
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.table("classes", known.groupBy("s", "x", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("s", "x", "n", "rep"))
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     classed = sketch.join(classes, ["s", "x", "n"], "left").select("doc_id", "n", rep.alias("rep"))
     # A bucket is a band key that two representatives share; keys are aggregated, then joined back.
     slim = known.join(classes, ["s", "x", "n"], "left").where("rep IS NULL OR rep = doc_id")
-    banded = slim.select("doc_id", F.explode("bands").alias("band"), "n").groupBy("doc_id", "band").agg(F.min("n").alias("n"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    buckets = scratch.table("buckets-0", banded.join(shared, "band").select("doc_id", "n", "band", F.col("doc_id").alias("root")))
+    banded = slim.select("doc_id", F.explode("bands").alias("band"), "n")
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("band")
+    once = banded.join(shared, "band").groupBy("doc_id", "band").agg(F.min("n").alias("n"))  # rows of one doc_id are one document
+    buckets = scratch.table("buckets-0", once.select("doc_id", "n", "band", F.col("doc_id").alias("root")))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
-    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width)), "doc_id long, hashes array<long>")
+    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width, key)), "doc_id long, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
     comps = spark.createDataFrame([], "node long, comp long")
     root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
@@ -323,7 +363,8 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
         edges = scratch.table(f"edges-{turn}", _edges(pairs, sets, percent))
         new = root(root(edges.where("linked").select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         if not new.isEmpty():
-            comps = scratch.table(f"connected-{turn}", _merged(comps, components(new, scratch, f"components-{turn}")))
+            found = components(new, scratch, f"components-{turn}")
+            comps = scratch.table(f"connected-{turn}", _merged(comps, found) if turn else found)
         stars = edges.where("star")
         if turn and stars.isEmpty():
             break

@@ -1,14 +1,18 @@
 """Words of UTF-8 texts as byte ranges with 64-bit hashes, for whole Arrow batches at once.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. A range's hash starts from its
-length and takes in eight bytes at a time, scrambled after each step; ranges of over ``LANES`` steps
-are hashed by BLAKE2b instead. No arithmetic of the bytes themselves survives, so that texts of a
-certain make (complements, shifts, repetitions) collide no more often than random ones.
+A word is a maximal run of bytes other than space and 0x09-0x0D. There are two kinds of hash:
+
+* ``word_hashes`` stand for the words themselves: BLAKE2b of each distinct word of a slice under a
+  key that is drawn for each run (``new_key``), so that no text can be made to collide;
+* ``range_hashes`` only find candidates whose bytes are then compared. A range's hash starts from its
+  length and takes in eight bytes at a time, scrambled after each step; ranges of over ``LANES`` steps
+  are hashed by BLAKE2b. Its steps can be run backwards: equal hashes prove nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +125,26 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return h
 
 
+def new_key() -> bytes:
+    """A key for ``word_hashes``; the driver draws one for each run and hands it to all tasks."""
+    return secrets.token_bytes(16)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed BLAKE2b (64 bits) of byte ranges in order that do not overlap; each distinct one is hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    body = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
+    coded = words.dictionary_encode()
+    known = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
+    return known[coded.indices.to_numpy()]
+
+
 def same_ranges(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ranges of two byte arrays hold the same bytes, pairwise; ``size`` holds for both."""
     out = np.ones(len(size), bool)

@@ -132,7 +132,7 @@ def test_components_of_a_long_chain(spark):
 def test_signatures_estimate_similarity():
     base = [f"a{i}" for i in range(300)]
     texts = [" ".join(base), " ".join(base[:270] + [f"b{i}" for i in range(30)])]
-    sets = minhash.shingle_sets(pa.array(texts))
+    sets = minhash.shingle_sets(pa.array(texts), b"key")
     sig = minhash.signatures(sets)
     truth = len(set(sets[0]) & set(sets[1])) / len(set(sets[0]) | set(sets[1]))
     assert abs((sig[0] == sig[1]).mean() - truth) < 0.1

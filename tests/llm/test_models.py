@@ -10,6 +10,8 @@ import pytest
 
 from siltstone.llm import arrays, kneser_ney, langid
 
+KEY = b"a key of a run"
+
 
 def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
@@ -82,11 +84,21 @@ def test_words_of_one_hash_by_construction_and_texts_in_blocks(spark, pairs, mon
     held = [i for i in got if zlib.crc32(str(i).encode()) % 7 == 2]
     assert all(r["n_known"] == (2 if i not in held else 1) for i, r in got.items())
     arr = pa.array([t for _, t in pairs] + ["b a " * 400])
-    whole = [kneser_ney._words(part, more) for _, part, more in kneser_ney.blocks(arr)]
-    parts = [kneser_ney._words(part, more) for _, part, more in kneser_ney.blocks(arr, 200)]
+    whole = [kneser_ney._words(part, more, KEY) for _, part, more in kneser_ney.blocks(arr)]
+    parts = [kneser_ney._words(part, more, KEY) for _, part, more in kneser_ney.blocks(arr, 200)]
     assert len(parts) > len(whole) == 1 and (np.concatenate([h for h, _ in parts]) == whole[0][0]).all()
 
 
+def test_words_that_one_unkeyed_hash_confuses(spark):
+    """Two words of 16 bytes that the candidates' hash gives one value: not one word to the model."""
+    one, other = "rs18bf38il5pj3jo", "9u2xh2dzf+9k=u~x"
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    df = spark.createDataFrame([(learned, one), (held, other)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in kneser_ney.score_documents(df).collect()}
+    assert got[learned]["n_known"] == 2 and got[held]["n_known"] == 1
+
+
 def test_packed_rows_and_counter():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(40)

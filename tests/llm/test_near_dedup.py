@@ -85,3 +85,11 @@ def test_compared_pairs_grow_with_the_group_not_its_square(spark, monkeypatch, m
         compared.append((sum(e.count() for e in seen), len(seen)))
     (few, rounds), (many, more) = compared
     assert few <= most * 60 and many <= 2.6 * few and more <= rounds + 1, compared
+
+
+def test_words_that_one_unkeyed_hash_confuses(spark):
+    """Two words of 16 bytes that the candidates' hash gives one value: texts without a common shingle stay apart."""
+    one, other = "rs18bf38il5pj3jo", "9u2xh2dzf+9k=u~x"
+    rows = [(1, one), (2, other), (3, f"a b {one}"), (4, f"a b {other}"), (5, one)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}

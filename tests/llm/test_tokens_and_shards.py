@@ -160,6 +160,17 @@ def test_hashes_of_ranges_agree():
     assert words.same_ranges(data, np.array([0, 0, 9, 9]), data, np.array([3, 1, 212, 10]), np.array([3, 3, 200, 199])).tolist() == [True, False, True, True]
 
 
+def test_keyed_hashes_of_words():
+    text = b"  one two one " + b"x" * 300 + b" rs18bf38il5pj3jo 9u2xh2dzf+9k=u~x two"
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words.word_ranges(data, np.array([0, len(text)]))
+    a, b = (words.word_hashes(data, starts, ends, k) for k in (b"k", b"l"))
+    assert a[0] == a[2] and a[1] == a[6] and len(set(a.tolist())) == 5 and not set(a.tolist()) & set(b.tolist())
+    assert len(words.word_hashes(data, starts[:0], ends[:0], b"k")) == 0 and words.new_key() != words.new_key()
+    at = [starts[4], starts[5]]
+    assert len(set(words.range_hashes(data, np.array(at), np.array(at) + 16).tolist())) == 1  # candidates only
+
+
 @pytest.mark.parametrize("n", [64, 128, 1024, 8192])
 def test_complements_do_not_collide(n):
     data = np.frombuffer(b"".join(thue_morse(n)), np.uint8)
