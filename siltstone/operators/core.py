@@ -5,14 +5,18 @@ Where order matters a column gives it explicitly; ``ord`` by default. Every rank
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.schemas import CONFIDENCES, SEVERITIES, rank
-from siltstone.session import Scratch, fresh_name
+from siltstone.session import Scratch, fresh_name, ship, small_batches
 
 
 def first_wins(df: DataFrame, keys: list[Column | str], order: list[Column | str] = ("ord",)) -> DataFrame:
@@ -78,7 +82,7 @@ def breadth_first(df: DataFrame, key: Column, order: list[tuple[str, bool]], mos
     return out.drop("_key", "_in", *[f"_h{i}" for i in range(len(order))])
 
 
-def _in_order(df: DataFrame, order: list[str], amount: Column) -> DataFrame:
+def in_order(df: DataFrame, order: list[str], amount: Column) -> DataFrame:
     """The rows with ``_n`` (place from 0) and ``_before`` (sum of the amount before the row), over the whole table.
 
     Rows are sorted by ranges and written; sums of the ranges before are added to those within one,
@@ -102,42 +106,83 @@ def running_budget(df: DataFrame, size: str, budget: int, order: list[str], keys
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         used = df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0)))
     else:
-        used = _in_order(df, order, F.col(size)).select(*[c for c in df.columns if c != "used"], F.col("_before").alias("used"))
+        used = in_order(df, order, F.col(size)).select(*[c for c in df.columns if c != "used"], F.col("_before").alias("used"))
     return used.withColumn("taken", F.least(F.col(size), F.greatest(F.lit(budget) - F.col("used"), F.lit(0)))).where("taken > 0")
 
 
 def until_enough(df: DataFrame, active: Column, target: int, batch: int, order: list[str]) -> DataFrame:
     """Whole batches in order, up to the one with which ``target`` active rows are reached."""
-    place = _in_order(df, order, active.cast("int")).withColumn("batch", F.floor(F.col("_n") / batch))
+    place = in_order(df, order, active.cast("int")).withColumn("batch", F.floor(F.col("_n") / batch))
     done = place.groupBy("batch").agg(F.min("_before").alias("_b")).where(F.col("_b") < target)
     return place.join(done.select("batch"), "batch", "left_semi").drop("_n", "_before")
 
 
 def range_semi(points: DataFrame, ranges: DataFrame, key: str, at: str, low: str = "start_line", high: str = "end_line", anti: bool = False) -> DataFrame:
-    """Points that lie in some range of their key (or in none)."""
-    r = ranges.select(F.col(key).alias("_k"), F.col(low).alias("_a"), F.col(high).alias("_b"))
-    return points.join(r, (F.col(key) == F.col("_k")) & F.col(at).between(F.col("_a"), F.col("_b")), "left_anti" if anti else "left_semi")
+    """Points that lie in some range of their key (or in none, with ``anti``; there also points without key or place).
 
-
-def _counted(df: DataFrame) -> DataFrame:
-    """Distinct rows as ``_row``, and how often each occurs (``_n``)."""
-    return df.groupBy(F.struct(*[F.col(c) for c in df.columns]).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _repeated(df: DataFrame, extra: str) -> DataFrame:
-    """The rows of ``_row`` with a column, as often as they occurred."""
-    return df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*", extra)
+    A sweep: along a key's starts and points, a point lies in a range if the furthest end of those begun
+    so far reaches it. One shuffle and one sort; no point meets a range.
+    """
+    place, kind, end, known, row = (fresh_name(points, n) for n in ("place", "kind", "end", "known", "row"))
+    whole = F.struct(*[F.col(c) for c in points.columns])
+    p = points.select(F.col(key).alias(known), F.col(at).alias(place), F.lit(1).alias(kind), F.lit(None).alias(end), whole.alias(row))
+    usable = p.where(F.col(known).isNotNull() & F.col(place).isNotNull())
+    r = ranges.where(f"`{key}` IS NOT NULL AND `{low}` <= `{high}`").groupBy(F.col(key).alias(known), F.col(low).alias(place)).agg(F.max(high).alias(end))
+    both = usable.drop(end).unionByName(r.withColumn(kind, F.lit(0)), allowMissingColumns=True)
+    reach = F.max(end).over(Window.partitionBy(known).orderBy(place, kind).rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.coalesce(F.col(end) >= F.col(place), F.lit(False))
+    found = both.withColumn(end, reach).where(F.col(kind) == 1).where(~inside if anti else inside).select(row)
+    if anti:
+        found = found.unionByName(p.where(F.col(known).isNull() | F.col(place).isNull()).select(row))
+    return found.select(f"{row}.*")
+
+
+def _sweep():
+    """First open range of each point, of rows sorted by key, place and kind (0: a range's start, 1: a point)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: Any = object()
+        opened: list[tuple] = []
+        count = 0
+        for batch in batches:
+            hits: list[Any] = []
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            points = columns["kind"].to_pylist()
+            for k, at, point, end, order, hit in zip(columns["key"].to_pylist(), columns["place"].to_pylist(), points, columns["end"].to_pylist(), columns["order"].to_pylist(), columns["hit"]):
+                if k != key:
+                    key, opened = k, []
+                if not point:
+                    # The first by order is on top; a range that has ended goes when it comes up.
+                    count += 1
+                    heapq.heappush(opened, (order is None, order if order is not None else 0, count, end, hit))
+                    continue
+                while opened and opened[0][3] < at:
+                    heapq.heappop(opened)
+                hits.append(opened[0][4].as_py() if opened else None)
+            rows = columns["row"].filter(pa.array([p == 1 for p in points], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(hits, columns["hit"].type)], ["row", "hit"])
+
+    return run
 
 
 def range_first(points: DataFrame, ranges: DataFrame, key: str, at: str, order: str, low: str = "start_line", high: str = "end_line") -> DataFrame:
     """Each point with the first range of its key that holds it (columns of the range as struct ``hit``, null for none).
 
-    Repeated points are joined once and stay as many as they are.
+    A sweep over starts and points sorted by key and place, with the open ranges of one key as a heap: time is
+    that of sorting, whatever number of points and ranges a key has, and any type of column passes through.
     """
-    r = ranges.select(F.col(key).alias("_k"), F.struct(*[F.col(c) for c in ranges.columns]).alias("hit"))
-    inside = (F.col("_row")[key] == F.col("_k")) & F.col("_row")[at].between(F.col("hit")[low], F.col("hit")[high])
-    joined = _counted(points).join(r, inside, "left")
-    return _repeated(joined.groupBy("_row", "_n").agg(F.min_by("hit", F.col("hit")[order]).alias("hit")), "hit")
+    spark = points.sparkSession
+    ship(spark)
+    small_batches(spark)
+    whole, hit = F.struct(*[F.col(c) for c in points.columns]), F.struct(*[F.col(c) for c in ranges.columns])
+    p = points.select(F.col(key).alias("key"), F.col(at).alias("place"), F.lit(1).alias("kind"), whole.alias("row"))
+    r = ranges.where(f"`{key}` IS NOT NULL AND `{low}` <= `{high}`").select(F.col(key).alias("key"), F.col(low).alias("place"), F.lit(0).alias("kind"), F.col(high).alias("end"), F.col(order).alias("order"), hit.alias("hit"))
+    usable = F.col("key").isNotNull() & F.col("place").isNotNull()
+    both = p.where(usable).unionByName(r, allowMissingColumns=True).select("key", "place", "kind", "end", "order", "hit", "row")
+    out = T.StructType([both.schema["row"], both.schema["hit"]])
+    swept = both.repartition("key").sortWithinPartitions("key", "place", "kind", F.col("order").asc_nulls_last(), "end").mapInArrow(_sweep(), out)
+    rest = p.where(~usable).select("row", F.lit(None).cast(both.schema["hit"].dataType).alias("hit"))
+    return swept.unionByName(rest).select("row.*", "hit")
 
 
 def band_self_join(df: DataFrame, key: str, at: str, width: int, order: str = "ord") -> DataFrame:
@@ -176,7 +221,7 @@ LITERAL_RULES = 1000
 
 
 def theta_first(df: DataFrame, rules: DataFrame, condition: Callable[[Column], Column], order: str) -> DataFrame:
-    """Each row with the first rule (struct ``rule``) for which a condition holds, or null.
+    """Each row with the first rule (struct ``rule``) for which a condition holds, or null: by ``order`` (nulls first), then by the rule itself.
 
     ``condition`` makes a column of a rule's struct and the row's columns. A configured table of
     rules becomes an array in the expression: no join, nothing is shuffled. A large one is joined.
@@ -188,8 +233,12 @@ def theta_first(df: DataFrame, rules: DataFrame, condition: Callable[[Column], C
         kind = few.agg(F.collect_list(F.struct(F.col("rule")[order].alias("o"), "rule")).alias("x")).schema["x"].dataType
         array = F.transform(F.from_json(F.lit(listed["j"]), kind), lambda x: x["rule"])
         return df.withColumn("rule", F.get(F.filter(array, condition), F.lit(0)))
-    joined = _counted(df).select("*", "_row.*").join(rules.select(rule.alias("rule")), condition(F.col("rule")), "left")
-    return _repeated(joined.groupBy("_row", "_n").agg(F.min_by("rule", F.col("rule")[order]).alias("rule")), "rule")
+    # Rows are written once under an id, so that contents are not shuffled and any column passes through.
+    own = fresh_name(df, "id")
+    kept = Scratch(df.sparkSession, "rules").table("rows", df.withColumn(own, F.monotonically_increasing_id()))
+    joined = kept.join(rules.select(rule.alias("rule")), condition(F.col("rule")))
+    first = joined.groupBy(own).agg(F.min_by("rule", F.struct(F.col("rule")[order].isNotNull(), F.col("rule")[order], "rule")).alias("rule"))
+    return kept.join(first, own, "left").drop(own)
 
 
 def threshold(df: DataFrame, min_severity: str | None, min_confidence: str | None) -> DataFrame:

@@ -15,37 +15,40 @@ from siltstone.operators.core import first_wins, range_semi, running_budget, top
 from siltstone.session import Scratch
 from siltstone.sources.files import audit_chunks, imports, path_aliases, routes
 
-# Endings that an import may leave out.
-_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".php", ".rb", ".go", ".java", ".cs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py")
+# Endings of files that an import may mean.
+_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".rb", ".php", ".go", ".java", ".cs")
+_ENDINGS = ("", *(f"{name}{ext}" for ext in _EXTENSIONS for name in ("", "/index", "/__init__")))
+#: The alias that holds where no configuration names it.
+_USUAL_ALIAS = ("@/", "src/")
 
 
 def resolve_folder(path):
-    """A path with its . and .. parts taken out, by repeated rewriting (at most eight levels)."""
-    out = F.regexp_replace(path, r"(^|/)\./", "$1")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    return F.regexp_replace(F.regexp_replace(out, "/+", "/"), "^/|/$", "")
+    """A path without empty, . and .. parts, as a stack of its parts has it; .. stays only where it leads out of the root."""
+    push = lambda stack, part: F.concat(stack, F.array(part))
+    up = lambda stack: (F.size(stack) > 0) & (F.element_at(stack, -1) != "..")
+    step = lambda stack, part: F.when(part.isin("", "."), stack).when((part == "..") & (F.size(stack) > 0), F.when(up(stack), F.slice(stack, 1, F.size(stack) - 1)).otherwise(push(stack, part))).otherwise(push(stack, part))
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
 
 
 def import_graph(files: DataFrame) -> DataFrame:
-    """from_path, to_path: which known file each import means: beside the importer, by alias, or as a dotted module."""
-    found = imports(files)
+    """from_path, to_path: the known files that each import may mean: beside the importer, from the root, by alias, or as a dotted module."""
+    found = imports(files).withColumn("module", F.trim(F.replace("module", F.lit("\\"), F.lit("/"))))
     folder = F.regexp_replace("path", "[^/]*$", "")
-    relative = found.where("startswith(module, '.') AND NOT module rlike '^[.]+[A-Za-z_]'").select("path", "k", resolve_folder(F.concat(folder, F.col("module"))).alias("base"))
-    dotted = found.where(r"module rlike '^[A-Za-z_][\\w.]*$'").select("path", "k", F.replace("module", F.lit("."), F.lit("/")).alias("base"))
-    rooted = found.where("NOT startswith(module, '.')").select("path", "k", F.col("module").alias("base"))
-    aliases = path_aliases(files)
+    beside = found.where("startswith(module, '.')").select("path", F.concat(folder, F.col("module")).alias("base"))
+    rooted = found.where("startswith(module, '/')").select("path", F.col("module").alias("base"))
+    named = found.where("NOT startswith(module, '.') AND NOT startswith(module, '/')")
+    dotted = named.select("path", F.explode(F.array(F.replace("module", F.lit("."), F.lit("/")), F.concat(folder, F.replace("module", F.lit("."), F.lit("/"))))).alias("base"))
+    given = path_aliases(files).where("prefix <> ''")
+    usual = files.sparkSession.createDataFrame([_USUAL_ALIAS], "prefix string, target string")
+    aliases = given.union(usual.join(given.select("prefix").distinct(), "prefix", "left_anti"))
     # A module meets the aliases by its own beginnings of the lengths that occur: an equi-join.
-    named = aliases.where("prefix <> ''")
-    sizes = sorted(r["n"] for r in named.select(F.length("prefix").alias("n")).distinct().collect())
-    heads = F.explode(F.array_distinct(F.array(*[F.substring("module", 1, n) for n in sizes]))) if sizes else F.lit(None).cast("string")
-    by_alias = found.withColumn("prefix", heads).join(named, "prefix").select("path", "k", resolve_folder(F.concat("target", F.expr("substring(module, length(prefix) + 1)"))).alias("base"))
-    every = relative.unionByName(dotted).unionByName(rooted).unionByName(by_alias)
-    tried = every.select("path", "k", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in _ENDINGS])).alias("n", "to_path"))
-    known = files.select(F.col("path").alias("to_path"))
-    hit = tried.join(known, "to_path").where("path <> to_path")
-    one = first_wins(hit.select("path", "k", "n", "to_path"), ["path", "k"], ["n", "to_path"])
-    return one.select(F.col("path").alias("from_path"), "to_path").distinct()
+    sizes = sorted(r["n"] for r in aliases.select(F.length("prefix").alias("n")).distinct().collect())
+    heads = F.explode(F.array_distinct(F.array(*[F.substring("module", 1, n) for n in sizes])))
+    by_alias = named.withColumn("prefix", heads).join(aliases, "prefix").select("path", F.concat("target", F.expr("substring(module, length(prefix) + 1)")).alias("base"))
+    every = beside.unionByName(rooted).unionByName(dotted).unionByName(by_alias).select("path", resolve_folder(F.col("base")).alias("base")).distinct()
+    tried = every.select("path", F.explode(F.array(*[F.concat("base", F.lit(e)) for e in _ENDINGS])).alias("to_path"))
+    hit = tried.join(files.select(F.col("path").alias("to_path")).distinct(), "to_path").where("path <> to_path")
+    return hit.select(F.col("path").alias("from_path"), "to_path").distinct()
 
 
 def reach_depth(edges: DataFrame, seeds: DataFrame) -> DataFrame:

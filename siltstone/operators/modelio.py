@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions.classify import error_kind, error_retryable
 from siltstone.functions.text import matches, or_empty, summary
 from siltstone.operators.core import range_semi
 from siltstone.schemas import CONFIDENCES, FINDINGS, SEVERITIES, STATUSES, columns_of
+from siltstone.session import Scratch, fresh_name
 from siltstone.sources.scanners import lenient_json
 
 # Names under which providers report the same number; ``usage.`` inside the usage object, the rest at the top.
@@ -27,23 +31,47 @@ _USAGE = {
 MONEY = "decimal(24,12)"
 
 
-def first_number(value: Column, *paths: str) -> Column:
-    """The first path that holds a finite number or the text of one."""
-    tries = [F.try_variant_get(value, f"$.{p}", "string").try_cast("double") for p in paths]
-    return F.coalesce(*[F.when(~F.isnan(t) & (F.abs(t) != float("inf")), t) for t in tries])
+def _members(paths: list[str]) -> str:
+    """The type of an object with these members as texts; a dot leads into an object within."""
+    inner: dict[str, list[str]] = {}
+    for p in dict.fromkeys(paths):
+        head, _, rest = p.partition(".")
+        inner.setdefault(head, []).extend([rest] if rest else [])
+    return ", ".join(f"{name}:{f'struct<{_members(below)}>' if below else 'string'}" for name, below in inner.items())
+
+
+_ALL = [p for paths in _USAGE.values() for p in paths]
+_OWN = [p.removeprefix("usage.") for p in _ALL if p.startswith("usage.")]
+_RESPONSE = f"struct<{_members(_ALL + _OWN)}>"
+
+
+def first_number(*texts: Column) -> Column:
+    """The first text that is a finite number."""
+    numbers = F.transform(F.array(*texts), lambda t: t.try_cast("double"))
+    return F.get(F.filter(numbers, lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))), F.lit(0))
 
 
 def usage(responses: DataFrame) -> DataFrame:
-    """Adds token counts and costs of each response (JSON in ``response``); a response without a usage object is one itself."""
-    v = F.try_parse_json("response")
-    nested = F.try_variant_get(v, "$.usage", "variant").isNotNull()
-    names = {k: first_number(v, *paths) for k, paths in _USAGE.items()}
-    flat = {k: first_number(v, *[p.removeprefix("usage.") for p in paths]) for k, paths in _USAGE.items()}
-    rows = responses.withColumns({f"_{k}": F.when(nested, names[k]).otherwise(flat[k]) for k in _USAGE})
+    """Adds token counts and costs of each response (JSON in ``response``); a response without a usage object is one itself.
+
+    The text is parsed once, to an object of all names that are known; the rank of a name among its number's decides.
+    """
+    top, own = fresh_name(responses, "top"), fresh_name(responses, "own")
+    parsed = responses.withColumn(top, F.from_json("response", _RESPONSE))
+    heads = dict.fromkeys(p.split(".")[0] for p in _OWN)
+    flat = F.struct(*[F.col(top)[h].alias(h) for h in heads])
+    rows = parsed.withColumn(own, F.when(F.col(top)["usage"].isNotNull(), F.struct(*[F.col(top)["usage"][h].alias(h) for h in heads])).otherwise(flat))
+
+    def text(path: str) -> Column:
+        out = F.col(own) if path.startswith("usage.") else F.col(top)
+        for name in path.removeprefix("usage.").split("."):
+            out = out[name]
+        return out
+
+    rows = rows.withColumns({f"_{k}": first_number(*map(text, paths)) for k, paths in _USAGE.items()} | {"_apart": text("usage.cache_read_input_tokens").isNotNull()})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     written, cached, missed, plain = zero("_cache_write_tokens"), zero("_cached_tokens"), F.col("_cache_miss_tokens"), F.col("_raw_input_tokens")
-    read_apart = F.when(nested, F.try_variant_get(v, "$.usage.cache_read_input_tokens", "variant")).otherwise(F.try_variant_get(v, "$.cache_read_input_tokens", "variant")).isNotNull()
-    apart = (written > 0) | ((cached > 0) & plain.isNotNull() & read_apart)
+    apart = (written > 0) | ((cached > 0) & plain.isNotNull() & F.col("_apart"))
     given = F.when(missed.isNotNull(), missed + cached + written).when(plain.isNotNull(), plain + F.when(apart, cached + written).otherwise(0)).otherwise(cached + written)
     money = lambda c: F.col(c).cast(MONEY)
     cost = F.coalesce(money("_cost"), F.when(F.col("_input_cost").isNotNull() | F.col("_output_cost").isNotNull(), F.coalesce(money("_input_cost"), F.lit(0).cast(MONEY)) + F.coalesce(money("_output_cost"), F.lit(0).cast(MONEY))))
@@ -152,6 +180,77 @@ def first_valid(attempts: DataFrame, key: str) -> DataFrame:
     return good.select(F.coalesce("g", "l").alias("r")).select("r.*")
 
 
+#: Answers that are asked for before the last one is repaired, and tries of one call that fails but may be repeated.
+ASKS, TRIES = 2, 2
+#: A key's rows that the chain looks at: all asks with their failed calls, and the repair with its own.
+CHAIN = (ASKS + 1) * TRIES
+
+
+def settle(attempts: DataFrame, key: str) -> DataFrame:
+    """What has become of each key after its attempts (key, attempt, response, error), taken in order.
+
+    A state machine folded over the attempts: a call that fails is repeated if its error allows it, ``TRIES``
+    times in all, else the key has ``failed``. An answer with a verdict, or with a valid finding, is
+    ``valid``. After ``ASKS`` answers without one the last is repaired once, unless it is blank; then the key
+    falls back (``fallback``) to the last answer as it is. Columns: key, outcome (null: ``pending``), next (ask,
+    retry, repair; null when settled), at (the attempt that settled it), response (of that attempt, or the
+    last one), error, asked. Attempts after that are ignored.
+    """
+    base = verdict_rows(attempts.select(key, "attempt", "response", "error"))
+    direct = finding_rows(attempts.select(key, "attempt", "response")).where("valid").groupBy(key, "attempt").agg(F.lit(True).alias("_full"))
+    rows = base.join(direct, [key, "attempt"], "left")
+    kind = error_kind(F.col("error"))
+    step = F.struct("attempt", "response", "error", (F.col("verdict").isNotNull() | F.coalesce("_full", F.lit(False))).alias("valid"), (F.trim(F.coalesce("response", F.lit(""))) == "").alias("blank"), F.coalesce(error_retryable(kind), F.lit(False)).alias("again"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("attempt"))).where(F.col("_n") <= CHAIN)
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("steps"))  # CHAIN a key
+    state = "struct<outcome:string,next:string,at:int,response:string,error:string,asked:int,errors:int>"
+    start = F.struct(F.lit(None).alias("outcome"), F.lit("ask").alias("next"), F.lit(None).alias("at"), F.lit(None).alias("response"), F.lit(None).alias("error"), F.lit(0).alias("asked"), F.lit(0).alias("errors")).cast(state)
+
+    def move(s: Column, a: Column) -> Column:
+        failed, repairing = a["error"].isNotNull(), s["next"].isin("repair", "repair-retry")
+        give_up = failed & (~a["again"] | (s["errors"] + 1 >= TRIES))
+        asked = s["asked"] + (~failed & ~repairing).cast("int")
+        last = (asked >= ASKS) & ~failed & ~repairing & ~a["valid"]
+        outcome = F.when(give_up, "failed").when(failed, None).when(a["valid"], "valid").when(repairing | (last & a["blank"]), "fallback")
+        following = F.when(outcome.isNotNull(), None).when(failed, F.when(repairing, "repair-retry").otherwise("retry")).when(last, "repair").otherwise("ask")
+        new = F.struct(
+            outcome.alias("outcome"), following.alias("next"), a["attempt"].cast("int").alias("at"), F.when(failed, s["response"]).otherwise(a["response"]).alias("response"),
+            a["error"].alias("error"), asked.alias("asked"), F.when(failed, s["errors"] + 1).otherwise(0).alias("errors"),
+        ).cast(state)
+        return F.when(s["outcome"].isNotNull(), s).otherwise(new)
+
+    out = listed.select(key, F.aggregate("steps", start, move).alias("s"))
+    return out.select(key, F.coalesce("s.outcome", F.lit("pending")).alias("outcome"), F.col("s.next").alias("next"), "s.at", "s.response", "s.error", "s.asked")
+
+
+class Scorer(Protocol):
+    """What answers requests: a table of (key, purpose, prompt, previous) in, (key, response, error) out, a row each.
+
+    ``purpose`` is ask, retry, repair or repair-retry; ``previous`` the answer to improve on, null at first.
+    """
+
+    def complete(self, requests: DataFrame) -> DataFrame: ...
+
+
+def answered(requests: DataFrame, key: str, scorer: Scorer) -> DataFrame:
+    """Requests (key, prompt) put to a scorer until each is settled (``settle``), in at most CHAIN rounds.
+
+    Each round asks for the open keys alone and writes their answers to the shared folder; no answer is asked for twice.
+    """
+    scratch = Scratch(requests.sparkSession, "answers")
+    asked = scratch.table("requests", requests.select(key, "prompt"))
+    open_ = asked.select(key, F.lit("ask").alias("purpose"), "prompt", F.lit(None).cast("string").alias("previous"))
+    every: DataFrame | None = None
+    for number in range(1, CHAIN + 1):
+        new = scratch.table(f"attempts-{number}", scorer.complete(open_).select(key, F.lit(number).alias("attempt"), "response", "error"))
+        every = new if every is None else every.unionByName(new)
+        pending = settle(every, key).where("outcome = 'pending'")
+        open_ = scratch.table(f"open-{number}", pending.join(asked, key).select(key, F.col("next").alias("purpose"), "prompt", F.col("response").alias("previous")))
+        if open_.isEmpty():
+            break
+    return settle(every, key)
+
+
 def as_findings(results: DataFrame) -> DataFrame:
     """Results as findings: the deterministic projection (compliance rows are none)."""
     fix = F.coalesce(F.get_json_object("raw", "$.rule.fix"), F.get_json_object("raw", "$.fix"), F.lit("Review the affected code, validate inputs, enforce least privilege, and use safe framework APIs."))

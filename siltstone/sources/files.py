@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.functions import javascript
 from siltstone.functions.classify import language
 from siltstone.functions.rules import ROUTES
 from siltstone.functions.text import hits, line_count, lines, matches, normal_path, trim
 from siltstone.schemas import ROUTE
+from siltstone.session import Scratch, fresh_name, ship, small_batches
 
 # Folders that a walk leaves out, and limits.
 IGNORED_FOLDERS = (".git", "node_modules", "dist", "build", "coverage", ".next", "vendor", "target", "__pycache__", ".venv", "venv", ".cache", "tmp", ".idea", ".vscode")
@@ -64,9 +66,15 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
 
 
 def tree_fingerprint(walked: DataFrame) -> DataFrame:
-    """One hash of all paths, sizes and times, without reading contents."""
+    """One hash of all paths, sizes and times, without reading contents.
+
+    Paths are combined by parts of their hash: each part is hashed in order of its files' hashes, then the
+    parts in order; neither a task nor a row holds all paths.
+    """
     line = F.concat_ws(":", "path", F.col("length").cast("string"), F.unix_millis("modificationTime").cast("string"))
-    return walked.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    each = walked.select(F.sha2(line, 256).alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sum(F.lit(1)).alias("n"), *[F.bit_xor(F.conv(F.substring("h", 5 + 15 * i, 15), 16, 10).cast("long")).alias(f"x{i}") for i in range(4)], *[F.sum(F.conv(F.substring("h", 5 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)])
+    parts = F.concat_ws(":", "p", "n", *[F.col(f"{k}{i}").cast("string") for k in "xs" for i in range(4)])
+    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "\n"), 256).alias("fingerprint"))  # 65,536 parts at most
 
 
 def index(walked: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -84,8 +92,20 @@ def index(walked: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 
 
 def with_order(files: DataFrame) -> DataFrame:
-    """Adds ``ord``, the file's place by path."""
-    return files.withColumn("ord", F.row_number().over(Window.orderBy("path")).cast("long"))
+    """Adds ``ord``, the file's place by path (from 1).
+
+    Paths alone are sorted, by ranges, and numbered within each range behind those before it; contents
+    join by path. No task orders the whole tree.
+    """
+    part, key, at, ahead, again = (fresh_name(files, n) for n in ("part", "key", "at", "ahead", "again"))
+    paths = files.groupBy("path").agg(F.count(F.lit(1)).alias(again)).orderBy("path").withColumn(part, F.spark_partition_id()).withColumn(key, F.monotonically_increasing_id())
+    ranked = Scratch(files.sparkSession, "files").table("paths", paths)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = ranked.groupBy(part).agg(F.sum(again).alias("n")).select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(ahead))
+    before = F.coalesce(F.sum(again).over(Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranked.withColumn(at, before).join(sums, part).select(F.col("path").alias(key), (F.col(ahead) + F.col(at) + 1).alias("ord"))
+    # Rows of one path share its place.
+    return files.drop("ord").join(placed, F.col("path").eqNullSafe(F.col(key))).drop(key).select(*[c for c in files.columns if c != "ord"], F.col("ord").cast("long"))
 
 
 def chunks(files: DataFrame, width: int = CHUNK_LINES, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -134,9 +154,29 @@ def _route_rows(content: Column, path: Column) -> Column:
     return F.concat(*out)
 
 
+def _script(files: DataFrame) -> Column:
+    """What the tokens of a script say (``javascript.facts``); for use in a select over ``files``."""
+    ship(files.sparkSession)
+    small_batches(files.sparkSession)
+    return javascript.facts(F.col("path"), F.col("content"))
+
+
+def script_facts(files: DataFrame) -> DataFrame:
+    """path, imports, symbols and routes of JavaScript and TypeScript files, from their tokens alone."""
+    return files.where(javascript.is_script(F.col("path"))).select("path", _script(files).alias("f")).where("f IS NOT NULL").select("path", "f.*")
+
+
 def routes(files: DataFrame) -> DataFrame:
-    """One row a route, in the order of frameworks, then of the text: the file's columns and ROUTE; ``k`` is the place in the file."""
-    rows = files.select("*", F.posexplode(_route_rows(F.col("content"), F.col("path"))).alias("k", "r"))
+    """One row a route: the file's columns and ROUTE; ``k`` is the place in the file.
+
+    Of a script first what its tokens say, then what patterns find, distinct and by line; of other
+    files what patterns find, in the order of frameworks, then of the text.
+    """
+    said = fresh_name(files, "js")
+    plain = lambda rs: F.transform(rs, lambda r: F.struct(r["start_line"].alias("start_line"), r["route_path"].alias("route_path"), r["framework"].alias("framework"), r["method"].alias("method")))
+    both = F.concat(plain(F.col(said)["routes"]), plain(_route_rows(F.col("content"), F.col("path"))))
+    sorted_ = F.transform(F.array_sort(F.array_distinct(both)), lambda r: F.struct(r["method"].alias("method"), r["route_path"].alias("route_path"), r["start_line"].alias("start_line"), r["framework"].alias("framework")))
+    rows = files.withColumn(said, _script(files)).select(*files.columns, F.posexplode(F.coalesce(sorted_, _route_rows(F.col("content"), F.col("path")))).alias("k", "r"))
     return rows.select(*files.columns, "k", "r.*")
 
 
@@ -154,15 +194,20 @@ SYMBOLS = (
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, module: what each file imports, distinct, in order of the kinds of import."""
-    every = F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS]))
-    return files.select("path", F.posexplode(every).alias("k", "module"))
+    """path, module: what each file imports, distinct: of scripts first what their tokens say, then by patterns, in order of the kinds of import."""
+    said = fresh_name(files, "js")
+    found = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS])
+    every = F.array_distinct(F.coalesce(F.concat(F.col(said)["imports"], found), found))
+    return files.withColumn(said, _script(files)).select("path", F.posexplode(every).alias("k", "module"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """path, kind, name, start_line; one row for each kind, name and line, by line. Patterns, not a parser."""
-    every = F.flatten(F.array(*[F.transform(hits(F.col("content"), p, 1), _symbol_of(kind)) for kind, p in SYMBOLS]))
-    return files.select("path", F.explode(every).alias("s")).select("path", "s.kind", "s.name", "s.start_line").distinct()
+    """path, kind, name, start_line; one row for each kind, name and line, by line. Tokens of scripts, and patterns for every language."""
+    said = fresh_name(files, "js")
+    plain = lambda ss: F.transform(ss, lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["start_line"].alias("start_line")))
+    found = F.flatten(F.array(*[F.transform(hits(F.col("content"), p, 1), _symbol_of(kind)) for kind, p in SYMBOLS]))
+    every = F.coalesce(F.concat(plain(F.col(said)["symbols"]), plain(found)), plain(found))
+    return files.withColumn(said, _script(files)).select("path", F.explode(every).alias("s")).select("path", "s.kind", "s.name", "s.start_line").distinct()
 
 
 def edges(files: DataFrame) -> DataFrame:
