@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from siltstone.functions import classify, text
-from siltstone.operators import context, core, dedupe, dependencies, detectors, flow, history, imports, intelligence, modelio, policy
+from siltstone.functions import classify, tablefunctions, text
+from siltstone.operators import audit, context, core, dedupe, dependencies, detectors, flow, history, imports, intelligence, modelio, policy
 from siltstone.plans import report, scan
 from siltstone.schemas import APPROVALS, FINDINGS, RESULTS, SEVERITIES, columns_of, rank
 from siltstone.session import read_table
@@ -76,26 +77,37 @@ def _kinds(ddl: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(ddl)]
 
 
-_CODE = {
-    "src/routes/user.ts": "import _ from 'lodash';\nimport { run } from '../exec';\napp.get('/users/:id', (req, res) => {\n  const id = req.params.id;\n  db.query(`SELECT * FROM t WHERE id = ${id}`);\n  eval(req.body.code);\n  _.template(req.query.t);\n  run(req.query.cmd);\n});\nrouter.post('/checkout', async (req, res) => {\n  const total = req.body.price;\n  order.save(total);\n});\napp.get('/logout', end);\n",
-    "src/exec.ts": "import cp from 'child_process';\nexport function run(cmd) {\n  cp.exec(cmd);\n}\n",
-    "src/config.py": "DEBUG = True\npassword = 'hunter2hunter2'\nsecret = os.environ['X']\ndef load(name):\n    data = sys.argv[1]\n    path = data\n    open(path)\n",
-    "config/environments/production.rb": "config.force_ssl = false\n",
-    "lib/gate.ts": "const host = req.headers['host'];\nif (host === 'admin.local') {\n  return true;\n}\n",
-    "CODEOWNERS": "* @team\n",
-}
+#: Source files made of documents: their path's ending and lines by language; %s is the document's first word, %d the id before its own.
+_PROGRAMS = {
+    "en": (".ts", ("import { save } from './d%d';", "import _ from 'lodash';", "app.get('/logout/%s', (req, res) => {", "  eval(req.body.%s);", "  _.template(req.query.%s);", "  db.find({ $where: 'a == ' + req.query.%s });", "  save(req.query.%s);", "});")),
+    "de": (".py", ("import sys", "%s = sys.argv[1]", "open(%s)", "password = 'p4ss%sw0rd'")),
+    "fr": (".php", ("<?php", "shell_exec($_GET['%s']);")),
+    None: (".rb", ("require_relative './d%d'", "system(params[:%s])")),
+}
+#: The same in SQL: doc_id, lang, w, path.
+CODE_DOCS = """cd AS (SELECT doc_id, CASE WHEN lang IN ('en', 'de', 'fr') THEN lang END AS l, coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]{2,}', 0)), ''), 'x') AS w FROM documents),
+  cf AS (SELECT doc_id, l, w, 'app/d' || doc_id || CASE l WHEN 'en' THEN '.ts' WHEN 'de' THEN '.py' WHEN 'fr' THEN '.php' ELSE '.rb' END AS path FROM cd)"""
 
 
-def code_files(spark: SparkSession) -> DataFrame:
-    """A small code base of our own."""
-    rows = [(p, None, c, i) for i, (p, c) in enumerate(sorted(_CODE.items()))]
-    f = spark.createDataFrame(rows, "path string, language string, content string, ord long")
-    return f.withColumn("language", classify.language(F.col("path"), F.col("content"))).withColumn("line_count", text.line_count(F.col("content"))).select("path", "language", "content", "line_count", "ord")
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small program of each document, in one of four languages, around its first word."""
+    d = read_table(spark, sf_dir, "documents")
+    word = F.lower(F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]{2,}", 0), F.lit("")), F.lit("x")))
+
+    def by_lang(make):
+        out = F.lit(make(_PROGRAMS[None]))
+        for lang, program in _PROGRAMS.items():
+            out = F.when(F.col("lang") == lang, make(program)).otherwise(out) if lang else out
+        return out
+
+    body = F.replace(F.replace(by_lang(lambda p: "\n".join(p[1])), F.lit("%s"), word), F.lit("%d"), (F.col("doc_id") - 1).cast("string"))
+    rows = d.select(F.concat(F.lit("app/d"), F.col("doc_id").cast("string"), by_lang(lambda p: p[0])).alias("path"), body.alias("content"), F.col("doc_id").alias("ord"))
+    return rows.select("path", classify.language(F.col("path"), F.col("content")).alias("language"), "content", text.line_count(F.col("content")).alias("line_count"), "ord")
 
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, all pages and our own code base as the files of one tree."""
-    parts = [p.withColumn("ord", F.col("ord") * 3 + i) for i, p in enumerate((doc_files(spark, sf_dir), page_files(spark, sf_dir), code_files(spark)))]
+    """All documents, all pages and the programs made of documents as the files of one tree."""
+    parts = [p.withColumn("ord", F.col("ord") * 3 + i) for i, p in enumerate((doc_files(spark, sf_dir), page_files(spark, sf_dir), code_files(spark, sf_dir)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -295,10 +307,10 @@ def q_represented_anti(spark, sf_dir):
 _AS_SCANNER = ("semgrep", "bearer", "custom-rules", "taint-lite")
 
 
-@query(f"""WITH {EVENT_RESULTS}, x AS (SELECT ord, path, ['semgrep', 'bearer', 'custom-rules', 'taint-lite'][CAST(ord % 4 AS INT) + 1] AS s FROM er WHERE start_line % 9 = 0), seen AS (SELECT path, list(DISTINCT s) AS ss FROM x WHERE path IS NOT NULL GROUP BY path)
+@query(f"""WITH {EVENT_RESULTS}, x AS (SELECT ord, path, ['semgrep', 'bearer', 'custom-rules', 'taint-lite'][CAST(ord % 4 AS INT) + 1] AS s FROM er), seen AS (SELECT path, list(DISTINCT s) AS ss FROM x WHERE path IS NOT NULL GROUP BY path)
 SELECT ord, array_to_string(list_sort(list_filter(['semgrep', 'bearer', 'custom-rules', 'taint-lite', 'config-checks'], lambda e: NOT list_contains(coalesce(seen.ss, []), e))), ',') AS scanners FROM x LEFT JOIN seen USING (path)""")
 def q_missing_dim(spark, sf_dir):
-    rows = event_results(spark, sf_dir).where("start_line % 9 = 0").withColumn("scanner", F.get(F.array(*map(F.lit, _AS_SCANNER)), (F.col("ord") % 4).cast("int")))
+    rows = event_results(spark, sf_dir).withColumn("scanner", F.get(F.array(*map(F.lit, _AS_SCANNER)), (F.col("ord") % 4).cast("int")))
     return context.silent_scanners(rows, rows).select("ord", F.array_join(F.array_sort("scanners"), ",").alias("scanners"))
 
 
@@ -327,11 +339,12 @@ def q_group_examples(spark, sf_dir):
     return out.select("scanner", "severity", "n", "first_order", F.array_join("examples", ",").alias("examples"))
 
 
-@query("""SELECT CAST(greatest(0, round(100 - coalesce(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 25 WHEN o_orderpriority LIKE '2%' THEN 12 WHEN o_orderpriority LIKE '3%' THEN 5 WHEN o_orderpriority LIKE '4%' THEN 2 ELSE 0 END * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END), 0))) AS INT) AS health FROM orders WHERE o_orderstatus = 'P'""")
+@query("""SELECT o_custkey, CAST(greatest(0, round(100 - coalesce(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 25 WHEN o_orderpriority LIKE '2%' THEN 12 WHEN o_orderpriority LIKE '3%' THEN 5 WHEN o_orderpriority LIKE '4%' THEN 2 ELSE 0 END * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END), 0))) AS INT) AS health FROM orders GROUP BY 1""")
 def q_health_score(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    """Every customer's orders as the findings of one code base."""
+    o = read_table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "likely_true_positive").otherwise("suspected")
-    return report.health(o.select(F.get(F.array(*map(F.lit, SEVERITIES)), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("severity"), status.alias("status")))
+    return report.health(o.select("o_custkey", F.get(F.array(*map(F.lit, SEVERITIES)), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("severity"), status.alias("status")), ["o_custkey"])
 
 
 @query("""WITH v AS (SELECT p_brand AS package, p_type AS rule_id, p_name AS title, CASE WHEN p_size > 40 THEN 1 WHEN p_size > 20 THEN 2 ELSE 3 END AS r FROM part)
@@ -674,12 +687,14 @@ def q_compliance(spark, sf_dir):
     return detectors.compliance(all_files(spark, sf_dir), event_results(spark, sf_dir)).select("rule_id", "title", "severity", "path", "start_line")
 
 
-@query()
+@query(f"""WITH {CODE_DOCS} SELECT r.rule_id, path, CAST(r.line AS INT) AS start_line FROM cf, (VALUES ('source-nosql-where-concat', 6), ('source-state-changing-get-logout', 3)) r(rule_id, line) WHERE l = 'en'""")
 def q_source_patterns(spark, sf_dir):
     return detectors.source_patterns(all_files(spark, sf_dir)).select("rule_id", "path", "start_line")
 
 
-@query()
+@query(f"""WITH {CODE_DOCS} SELECT CASE l WHEN 'en' THEN 'injection' ELSE 'command-injection' END AS kind, path, CASE l WHEN 'en' THEN 4 ELSE 2 END AS line,
+CASE l WHEN 'en' THEN 'custom-rules/js-eval: Dynamic eval usage' WHEN 'fr' THEN 'custom-rules/php-command-exec-user-input: PHP command execution from user input' ELSE 'custom-rules/ruby-command-exec-user-input: Ruby command execution from user input' END AS detail
+FROM cf WHERE l IS DISTINCT FROM 'de' ORDER BY doc_id LIMIT 120""")
 def q_static_recon(spark, sf_dir):
     f = all_files(spark, sf_dir)
     return intelligence.static_recon(f, detectors.custom_rules(f))["sinks"]
@@ -867,12 +882,15 @@ def q_rule_scan(spark, sf_dir):
     return detectors.custom_rules(doc_files(spark, sf_dir), rules).select("rule_id", "path", "start_line", "message")
 
 
-@query()
+@query(f"""WITH {CODE_DOCS} SELECT 'taint-filesystem' AS rule_id, path, 3 AS start_line, 'Variable ' || w || ' assigned from user-controlled source at line 2 reaches sink at line 3.' AS message FROM cf WHERE l = 'de'
+UNION ALL SELECT 'taint-command-direct', path, 2, 'User-controlled source appears directly inside dangerous sink.' FROM cf WHERE l IS NULL""")
 def q_taint_lite(spark, sf_dir):
     return flow.taint_lite(all_files(spark, sf_dir)).select("rule_id", "path", "start_line", "message")
 
 
-@query()
+@query(f"""WITH {CODE_DOCS} SELECT 'flow-filesystem-sink-backtrace' AS rule_id, path, 3 AS start_line, 'Sink-first trace found sys.argv[1] reaching path-traversal sink without a context-sufficient sanitizer.' AS message FROM cf WHERE l = 'de'
+UNION ALL SELECT 'flow-command-direct', path, 2, 'User-controlled source appears directly inside dangerous sink.' FROM cf WHERE l IS NULL
+UNION ALL SELECT 'flow-command-sink-backtrace', path, 2, 'Sink-first trace found system(params[:' || w || ']) reaching command-injection sink without a context-sufficient sanitizer.' FROM cf WHERE l IS NULL""")
 def q_taint_flow(spark, sf_dir):
     return flow.taint_flow(all_files(spark, sf_dir)).select("rule_id", "path", "start_line", "message")
 
@@ -888,7 +906,7 @@ def q_high_risk(spark, sf_dir):
     return intelligence.high_risk_files(f, scan.detect(f), intelligence.entrypoints(f))
 
 
-@query()
+@query(f"""WITH {CODE_DOCS} SELECT a.path AS from_path, b.path AS to_path FROM cf a JOIN cf b ON b.doc_id = a.doc_id - 1 WHERE a.l = 'en' OR a.l IS NULL""")
 def q_import_graph(spark, sf_dir):
     return imports.import_graph(all_files(spark, sf_dir))
 
@@ -914,3 +932,93 @@ def q_sarif_struct(spark, sf_dir):
 def q_severity_order(spark, sf_dir):
     rows = event_results(spark, sf_dir)
     return report.severity_share(rows).orderBy(rank(F.col("severity"), SEVERITIES))
+
+
+# --- scripts, paths, ranges, chains ------------------------------------------------------------
+
+_SCRIPT = """// import no from 'commented'
+import {
+  page,
+  site as host
+} from "%url";
+export * from './p%id';
+const text = `${ tag(`inner ${ require('%host') }`) } import x from 'no'`;
+/* '%id */ export const show%id = async (req) => req, plain = 1;
+class Page%id { ok() { return /['"`]/.test(this.t) / 2 } }
+router
+  .get('/%id', show%id);
+"""
+
+
+@query("""WITH p AS (SELECT page_id, page_id::VARCHAR AS id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
+SELECT page_id, 'import' AS kind, url AS name, 0 AS line FROM p UNION ALL SELECT page_id, 'import', './p' || id, 0 FROM p UNION ALL SELECT page_id, 'import', host, 0 FROM p
+UNION ALL SELECT page_id, 'function', 'show' || id, 8 FROM p UNION ALL SELECT page_id, 'class', 'Page' || id, 9 FROM p UNION ALL SELECT page_id, 'GET', '/' || id, 10 FROM p""")
+def q_script_facts(spark, sf_dir):
+    """A module around each page's address and scripts: what its tokens say."""
+    p = read_table(spark, sf_dir, "pages")
+    inline = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    body = F.lit(_SCRIPT)
+    for mark, value in (("%url", F.col("url")), ("%host", F.try_parse_url("url", F.lit("HOST"))), ("%id", F.col("page_id").cast("string"))):
+        body = F.replace(body, F.lit(mark), value)
+    facts = source_files.script_facts(p.select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.concat(body, inline).alias("content")))
+    page = F.regexp_extract("path", r"(\d+)\.js$", 1).cast("long").alias("page_id")
+    imported = facts.select(page, F.lit("import").alias("kind"), F.explode("imports").alias("name"), F.lit(0).alias("line"))
+    declared = facts.select(page, F.explode("symbols").alias("s")).select("page_id", "s.kind", "s.name", F.col("s.start_line").alias("line"))
+    served = facts.select(page, F.explode("routes").alias("r")).select("page_id", F.col("r.method").alias("kind"), F.col("r.route_path").alias("name"), F.col("r.start_line").alias("line"))
+    return imported.unionByName(declared).unionByName(served)
+
+
+@query("""WITH RECURSIVE p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS parts FROM pages),
+q AS (SELECT page_id, list_filter(parts, lambda x: x <> '' AND x <> '.') AS ps FROM p) SELECT page_id, array_to_string(ps[1:greatest(0, len(ps) - 2)] || ['up'], '/') AS resolved FROM q WHERE len(ps) >= 2
+UNION ALL SELECT page_id, array_to_string(list_transform(range(0, 2 - len(ps)), lambda x: '..') || ['up'], '/') FROM q WHERE len(ps) < 2""")
+def q_resolved_paths(spark, sf_dir):
+    """Each page's address, two folders up through thirty detours, as a path without them."""
+    p = read_table(spark, sf_dir, "pages")
+    detour = F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("/" + "".join(f"d{i}/" for i in range(30)) + "./" + "../" * 32 + "up"))
+    return p.select("page_id", imports.resolve_folder(detour).alias("resolved"))
+
+
+@query("""SELECT 'docs/' || doc_id || '.txt' AS path, row_number() OVER (ORDER BY 'docs/' || doc_id || '.txt') AS ord FROM documents""")
+def q_file_order(spark, sf_dir):
+    return source_files.with_order(doc_files(spark, sf_dir)).select("path", "ord")
+
+
+@query("""SELECT e.event_id, min(o.o_orderkey) AS first_order FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id AND e.value * 1000 BETWEEN o.o_totalprice - 50000 AND o.o_totalprice GROUP BY 1""")
+def q_first_range(spark, sf_dir):
+    """Each event with the first order of its user whose price range holds its value."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_totalprice") - 50_000).alias("start_line"), F.col("o_totalprice").alias("end_line"), F.col("o_orderkey").alias("ord"))
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") * 1000).alias("at"))
+    return core.range_first(e, o, "user_id", "at", "ord").select("event_id", F.col("hit.ord").alias("first_order"))
+
+
+# Every user's events are its attempts: purchases answer well, errors fail (may be repeated, but for every fifth value), views are blank.
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type = 'purchase' AS good, event_type = 'error' AS err, event_type = 'error' AND CAST(floor(value) AS BIGINT) % 5 <> 0 AS again, event_type = 'view' AS blank FROM events),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS outcome, 0 AS asked, 0 AS errors, false AS repairing FROM e
+UNION ALL SELECT s.user_id, e.n, CASE WHEN e.err AND (NOT e.again OR s.errors = 1) THEN 'failed' WHEN e.err THEN NULL WHEN e.good THEN 'valid' WHEN s.repairing OR (s.asked = 1 AND e.blank) THEN 'fallback' END, s.asked + CASE WHEN e.err OR s.repairing THEN 0 ELSE 1 END, CASE WHEN e.err THEN s.errors + 1 ELSE 0 END,
+  s.repairing OR (NOT e.err AND NOT e.good AND s.asked = 1) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.k + 1 WHERE s.outcome IS NULL AND e.n <= 6)
+SELECT user_id, coalesce(max(outcome), 'pending') AS outcome, CAST(max(k) AS INT) AS settled_at FROM s GROUP BY user_id""")
+def q_attempt_chain(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    said = F.when(F.col("event_type") == "purchase", '{"verdict": "true_positive", "confidence": "high"}').when(F.col("event_type") == "view", " ").when(F.col("event_type") != "error", "no answer")
+    error = F.when(F.col("event_type") == "error", F.when(F.floor("value") % 5 != 0, "429 rate limit").otherwise("401 unauthorized"))
+    attempts = e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("attempt"), said.alias("response"), error.alias("error"))
+    return modelio.settle(attempts, "user_id").select("user_id", "outcome", F.col("at").alias("settled_at"))
+
+
+@query()
+def q_audit_walk(spark, sf_dir):
+    """Three rounds of an audit over the whole tree: the windows that each hands out."""
+    f = all_files(spark, sf_dir)
+    rounds = audit.Walk(f, event_results(spark, sf_dir)).run(lambda _: None, 3, 200_000)
+    rows = [(r.number, i, *w) for r in rounds for i, w in enumerate(r.ranges)]
+    return spark.createDataFrame(rows, "round int, place int, path string, start_line int, end_line int")
+
+
+@query(r"""SELECT doc_id, CAST(i AS INT) AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split_regex(text, '
+?
+') AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '[0-9]{4}')""")
+def q_table_function(spark, sf_dir):
+    """Lines as a table function of SQL."""
+    tablefunctions.register(spark)
+    rows = spark.sql("SELECT d.doc_id, l.line_no, l.line FROM {docs} d, LATERAL lines(d.text) l", docs=read_table(spark, sf_dir, "documents"))
+    return rows.where(F.rlike("line", F.lit("[0-9]{4}")))
