@@ -247,8 +247,7 @@ def test_incremental_stream(spark, tmp_path):
         code(spark, {"a.ts": f"eval({n})"}).write.mode("append").parquet(src)
         run()
     assert incremental.read_cache(spark, cache, 9).count() == 2
-    versions = incremental._versions(spark, cache)
-    assert len(versions) == 2 and sorted(map(len, versions.values()))[-1] <= incremental.KEPT
+    assert len({b for b, _, _ in incremental._files(spark, cache)}) == 2
     rows = spark.read.parquet(out).where("batch < 2").select("batch", "path").collect()
     assert sorted((r["batch"], r["path"]) for r in rows) == [(0, "a.ts"), (1, "b.ts")]
 
@@ -271,3 +270,30 @@ def test_required_literals_never_miss(spark):
     samples = {"eval(x)": "js-eval", "exec('a')": "node-child-process"}
     f = code(spark, {f"f{i}.ts": t for i, t in enumerate(samples)})
     assert {r["rule_id"] for r in detectors.custom_rules(f).collect()} >= set(samples.values())
+
+
+def test_cache_grows_with_its_batches(spark, tmp_path, monkeypatch):
+    """Each batch writes its own rows; full levels merge; every state can be read, also by a batch that runs again."""
+    from pyspark.sql import functions as F
+
+    from siltstone.streaming import incremental
+
+    monkeypatch.setattr(incremental, "FAN", 3)
+    monkeypatch.setattr(incremental, "BUCKETS", 2)
+    folder, want = str(tmp_path / "cache"), {}
+    for epoch in range(11):
+        batch = {f"f{(epoch * 3 + i) % 8}.ts": f"v{epoch}-{i}" for i in range(3)}
+        rows = spark.createDataFrame([(p, "typescript", c, 1, 0) for p, c in batch.items()], "path string, language string, content string, line_count int, ord long")
+        before = dict(want)
+        for again in range(2 if epoch in (4, 9) else 1):
+            seen = {r["path"]: r["sha256"] for r in incremental.read_cache(spark, folder, epoch - 1).collect()}
+            assert seen == {p: hashlib.sha256(c.encode()).hexdigest() for p, c in before.items()}
+            incremental.merge_cache(spark, folder, rows, epoch, "/r", "2024-01-01 00:00:00")
+            want.update(batch)
+        new = incremental._read(spark, folder, [f for f in incremental._files(spark, folder) if f[1:] == (epoch, 0)])
+        assert {r["path"] for r in new.collect()} == set(batch)
+        assert {r["path"]: r["sha256"] for r in incremental.read_cache(spark, folder, epoch).collect()} == {p: hashlib.sha256(c.encode()).hexdigest() for p, c in want.items()}
+    files = incremental._files(spark, folder)
+    assert max(level for _, _, level in files) >= 2 and len(files) <= 2 * 3 * 3
+    some = incremental.touched_parts(spark.createDataFrame([("f1.ts",)], "path string"))
+    assert {r["path"] for r in incremental.read_cache(spark, folder, 10, some).collect()} < set(want) and incremental.read_cache(spark, folder, 10, some).where(F.col("path") == "f1.ts").count() == 1
