@@ -1022,3 +1022,15 @@ def q_table_function(spark, sf_dir):
     tablefunctions.register(spark)
     rows = spark.sql("SELECT d.doc_id, l.line_no, l.line FROM {docs} d, LATERAL lines(d.text) l", docs=read_table(spark, sf_dir, "documents"))
     return rows.where(F.rlike("line", F.lit("[0-9]{4}")))
+
+
+@query(f"""WITH {EVENT_RESULTS}, f AS (SELECT coalesce(path, '') AS p, start_line AS at, CASE category WHEN 'xss' THEN 'template-xss' WHEN 'sql-injection' THEN 'sql-injection' ELSE 'command-injection' END AS fam, min(ord) AS c, count(*) AS n FROM er GROUP BY 1, 2, 3)
+SELECT a.c AS class, a.n AS members, count(*) - 1 AS linked_classes, sum(b.n) - 1 AS linked FROM f a JOIN f b ON a.p = b.p AND a.fam = b.fam AND abs(a.at - b.at) <= 5 GROUP BY 1, 2""")
+def q_compatible_classes(spark, sf_dir):
+    """Classes of compatible findings: how many findings each has, and how many classes and other findings each of them may be merged with."""
+    members, pairs = dedupe.compatible_classes(modelio.as_findings(event_results(spark, sf_dir)))
+    sizes = members.where("kind = 'family'").groupBy(F.col("class").alias("c")).agg(F.count(F.lit(1)).alias("members"))
+    family = pairs.where("kind = 'family'")
+    both = family.select("a", "b").union(family.where("a <> b").select("b", "a"))
+    told = both.join(sizes.select(F.col("c").alias("b"), F.col("members").alias("n")), "b").groupBy("a").agg((F.count(F.lit(1)) - 1).alias("linked_classes"), (F.sum("n") - 1).alias("linked"))
+    return told.join(sizes, F.col("a") == F.col("c")).select(F.col("c").alias("class"), "members", "linked_classes", "linked")

@@ -27,3 +27,24 @@ def test_compatible_pairs_of_all_events(spark, tmp_path):
     got = [tuple(r) for r in queries.q_compatible_pairs(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert any(i >= 3000 for i, _ in expected)
+
+
+def test_classes_give_the_pairs(spark):
+    """Pairs rebuilt from classes are all compatible pairs, with and without families, sinks and titles."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import dedupe, modelio
+    from siltstone.schemas import RESULTS
+
+    rng = random.Random(7)
+    title = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsi", "of", "x"]) for _ in range(rng.randrange(0, 6)))
+    rows = [("s", f"rule-number-{rng.randrange(3)}" if rng.random() < 0.4 else "r", title(), rng.choice(["xss", "sql-injection", "misc"]), "high", rng.choice(["a.ts", "A.ts", "b.ts", None]), rng.choice([*range(1, 40), None]), 9, "m", '{"fix": "none"}', i) for i in range(150)]
+    findings = modelio.as_findings(spark.createDataFrame(rows, RESULTS)).withColumn("remediation", F.lit("n")).withColumn("reasoning", F.lit("")).withColumn("evidence", F.array().cast("array<struct<path:string,line:int,note:string>>"))
+    want = {(r["a"], r["b"]) for r in dedupe.compatible_pairs(findings).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b")).collect()}
+    members, pairs = dedupe.compatible_classes(findings)
+    held = {}
+    for r in members.collect():
+        held.setdefault((r["kind"], r["class"]), []).append(r["ord"])
+    listed = pairs.collect()
+    got = {(min(x, y), max(x, y)) for r in listed for x in held[r["kind"], r["a"]] for y in held[r["kind"], r["b"]] if x != y}
+    assert got == want and len(want) > 100 and {r["kind"] for r in listed} == {"family", "sink", "title"}
