@@ -1,6 +1,8 @@
 """Numpy arrays in the shared folder: written by tasks, memory-mapped by others; and compact rows of sorted keys.
 
 A file is written under another name and renamed, so a task that runs twice leaves the same file.
+A worker keeps the ``OPEN`` files that it used last mapped, whatever their number: descriptors, maps and
+local copies do not grow with the data.
 Where the shared folder is a mounted one, workers map the files in place; elsewhere (an object
 store, HDFS) they copy a file to their own disk once, through pyarrow's file systems.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,14 @@ from pyspark.sql import functions as F
 from siltstone.llm.worker import held
 
 
+#: Files that a worker keeps mapped.
+OPEN = 200
+
+
 class Store:
     def __init__(self, uri: str):
         self.uri = uri.rstrip("/")
-        self._maps: dict[str, np.ndarray] = {}
+        self._maps: OrderedDict[str, np.ndarray] = OrderedDict()
         self._own: tempfile.TemporaryDirectory | None = None
 
     def __reduce__(self):
@@ -53,7 +60,13 @@ class Store:
         system.move(half, f"{path}/{name}.npy")
 
     def get(self, name: str) -> np.ndarray:
-        if name not in self._maps:
+        if name in self._maps:
+            self._maps.move_to_end(name)
+        else:
+            while len(self._maps) >= OPEN:
+                old, _ = self._maps.popitem(last=False)  # closed as soon as nobody holds its array
+                if self._own:
+                    os.unlink(f"{self._own.name}/{old}.npy")
             local = self._local()
             if local is None:
                 self._own = self._own or tempfile.TemporaryDirectory(prefix="arrays-")

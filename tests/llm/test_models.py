@@ -99,6 +99,28 @@ def test_words_that_one_unkeyed_hash_confuses(spark):
     assert got[learned]["n_known"] == 2 and got[held]["n_known"] == 1
 
 
+def test_a_store_keeps_few_files_open(tmp_path, monkeypatch):
+    """Five thousand buckets under 256 descriptors, mounted and copied."""
+    import os
+    import resource
+
+    store = arrays.Store(str(tmp_path / "s"))
+    n = 5000
+    for i in range(n):
+        store.put(f"b{i}", np.arange(i, i + 40))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 256, hard))
+    try:
+        assert all(int(store.get(f"b{i % n}")[3]) == i % n + 3 for i in [*range(n), *range(0, n, 7)])
+        store._maps.clear()
+        far = arrays.Store("file://" + str(tmp_path / "s"))
+        monkeypatch.setattr(far, "_local", lambda: None)
+        assert all(int(far.get(f"b{i}")[0]) == i for i in range(0, n, 9)) and len(os.listdir(far._own.name)) <= arrays.OPEN
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
 def test_packed_rows_and_counter():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(40)
