@@ -198,6 +198,7 @@ def wrapper_parameter(around: Column) -> Column:
     return _first_group(around, _WRAPPERS)
 
 
+# The line rules' names, titles and patterns, with the conditions that go with each.
 def _line_rules() -> list[tuple]:
     """(id, title, category, severity, pattern of the line, condition) with the line's file at hand."""
     line, ls, i = F.col("line"), F.col("lines"), F.col("i")
@@ -294,6 +295,8 @@ def source_patterns(files: DataFrame) -> DataFrame:
 _SOURCE_FILE = r"(?i)\.(js|jsx|mjs|cjs|ts|tsx|py|php|rb|go|java|cs)$"
 # What routes' bodies say about ownership, money and workflow.
 _INV_OBJECT = r"(?i)\b(req|request)\.(params|body|query)\.(userId|user_id|ownerId|owner_id|tenantId|tenant_id|orgId|organizationId|accountId|customerId|basketId|cartId|orderId|invoiceId|paymentId|reviewId|id)\b"
+_INV_CALL = r"(?i)(findById|findOne|findUnique|findFirst|update|delete|destroy|remove|save|create)\s*\("
+_INV_PAY = r"(?i)(create|update|save|checkout|charge|purchase|add|apply|calculate)\s*\("
 _INV_OWNER = r"(?i)\b(authorize|authorize!|policy|can\?|requireOwner|requirePermission|isAuthorized|ownership|belongsTo|scopeToCurrentUser|current_user|req\.user|request\.user|ctx\.user|session\.user|tenantId\s*:|ownerId\s*:|userId\s*:)\b"
 _INV_MONEY = r"(?i)\b(req|request)\.(body|query|params)\.(price|amount|total|quantity|qty|discount|coupon|balance|credit)\b"
 _INV_FLOW = r"(?i)\b(status|state|stage|approved|confirmed|paid|checkout|payment|publish|activate|deactivate|delete|cancel|refund)\b"
@@ -310,8 +313,8 @@ def _routes_with_body(files: DataFrame, length: int) -> DataFrame:
 def business_invariants(files: DataFrame) -> DataFrame:
     """Routes whose body lacks an ownership, price or workflow check."""
     at, body = _routes_with_body(files, 18), F.col("body")
-    owner = (matches(body, _INV_OBJECT) | matches(F.col("route_path"), _ID_PARAMETER)) & matches(body, r"(?i)(findById|findOne|findUnique|findFirst|update|delete|destroy|remove|save|create)\s*\(") & ~matches(body, _INV_OWNER)
-    money = matches(body, _INV_MONEY) & matches(body, r"(?i)(create|update|save|checkout|charge|purchase|add|apply|calculate)\s*\(") & ~matches(body, r"(?i)\b(recalculate|serverCalculated|priceService|catalog|inventory|validate|schema|allowlist|pick)\b")
+    owner = (matches(body, _INV_OBJECT) | matches(F.col("route_path"), _ID_PARAMETER)) & matches(body, _INV_CALL) & ~matches(body, _INV_OWNER)
+    money = matches(body, _INV_MONEY) & matches(body, _INV_PAY) & ~matches(body, r"(?i)\b(recalculate|serverCalculated|priceService|catalog|inventory|validate|schema|allowlist|pick)\b")
     flow = matches(body, _INV_FLOW) & matches(body, _INV_WRITE) & ~matches(body, r"(?i)\b(status\s*===|state\s*===|assertState|requireState|transition|nonce|csrf|approved|paid)\b")
     kinds = (
         (owner, "business-invariant-missing-ownership-guard", "Route uses request-controlled object identifiers without an obvious ownership guard", "high"),
@@ -342,35 +345,30 @@ def discover_invariants(files: DataFrame, most: int = 200) -> DataFrame:
     return first_wins(out, ["category", "path", "line"]).orderBy("ord").limit(most)
 
 
-# Controls and the evidence for them. (id, title, frameworks' control ids, evidence pattern, note, expectation, remediation)
-_IDS = {
-    "auth-access-control": ("SOC2 CC6.1", "SOC2 CC6.2", "ISO27001 A.5.15", "ISO27001 A.5.18"), "session-cookie-protection": ("SOC2 CC6.1", "ISO27001 A.8.20", "ISO27001 A.8.24"), "audit-logging": ("SOC2 CC7.2", "SOC2 CC7.3", "ISO27001 A.8.15", "ISO27001 A.8.16"),
-    "secret-management": ("SOC2 CC6.1", "ISO27001 A.5.17", "ISO27001 A.8.12"), "change-management": ("SOC2 CC8.1", "ISO27001 A.8.32"), "vulnerability-management": ("SOC2 CC7.1", "SOC2 CC7.2", "ISO27001 A.8.8"), "crypto-transport": ("SOC2 CC6.7", "ISO27001 A.8.20", "ISO27001 A.8.24"),
-}
-_EVIDENCE = {
-    "auth": r"(?i)\b(requireAuth|authenticate|authorize|permission|policy|can\?|current_user|currentUser|before_action\s+:authenticate_user|isAuthenticated|passport\.authenticate|jwt\.verify)\b",
-    "cookie-off": r"(?i)(secure\s*[:=]\s*false|SESSION_COOKIE_SECURE\s*=\s*False|httponly\s*[:=]\s*false|SESSION_COOKIE_HTTPONLY\s*=\s*False|session\.cookie_(secure|httponly)\s*=\s*0)",
-    "cookie-secure": r"(?i)(secure\s*[:=]\s*true|SESSION_COOKIE_SECURE\s*=\s*True|session\.cookie_secure\s*=\s*1|config\.force_ssl\s*=\s*true)",
-    "cookie-http": r"(?i)(httpOnly\s*[:=]\s*true|httponly\s*[:=]\s*true|SESSION_COOKIE_HTTPONLY\s*=\s*True|session\.cookie_httponly\s*=\s*1)",
-    "audit": r"(?i)\b(audit[_-]?log|security[_-]?event|AuditLog|logger\.(info|warn|error)[^\n]*(auth|login|permission|admin|user[_-]?id|security))\b",
-    "secret": r"(?i)\b(process\.env|import\.meta\.env|Deno\.env|getenv|ENV\[|os\.environ|credentials|vault|secretsmanager|secret manager)\b",
-    "scan": r"(?i)\b(npm audit|pnpm audit|yarn audit|bundle audit|pip-audit|safety|trivy|osv-scanner|semgrep|gitleaks|snyk)\b",
-    "tls": r"(?i)\b(force_ssl\s*=\s*true|Strict-Transport-Security|helmet\s*\(|HSTS|httpsOnly|sslmode=require)\b",
-}
-_PATH_EVIDENCE = {"owners": r"(?i)(^|/)(CODEOWNERS|\.github/CODEOWNERS)$", "ci": r"(?i)(^|/)(\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.ya?ml|bitbucket-pipelines\.ya?ml)$", "bots": r"(?i)(^|/)(dependabot\.ya?ml|renovate\.json|\.github/workflows/[^/]*(security|scan|semgrep|trivy|osv|snyk|gitleaks)[^/]*\.ya?ml)$"}
-_NOTES = {
-    "auth": "authentication or authorization control", "cookie-off": "session cookie protection disabled", "cookie-secure": "secure cookie or forced TLS evidence", "cookie-http": "HttpOnly cookie evidence", "audit": "security/audit logging evidence", "secret": "runtime secret loading evidence",
-    "scan": "vulnerability scanning command", "tls": "transport security hardening evidence", "owners": "CODEOWNERS review ownership evidence", "ci": "CI workflow evidence", "bots": "dependency or security scanning automation",
-}
+# Controls, and the evidence that speaks for or against them. (id, title, ids of the frameworks, expectation, remediation)
 _CONTROLS = (
-    ("auth-access-control", "Access control evidence", "Sensitive actions should require server-side authentication and authorization checks.", "Document protected routes and add explicit auth/authz middleware or policy checks where sensitive actions are handled."),
-    ("session-cookie-protection", "Session cookie protection", "Session cookies should use Secure and HttpOnly flags in production.", "Set Secure and HttpOnly on session cookies and enforce HTTPS in production."),
-    ("audit-logging", "Security event logging evidence", "Security-relevant events should be logged for monitoring and investigation.", "Log authentication, authorization, admin, data export, and security-sensitive changes with stable event names and actor identifiers."),
-    ("secret-management", "Secret management posture", "Secrets should be loaded from protected runtime stores and not committed to source.", "Document runtime secret storage and rotation ownership."),
-    ("change-management", "Change management evidence", "Code changes should have review ownership and CI evidence.", "Add CODEOWNERS and CI workflows that run tests/security checks before merge."),
-    ("vulnerability-management", "Vulnerability management evidence", "Dependencies and source should be scanned regularly with tracked remediation.", "Add scheduled dependency and code scanning in CI, then track remediation for high-risk results."),
-    ("crypto-transport", "Cryptography and transport protection", "Production systems should use strong crypto and TLS validation.", "Remove weak cryptographic primitives, keep TLS verification enabled, and document approved crypto settings."),
+    ("auth-access-control", "Access control evidence", ("SOC2 CC6.1", "SOC2 CC6.2", "ISO27001 A.5.15", "ISO27001 A.5.18"), "Sensitive actions should require server-side authentication and authorization checks.", "Document protected routes and add explicit auth/authz middleware or policy checks where sensitive actions are handled."),
+    ("session-cookie-protection", "Session cookie protection", ("SOC2 CC6.1", "ISO27001 A.8.20", "ISO27001 A.8.24"), "Session cookies should use Secure and HttpOnly flags in production.", "Set Secure and HttpOnly on session cookies and enforce HTTPS in production."),
+    ("audit-logging", "Security event logging evidence", ("SOC2 CC7.2", "SOC2 CC7.3", "ISO27001 A.8.15", "ISO27001 A.8.16"), "Security-relevant events should be logged for monitoring and investigation.", "Log authentication, authorization, admin, data export, and security-sensitive changes with stable event names and actor identifiers."),
+    ("secret-management", "Secret management posture", ("SOC2 CC6.1", "ISO27001 A.5.17", "ISO27001 A.8.12"), "Secrets should be loaded from protected runtime stores and not committed to source.", "Document runtime secret storage and rotation ownership."),
+    ("change-management", "Change management evidence", ("SOC2 CC8.1", "ISO27001 A.8.32"), "Code changes should have review ownership and CI evidence.", "Add CODEOWNERS and CI workflows that run tests/security checks before merge."),
+    ("vulnerability-management", "Vulnerability management evidence", ("SOC2 CC7.1", "SOC2 CC7.2", "ISO27001 A.8.8"), "Dependencies and source should be scanned regularly with tracked remediation.", "Add scheduled dependency and code scanning in CI, then track remediation for high-risk results."),
+    ("crypto-transport", "Cryptography and transport protection", ("SOC2 CC6.7", "ISO27001 A.8.20", "ISO27001 A.8.24"), "Production systems should use strong crypto and TLS validation.", "Remove weak cryptographic primitives, keep TLS verification enabled, and document approved crypto settings."),
 )
+# (kind, whether the pattern is of the path rather than of the text, pattern, note)
+_EVIDENCE = (
+    ("auth", False, r"(?i)\b(requireAuth|authenticate|authorize|permission|policy|can\?|current_user|currentUser|before_action\s+:authenticate_user|isAuthenticated|passport\.authenticate|jwt\.verify)\b", "authentication or authorization control"),
+    ("cookie-off", False, r"(?i)(secure\s*[:=]\s*false|SESSION_COOKIE_SECURE\s*=\s*False|httponly\s*[:=]\s*false|SESSION_COOKIE_HTTPONLY\s*=\s*False|session\.cookie_(secure|httponly)\s*=\s*0)", "session cookie protection disabled"),
+    ("cookie-secure", False, r"(?i)(secure\s*[:=]\s*true|SESSION_COOKIE_SECURE\s*=\s*True|session\.cookie_secure\s*=\s*1|config\.force_ssl\s*=\s*true)", "secure cookie or forced TLS evidence"),
+    ("cookie-http", False, r"(?i)(httpOnly\s*[:=]\s*true|httponly\s*[:=]\s*true|SESSION_COOKIE_HTTPONLY\s*=\s*True|session\.cookie_httponly\s*=\s*1)", "HttpOnly cookie evidence"),
+    ("audit", False, r"(?i)\b(audit[_-]?log|security[_-]?event|AuditLog|logger\.(info|warn|error)[^\n]*(auth|login|permission|admin|user[_-]?id|security))\b", "security/audit logging evidence"),
+    ("secret", False, r"(?i)\b(process\.env|import\.meta\.env|Deno\.env|getenv|ENV\[|os\.environ|credentials|vault|secretsmanager|secret manager)\b", "runtime secret loading evidence"),
+    ("scan", False, r"(?i)\b(npm audit|pnpm audit|yarn audit|bundle audit|pip-audit|safety|trivy|osv-scanner|semgrep|gitleaks|snyk)\b", "vulnerability scanning command"),
+    ("tls", False, r"(?i)\b(force_ssl\s*=\s*true|Strict-Transport-Security|helmet\s*\(|HSTS|httpsOnly|sslmode=require)\b", "transport security hardening evidence"),
+    ("owners", True, r"(?i)(^|/)(CODEOWNERS|\.github/CODEOWNERS)$", "CODEOWNERS review ownership evidence"),
+    ("ci", True, r"(?i)(^|/)(\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.ya?ml|bitbucket-pipelines\.ya?ml)$", "CI workflow evidence"),
+    ("bots", True, r"(?i)(^|/)(dependabot\.ya?ml|renovate\.json|\.github/workflows/[^/]*(security|scan|semgrep|trivy|osv|snyk|gitleaks)[^/]*\.ya?ml)$", "dependency or security scanning automation"),
+)
 _SECRETS_FIX = "Move committed secrets into a secret manager, rotate exposed values, and scrub repository history."
 
 
@@ -381,10 +379,10 @@ def compliance(files: DataFrame, results: DataFrame) -> DataFrame:
     minimum-like limit per kind, so a corpus of any size sends ten rows a kind and task.
     """
     first = lambda p: F.when(matches(F.col("content"), p), hits(F.col("content"), p)[0]["line"])
-    kinds = [F.struct(F.lit(k).alias("kind"), first(p).alias("line")) for k, p in _EVIDENCE.items()] + [F.struct(F.lit(k).alias("kind"), F.when(matches(F.col("path"), p), 1).alias("line")) for k, p in _PATH_EVIDENCE.items()]
+    kinds = [F.struct(F.lit(k).alias("kind"), (F.when(matches(F.col("path"), p), 1) if of_path else first(p)).alias("line")) for k, of_path, p, _ in _EVIDENCE]
     seen = files.select("path", "ord", F.explode(F.array(*kinds)).alias("e")).where("e.line IS NOT NULL").select("e.kind", "path", "e.line", "ord")
     bad = results.where("category IN ('secrets', 'transport-security', 'weak-crypto')").select(F.when(F.col("category") == "secrets", "bad-secret").otherwise("bad-crypto").alias("kind"), "path", F.col("start_line").alias("line"), "ord", F.concat(F.col("scanner"), F.lit("/"), F.col("rule_id"), F.lit(": "), F.col("title")).alias("note"))
-    notes = F.create_map(*[F.lit(x) for kv in _NOTES.items() for x in kv])
+    notes = F.create_map(*[F.lit(x) for kind, _, _, note in _EVIDENCE for x in (kind, note)])
     every = seen.withColumn("note", F.element_at(notes, F.col("kind"))).unionByName(bad)
     few = top_per_key(every, ["kind"], [F.col("ord"), F.col("path"), F.col("line")], 10)
     lists = few.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "line", "note"))), lambda s: F.struct(s["path"].alias("path"), s["line"].alias("line"), s["note"].alias("note"))).alias("list"))
@@ -404,10 +402,10 @@ def compliance(files: DataFrame, results: DataFrame) -> DataFrame:
         "crypto-transport": (unless(some("bad-crypto"), some("tls")), F.when(some("bad-crypto"), medium).otherwise(info), F.when(some("bad-crypto"), get("bad-crypto", 5)).otherwise(get("tls"))),
     }
     rows = []
-    for n, (key, title, expectation, fix) in enumerate(_CONTROLS):
+    for n, (key, title, ids, expectation, fix) in enumerate(_CONTROLS):
         status, severity, evidence = parts[key]
         remedy = F.when(status == "fail", _SECRETS_FIX).otherwise(fix) if key == "secret-management" else F.lit(fix)
-        rows.append(F.struct(F.lit(n).alias("n"), F.lit(f"compliance-{key}").alias("id"), F.lit(title).alias("title"), status.alias("status"), severity.alias("severity"), F.array(*map(F.lit, _IDS[key])).alias("ids"), F.lit(expectation).alias("expectation"), F.slice(evidence, 1, 10).alias("evidence"), remedy.alias("remediation")))
+        rows.append(F.struct(F.lit(n).alias("n"), F.lit(f"compliance-{key}").alias("id"), F.lit(title).alias("title"), status.alias("status"), severity.alias("severity"), F.array(*map(F.lit, ids)).alias("ids"), F.lit(expectation).alias("expectation"), F.slice(evidence, 1, 10).alias("evidence"), remedy.alias("remediation")))
     flat = one.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
     head = F.get("evidence", F.lit(0))
     message = F.when(F.col("status") == "unknown", F.concat(F.col("expectation"), F.lit(" Evidence not found in indexed files."))).otherwise(F.col("remediation"))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.classify import SCANNER_WEIGHT, SEVERITY_WEIGHT, first_of
 from siltstone.functions.text import html_escape, lines, numbered, or_empty, slug, table_cell, yaml_quote
+from siltstone.operators import dependencies, intelligence, modelio
+from siltstone.operators.audit import Round
 from siltstone.operators.core import count_by, count_over, examples, first_wins
-from siltstone.operators.policy import active
+from siltstone.operators.policy import active, suppression_summary
 from siltstone.schemas import SEVERITIES, rank, score
+from siltstone.sources.files import ProjectConfig, manifest_dependencies
 
 # Scanners that a report always lists.
 SCANNERS = ("custom-rules", "source-patterns", "taint-lite", "taint-flow", "business-invariants", "config-checks", "quality", "compliance", "correlation", "semgrep", "gitleaks", "trivy", "osv-scanner", "bearer")
+#: Rows that a report's table shows.
+SHOWN = 500
 _LEVEL = {"critical": "error", "high": "error", "medium": "warning"}
 
 
@@ -38,13 +45,14 @@ def status_buckets(findings: DataFrame) -> DataFrame:
     return count_by(findings, kind, "bucket")
 
 
-def additional_results(results: DataFrame, findings: DataFrame, most: int = 500) -> DataFrame:
-    """Groups of results that no finding stands for, by scanner, rule, severity and path, with three examples."""
+def additional_results(results: DataFrame, findings: DataFrame, most: int | None = None) -> DataFrame:
+    """Groups of results that no finding stands for, by scanner, rule, severity and path, with three examples; the first ``most``, if it is given."""
     seen = findings.select(or_empty(F.col("path")).alias("_p"), or_empty(F.col("start_line")).alias("_l")).distinct()
     left = results.join(seen, (or_empty(F.col("path")) == F.col("_p")) & (or_empty(F.col("start_line")) == F.col("_l")), "left_anti")
     groups = examples(left, ["scanner", "rule_id", "severity", "path"], F.struct("start_line", "message"))
     weight = score(F.col("severity"), {k: v // 10 for k, v in SEVERITY_WEIGHT.items()}, 0) + score(F.col("scanner"), SCANNER_WEIGHT, 0)
-    return groups.orderBy(weight.desc(), F.col("n").desc(), "first_order").limit(most)
+    ordered = groups.orderBy(weight.desc(), F.col("n").desc(), "first_order")
+    return ordered.limit(most) if most else ordered
 
 
 def noise_bucket(results: DataFrame, most: int = 20) -> DataFrame:
@@ -66,7 +74,7 @@ def compliance_table(results: DataFrame) -> DataFrame:
 
 def attack_chains(results: DataFrame) -> DataFrame:
     get = lambda p: F.get_json_object("raw", f"$.attackChain.{p}")
-    return results.where("scanner = 'correlation'").select("rule_id", "title", "severity", "path", "start_line", get("kind").alias("kind"), get("confidence").alias("confidence"))
+    return results.where("scanner = 'correlation'").select("rule_id", "title", "severity", "path", "start_line", get("kind").alias("kind"), get("confidence").alias("confidence"), "ord")
 
 
 def report_score() -> Column:
@@ -210,7 +218,7 @@ def sections(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame]
     more = dict(more or {})
     code = findings.where("category <> 'dependency'")
     packages = more.get("Dependency findings", findings.sparkSession.createDataFrame([], "package string, score int"))
-    state = lambda *names: code.where(F.col("status").isin(*names)).withColumn("score", report_score()).orderBy(F.col("score").desc(), "ord").limit(500)
+    state = lambda *names: code.where(F.col("status").isin(*names)).withColumn("score", report_score()).orderBy(F.col("score").desc(), "ord").limit(SHOWN)
     counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
     summary = counted(active(findings), "code findings").unionByName(counted(results, "results")).unionByName(counted(results.where("scanner = 'correlation'"), "attack chains")).unionByName(counted(results.where("scanner = 'compliance'"), "compliance rows")).unionByName(counted(code.where("status = 'false_positive'"), "false positives"))
     made = {
@@ -219,13 +227,13 @@ def sections(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame]
         "Scan strategy": None, "Security intelligence": None, "Static recon": None, "Static proof packs": None,
         "Action plan": (action_plan(findings, packages), ["action", "title", "score"]),
         "Fix first": (top_fixes(findings, packages), ["kind", "name", "score"]),
-        "Attack chains": (attack_chains(results).limit(500), ["rule_id", "title", "severity", "path", "start_line", "kind"]),
+        "Attack chains": (attack_chains(results).orderBy("ord").limit(SHOWN), ["rule_id", "title", "severity", "path", "start_line", "kind"]),
         "Confirmed code findings": (state("confirmed", "confirmed_true_positive", "likely_true_positive"), _PLACE),
         "Suspected or to be validated": (state("suspected", "needs_dynamic_test", "security_hotspot", "needs_context"), _PLACE),
         "Dependency findings": None,
         "Compliance evidence": (compliance_table(results), ["rule_id", "status", "remediation"]),
         "False positives": (state("false_positive"), _PLACE),
-        "Additional results": (additional_results(results, findings), ["scanner", "rule_id", "severity", "path", "n"]),
+        "Additional results": (additional_results(results, findings, SHOWN), ["scanner", "rule_id", "severity", "path", "n"]),
         "Noise": (noise_bucket(results), ["scanner", "rule_id", "n"]),
         "Baseline": None,
         "Severities": (severity_share(active(findings)).orderBy(rank(F.col("severity"), SEVERITIES)), ["severity", "n", "share"]),
@@ -242,6 +250,42 @@ def sections(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame]
     return out
 
 
+def scan_sections(files: DataFrame, results: DataFrame, findings: DataFrame, suppressed: DataFrame | None = None, config: ProjectConfig | None = None, skipped: DataFrame | None = None, used: DataFrame | None = None, jobs: DataFrame | None = None, rounds: list[Round] | None = None) -> dict[str, DataFrame]:
+    """The tables of ``sections`` that a scan's own data gives: what was set, read, found about the code, left out and spent.
+
+    ``skipped``: path and skipped_reason of files that were not read; ``used``: responses with their usage; ``jobs``:
+    model jobs with a status; ``rounds`` of an audit walk. A section whose data is not given is left out.
+    """
+    spark = files.sparkSession
+    entries = intelligence.entrypoints(files)
+    bounds = intelligence.boundaries(files, entries)
+    long = lambda df: df.select(*[F.array_join(c, "; ").alias(c) if df.schema[c].dataType.simpleString() == "array<string>" else F.col(c) for c in df.columns])
+    recon = intelligence.static_recon(files, results)
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, df in recon.items()]
+    out = {
+        "Security intelligence": long(intelligence.high_risk_files(files, results, entries, most=SHOWN)),
+        "Static recon": reduce(DataFrame.unionByName, counts),
+        "Static proof packs": intelligence.proof_packs(findings).select("place", "id", "title", "severity", "location", "missing_control").orderBy("place"),
+        "Dependency findings": long(dependencies.package_rollup(results, manifest_dependencies(files).select("package"), dependencies.package_lines(files).select("package"))).orderBy(F.col("score").desc(), "package").limit(SHOWN),
+        "Baseline": findings.groupBy(F.coalesce("baseline_status", F.lit("not compared")).alias("status")).agg(F.count(F.lit(1)).alias("n")).orderBy("status"),
+        "Execution": results.groupBy("scanner").agg(F.count(F.lit(1)).alias("results"), F.count_distinct("rule_id").alias("rules"), F.count_distinct("path").alias("files")).orderBy("scanner"),
+    }
+    read = [(r.number, len(r.ranges), len({p for p, _, _ in r.ranges}), r.chars) for r in rounds or []]
+    out["Audit coverage"] = spark.createDataFrame(read, "round int, windows int, files int, characters int") if read else intelligence.coverage(files, entries, results, bounds)
+    if config is not None:
+        named = {"profile": config.profile, "focus": ", ".join(config.focus_paths), "left out": ", ".join(config.avoid_paths), "classes": ", ".join(config.vulnerability_classes), "disabled rules": ", ".join(config.disabled_rules), "fails on": config.fail_on, "incremental": str(config.incremental).lower()}
+        out["Scan strategy"] = spark.createDataFrame([(k, v) for k, v in named.items() if v], "setting string, value string")
+    if suppressed is not None:
+        out["Suppressions"] = long(suppression_summary(suppressed))
+    if skipped is not None:
+        out["Warnings"] = skipped.where("skipped_reason IS NOT NULL").groupBy("skipped_reason").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first")).orderBy("skipped_reason")
+    if used is not None:
+        out["Model budget"] = modelio.usage_summary(used)
+    if jobs is not None:
+        out["Model jobs"] = modelio.job_summary(jobs)
+    return out
+
+
 def markdown(results: DataFrame, findings: DataFrame, more: dict[str, DataFrame] | None = None) -> str:
     """The sections as Markdown."""
     return "\n\n".join(f"## {title}\n\n{markdown_table(df, columns)}" for title, df, columns in sections(results, findings, more))

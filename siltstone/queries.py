@@ -630,7 +630,7 @@ def q_severity_share(spark, sf_dir):
 SELECT scanner, rule_id, severity, coalesce(path, '') AS path, count(*) AS n FROM l GROUP BY 1, 2, 3, 4""")
 def q_additional_results(spark, sf_dir):
     rows = event_results(spark, sf_dir)
-    out = report.additional_results(rows, modelio.as_findings(rows.where("scanner = 'click'")), most=1_000_000)
+    out = report.additional_results(rows, modelio.as_findings(rows.where("scanner = 'click'")))
     return out.select("scanner", "rule_id", "severity", F.coalesce("path", F.lit("")).alias("path"), "n")
 
 
@@ -666,7 +666,7 @@ def q_error_kinds(spark, sf_dir):
 def q_high_risk_scores(spark, sf_dir):
     none = doc_files(spark, sf_dir).where(F.lit(False))
     entries = spark.createDataFrame([], "method string, route_path string, path string, line int, framework string, boundary string, ord long")
-    return intelligence.high_risk_files(none, event_results(spark, sf_dir), entries, most=1_000_000).select("path", "score")
+    return intelligence.high_risk_files(none, event_results(spark, sf_dir), entries).select("path", "score")
 
 
 @query("""WITH p AS (SELECT 'docs/' || doc_id || '.txt' AS path FROM documents) SELECT 'docs:docs' AS id, count(*) AS file_count FROM p""")
