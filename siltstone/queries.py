@@ -179,20 +179,21 @@ def q_file_role(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", path.alias("path"), classify.file_role(path).alias("role"))
 
 
-_AT_DOC = "'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt'"
+_AT_DOC = "'docs/' || CAST(ord % (SELECT count(*) FROM documents) AS VARCHAR) || '.txt'"
 _DOC_LINES = "d AS (SELECT 'docs/' || doc_id || '.txt' AS p, string_split_regex(text, '\\r?\\n') AS ls, text FROM documents)"
 _REDACT_SQL = "'((?:api[_-]?key|token|password|secret|passwd|pwd)\\s*[:=]\\s*[''\"]?)[^''\"\\s]+', '\\1[REDACTED]', 'gi'"
 
 
-def _in_docs(rows: DataFrame) -> DataFrame:
-    """Results placed in the first 1000 documents, on the lines they give."""
-    return rows.withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt")))
+def _in_docs(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Results dealt to all documents, on the lines they give."""
+    n = read_table(spark, sf_dir, "documents").count()
+    return rows.withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % n).cast("string"), F.lit(".txt")))
 
 
 @query(f"""WITH {EVENT_RESULTS}, {_DOC_LINES}, r AS (SELECT er.ord, d.p AS path, ls, greatest(1, start_line - 25) AS a, least(len(ls), end_line + 25) AS b FROM er JOIN d ON d.p = {_AT_DOC})
 SELECT ord, path, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, substr(regexp_replace(CASE WHEN b < a THEN '' ELSE array_to_string(ls[a:b], chr(10)) END, {_REDACT_SQL}), 1, 12000) AS content FROM r""")
 def q_context_window(spark, sf_dir):
-    return context.snippets(_in_docs(event_results(spark, sf_dir)), doc_files(spark, sf_dir))
+    return context.snippets(_in_docs(spark, sf_dir, event_results(spark, sf_dir)), doc_files(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
@@ -232,9 +233,9 @@ def q_threshold_filter(spark, sf_dir):
     return core.threshold(event_results(spark, sf_dir), "medium", None).select("ord", "severity")
 
 
-@query(f"WITH {EVENT_RESULTS} SELECT ord, path FROM er WHERE path IS NULL OR path IN (SELECT 'src/u' || CAST(c_custkey AS VARCHAR) || '.ts' FROM customer WHERE c_custkey < 20)")
+@query(f"WITH {EVENT_RESULTS} SELECT ord, path FROM er WHERE path IS NULL OR path IN (SELECT 'src/u' || CAST(n_nationkey AS VARCHAR) || '.ts' FROM nation)")
 def q_scope_filter(spark, sf_dir):
-    known = read_table(spark, sf_dir, "customer").where("c_custkey < 20").select(F.concat(F.lit("./src/u"), F.col("c_custkey").cast("string"), F.lit(".ts")).alias("path"))
+    known = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("./src/u"), F.col("n_nationkey").cast("string"), F.lit(".ts")).alias("path"))
     return policy.in_scope(event_results(spark, sf_dir), known).select("ord", "path")
 
 
@@ -491,12 +492,12 @@ def q_finish_scans(spark, sf_dir):
     return history.finish_scans(s, done, "2024-01-01 00:00:00").select("id", "status", F.col("finished_at").isNotNull().alias("finished"))
 
 
-_FOUND = f"WITH {EVENT_RESULTS}, f AS (SELECT er.*, CAST(1 + ord % 500 AS VARCHAR) AS scan_id, rule_id || '|' || coalesce(path, '') AS fp FROM er WHERE scanner <> 'view'), s AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '/r' || CAST(o_custkey % 10 AS VARCHAR) AS repo_path, CAST(o_orderdate AS TIMESTAMP) AS started_at FROM orders)"
+_FOUND = f"WITH {EVENT_RESULTS}, f AS (SELECT er.*, CAST(1 + ord % (SELECT count(*) FROM orders) AS VARCHAR) AS scan_id, rule_id || '|' || coalesce(path, '') AS fp FROM er), s AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '/r' || CAST(o_custkey % 10 AS VARCHAR) AS repo_path, CAST(o_orderdate AS TIMESTAMP) AS started_at FROM orders)"
 
 
 def _scanned_findings(spark, sf_dir) -> DataFrame:
-    f = modelio.as_findings(event_results(spark, sf_dir).where("scanner <> 'view'"))
-    return f.withColumn("scan_id", (1 + F.col("ord") % 500).cast("string")).withColumn("fingerprint", F.concat_ws("|", "sink", F.coalesce("path", F.lit("")))).withColumn("status", F.when(F.col("ord") % 2 == 0, "false_positive").otherwise("suspected"))
+    f, n = modelio.as_findings(event_results(spark, sf_dir)), read_table(spark, sf_dir, "orders").count()
+    return f.withColumn("scan_id", (1 + F.col("ord") % n).cast("string")).withColumn("fingerprint", F.concat_ws("|", "sink", F.coalesce("path", F.lit("")))).withColumn("status", F.when(F.col("ord") % 2 == 0, "false_positive").otherwise("suspected"))
 
 
 @query(f"""{_FOUND}, j AS (SELECT f.*, s.started_at, row_number() OVER (PARTITION BY fp ORDER BY s.started_at DESC, ord) AS n FROM f JOIN s ON s.id = f.scan_id WHERE s.repo_path = '/r3' AND s.id <> '7')
@@ -594,17 +595,17 @@ def q_bfs_depth(spark, sf_dir):
     return imports.reach_depth(e, c.select(F.concat(F.lit("c"), "c_custkey").alias("path")))
 
 
-@query(f"""WITH {EVENT_RESULTS}, m AS (SELECT *, 'docs/' || CAST(ord % 1000 AS VARCHAR) || '.txt' AS p, CAST(ord % 9 AS INT) + 1 AS l FROM er),
+@query(f"""WITH {EVENT_RESULTS}, m AS (SELECT *, {_AT_DOC} AS p, CAST(ord % 9 AS INT) + 1 AS l FROM er),
 d AS (SELECT 'docs/' || doc_id || '.txt' AS p, string_split_regex(text, '\\r?\\n') AS ls FROM documents)
 SELECT m.ord, CASE WHEN regexp_matches(m.p, '^docs/1.*[.]txt$') THEN m.rule_id || ' ignored by .auditignore at ' || m.p END AS suppressed FROM m""")
 def q_suppress(spark, sf_dir):
-    rows = event_results(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), (F.col("ord") % 1000).cast("string"), F.lit(".txt"))).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
+    rows = _in_docs(spark, sf_dir, event_results(spark, sf_dir)).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
     return policy.suppress(rows, doc_files(spark, sf_dir), ["docs/1*.txt"]).select("ord", "suppressed")
 
 
-@query(f"WITH {EVENT_RESULTS} SELECT ord, category, CASE WHEN severity IN ('critical', 'high') THEN 'likely_true_positive' ELSE 'suspected' END AS status, 'click reported ' AS lead FROM er WHERE scanner = 'click'")
+@query(f"WITH {EVENT_RESULTS} SELECT ord, category, CASE WHEN severity IN ('critical', 'high') THEN 'likely_true_positive' ELSE 'suspected' END AS status, substr(scanner || ' reported ' || rule_id || ': ', 1, 15) AS lead FROM er")
 def q_findings(spark, sf_dir):
-    f = modelio.as_findings(event_results(spark, sf_dir).where("scanner = 'click'"))
+    f = modelio.as_findings(event_results(spark, sf_dir))
     return f.select("ord", "category", classify.finding_state(F.col("status"), F.col("confidence"), F.col("severity")).alias("status"), F.substring("reasoning", 1, 15).alias("lead"))
 
 
@@ -802,13 +803,13 @@ def q_top_fixes(spark, sf_dir):
 @query(f"""{_FIND}, {_DOC_LINES}, j AS (SELECT f.ord, d.ls, greatest(1, f.start_line - 4) AS a, least(len(d.ls), f.start_line + 4) AS b, f.start_line FROM f LEFT JOIN d ON d.p = {_AT_DOC})
 SELECT ord, CASE WHEN ls IS NOT NULL AND start_line > 0 THEN coalesce(array_to_string(list_transform(range(a, b + 1), lambda i: CASE WHEN i > 99999 THEN substr(CAST(i AS VARCHAR), 1, 5) ELSE lpad(CAST(i AS VARCHAR), 5, ' ') END || ': ' || ls[i]), chr(10)), '') END AS snippet FROM j""")
 def q_report_snippets(spark, sf_dir):
-    return report.snippets(_in_docs(_found(spark, sf_dir)), doc_files(spark, sf_dir)).select("ord", "snippet")
+    return report.snippets(_in_docs(spark, sf_dir, _found(spark, sf_dir)), doc_files(spark, sf_dir)).select("ord", "snippet")
 
 
 @query(f"""WITH {EVENT_RESULTS}, h AS (SELECT ord, rule_id || ' ignored by .auditignore at ' || {_AT_DOC} AS s FROM er WHERE {_AT_DOC} LIKE 'docs/7%.txt')
 SELECT (SELECT count(*) FROM h) AS suppressed, string_agg(s, ';' ORDER BY ord) AS reasons FROM (SELECT * FROM h ORDER BY ord LIMIT 100)""")
 def q_suppression_summary(spark, sf_dir):
-    tagged = policy.suppress(_in_docs(event_results(spark, sf_dir)), doc_files(spark, sf_dir), ["docs/7*.txt"])
+    tagged = policy.suppress(_in_docs(spark, sf_dir, event_results(spark, sf_dir)), doc_files(spark, sf_dir), ["docs/7*.txt"])
     return policy.suppression_summary(tagged).select("suppressed", F.array_join("reasons", ";").alias("reasons"))
 
 
@@ -1034,3 +1035,14 @@ def q_compatible_classes(spark, sf_dir):
     both = family.select("a", "b").union(family.where("a <> b").select("b", "a"))
     told = both.join(sizes.select(F.col("c").alias("b"), F.col("members").alias("n")), "b").groupBy("a").agg((F.count(F.lit(1)) - 1).alias("linked_classes"), (F.sum("n") - 1).alias("linked"))
     return told.join(sizes, F.col("a") == F.col("c")).select(F.col("c").alias("class"), "members", "linked_classes", "linked")
+
+
+@query(f"""WITH {EVENT_RESULTS}, e AS (SELECT ord, rule_id, ord % (SELECT count(*) FROM documents) AS d, ord % 9 + 1 AS l FROM er)
+SELECT ord, rule_id || CASE WHEN rule_id = 'rule-' || d % 20 AND l IN (2, 3) THEN ' suppressed by disable/enable block at ' WHEN l = 6 AND contains('audit-disable-next-line rule-' || (d + 1) % 20, rule_id) THEN ' suppressed by previous-line comment at ' WHEN l = 7 THEN ' suppressed by same-line comment at ' END || 'docs/' || d || '.txt:' || l AS suppressed FROM e""")
+def q_inline_suppress(spark, sf_dir):
+    """Blocks, previous-line and same-line comments in a file for each document, and every event as a result in one of them."""
+    n = F.col("doc_id")
+    body = F.concat_ws("\n", F.coalesce(F.regexp_extract("text", r"\w+", 0), F.lit("")), F.concat(F.lit("# audit:disable rule-"), (n % 20).cast("string")), F.lit("x"), F.concat(F.lit("# audit:enable rule-"), (n % 20).cast("string")), F.concat(F.lit("# audit-disable-next-line rule-"), ((n + 1) % 20).cast("string")), F.lit("y"), F.lit("z # audit-disable-line"), F.lit("end"))
+    files = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), n.cast("string"), F.lit(".txt")).alias("path"), body.alias("content"))
+    rows = _in_docs(spark, sf_dir, event_results(spark, sf_dir)).withColumn("start_line", (F.col("ord") % 9 + 1).cast("int"))
+    return policy.suppress(rows, files).select("ord", "suppressed")
