@@ -358,10 +358,16 @@ def q_dependency_rollup(spark, sf_dir):
     return out.select("package", "n", F.size("ids").cast("long").alias("ids"), F.size("titles").cast("long").alias("titles"), "severity", F.col("score").cast("int").alias("score"))
 
 
-@query(f"""WITH {EVENT_RESULTS}, f AS (SELECT 1 AS one), x AS (SELECT count(*) FILTER (category = 'secrets') AS s, count(*) FILTER (category IN ('weak-crypto', 'transport-security')) AS c FROM er)
-SELECT CASE WHEN s > 0 THEN 'FAIL' ELSE 'UNKNOWN' END || ': Secret management posture' AS title, CASE WHEN s > 0 THEN 'high' ELSE 'info' END AS severity FROM x""")
+_SEEN = ", ".join(f"""coalesce(bool_or(regexp_matches(text, '{pattern.replace("'", "''")}')), false) AS "{kind}\"""" for kind, of_path, pattern, _ in detectors._EVIDENCE if not of_path)
+
+
+@query(f"""WITH {EVENT_RESULTS}, x AS (SELECT {_SEEN} FROM documents), y AS (SELECT count(*) FILTER (category = 'secrets') > 0 AS leak, count(*) FILTER (category IN ('weak-crypto', 'transport-security')) > 0 AS weak FROM er),
+c AS (SELECT unnest([{{'t': 'Access control evidence', 'bad': false, 'good': auth, 's': 'info'}}, {{'t': 'Session cookie protection', 'bad': "cookie-off", 'good': "cookie-secure" AND "cookie-http", 's': 'medium'}}, {{'t': 'Security event logging evidence', 'bad': false, 'good': audit, 's': 'info'}}, {{'t': 'Secret management posture', 'bad': leak, 'good': secret, 's': 'high'}},
+ {{'t': 'Change management evidence', 'bad': false, 'good': false, 's': 'info'}}, {{'t': 'Vulnerability management evidence', 'bad': false, 'good': scan, 's': 'info'}}, {{'t': 'Cryptography and transport protection', 'bad': weak, 'good': tls, 's': 'medium'}}]) AS k FROM x, y)
+SELECT CASE WHEN k.bad THEN 'FAIL' WHEN k.good THEN 'PASS' ELSE 'UNKNOWN' END || ': ' || k.t AS title, CASE WHEN k.bad THEN k.s ELSE 'info' END AS severity FROM c""")
 def q_control_status(spark, sf_dir):
-    return detectors.compliance(doc_files(spark, sf_dir), event_results(spark, sf_dir)).where("rule_id = 'compliance-secret-management'").select("title", "severity")
+    """All seven controls, by what the documents and the events say."""
+    return detectors.compliance(doc_files(spark, sf_dir), event_results(spark, sf_dir)).select("title", "severity")
 
 
 @query("""SELECT event_type AS provider, sum(CASE WHEN event_type <> 'click' AND event_id % 3 = 0 THEN event_id % 1000 END)::DOUBLE AS cost, count(*) AS requests FROM events GROUP BY 1""")
