@@ -48,3 +48,11 @@ def test_classes_give_the_pairs(spark):
     listed = pairs.collect()
     got = {(min(x, y), max(x, y)) for r in listed for x in held[r["kind"], r["a"]] for y in held[r["kind"], r["b"]] if x != y}
     assert got == want and len(want) > 100 and {r["kind"] for r in listed} == {"family", "sink", "title"}
+
+
+def test_source_patterns_of_programs_around_words_that_rules_know(spark, tmp_path):
+    words = ["users", "profile", "price", "role", "csrf", "total", "id", "hello"]
+    spark.createDataFrame([(i, w, "en") for i, w in enumerate(words)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries.q_source_patterns(spark, str(tmp_path)).collect())
+    assert got == sorted((rule, f"app/d{i}.ts", line) for i in range(len(words)) for rule, line in (("source-nosql-where-concat", 6), ("source-state-changing-get-logout", 3)))
