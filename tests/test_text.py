@@ -97,3 +97,19 @@ def test_hits_of_groups_across_lines_and_marks(spark):
     assert got == [[(1, "1"), (3, "22"), (3, "3"), (4, "4")], [], [], []]
     whole = df.select(text.hits(F.col("t"), r"(?m)^.*x=\s*\d").alias("h")).first()["h"]
     assert [(h["line"], h["hit"]) for h in whole] == [(1, "a x=1"), (3, "x=22 x=3"), (4, "\ufffd x=\n4")]
+
+
+def test_plain_text_guard_never_hides_a_match(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.functions.text import may_match, required_literals
+    from siltstone.sources.files import IMPORTS, ROUTES
+
+    texts = ["import x from 'y'", "from a.b import c", "require_relative './q'", "use A\\B;", "APP.Get('/x')", "@App.Route('/x', methods=['GET'", "@GetMapping('/x')", "  get '/x' do", "Route::any('/x')", "plain", "", "İMPORT ſ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    patterns = [*IMPORTS, *(r[3] for r in ROUTES)]
+    rows = df.select(*[F.struct(F.rlike("t", F.lit(p)), may_match(F.col("t"), F.col("low"), p)).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    pairs = [tuple(v) for r in rows for v in r]
+    assert (True, False) not in pairs and (True, True) in pairs and (False, False) in pairs
+    # A text that holds another one of the list is left out; case stays where it is asked for.
+    assert required_literals("(exec|execSync)") == ["exec"] and required_literals("a(Foo|Bar)", False) == ["Bar", "Foo"]
