@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.text import matches, normal_path
 from siltstone.operators.core import first_wins, in_order
-from siltstone.operators.imports import import_graph, manifest
+from siltstone.operators.imports import import_graph, rated
 from siltstone.session import Scratch
 from siltstone.sources.files import audit_chunks, routes
 
@@ -56,7 +56,7 @@ class Walk:
     def __post_init__(self) -> None:
         self.spark = self.files.sparkSession
         self.scratch = Scratch(self.spark, "audit")
-        ranked = in_order(manifest(self.files, self.results), [F.col("score").desc(), F.col("ord"), F.col("path")], F.lit(0))
+        ranked = in_order(rated(self.files, self.results), [F.col("score").desc(), F.col("ord"), F.col("path")], F.lit(0))
         self.ranked = self.scratch.table("ranked", ranked.select("path", F.col("_n").alias("rank")))
         known = self.files.join(self.ranked.select("path"), "path", "left_semi")
         self.known = self.scratch.table("known", known.select("path", "content"))

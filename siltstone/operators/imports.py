@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.classify import attack_surface_weight, auditable, file_role, result_score, role_score, seed_classes
-from siltstone.functions.text import explode_lines, matches
+from siltstone.functions.text import explode_lines, matches, may_match
 from siltstone.operators.core import first_wins, range_semi, running_budget, top_per_key
 from siltstone.session import Scratch
 from siltstone.sources.files import audit_chunks, imports, path_aliases, routes
@@ -32,13 +32,15 @@ def resolve_folder(path):
 
 def import_graph(files: DataFrame) -> DataFrame:
     """from_path, to_path: the known files that each import may mean: beside the importer, from the root, by alias, or as a dotted module."""
-    found = imports(files).withColumn("module", F.trim(F.replace("module", F.lit("\\"), F.lit("/"))))
+    # Four branches read the imports and three the aliases: both are taken from the texts once and written.
+    scratch = Scratch(files.sparkSession, "imports")
+    found = scratch.table("modules", imports(files).select("path", F.trim(F.replace("module", F.lit("\\"), F.lit("/"))).alias("module")))
     folder = F.regexp_replace("path", "[^/]*$", "")
     beside = found.where("startswith(module, '.')").select("path", F.concat(folder, F.col("module")).alias("base"))
     rooted = found.where("startswith(module, '/')").select("path", F.col("module").alias("base"))
     named = found.where("NOT startswith(module, '.') AND NOT startswith(module, '/')")
     dotted = named.select("path", F.explode(F.array(F.replace("module", F.lit("."), F.lit("/")), F.concat(folder, F.replace("module", F.lit("."), F.lit("/"))))).alias("base"))
-    given = path_aliases(files).where("prefix <> ''")
+    given = scratch.table("aliases", path_aliases(files).where("prefix <> ''"))
     usual = files.sparkSession.createDataFrame([_USUAL_ALIAS], "prefix string, target string")
     aliases = given.union(usual.join(given.select("prefix").distinct(), "prefix", "left_anti"))
     # A module meets the aliases by its own beginnings of the lengths that occur: an equi-join.
@@ -54,16 +56,18 @@ def import_graph(files: DataFrame) -> DataFrame:
 def reach_depth(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """path, depth: breadth-first distance from the seeds over (from_path, to_path).
 
-    Each round joins only the frontier and anti-joins what was seen; rounds are written to the
-    shared folder, so the plan does not grow. It ends when a round reaches nothing new.
+    Each round joins only the frontier and anti-joins what was seen; edges and rounds are written to the
+    shared folder, so the plan does not grow and edges are made once. It ends when a round reaches nothing new.
     """
     scratch = Scratch(edges.sparkSession, "bfs")
+    edges = scratch.table("edges", edges.select("from_path", "to_path"))
     seen = scratch.table("seen-0", seeds.select("path", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for depth in count(1):
         following = frontier.join(edges, F.col("path") == F.col("from_path")).select(F.col("to_path").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("depth", F.lit(depth))
         frontier = scratch.table(f"frontier-{depth}", following)
         if frontier.isEmpty():
+            scratch.drop("edges")
             break
         seen = scratch.table(f"seen-{depth}", seen.unionByName(frontier))
         scratch.drop(f"seen-{depth - 1}")
@@ -80,18 +84,29 @@ def seed_ranking(results: DataFrame, files: DataFrame, classes: list[str], most_
     return paths, top_per_key(best, ["class"], [F.col("_s").desc(), F.col("ord"), F.col("path")], per_class).select("class", "path")
 
 
-def manifest(files: DataFrame, results: DataFrame) -> DataFrame:
-    """path, hints, route_count, has_result and score of every file worth reading, best first."""
+def rated(files: DataFrame, results: DataFrame) -> DataFrame:
+    """path, language, line_count, hints, route_count, has_result, ord and score of every file worth reading.
+
+    Texts are read here, before any join, and what they say is written: no text is shuffled, and nothing
+    that sorts or walks the files reads them again.
+    """
     kept = files.where(auditable(F.col("path"), F.col("language"), F.col("line_count"), F.col("content")))
     counts = routes(kept).groupBy("path").agg(F.count(F.lit(1)).alias("route_count"))
     flagged = results.select("path").where("path IS NOT NULL").distinct().withColumn("has_result", F.lit(True))
     critical = matches(F.col("path"), r"(?i)(route|routes|controller|command|cli|bin/|exe/|rake|task|worker|job|api|server|auth|session|login|webhook|admin|security|crypto|upload|email|billing|tenant|shopify)")
-    sensitive = matches(F.col("content"), r"(?i)(getSession|requireAuth|admin|jwt|csrf|cors|crypto|encrypt|decrypt|webhook|fetch|axios|redirect|sendFile|readFile|createTransport|params|ARGV|process\.argv|sys\.argv|\$_(GET|POST|REQUEST|COOKIE)|unserialize|Marshal\.load|YAML\.load|shell_exec|Open3|system\()")
-    rows = kept.join(counts, "path", "left").join(flagged, "path", "left").fillna(0, ["route_count"]).fillna(False, ["has_result"])
-    hints = F.array_compact(F.array(F.when(critical, "security-critical-path"), F.when(F.col("route_count") > 0, "route-entrypoint"), F.when(sensitive, "security-sensitive-symbols")))
+    words = r"(?i)(getSession|requireAuth|admin|jwt|csrf|cors|crypto|encrypt|decrypt|webhook|fetch|axios|redirect|sendFile|readFile|createTransport|params|ARGV|process\.argv|sys\.argv|\$_(GET|POST|REQUEST|COOKIE)|unserialize|Marshal\.load|YAML\.load|shell_exec|Open3|system\()"
+    sensitive = may_match(F.col("content"), F.col("_low"), words) & matches(F.col("content"), words)
+    said = kept.select("path", "language", "line_count", "ord", "content", F.lower("content").alias("_low")).select("path", "language", "line_count", "ord", F.coalesce(sensitive, F.lit(False)).alias("_sensitive"))
+    rows = said.join(counts, "path", "left").join(flagged, "path", "left").fillna(0, ["route_count"]).fillna(False, ["has_result"])
+    hints = F.array_compact(F.array(F.when(critical, "security-critical-path"), F.when(F.col("route_count") > 0, "route-entrypoint"), F.when(F.col("_sensitive"), "security-sensitive-symbols")))
     rows = rows.select("path", "language", "line_count", hints.alias("hints"), "route_count", "has_result", "ord")
     points = attack_surface_weight(F.col("path")) + role_score(file_role(F.col("path"), F.col("language"))) + F.size("hints") * 10 + F.col("route_count") * 6 + F.when(F.col("has_result"), 8).otherwise(0)
-    return rows.withColumn("score", points).orderBy(F.col("score").desc(), "ord")
+    return Scratch(files.sparkSession, "rated").table("files", rows.withColumn("score", points))
+
+
+def manifest(files: DataFrame, results: DataFrame) -> DataFrame:
+    """``rated``, best first."""
+    return rated(files, results).orderBy(F.col("score").desc(), "ord")
 
 
 def traversal(files: DataFrame, results: DataFrame, priority: list[str] = (), most_files: int = 100) -> DataFrame:
@@ -99,14 +114,16 @@ def traversal(files: DataFrame, results: DataFrame, priority: list[str] = (), mo
 
     Priority files come first, then files by depth from the entry points over imports, then by score.
     """
-    ranked = manifest(files, results)
+    ranked = rated(files, results)
     asked = F.array_position(F.array(*map(F.lit, priority)), F.col("path")) if priority else F.lit(0)
     depth = reach_depth(import_graph(files), ranked.where("route_count > 0 OR array_contains(hints, 'security-critical-path')").select("path"))
     rows = ranked.join(depth, "path", "left").withColumn("_p", F.when(asked > 0, asked).otherwise(1 << 30))
     picked = rows.orderBy("_p", F.coalesce("depth", F.lit(1 << 30)), F.col("score").desc(), "ord").limit(most_files)
     order = Window.orderBy("_p", F.coalesce("depth", F.lit(1 << 30)), F.col("score").desc(), "ord")
     placed = picked.withColumn("file_place", F.row_number().over(order)).select("path", "file_place")
-    return audit_chunks(files).join(placed, "path").withColumn("place", F.row_number().over(Window.orderBy("file_place", "chunk_index"))).drop("chunk_count")
+    # Only the picked files are cut.
+    picked = files.join(F.broadcast(placed.select("path").distinct()), "path", "left_semi")
+    return audit_chunks(picked).join(F.broadcast(placed), "path").withColumn("place", F.row_number().over(Window.orderBy("file_place", "chunk_index"))).drop("chunk_count")
 
 
 def search(files: DataFrame, query: str, symbol: bool = False, most: int = 20, before: int = 60, after: int = 90) -> DataFrame:

@@ -56,3 +56,29 @@ def test_source_patterns_of_programs_around_words_that_rules_know(spark, tmp_pat
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in queries.q_source_patterns(spark, str(tmp_path)).collect())
     assert got == sorted((rule, f"app/d{i}.ts", line) for i in range(len(words)) for rule, line in (("source-nosql-where-concat", 6), ("source-state-changing-get-logout", 3)))
+
+
+def counted(spark, df, column):
+    """The table with a column that passes through Python, and the count of values that did."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(same, "string").asNondeterministic()(column)), calls
+
+
+def test_edges_and_imports_are_made_once(spark):
+    from siltstone.operators import imports
+
+    edges, calls = counted(spark, spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "from_path string, to_path string"), "to_path")
+    assert imports.reach_depth(edges, spark.createDataFrame([("n0",)], "path string")).count() == 7
+    assert calls.value == 6
+    rows = [(f"a{i}.rb", "ruby", f"require_relative './a{i + 1}'\n", 2, i) for i in range(8)]
+    files, calls = counted(spark, spark.createDataFrame(rows, "path string, language string, content string, line_count int, ord long"), "content")
+    assert imports.import_graph(files).count() == 7
+    # The texts are read for the modules and for the aliases.
+    assert calls.value <= 16
