@@ -82,3 +82,22 @@ def test_edges_and_imports_are_made_once(spark):
     assert imports.import_graph(files).count() == 7
     # The texts are read for the modules and for the aliases.
     assert calls.value <= 16
+
+
+def test_title_overlap_cuts_titles_before_they_meet(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "Beta-gamma", "of", "DELTA", "epsilon", "zeta"])
+    rows = [(i, f"b{i % 3}", rng.choice(["", None, " ".join(word() for _ in range(rng.randrange(1, 5)))])) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    cut = lambda t: {w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() if len(w) > 3}
+    want = {}
+    for i, x, t in rows:
+        for j, y, u in rows:
+            if x == y and i < j:
+                s, r = cut(t), cut(u)
+                want[i, j] = len(s & r) / min(len(s), len(r)) if s and r else 0.0
+    df = queries.q_title_overlap(spark, str(tmp_path))
+    assert {(r["a"], r["b"]): r["overlap"] for r in df.collect()} == want
+    # No pattern is run on a pair: all of them are below the join.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan[: plan.index("Join")] and "regexp" in plan
