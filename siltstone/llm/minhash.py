@@ -21,6 +21,11 @@ first and only as many as these bounds leave (prefix filter). Copies that were f
 independently share no such element, and the bucket ends; near copies of another text share one,
 meet in one bucket and are linked to its centre.
 
+Band buckets serve the first round alone. Those that then still hold several components join documents to
+groups, and each document is dealt out once: by the first of its elements in an order that holds for its group,
+those of one component before those of several, then the rarest (prefix filter). Linked sets share one of these;
+texts of one form, each filled in for itself, do not. Stars and element buckets go on from these buckets.
+
 Components are worked out after each round, and every new bucket is compared in the same way, with a
 later centre, until no bucket holds leaves that are not known to be connected. n near copies of one text cost pairs with
 one of them in each bucket, not all their pairs. No link between two documents that share a band is
@@ -178,9 +183,12 @@ def _sets(packed: np.ndarray, width: int, key: bytes):
             kept = batch.filter(pa.array(wanted[_place(ids)]))
             for at, part in slices(kept.column(1)):
                 sets = shingle_sets(part, key, width)
+                own = kept.column(0).slice(at, len(part))
                 offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([kept.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "hashes"])
+                total = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+                name = joined(mix(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), total).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([own, pa.array(name), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "name", "n", "hashes"])
 
     return run
 
@@ -283,20 +291,22 @@ def _salted(members: DataFrame, per_band: DataFrame, kept: list[str]) -> DataFra
 
 
 def _pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, star) to compare of all buckets (band, doc_id, n, root), linear in each bucket's size.
+    """Pairs (a, b, star) to compare of all buckets (band, doc_id, n, rest, root), linear in each bucket's size.
 
-    ``root`` is a document that a member is known to be connected to. Members beside the bucket's
-    most frequent root are compared with all of other roots and of a size that can be linked, where they are ``DIRECT`` at most; where
+    ``root`` is a document that a member is known to be connected to. ``rest`` is the most elements that a member
+    can share with another of the bucket. Members beside the bucket's most frequent root are compared with all of
+    other roots with which they can be linked, where they are ``DIRECT`` at most; where
     they are more, all are compared with the member of the smallest set, which is ``a`` (``star``).
     """
     sized = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "doc_id")).alias("least"))
     stats = sized.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.min("least").alias("least"))
     stats = stats.select("band", F.col("most.root").alias("major"), (F.col("all") - F.col("most.c")).alias("others"), F.col("least.doc_id").alias("a")).where("others > 0")
-    known = _salted(members, stats, ["doc_id", "n", "root"])
+    known = _salted(members, stats, ["doc_id", "n", "rest", "root"])
     few, many = known.where(F.col("others") <= DIRECT), known.where(F.col("others") > DIRECT)
-    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    two = few.select("band", "salt", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("root").alias("r2"), "major")
-    direct = one.join(two, ["band", "salt"]).where(f"r1 <> r2 AND (r2 = major OR d1 < d2) AND {_like_sizes('n1', 'n2', percent)}").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
+    one = few.where("root <> major").select("band", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("rest").alias("s1"), F.col("root").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    two = few.select("band", "salt", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("s2"), F.col("root").alias("r2"), "major")
+    fit = f"{_like_sizes('n1', 'n2', percent)} AND {100 + percent} * least(s1, s2) >= {percent} * (n1 + n2)"
+    direct = one.join(two, ["band", "salt"]).where(f"r1 <> r2 AND (r2 = major OR d1 < d2) AND {fit}").select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"), F.lit(False).alias("star"))
     star = many.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(True).alias("star"))
     return direct.union(star).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
 
@@ -328,7 +338,36 @@ def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
     least = f"greatest(1, ({percent} * (nb + greatest(na, ({percent} * nb + 99) div 100)) + {99 + percent}) div {100 + percent} - both)"
     least = f"CASE WHEN joined THEN greatest({least}, {percent} * (nb - na) div {100 + percent} + 1) ELSE {least} END"
     fit = placed.where(F.expr(f"open AND r1 < r2 AND place <= x - {least} + 1"))
-    return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.xxhash64("a", "e").alias("band"))
+    return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.col("nb").alias("rest"), F.xxhash64("a", "e").alias("band"))
+
+
+def _open_members(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, root, comp: documents of band buckets (band, doc_id, root) that hold several roots; comp: smallest document reachable by such buckets."""
+    spans = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    met = scratch.table("met", _salted(buckets, spans.select("band", "first"), ["doc_id", "root"]).select("doc_id", "root", "first").distinct())
+    groups = components(met.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), scratch, "groups")
+    return scratch.table("open", met.select("doc_id", "root").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id"))
+
+
+def _prefix_buckets(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, rest, band: documents of one group (``comp`` of the open members) that share one of their first elements.
+
+    One order of elements holds for the whole group: those with which no two roots meet, then the rarest. Linked sets
+    share t / (1 + t) of their sizes' sum, so among the first of the smaller set that leave fewer than that many (``short``)
+    there is a shared one, and among the first of the larger one that leave fewer than t of it (``long``). Each set is
+    dealt out once, whatever number of buckets it was in; texts of one form, filled in each for itself, share no such element.
+    """
+    named = sets.join(opened, "doc_id")
+    rows = named.select("name", "root", "comp", F.explode("hashes").alias("e")).select("name", "root", F.xxhash64("comp", "e").alias("band"))
+    of = Window.partitionBy("band")
+    meeting = rows.select("name", "band", F.count(F.lit(1)).over(of).alias("often"), F.min("root").over(of).alias("r1"), F.max("root").over(of).alias("r2")).where("r1 < r2").select("name", "band", "often")
+    by = Window.partitionBy("name")
+    ranked = meeting.select("name", "band", F.count(F.lit(1)).over(by).alias("m"), F.row_number().over(by.orderBy("often", "band")).alias("r"))
+    placed = ranked.join(named.select("name", "doc_id", "n", "root"), "name").withColumn("rest", F.expr("m - r + 1"))
+    fit = placed.where(f"100 * rest >= {percent} * n").withColumn("short", F.expr(f"{100 + percent} * rest >= {2 * percent} * n"))
+    spans = fit.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(F.col("short"), F.col("n"))).alias("least")).where("r1 < r2 AND least IS NOT NULL").select("band", "least")
+    # A larger set needs a smaller one that it can still share enough with.
+    return fit.join(spans, "band").where(f"short OR {100 + percent} * rest >= {percent} * (n + least)").select("doc_id", "n", "rest", "band")
 
 
 def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -353,14 +392,18 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
     once = banded.join(shared, "band").groupBy("doc_id", "band").agg(F.min("n").alias("n"))  # rows of one doc_id are one document
     buckets = scratch.table("buckets-0", once.select("doc_id", "n", "band", F.col("doc_id").alias("root")))
     candidates = scratch.table("candidates", buckets.select("doc_id").distinct())
-    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width, key)), "doc_id long, hashes array<long>")
+    found_sets = rows.mapInArrow(tidy(_sets(_candidate_map(candidates), width, key)), "doc_id long, name long, n int, hashes array<long>")
     sets = scratch.table("sets", found_sets.join(candidates, "doc_id", "left_semi"))
     comps = spark.createDataFrame([], "node long, comp long")
     root = lambda df, node, name: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     turn = 0
     while True:
         pairs = _pairs(buckets, percent) if turn else _first_pairs(buckets, percent)
-        edges = scratch.table(f"edges-{turn}", _edges(pairs, sets, percent))
+        needed = sets
+        if turn:  # few are left: only their sets move
+            pairs = scratch.table(f"pairs-{turn}", pairs)
+            needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        edges = scratch.table(f"edges-{turn}", _edges(pairs, needed, percent))
         new = root(root(edges.where("linked").select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         if not new.isEmpty():
             found = components(new, scratch, f"components-{turn}")
@@ -368,13 +411,17 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
         stars = edges.where("star")
         if turn and stars.isEmpty():
             break
-        members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent) if turn else buckets.drop("root")
+        if turn:
+            members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent)
+        else:
+            members = _prefix_buckets(_open_members(root(buckets.drop("root"), "doc_id", "root"), scratch), sets, percent)
         following = scratch.table(f"buckets-{turn + 1}", root(members, "doc_id", "root"))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
+        scratch.drop(f"pairs-{turn}")
         buckets, turn = following, turn + 1
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("candidates", "sets", f"buckets-{turn}", f"edges-{turn}"):
+    for name in ("candidates", "sets", "met", "open", f"buckets-{turn}", f"pairs-{turn}", f"edges-{turn}"):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")

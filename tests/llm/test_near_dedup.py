@@ -87,6 +87,24 @@ def test_compared_pairs_grow_with_the_group_not_its_square(spark, monkeypatch, m
     assert few <= most * 60 and many <= 2.6 * few and more <= rounds + 1, compared
 
 
+def scattered(n, seed=6):
+    """n texts of one form, every 33rd word or so another at places of their own: none is linked to another, and each shares bands with some."""
+    rng = random.Random(seed)
+    form = [f"f{rng.randrange(10**6)}" for _ in range(400)]
+    return [(i + 1, " ".join(f"own{i}x{k}" if rng.random() < 0.03 + 0.01 * (i % 3) else w for k, w in enumerate(form))) for i in range(n)]
+
+
+def test_texts_of_one_form_meet_first_members_alone(spark, monkeypatch):
+    """Buckets of bands once made a centre each, and a leaf's elements were dealt out for each of its centres."""
+    edges, seen = minhash._edges, []
+    monkeypatch.setattr(minhash, "_edges", lambda *args: seen.append(edges(*args).cache()) or seen[-1])
+    pairs = scattered(90)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.group_near_duplicates(df, 5, 80).collect()}
+    assert got == plain_groups_of(pairs, 5, 80)
+    assert sum(e.count() for e in seen[1:]) <= 90, [e.count() for e in seen]
+
+
 def test_words_that_one_unkeyed_hash_confuses(spark):
     """Two words of 16 bytes that the candidates' hash gives one value: texts without a common shingle stay apart."""
     one, other = "rs18bf38il5pj3jo", "9u2xh2dzf+9k=u~x"
