@@ -113,3 +113,12 @@ def test_plain_text_guard_never_hides_a_match(spark):
     assert (True, False) not in pairs and (True, True) in pairs and (False, False) in pairs
     # A text that holds another one of the list is left out; case stays where it is asked for.
     assert required_literals("(exec|execSync)") == ["exec"] and required_literals("a(Foo|Bar)", False) == ["Bar", "Foo"]
+
+
+def test_slugs_and_names_work_each_text_out_once(spark):
+    """A condition and its branch each ran the patterns before."""
+    rows = [(" --A_b  C-", "a-b-c", "A_b-C"), ("", "none", "codebase"), (None, "none", "codebase"), ("-- \n", "none", "codebase"), ("É.x\n", "x", ".x"), ("--a--", "a", "a")]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string").select(text.slug(F.col("t"), "none").alias("s"), text.safe_name(F.col("t")).alias("n"))
+    assert [tuple(r) for r in df.collect()] == [r[1:] for r in rows]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 2, plan
