@@ -259,3 +259,12 @@ def test_changed_paths_and_finished_scans(spark, tmp_path):
 def test_budgets_back_off():
     assert imports.backed_off(1000, [400, 700], 100, 10_000) == 1000
     assert imports.backed_off(1000, [400, 700], 100, 600) == 489 and imports.backed_off(1000, [10], 700, 600) == 0
+
+
+def test_families_are_told_once_for_all_branches(spark):
+    """Merged findings and classes read rows whose families were written; each branch ran all patterns before."""
+    f = finding(spark, [{"title": "SQL injection in query", "line": 3}] * 4)
+    merged, (members, pairs) = dedupe.dedupe_findings(f), dedupe.compatible_classes(f)
+    assert merged.count() == 1 and members.where("kind = 'family'").count() == 4 and pairs.where("kind = 'family'").count() == 1
+    for df in (merged, members, pairs):
+        assert "csrf" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
