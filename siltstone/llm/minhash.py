@@ -22,7 +22,9 @@ independently share no such element, and the bucket ends; near copies of another
 meet in one bucket and are linked to its centre.
 
 Band buckets serve the first round alone. Those that then still hold several components join documents to
-groups, and each document is dealt out once: by the first of its elements in an order that holds for its group,
+groups. A group of ``GROUP_BLOCKS`` blocks at most has all its sets compared, by two blocks a task's step: what is left of texts
+that were cut or edited is alike without being linked, so that no filter parts it, and stars took a round for each few
+of it. In larger groups each document is dealt out once: by the first of its elements in an order that holds for its group,
 those of one component before those of several, then the rarest (prefix filter). Linked sets share one of these;
 texts of one form, each filled in for itself, do not. Stars and element buckets go on from these buckets.
 
@@ -122,6 +124,11 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+#: Documents and elements of a block of a group; groups of so many blocks are compared whole.
+BLOCK_DOCS, BLOCK_ELEMENTS, GROUP_BLOCKS = 1024, 1 << 20, 64
+#: An element that so many sets hold is counted by products of matrices, so many elements at a time.
+COMMON, COLUMNS = 16, 2048
+
 _SKETCH = "doc_id long, n long, s long, x long, bands array<long>"
 #: Into so many parts the leaves of one centre are dealt where they meet what is known of it.
 SALT = 16
@@ -341,6 +348,94 @@ def _element_buckets(edges: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.col("b").alias("doc_id"), F.col("nb").alias("n"), F.col("nb").alias("rest"), F.xxhash64("a", "e").alias("band"))
 
 
+def linked_sets(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of all sets that are linked; with ``left``, of those before it with those from it on."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    elements, rows = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, rows = elements[order], rows[order]
+    often = np.diff(np.append(np.flatnonzero(np.append(True, elements[1:] != elements[:-1])), len(elements)))
+    column, often = np.repeat(np.arange(len(often)), often), np.repeat(often, often)
+    both = np.zeros((n, n), np.float32)
+    common = often >= COMMON
+    _, place = np.unique(column[common], return_inverse=True)
+    for first in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(place, [first, first + COLUMNS])
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[rows[common][a:b], place[a:b] - first] = 1
+        both[: left or n, left:] += held[: left or n] @ held[left:].T
+    few = ~common & (often > 1)
+    rows, column = rows[few], column[few]
+    for apart in range(1, min(COMMON, len(column))):
+        same = np.flatnonzero(column[apart:] == column[: len(column) - apart])
+        np.add.at(both, (rows[same], rows[same + apart]), 1)
+    found = []
+    for first in range(0, left or n, 256):
+        shared = both[first : min(first + 256, left or n)].astype(np.int64)
+        i, j = np.nonzero((100 + percent) * shared >= percent * (sizes[first : first + len(shared), None] + sizes[None]))
+        found.append(np.stack([i + first, j]))
+    i, j = np.concatenate(found, axis=1)
+    ok = (i < j) & (j >= left)
+    return i[ok], j[ok]
+
+
+def _linked_roots(percent: int):
+    """Edges that connect the roots of linked sets: rows (comp, i, j, block, root, hashes) come sorted by comp, i and j."""
+
+    def links(key, block: list[int], root: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        order = np.argsort(np.array(block), kind="stable")
+        roots = np.array(root, np.int64)[order]
+        if (roots == roots[0]).all():
+            return None
+        left = block.count(key[1]) if key[1] != key[2] else 0
+        if key[1] != key[2] and left in (0, len(block)):
+            return None
+        i, j = linked_sets([sets[k] for k in order], left, percent)
+        apart = roots[i] != roots[j]
+        if not apart.any():
+            return None
+        x, y = contracted(roots[i[apart]], roots[j[apart]])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, root, sets = None, [], [], []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            hashes = batch.column(5)
+            flat, offsets = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                if tuple(keys[a]) != now:
+                    if now and (out := links(now, block, root, sets)):
+                        yield out
+                    now, block, root, sets = tuple(keys[a]), [], [], []
+                block += batch.column(3).slice(a, b - a).to_pylist()
+                root += batch.column(4).slice(a, b - a).to_pylist()
+                sets += [flat[offsets[k] : offsets[k + 1]].copy() for k in range(a, b)]
+        if now and (out := links(now, block, root, sets)):
+            yield out
+
+    return run
+
+
+def _group_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between roots of each group (``comp`` of the open members) by all its sets, a block of it with another at a time."""
+    block = F.expr("pmod(xxhash64(doc_id), blocks)").cast("int")
+    every = sets.select("doc_id", "hashes").join(opened, "doc_id").select("comp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "root", "hashes")
+    dealt = every.select("comp", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "root", "hashes")
+    keys = ["comp", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_linked_roots(percent)), "a long, b long")
+
+
+def _blocks(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open members with the number of blocks of their group."""
+    per = sets.select("doc_id", "n").join(opened, "doc_id").groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("e"))
+    blocks = per.select(F.col("comp").alias("band"), F.expr(f"CAST(greatest((c + {BLOCK_DOCS - 1}) div {BLOCK_DOCS}, (e + {BLOCK_ELEMENTS - 1}) div {BLOCK_ELEMENTS}, 1) AS INT)").alias("blocks"))
+    return _salted(opened.withColumnRenamed("comp", "band"), blocks, ["doc_id", "root"]).select("doc_id", "root", F.col("band").alias("comp"), "blocks")
+
+
 def _open_members(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, root, comp: documents of band buckets (band, doc_id, root) that hold several roots; comp: smallest document reachable by such buckets."""
     spans = buckets.groupBy("band").agg(F.min("doc_id").alias("first"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
@@ -414,14 +509,21 @@ def group_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int =
         if turn:
             members = _element_buckets(root(root(stars, "a", "ra"), "b", "rb"), percent)
         else:
-            members = _prefix_buckets(_open_members(root(buckets.drop("root"), "doc_id", "root"), scratch), sets, percent)
+            opened = scratch.table("blocks", _blocks(_open_members(root(buckets.drop("root"), "doc_id", "root"), scratch), sets))
+            near = scratch.table("near", _group_links(opened.where(F.col("blocks") <= GROUP_BLOCKS), sets, percent))
+            if not near.isEmpty():
+                comps = scratch.table("connected-near", _merged(comps, components(near, scratch, "components-near")))
+            large = opened.where(F.col("blocks") > GROUP_BLOCKS)
+            if large.isEmpty():
+                break
+            members = _prefix_buckets(large.drop("blocks"), sets, percent)
         following = scratch.table(f"buckets-{turn + 1}", root(members, "doc_id", "root"))
         scratch.drop(f"buckets-{turn}")
         scratch.drop(f"edges-{turn}")
         scratch.drop(f"pairs-{turn}")
         buckets, turn = following, turn + 1
     found = classed.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    for name in ("candidates", "sets", "met", "open", f"buckets-{turn}", f"pairs-{turn}", f"edges-{turn}"):
+    for name in ("candidates", "sets", "met", "open", "blocks", "near", f"buckets-{turn}", f"pairs-{turn}", f"edges-{turn}"):
         scratch.drop(name)
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "rep"), F.lit(True)).alias("kept")

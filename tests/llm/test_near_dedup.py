@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from test_dedup import family, plain_groups
 
@@ -111,3 +112,36 @@ def test_words_that_one_unkeyed_hash_confuses(spark):
     rows = [(1, one), (2, other), (3, f"a b {one}"), (4, f"a b {other}"), (5, one)]
     got = {r["doc_id"]: r["component_id"] for r in minhash.group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def cut_texts(n, seed=8):
+    """Of n near copies what a cut of repeated lines leaves: four fifths of a text's lines, other ones in each; some are linked."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{k}x{rng.randrange(10**6)}" for _ in range(12)) for k in range(30)]
+    return [(i + 1, "\n".join(f"own{i} {line}" if rng.random() < 0.05 else line for line in lines if rng.random() < 0.9)) for i in range(n)]
+
+
+@pytest.mark.parametrize("blocks,rounds", [({}, 1), ({"BLOCK_DOCS": 9}, 1), ({"BLOCK_ELEMENTS": 3000}, 1), ({"GROUP_BLOCKS": 0}, None)])
+def test_what_a_cut_leaves_takes_one_round(spark, monkeypatch, blocks, rounds):
+    """Groups whose texts are alike without being linked once took a round of stars for each few of them."""
+    edges, seen = minhash._edges, []
+    monkeypatch.setattr(minhash, "_edges", lambda *args: seen.append(1) or edges(*args))
+    for name, value in blocks.items():
+        monkeypatch.setattr(minhash, name, value)
+    pairs = cut_texts(70)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.group_near_duplicates(df, 5, 80).collect()}
+    assert got == plain_groups_of(pairs, 5, 80)
+    assert 1 < len({c for _, c in got.values()}) < len(got)
+    assert rounds is None or len(seen) == rounds
+
+
+@pytest.mark.parametrize("common,columns,left", [(16, 2048, 0), (3, 5, 0), (3, 5, 17), (100, 7, 25)])
+def test_linked_sets_are_those_of_all_pairs(monkeypatch, common, columns, left):
+    rng = np.random.default_rng(common)
+    monkeypatch.setattr(minhash, "COMMON", common)
+    monkeypatch.setattr(minhash, "COLUMNS", columns)
+    sets = [np.unique(rng.choice(30, rng.integers(1, 30), replace=False) if k % 3 else np.append(np.arange(20), 100 + k)) for k in range(60)]
+    want = [(i, j) for i in range(60) for j in range(60) if i < j and (not left or i < left <= j) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    got = sorted(zip(*(x.tolist() for x in minhash.linked_sets(sets, left, 80))))
+    assert want and got == want
