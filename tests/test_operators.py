@@ -289,3 +289,14 @@ def test_families_are_told_once_for_all_branches(spark):
     assert merged.count() == 1 and members.where("kind = 'family'").count() == 4 and pairs.where("kind = 'family'").count() == 1
     for df in (merged, members, pairs):
         assert "csrf" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_texts_are_told_once_however_many_rows_have_them(spark):
+    """Patterns of families run over distinct texts; every row ran all of them before. Nulls among the texts are equal."""
+    rows = [{"title": t, "category": c, "message": m, "line": n % 40 + 1, "path": p} for n, (t, c, m, p) in enumerate([("SQL injection", "x", None, "a.ts"), ("plain", None, None, "b.ts"), ("XSS", None, "m", None)] * 30)]
+    df = result(spark, rows)
+    told = dedupe._families(df)
+    assert {(r["title"], r["_family"]) for r in told.collect()} == {("SQL injection", "sql-injection"), ("plain", None), ("XSS", "template-xss")} and told.count() == 90
+    merged = dedupe.reduce_noise(df)
+    assert "csrf" not in merged._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sum(1 + (r["semantic_deduplication"]["deduplicated_count"] if r["semantic_deduplication"] else 0) for r in merged.collect()) == 90
