@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_detectors import code
 
+from siltstone.functions import text
 from siltstone.operators import context
 from siltstone.plans import scan
 from siltstone.schemas import RESULTS
@@ -74,3 +75,21 @@ def test_workspaces(spark, tmp_path):
     (tmp_path / "w3" / "scan").mkdir(parents=True)
     got = {w["name"]: w["state"] for w in context.workspaces(spark, str(tmp_path))}
     assert got == {"w1": "ready", "w2": "empty", "w3": "corrupt"}
+
+
+def test_windows_of_flagged_files_are_redacted_as_before(spark):
+    """Patterns are looked for once a file; its windows equal those that are each redacted by themselves. The patterns ran for every result before."""
+    import itertools
+
+    pieces = ["x = 1", "Authorization: Bearer abc.def", "password:", "  'hunter2'", "Cookie: a=b", "-----BEGIN PRIVATE KEY-----", "AAAA", "-----END PRIVATE KEY-----", "ghp_0123456789abcdef0123", "token = Cookie: nn", "sk-0123456789abcdefé", "plain"]
+    texts = ["\r\n".join(pieces), "\n".join(reversed(pieces)), "\n".join(pieces[i] for i in (2, 3, 11, 8)), "\n".join(["plain", "token of love", ""]), "", None, *pieces]
+    files = spark.createDataFrame([(f"f{i}.ts", "typescript", t, 1, i) for i, t in enumerate(texts)], "path string, language string, content string, line_count int, ord long")
+    rows = [("s", "r", "t", "c", "high", f"f{i}.ts", a, a + n, "m", None, i * 100 + a * 4 + n) for i, a, n in itertools.product(range(len(texts)), range(1, 14), range(3))]
+    results = spark.createDataFrame(rows, RESULTS)
+    got = context.snippets(results, files, around=1)
+    plain = results.join(files.select("path", text.lines(F.col("content")).alias("ls")), "path")
+    want = plain.select("ord", F.substring(text.redact(text.line_slice(F.col("ls"), F.greatest(F.lit(1), F.col("start_line") - 1), F.least(F.size("ls"), F.col("end_line") + 1))), 1, 12_000).alias("content"))
+    assert {(r["ord"], r["content"]) for r in got.select("ord", "content").collect()} == {(r["ord"], r["content"]) for r in want.collect()}
+    flags = [r["s"] for r in files.orderBy("ord").select(text.redactable(F.col("content")).alias("s")).collect()]
+    assert flags[:6] == [True, True, True, False, False, False]
+    assert "inline" in got._jdf.queryExecution().optimizedPlan().toString()
