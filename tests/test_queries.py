@@ -29,6 +29,12 @@ def test_compatible_pairs_of_all_events(spark, tmp_path):
     assert any(i >= 3000 for i, _ in expected)
 
 
+def test_pairs_of_families_are_not_compared(spark, tmp_path):
+    """Where every finding has a family, titles and sinks of pairs are not looked at; every pair's were before."""
+    events_table(spark, tmp_path, 50, 0)
+    assert "array_intersect" not in queries.q_compatible_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_classes_give_the_pairs(spark):
     """Pairs rebuilt from classes are all compatible pairs, with and without families, sinks and titles."""
     from pyspark.sql import functions as F
