@@ -107,3 +107,26 @@ def test_title_overlap_cuts_titles_before_they_meet(spark, tmp_path):
     # No pattern is run on a pair: all of them are below the join.
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan[: plan.index("Join")] and "regexp" in plan
+
+
+def documents_of(spark, folder, n):
+    """Tables of ``n`` English documents, each a program with one route, and no page."""
+    spark.createDataFrame([(i, f"hello w{i}", "en") for i in range(n)], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+
+
+def test_high_risk_counts_every_route(spark, tmp_path):
+    """Of 520 programs with a route, each route counts for its file; the first 500 did before."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import detectors, intelligence
+
+    documents_of(spark, tmp_path, 520)
+    files = queries.all_files(spark, str(tmp_path))
+    # Two more routes of the last program: they decide which file comes first.
+    more = F.concat("content", F.lit("\napp.get('/a/b', go);\napp.get('/c/d', go);"))
+    files = files.withColumn("content", F.when(F.col("path") == "app/d519.ts", more).otherwise(F.col("content")))
+    entries = intelligence.entrypoints(files)
+    assert entries.count() == 522 and intelligence.entrypoints(files, 7).count() == 7
+    scored = intelligence.high_risk_files(files, detectors.quality(files), entries, most=1000).collect()
+    assert len(scored) == 520 and tuple(scored[0])[:2] == ("app/d519.ts", 60) and {r["score"] for r in scored[1:]} == {20}
