@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.classify import attack_surface_weight, auditable, file_role, result_score, role_score, seed_classes
 from siltstone.functions.text import explode_lines, matches, may_match
-from siltstone.operators.core import first_wins, range_semi, running_budget, top_per_key
+from siltstone.operators.core import first_wins, in_order, range_semi, running_budget, top_per_key
 from siltstone.session import Scratch
 from siltstone.sources.files import audit_chunks, imports, path_aliases, routes
 
@@ -109,21 +109,25 @@ def manifest(files: DataFrame, results: DataFrame) -> DataFrame:
     return rated(files, results).orderBy(F.col("score").desc(), "ord")
 
 
-def traversal(files: DataFrame, results: DataFrame, priority: list[str] = (), most_files: int = 100) -> DataFrame:
-    """path, start_line, end_line, chunk_index, place: the order in which an audit reads chunks.
+def traversal(files: DataFrame, results: DataFrame, priority: list[str] = (), most_files: int | None = None) -> DataFrame:
+    """path, start_line, end_line, chunk_index, file_place, place: the order in which an audit reads chunks, of all files or the first ``most_files``.
 
     Priority files come first, then files by depth from the entry points over imports, then by score.
     """
     ranked = rated(files, results)
     asked = F.array_position(F.array(*map(F.lit, priority)), F.col("path")) if priority else F.lit(0)
     depth = reach_depth(import_graph(files), ranked.where("route_count > 0 OR array_contains(hints, 'security-critical-path')").select("path"))
-    rows = ranked.join(depth, "path", "left").withColumn("_p", F.when(asked > 0, asked).otherwise(1 << 30))
-    picked = rows.orderBy("_p", F.coalesce("depth", F.lit(1 << 30)), F.col("score").desc(), "ord").limit(most_files)
-    order = Window.orderBy("_p", F.coalesce("depth", F.lit(1 << 30)), F.col("score").desc(), "ord")
-    placed = picked.withColumn("file_place", F.row_number().over(order)).select("path", "file_place")
-    # Only the picked files are cut.
-    picked = files.join(F.broadcast(placed.select("path").distinct()), "path", "left_semi")
-    return audit_chunks(picked).join(F.broadcast(placed), "path").withColumn("place", F.row_number().over(Window.orderBy("file_place", "chunk_index"))).drop("chunk_count")
+    rows = ranked.join(depth, "path", "left").select("path", F.when(asked > 0, asked).otherwise(1 << 30).alias("_p"), F.coalesce("depth", F.lit(1 << 30)).alias("_d"), "score", "ord")
+    order = ["_p", "_d", F.col("score").desc(), "ord"]
+    if most_files is not None:
+        # Only the picked files are cut.
+        rows = rows.orderBy(*order).limit(most_files)
+        files = files.join(F.broadcast(rows.select("path").distinct()), "path", "left_semi")
+    cut = Scratch(files.sparkSession, "traversal").table("chunks", audit_chunks(files).drop("chunk_count"))
+    sizes = cut.groupBy("path").agg(F.count(F.lit(1)).alias("_c"))
+    placed = in_order(rows.join(sizes, "path"), order, F.col("_c")).select("path", (F.col("_n") + 1).cast("int").alias("file_place"), "_before")
+    nth = F.row_number().over(Window.partitionBy("file_place").orderBy("chunk_index"))
+    return cut.join(placed, "path").withColumn("place", (F.col("_before") + nth).cast("int")).drop("_before").orderBy("place")
 
 
 def search(files: DataFrame, query: str, symbol: bool = False, most: int = 20, before: int = 60, after: int = 90) -> DataFrame:

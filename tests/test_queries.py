@@ -130,3 +130,18 @@ def test_high_risk_counts_every_route(spark, tmp_path):
     assert entries.count() == 522 and intelligence.entrypoints(files, 7).count() == 7
     scored = intelligence.high_risk_files(files, detectors.quality(files), entries, most=1000).collect()
     assert len(scored) == 520 and tuple(scored[0])[:2] == ("app/d519.ts", 60) and {r["score"] for r in scored[1:]} == {20}
+
+
+def test_traversal_places_every_file(spark, tmp_path):
+    """Chunks of all 130 programs are placed, in the order of the files; those of the first 100 files were before. Documents as files are no part of an audit."""
+    from siltstone.operators import detectors, imports
+
+    documents_of(spark, tmp_path, 130)
+    rows = queries.q_traversal(spark, str(tmp_path)).collect()
+    assert {r["path"] for r in rows} == {f"app/d{i}.ts" for i in range(130)}
+    assert [r["place"] for r in rows] == [r["file_place"] for r in rows] == list(range(1, 131))
+    # With a limit the first files are as they were; a long file's chunks follow each other.
+    files = queries.all_files(spark, str(tmp_path)).where("path IN ('app/d1.ts', 'app/d2.ts', 'app/d3.ts')")
+    files = files.selectExpr("path", "language", "CASE WHEN path = 'app/d1.ts' THEN concat(content, repeat('\\n', 400)) ELSE content END AS content", "line_count", "ord")
+    short = imports.traversal(files, detectors.custom_rules(files), ["app/d1.ts"], 2).collect()
+    assert [(r["path"], r["chunk_index"], r["file_place"], r["place"]) for r in short] == [("app/d1.ts", 0, 1, 1), ("app/d1.ts", 1, 1, 2), ("app/d1.ts", 2, 1, 3), ("app/d2.ts", 0, 2, 4)]
