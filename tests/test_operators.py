@@ -57,6 +57,40 @@ def test_band_pairs_are_packed(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1500 * 1499 // 2
 
 
+def test_blocks_meet_a_few_rows_at_a_time(spark):
+    """Generated code holds the pairs of one row until it is done: pieces of two blocks, not the blocks' millions of pairs."""
+    def met(n, m):
+        made = lambda k, step: F.sequence(F.lit(0).cast("long"), F.lit((k - 1) * step).cast("long"), F.lit(step).cast("long"))
+        return spark.range(1).select(F.lit(False).alias("_own"), made(n, 2).alias("_xs"), made(m, 3).alias("_ys"))
+
+    for n, m in ((1, 1), (32, 256), (33, 257), (700, 1100)):
+        got = core._each_two(met(n, m), core.FEW).select("_x", "_y").toPandas()
+        assert len(got) == n * m and set(zip(got["_x"], got["_y"])) == {(2 * i, 3 * j) for i in range(n) for j in range(m)}
+    plan = core._each_two(met(9, 9), core.FEW)._jdf.queryExecution().executedPlan().toString()
+    # Both sides are cut by expressions that are no part of generated code, which marks its operators with a star.
+    cuts = [line for line in plan.splitlines() if "Generate explode(transform" in line]
+    assert len(cuts) == 2 and not any("*(" in line for line in cuts)
+
+
+def test_overlap_pairs_equal_nested_loops(spark):
+    """With words that have a bit of their own and with rarer ones, keys that repeat or are missing, in blocks of eight rows."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(core.COMMON_WORDS + 200)]
+    weights = [3 if i < core.COMMON_WORDS else 1 for i in range(len(words))]
+    rows = [(rng.choice(["x", "x", "x", "y", None]), rng.choice([i, i, i, 7, None]), sorted(set(rng.choices(words, weights, k=rng.randrange(0, 40))))) for i in range(240)]
+    df = spark.createDataFrame(rows, "k string, ord long, w array<string>")
+    got = [(r["a"], r["b"], round(r["overlap"], 9)) for r in core.overlap_pairs(df, "k", "w", block=8).collect()]
+    told = lambda s, t: round(len({*s} & {*t}) / min(len(s), len(t)), 9) if s and t else 0.0
+    want = [(a[1], b[1], told(a[2], b[2])) for a in rows for b in rows if None not in (a[0], a[1], b[0], b[1]) and a[0] == b[0] and a[1] < b[1]]
+    assert sorted(got) == sorted(want) and len(want) > 5000
+    assert any(set(s[2]) & set(t[2]) & set(words[core.COMMON_WORDS :]) for s in rows for t in rows if s is not t)
+
+
+def test_overlap_pairs_without_words(spark):
+    df = spark.createDataFrame([("x", 1, []), ("x", 2, [])], "k string, ord long, w array<string>")
+    assert [tuple(r) for r in core.overlap_pairs(df, "k", "w").collect()] == [(1, 2, 0.0)]
+
+
 def test_range_first_and_semi(spark):
     points = spark.createDataFrame([("f", 5), ("f", 50), ("g", 5)], "path string, line int")
     ranges = spark.createDataFrame([("f", 4, 9, 2), ("f", 1, 9, 1)], "path string, start_line int, end_line int, ord int")
